@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
+
+from gleanframe.session import local_frame
 
 
 def sample_std(c: Column) -> Column:
@@ -98,17 +101,21 @@ def student_two_sided(t: np.ndarray, df: np.ndarray) -> np.ndarray:
     return np.clip(out, 0.0, 1.0)
 
 
-@F.pandas_udf(DoubleType())
-def slope_p_value(t: pd.Series, n: pd.Series) -> pd.Series:
-    """p-value of a slope with ``n`` points; meant for a handful of fitted rows."""
-    return pd.Series(student_two_sided(t.to_numpy(dtype=float), n.to_numpy(dtype=float) - 2))
+def slope_p_values(slope: Sequence[float], stderr: Sequence[float], n: Sequence[int]) -> list[float]:
+    """1 for a flat line, 0 for an exact one, Student's t with n - 2 degrees of freedom in between."""
+    slope, stderr = np.asarray(slope, dtype=float), np.asarray(stderr, dtype=float)
+    t = np.divide(slope, stderr, out=np.full(slope.shape, np.inf), where=stderr != 0)
+    p = student_two_sided(t, np.asarray(n, dtype=float) - 2)
+    return [float(v) for v in np.where(slope == 0, 1.0, np.where(stderr == 0, 0.0, p))]
 
 
-def p_value(slope: Column, stderr: Column, n: Column) -> Column:
-    """1 for a flat line, 0 for an exact one, Student's t in between."""
-    t = F.coalesce(F.try_divide(slope, stderr), F.lit(0.0))
-    return (
-        F.when(slope == 0, F.lit(1.0))
-        .when(stderr == 0, F.lit(0.0))
-        .otherwise(slope_p_value(t, n.cast("double")))
-    )
+def with_p_value(fits: DataFrame, name: str = "p_value") -> DataFrame:
+    """Add the p-value of ``slope`` to fitted lines, of which there is one per column.
+
+    Neither SQL nor Spark has Student's distribution; the few rows are finished on the
+    driver, which is quicker than a Python worker for each of them.
+    """
+    rows = fits.collect()
+    p = slope_p_values([r["slope"] for r in rows], [r["stderr"] for r in rows], [r["n"] for r in rows])
+    schema = StructType([*fits.schema.fields, StructField(name, DoubleType())])
+    return local_frame(fits.sparkSession, [(*r, v) for r, v in zip(rows, p)], schema)

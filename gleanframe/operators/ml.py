@@ -25,7 +25,7 @@ from gleanframe.operators.metrics import (
 )
 from gleanframe.operators.quantiles import medians
 from gleanframe.operators.ranks import positions
-from gleanframe.session import materialise
+from gleanframe.session import local_frame, materialise
 
 SEED = 42
 MIN_ROWS = 8
@@ -179,7 +179,7 @@ def _importance(df: DataFrame, names: list[str], model) -> DataFrame | None:
     else:
         return None
     rows = sorted(((n, round(v, 4)) for n, v in zip(names, values)), key=lambda r: (-r[1], r[0]))
-    return df.sparkSession.createDataFrame(rows, "feature string, importance double")
+    return local_frame(df.sparkSession, rows, "feature string, importance double")
 
 
 def train(

@@ -14,8 +14,9 @@ from gleanframe.operators.columns import (
     aggregate_row, as_double, as_text, categorical_columns, ident, long_aggregates, numeric_columns,
     present, text_columns, unpivot_numbers, unpivot_text,
 )
-from gleanframe.operators.quantiles import exact_quantiles, quantile_frame
+from gleanframe.operators.quantiles import exact_quantiles, quantile_frame, upper_medians
 from gleanframe.operators.ranks import grouped_quantiles, running_counts
+from gleanframe.session import local_frame
 
 DIGITS = 4
 
@@ -46,7 +47,7 @@ def distinct_profile(df: DataFrame, approximate: bool = False) -> DataFrame:
         return long_aggregates(df, df.columns, {
             "distinct_count": ("bigint", lambda c: F.approx_count_distinct(as_text(df, c), 0.02)),
         })
-    none = df.sparkSession.createDataFrame([(c,) for c in df.columns], "column string")
+    none = local_frame(df.sparkSession, [(c,) for c in df.columns], "column string")
     counted = (
         unpivot_text(df, df.columns).groupBy("column", "value").agg(F.lit(1).alias("one"))
         .groupBy("column").agg(F.count("one").alias("distinct_count"))
@@ -225,14 +226,7 @@ def kurtosis(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
 def describe_population(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """The dashboard's variant: population deviation and the upper of two middle values."""
     columns = list(columns or numeric_columns(df))
-    counts = aggregate_row(df, [F.count(as_double(df, c)).alias(c) for c in columns])
-    upper: dict[str, float | None] = {}
-    # the upper median of n values is the value of rank n // 2
-    for n in sorted({counts[c] for c in columns}):
-        same = [c for c in columns if counts[c] == n]
-        p = (n // 2) / (n - 1) if n > 1 else 0.0
-        for c, (value,) in exact_quantiles(df, same, [p]).items():
-            upper[c] = value
+    upper = upper_medians(df, columns)
     return long_aggregates(df, columns, {
         "count": ("bigint", lambda c: F.count(as_double(df, c))),
         "mean": ("double", lambda c: F.round(F.avg(as_double(df, c)), 2)),
@@ -256,7 +250,7 @@ def histogram(df: DataFrame, columns: Sequence[str] | None = None, bins: int = 1
         (c, b, row[f"lo{i}"], row[f"hi{i}"])
         for i, c in enumerate(columns) if row[f"lo{i}"] is not None for b in range(bins)
     ]
-    frame = spark.createDataFrame(edges, "column string, bin bigint, lo double, hi double")
+    frame = local_frame(spark, edges, "column string, bin bigint, lo double, hi double")
     limits = F.create_map(*[
         x for i, c in enumerate(columns) if row[f"lo{i}"] is not None
         for x in (F.lit(c), F.array(F.lit(row[f"lo{i}"]), F.lit(row[f"hi{i}"])))

@@ -1,220 +1,253 @@
 """Exact quantiles of whole columns without collecting a column anywhere.
 
-A built-in exact percentile keeps every distinct value of a column in the buffer
-of one task.  That is used only while a count proves the buffers small.  Beyond
-it, mergeable sketches bracket each wanted rank, one scan counts the rows below
-and inside the bracket, and the bracket is narrowed until its inside is small
-enough for an exact pick.  Every scan is a single aggregate with a tiny shuffle;
-the driver holds only a few numbers per column.
+A built-in exact percentile keeps every distinct value of a column in the buffer of one
+task.  Here that is used only on an interval that is proven small by a count.  To get
+there, mergeable sketches propose two values around each wanted rank, and one scan counts
+the rows below and up to those values, which either answers the rank or narrows its
+interval.  Every scan is one aggregate with a tiny shuffle, the driver holds a few numbers
+per column, and a sketch that misses only costs another round: the counts decide.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
-from math import ceil, floor
+from math import ceil, floor, inf
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gleanframe.operators.columns import aggregate_row, as_double
+from gleanframe.operators.columns import CHUNK, aggregate_row, as_double
+from gleanframe.session import local_frame
 
-# distinct values one exact buffer may hold
-EXACT_ROWS = 500_000
+# rows an interval may hold when its values are picked exactly
+PICK_ROWS = 50_000
 SKETCH_K = 4096
-# rank error of such a sketch, with a wide margin
-SKETCH_MARGIN = 0.003
+# about twice the rank error of such a sketch
+SKETCH_MARGIN = 0.0015
 # tasks that merge the sketches of all scan tasks before the last merge
 MERGE_FANOUT = 64
 
 
 @dataclass
 class _Target:
-    """A wanted 0-based rank among the rows of ``column`` in the open bracket."""
+    """A wanted 0-based rank of ``column`` among the values between ``low`` and ``high``."""
 
     column: str
     rank: int
-    low: float
-    high: float
-    rows: int            # rows of the column inside the bracket, at most
+    below: int               # rows up to and including ``low``
+    under: int               # rows below ``high``
+    low: float = -inf
+    high: float = inf
     value: float | None = None
-    below: int = 0       # rows at or below ``low``
 
+    @property
+    def inside(self) -> int:
+        return self.under - self.below
 
-def _sketch_quantiles(
-    df: DataFrame, wanted: dict[str, tuple[Column, list[float]]],
-) -> dict[str, list[float]]:
-    """Approximate quantiles of named expressions that have at least one value.
+    @property
+    def interval(self) -> tuple[str, float, float]:
+        return self.column, self.low, self.high
 
-    The sketches of all scan tasks merge in two levels, so no single task takes in
-    one sketch per task of a large scan.
+    def learn(self, value: float, less: int, up_to: int) -> None:
+        """Use that ``less`` rows are smaller than ``value`` and ``up_to`` not larger."""
+        if self.rank < less:
+            if value < self.high:
+                self.high, self.under = value, less
+        elif self.rank < up_to:
+            self.value = value
+        elif value > self.low:
+            self.low, self.below = value, up_to
+
+
+def _within(interval: tuple[str, float, float]) -> Column:
+    column, low, high = interval
+    c = F.col(column)
+    return F.when((c > low) & (c < high), c)
+
+
+def _sketch(
+    df: DataFrame, values: Sequence[Column], probs: Sequence[Sequence[float]],
+    counts: Sequence[Column] = (),
+) -> tuple[list[list[float]], list[int]]:
+    """Approximate quantiles of each expression, and sums of counts, from one scan.
+
+    Sketches merge in two levels, so no task takes in one sketch per task of a large scan.
     """
-    names = list(wanted)
-    slim = df.select(*[wanted[n][0].alias(f"v{i}") for i, n in enumerate(names)])
-    salted = slim.groupBy(F.pmod(F.spark_partition_id(), F.lit(MERGE_FANOUT)).alias("salt"))
-    part = salted.agg(*[
-        F.kll_sketch_agg_double(f"v{i}", SKETCH_K).alias(f"s{i}") for i in range(len(names))
+    slim = df.select(*[v.alias(f"v{i}") for i, v in enumerate(values)], *df.columns)
+    part = slim.groupBy(F.pmod(F.spark_partition_id(), F.lit(MERGE_FANOUT)).alias("salt")).agg(
+        *[F.kll_sketch_agg_double(f"v{i}", SKETCH_K).alias(f"s{i}") for i in range(len(values))],
+        *[F.count(f"v{i}").alias(f"n{i}") for i in range(len(values))],
+        *[c.alias(f"k{i}") for i, c in enumerate(counts)],
+    )
+    merged = part.agg(
+        *[F.kll_merge_agg_double(f"s{i}").alias(f"s{i}") for i in range(len(values))],
+        *[F.sum(f"n{i}").alias(f"n{i}") for i in range(len(values))],
+        *[F.coalesce(F.sum(f"k{i}"), F.lit(0)).alias(f"k{i}") for i in range(len(counts))],
+    )
+    row = merged.select(
+        *[
+            F.when(F.col(f"n{i}") > 0, F.kll_sketch_get_quantile_double(
+                f"s{i}", F.array(*[F.lit(float(p)) for p in probs[i]])
+            )).alias(f"q{i}") for i in range(len(values))
+        ],
+        *[f"k{i}" for i in range(len(counts))],
+    ).first()
+    quantiles = [list(row[f"q{i}"] or []) for i in range(len(values))]
+    return quantiles, [row[f"k{i}"] for i in range(len(counts))]
+
+
+def _around(at: float) -> list[float]:
+    return [max(0.0, at - SKETCH_MARGIN), min(1.0, at + SKETCH_MARGIN)]
+
+
+def _locate(df: DataFrame, targets: list[_Target], proposed: dict[str, set[float]]) -> None:
+    """Count the rows below and up to the proposed values, and tell the targets."""
+    values = [(c, v) for c, vs in proposed.items() for v in sorted(vs)]
+    row = aggregate_row(df, [
+        e for i, (c, v) in enumerate(values) for e in (
+            F.count_if(F.col(c) < v).alias(f"less{i}"), F.count_if(F.col(c) <= v).alias(f"upto{i}"),
+        )
     ])
-    merged = part.agg(*[F.kll_merge_agg_double(f"s{i}").alias(f"s{i}") for i in range(len(names))])
-    row = merged.select(*[
-        F.kll_sketch_get_quantile_double(f"s{i}", F.array(*[F.lit(float(p)) for p in wanted[n][1]]))
-        .alias(f"q{i}") for i, n in enumerate(names)
-    ]).first()
-    return {n: list(row[f"q{i}"]) for i, n in enumerate(names)}
-
-
-def _resolve(df: DataFrame, targets: list[_Target], limit: int) -> None:
-    """Narrow and pick until every target has its value."""
-    column = {t.column: as_double(df, t.column) for t in targets}
-    while open_targets := [t for t in targets if t.value is None]:
-        # 1. bracket: sketch the inside of each current bracket
-        wanted: dict[tuple, tuple[Column, list[float]]] = {}
-        for t in open_targets:
-            if t.rows > limit:
-                c = column[t.column]
-                inside = F.when((c > t.low) & (c < t.high), c)
-                at = (t.rank - t.below + 0.5) / t.rows
-                probs = wanted.setdefault((t.column, t.low, t.high), (inside, []))[1]
-                probs += [max(0.0, at - SKETCH_MARGIN), min(1.0, at + SKETCH_MARGIN)]
-        read = _sketch_quantiles(df, wanted) if wanted else {}
-        brackets: dict[int, tuple[float, float]] = {}
-        for t in open_targets:
-            if t.rows > limit:
-                ends = read[t.column, t.low, t.high]
-                brackets[id(t)] = (ends.pop(0), ends.pop(0))
-        # 2. locate: count below, on and inside each bracket
-        exprs, plans = [], []
-        for i, t in enumerate(open_targets):
-            if id(t) in brackets:
-                c, (low, high) = column[t.column], brackets[id(t)]
-                exprs += [
-                    F.count_if((c > t.low) & (c < low)).alias(f"under{i}"),
-                    F.count_if(c == low).alias(f"low{i}"),
-                    F.count_if((c > low) & (c < high)).alias(f"in{i}"),
-                    F.count_if(c == high).alias(f"high{i}"),
-                ]
-                plans.append((i, t, low, high))
-        if exprs:
-            row = aggregate_row(df, exprs)
-            for i, t, low, high in plans:
-                rank = t.rank - t.below
-                under, on_low = row[f"under{i}"], row[f"low{i}"]
-                in_, on_high = row[f"in{i}"], (row[f"high{i}"] if high > low else 0)
-                if rank < under:
-                    t.high, t.rows = low, under
-                elif rank < under + on_low:
-                    t.value = low
-                elif rank < under + on_low + in_:
-                    t.below += under + on_low
-                    t.low, t.high, t.rows = low, high, in_
-                elif rank < under + on_low + in_ + on_high:
-                    t.value = high
-                else:
-                    t.rows -= under + on_low + in_ + on_high
-                    t.below += under + on_low + in_ + on_high
-                    t.low = high
-        # 3. pick: the inside is proven small, so an exact percentile is safe
-        ready = [t for t in targets if t.value is None and t.rows <= limit]
-        if ready:
-            # exact buffers of all picks together stay within a few limits
-            width = max(1, (8 * EXACT_ROWS) // max(1, max(t.rows for t in ready)))
-            for start in range(0, len(ready), width):
-                part = ready[start:start + width]
-                slim = df.select(*[
-                    F.when((column[t.column] > t.low) & (column[t.column] < t.high), column[t.column])
-                    .alias(f"v{i}") for i, t in enumerate(part)
-                ])
-                # half a rank above the wanted one keeps rounding away from its neighbours
-                row = aggregate_row(slim, [
-                    F.expr(
-                        f"percentile_disc({(t.rank - t.below + 0.5) / t.rows!r}D) "
-                        f"WITHIN GROUP (ORDER BY v{i})"
-                    ).alias(f"q{i}") for i, t in enumerate(part)
-                ])
-                for i, t in enumerate(part):
-                    t.value = row[f"q{i}"]
+    for i, (c, v) in enumerate(values):
+        for t in targets:
+            if t.column == c and t.value is None:
+                t.learn(v, row[f"less{i}"], row[f"upto{i}"])
+
+
+def _pick(df: DataFrame, targets: list[_Target], limit: int) -> None:
+    """Answer targets whose interval is small with an exact percentile of its inside."""
+    groups: dict[tuple, list[_Target]] = {}
+    for t in targets:
+        groups.setdefault(t.interval, []).append(t)
+    todo = list(groups.items())
+    while todo:
+        # the buffers of one pass stay within a few intervals of the allowed size
+        part, rows = [], 0
+        while todo and len(part) < CHUNK and (not part or rows + todo[0][1][0].inside <= 8 * limit):
+            part.append(todo.pop(0))
+            rows += part[-1][1][0].inside
+        used = F.lit(False)
+        for interval, _ in part:
+            used = used | _within(interval).isNotNull()
+        slim = df.where(used).select(*[_within(k).alias(f"v{i}") for i, (k, _) in enumerate(part)])
+        exprs = []
+        for i, (_, group) in enumerate(part):
+            # half a rank beyond the wanted one keeps rounding away from its neighbours
+            at = [(t.rank - t.below + 0.5) / t.inside for t in group]
+            fractions = ", ".join(f"{a!r}D" for a in at)
+            exprs.append(F.expr(
+                f"percentile_disc(array({fractions})) WITHIN GROUP (ORDER BY v{i})"
+            ).alias(f"q{i}"))
+        row = slim.agg(*exprs).first()
+        for i, (_, group) in enumerate(part):
+            for t, v in zip(group, row[f"q{i}"]):
+                t.value = float(v)
+
+
+def order_statistics(
+    df: DataFrame, columns: Sequence[str], ranks: Callable[[int], Sequence[int]],
+    hints: Sequence[float], *, limit: int = PICK_ROWS,
+) -> dict[str, tuple[int, dict[int, float]]]:
+    """Per column its number of values and the values at the 0-based ranks that ``ranks`` names.
+
+    ``ranks`` gets the number of values; ``hints`` are the quantiles those ranks lie at.
+    """
+    columns = list(dict.fromkeys(columns))
+    if not columns:
+        return {}
+    names = {c: f"x{i}" for i, c in enumerate(columns)}
+    slim = df.select(*[as_double(df, c).alias(x) for c, x in names.items()])
+    xs = list(names.values())
+    sides = [p for h in hints for p in _around(h)]
+    per_pass = max(1, CHUNK // 5)
+    proposals: dict[str, list[float]] = {}
+    counted: dict[str, tuple[int, int, int]] = {}
+    for start in range(0, len(xs), per_pass):
+        part = xs[start:start + per_pass]
+        finite = [F.when(F.abs(F.col(x)) != inf, F.col(x)) for x in part]
+        counts = [
+            e for x in part
+            for e in (F.count(x), F.count_if(F.col(x) == -inf), F.count_if(F.col(x) == inf))
+        ]
+        found, sums = _sketch(slim, finite, [sides] * len(part), counts)
+        for i, x in enumerate(part):
+            proposals[x], counted[x] = found[i], tuple(sums[3 * i:3 * i + 3])
+    targets: list[_Target] = []
+    for x in xs:
+        n, low, high = counted[x]
+        for r in sorted(set(ranks(n))) if n else []:
+            t = _Target(x, r, low, n - high)
+            if r < low:
+                t.value = -inf
+            elif r >= n - high:
+                t.value = inf
+            targets.append(t)
+
+    def unsettled(large: bool) -> list[_Target]:
+        return [t for t in targets if t.value is None and (t.inside > limit) == large]
+
+    if wide := unsettled(True):
+        _locate(slim, wide, {x: set(proposals[x]) for x in {t.column for t in wide}})
+    while wide := unsettled(True):
+        intervals: dict[tuple, list[float]] = {}
+        for t in wide:
+            intervals.setdefault(t.interval, []).extend(_around((t.rank - t.below + 0.5) / t.inside))
+        found, _ = _sketch(slim, [_within(k) for k in intervals], list(intervals.values()))
+        proposed: dict[str, set[float]] = {}
+        for (x, _, _), values in zip(intervals, found):
+            proposed.setdefault(x, set()).update(values)
+        _locate(slim, wide, proposed)
+    _pick(slim, unsettled(False), limit)
+    return {
+        c: (counted[x][0], {t.rank: t.value for t in targets if t.column == x}) for c, x in names.items()
+    }
 
 
 def exact_quantiles(
-    df: DataFrame, columns: Sequence[str], probs: Sequence[float], *, limit: int = EXACT_ROWS,
+    df: DataFrame, columns: Sequence[str], probs: Sequence[float], *, limit: int = PICK_ROWS,
 ) -> dict[str, list[float | None]]:
     """Linearly interpolated quantiles per column, nulls and NaN left out."""
-    columns, probs = list(dict.fromkeys(columns)), [float(p) for p in probs]
-    if not columns:
-        return {}
-    slim = df.select(*[as_double(df, c).alias(c) for c in columns])
-    counts = aggregate_row(slim, [F.count(F.col(f"`{c}`")).alias(c) for c in columns])
-    out: dict[str, list[float | None]] = {c: [None] * len(probs) for c in columns}
-    small = [c for c in columns if 0 < counts[c] <= limit]
-    width = max(1, (4 * limit) // max([counts[c] for c in small], default=1))
-    for start in range(0, len(small), width):
-        part = small[start:start + width]
-        row = aggregate_row(slim, [
-            F.percentile(F.col(f"`{c}`"), F.array(*[F.lit(p) for p in probs])).alias(c) for c in part
-        ])
-        for c in part:
-            out[c] = [float(v) for v in row[c]]
-    large = [c for c in columns if counts[c] > limit]
-    targets: dict[tuple[str, int], _Target] = {}
-    for c in large:
-        n = counts[c]
+    probs = [float(p) for p in probs]
+
+    def ranks(n: int) -> list[int]:
+        return [r for p in probs for r in (floor(p * (n - 1)), ceil(p * (n - 1)))]
+
+    out: dict[str, list[float | None]] = {}
+    for c, (n, values) in order_statistics(df, columns, ranks, probs, limit=limit).items():
+        out[c] = []
         for p in probs:
-            for rank in (floor(p * (n - 1)), ceil(p * (n - 1))):
-                targets.setdefault(
-                    (c, rank), _Target(c, rank, float("-inf"), float("inf"), n)
-                )
-    if targets:
-        slim_large = _without_infinities(slim, large, counts, targets)
-        _resolve(slim_large, [t for t in targets.values() if t.value is None], limit)
-    for c in large:
-        n = counts[c]
-        for i, p in enumerate(probs):
             at = p * (n - 1)
-            low, high = targets[c, floor(at)].value, targets[c, ceil(at)].value
-            out[c][i] = low if low == high else (ceil(at) - at) * low + (at - floor(at)) * high
+            if not n:
+                out[c].append(None)
+                continue
+            low, high = values[floor(at)], values[ceil(at)]
+            out[c].append(low if low == high else (ceil(at) - at) * low + (at - floor(at)) * high)
     return out
 
 
-def _without_infinities(slim, large, counts, targets) -> DataFrame:
-    """Answer ranks that fall on an infinity; the open brackets cover the finite rest."""
-    inf = float("inf")
-    row = aggregate_row(slim, [
-        e for c in large for e in (
-            F.count_if(F.col(f"`{c}`") == -inf).alias(f"{c}\x00-"),
-            F.count_if(F.col(f"`{c}`") == inf).alias(f"{c}\x00+"),
-        )
-    ])
-    for t in targets.values():
-        low, high = row[f"{t.column}\x00-"], row[f"{t.column}\x00+"]
-        if t.rank < low:
-            t.value = -inf
-        elif t.rank >= counts[t.column] - high:
-            t.value = inf
-        t.below, t.rows = low, counts[t.column] - low - high
-    return slim
-
-
 def medians(df: DataFrame, columns: Sequence[str], **options) -> dict[str, float | None]:
     return {c: q[0] for c, q in exact_quantiles(df, columns, [0.5], **options).items()}
 
 
+def upper_medians(df: DataFrame, columns: Sequence[str], **options) -> dict[str, float | None]:
+    """The upper of the two middle values where their number is even."""
+    got = order_statistics(df, columns, lambda n: [n // 2], [0.5], **options)
+    return {c: values.get(n // 2) for c, (n, values) in got.items()}
+
+
 def quantile_frame(
-    df: DataFrame, columns: Sequence[str], probs: dict[str, float], digits: int | None = None,
-    **options,
+    df: DataFrame, columns: Sequence[str], probs: dict[str, float], **options,
 ) -> DataFrame:
     """(column, one double per named probability) as a small DataFrame."""
     got = exact_quantiles(df, columns, list(probs.values()), **options)
     schema = "column string, " + ", ".join(f"`{n}` double" for n in probs)
-    frame = df.sparkSession.createDataFrame([(c, *got[c]) for c in columns], schema)
-    if digits is None:
-        return frame
-    return frame.select("column", *[F.round(n, digits).alias(n) for n in probs])
+    return local_frame(df.sparkSession, [(c, *got[c]) for c in columns], schema)
 
 
 def approximate_quantiles(
     df: DataFrame, columns: Sequence[str], probs: Sequence[float],
 ) -> dict[str, list[float | None]]:
     """Sketch answers from one scan, for callers that accept a small rank error."""
-    counts = aggregate_row(df, [F.count(as_double(df, c)).alias(c) for c in columns])
-    wanted = {c: (as_double(df, c), list(probs)) for c in columns if counts[c]}
-    read = _sketch_quantiles(df, wanted) if wanted else {}
-    return {c: read.get(c, [None] * len(probs)) for c in columns}
+    values = [as_double(df, c) for c in columns]
+    found, _ = _sketch(df, values, [list(probs)] * len(values))
+    return {c: q or [None] * len(probs) for c, q in zip(columns, found)}

@@ -13,6 +13,7 @@ from gleanframe.operators.columns import (
 )
 from gleanframe.operators.lookup import attach
 from gleanframe.operators.ranks import running_counts, running_sums
+from gleanframe.session import local_frame
 
 TOP_PAIRS = 15
 
@@ -29,7 +30,7 @@ def _pair_frame(df: DataFrame, pairs: Sequence[tuple[str, str]], expr) -> DataFr
         long = wide.select(F.explode(F.array(*[f"p{i}" for i in range(len(part))])).alias("p")).select("p.*")
         frames = long if frames is None else frames.unionByName(long)
     if frames is None:
-        return df.sparkSession.createDataFrame([], "col1 string, col2 string, r double")
+        return local_frame(df.sparkSession, [], "col1 string, col2 string, r double")
     return frames
 
 
@@ -121,12 +122,12 @@ def kendall(df: DataFrame, a: str, b: str) -> DataFrame:
     total = rows * (rows - 1) / 2
     base = ((total - tie_x) * (total - tie_y)) ** 0.5
     tau = (total - tie_x - tie_y + tie_xy - 2 * d) / base if base else None
-    return df.sparkSession.createDataFrame([(a, b, tau)], "col1 string, col2 string, r double")
+    return local_frame(df.sparkSession, [(a, b, tau)], "col1 string, col2 string, r double")
 
 
 def kendall_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     columns = list(columns or numeric_columns(df))
-    out = df.sparkSession.createDataFrame([], "col1 string, col2 string, r double")
+    out = local_frame(df.sparkSession, [], "col1 string, col2 string, r double")
     for a, b in combinations(columns, 2):
         out = out.unionByName(kendall(df, a, b))
     return out
@@ -141,7 +142,7 @@ def correlation_matrix(
     """(col1, col2, r) for every ordered pair; the diagonal is 1, or null without variation."""
     columns = list(columns or numeric_columns(df))
     if len(columns) < 2:
-        return df.sparkSession.createDataFrame([], "col1 string, col2 string, r double")
+        return local_frame(df.sparkSession, [], "col1 string, col2 string, r double")
     pairs = METHODS[method](df, columns)
     flipped = F.array(
         F.struct(F.col("col1"), F.col("col2")), F.struct(F.col("col2").alias("col1"), F.col("col1").alias("col2"))
@@ -188,7 +189,7 @@ def driver_scenario(
         "delta_pct double"
     )
     if not found:
-        return df.sparkSession.createDataFrame([], schema)
+        return local_frame(df.sparkSession, [], schema)
     frames = []
     for p in found:
         x, y = ident(p["col1"]), ident(p["col2"])
@@ -231,7 +232,7 @@ def cohort_uplift(
         "bottom_mean double, overall_mean double, segments bigint, gap_pct double, priority string"
     )
     if not categories or not (metric or numeric):
-        return df.sparkSession.createDataFrame([], schema)
+        return local_frame(df.sparkSession, [], schema)
     metric = metric or numeric[0]
     value = as_double(df, metric)
     base = df.agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean")).first()

@@ -19,6 +19,7 @@ from gleanframe.operators.columns import (
     aggregate_row, as_text, categorical_columns, ident, long_aggregates, text_columns,
     unpivot_text,
 )
+from gleanframe.session import local_frame
 
 CATEGORY_VALUES = 30
 CATEGORY_RATIO = 0.2
@@ -103,7 +104,7 @@ def infer_types(df: DataFrame, order_by: Sequence[str] = ()) -> DataFrame:
     """(column, ordinal, inferred_type), ordinals from 1."""
     types = logical_types(df, order_by)
     rows = [(c, i + 1, types[c]) for i, c in enumerate(df.columns)]
-    return df.sparkSession.createDataFrame(rows, "column string, ordinal bigint, inferred_type string")
+    return local_frame(df.sparkSession, rows, "column string, ordinal bigint, inferred_type string")
 
 
 def pii_headers(columns: Sequence[str]) -> list[str]:
@@ -137,7 +138,7 @@ def pii_columns(df: DataFrame) -> DataFrame:
     """(column, is_pii) by header alone."""
     hits = set(pii_headers(df.columns))
     rows = [(c, c in hits) for c in df.columns]
-    return df.sparkSession.createDataFrame(rows, "column string, is_pii boolean")
+    return local_frame(df.sparkSession, rows, "column string, is_pii boolean")
 
 
 def pii_value_rates(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -167,8 +168,7 @@ def column_catalog(df: DataFrame, order_by: Sequence[str] = ()) -> DataFrame:
     """(column, ordinal, inferred_type, is_pii)."""
     types, suspects = logical_types(df, order_by), set(pii_suspects(df, order_by))
     rows = [(c, i + 1, types[c], c in suspects) for i, c in enumerate(df.columns)]
-    return df.sparkSession.createDataFrame(
-        rows, "column string, ordinal bigint, inferred_type string, is_pii boolean"
+    return local_frame(df.sparkSession, rows, "column string, ordinal bigint, inferred_type string, is_pii boolean"
     )
 
 
@@ -183,7 +183,7 @@ def safe_value_counts(df: DataFrame, top: int = 5, most: int = 25) -> DataFrame:
     ]
     schema = "column string, value string, count bigint"
     if not columns:
-        return df.sparkSession.createDataFrame([], schema)
+        return local_frame(df.sparkSession, [], schema)
     counts = unpivot_text(df, columns).groupBy("column", "value").agg(F.count(F.lit(1)).alias("count"))
     w = Window.partitionBy("column").orderBy(F.desc("count"), "value")
     ranked = counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most + 1)

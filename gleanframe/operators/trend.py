@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import StringType
 
 from gleanframe.functions.dates import bin_end, bin_index, bin_step, parse_timestamp
-from gleanframe.functions.stats import fit_from_moments, p_value
+from gleanframe.functions.stats import fit_from_moments, with_p_value
 from gleanframe.operators.columns import as_double, ident, numeric_columns, unpivot_numbers
 from gleanframe.operators.quantiles import medians
+from gleanframe.session import local_frame
 
 FORECAST_STEPS = 6
 MIN_POINTS = 6
@@ -57,7 +58,7 @@ def resample(df: DataFrame, time: str, metric: str, freq: str | None = None) ->
         raise ValueError("a trend needs at least three points")
     freq = freq or span.freq
     spark = df.sparkSession
-    ends = spark.createDataFrame([(span.first, span.last)], "a date, b date")
+    ends = local_frame(spark, [(span.first, span.last)], "a date, b date")
     a, b = bin_end(F.col("a"), freq), bin_end(F.col("b"), freq)
     if freq == "ME":
         months = F.sequence(F.trunc(a, "month"), F.trunc(b, "month"), F.expr("INTERVAL 1 MONTH"))
@@ -104,9 +105,9 @@ def trend_fit(
         F.lit(freq).alias("frequency"), "bins", "n", "last_period", slope.alias("slope"),
         (F.col("my") - slope * F.col("mx")).alias("intercept"), fit["r2"].alias("r_squared"),
         F.coalesce(fit["stderr"], F.lit(0.0)).alias("stderr"),
-    ).withColumn("p_value", p_value(F.col("slope"), F.col("stderr"), F.col("n")))
+    )
     sure = F.col("p_value") < p_below
-    return fitted.withColumn(
+    return with_p_value(fitted).withColumn(
         "direction",
         F.when((F.col("slope") > 0) & sure, "up").when((F.col("slope") < 0) & sure, "down")
         .otherwise("flat"),
@@ -240,7 +241,7 @@ def index_projection(
     margin = F.round(1.96 * F.greatest(se, 0.05 * F.abs("mean")), 2)
     change = F.round((F.col("proj_long") - F.col("last")) / F.abs("last") * 100, 1)
     out = (
-        fit.withColumn("p_value", p_value(slope, F.col("stderr"), n))
+        with_p_value(fit)
         .withColumn("r2", F.round("r_squared", 4))
         .withColumn("h_short", shorter).withColumn("h_long", longer)
         .withColumn("proj_short", F.round(F.col("intercept") + slope * (n + F.col("h_short")), 2))
@@ -264,8 +265,7 @@ def index_projection(
     if not with_median:
         return out
     middle = medians(df, columns)
-    frame = df.sparkSession.createDataFrame(
-        [(c, m) for c, m in middle.items()], "column string, median double"
+    frame = local_frame(df.sparkSession, [(c, m) for c, m in middle.items()], "column string, median double"
     )
     # one row per column
     return out.join(F.broadcast(frame), "column", "left").withColumn(
@@ -294,10 +294,9 @@ def trend_p_values(
     df: DataFrame, order_by: Sequence[str], columns: Sequence[str] | None = None,
 ) -> DataFrame:
     """(column, t, p_value) of the slopes over row order."""
-    fit = index_fit(df, order_by, columns)
-    return fit.select(
+    return with_p_value(index_fit(df, order_by, columns)).select(
         "column", F.round(F.try_divide("slope", F.col("stderr")), 6).alias("t"),
-        F.round(p_value(F.col("slope"), F.col("stderr"), F.col("n")), 6).alias("p_value"),
+        F.round("p_value", 6).alias("p_value"),
     )
 
 
@@ -305,9 +304,7 @@ def summary_trends(
     df: DataFrame, order_by: Sequence[str], columns: Sequence[str] | None = None,
 ) -> DataFrame:
     """The chat summary's variant: ten steps ahead and its own wording."""
-    fit = index_fit(df, order_by, columns).withColumn(
-        "p", p_value(F.col("slope"), F.col("stderr"), F.col("n"))
-    ).withColumn("r2", F.round("r_squared", 3))
+    fit = with_p_value(index_fit(df, order_by, columns), "p").withColumn("r2", F.round("r_squared", 3))
     words = ("upward", "downward", "stable")
     return fit.select(
         "column", F.round("slope", 4).alias("slope"), F.col("r2").alias("r_squared"),

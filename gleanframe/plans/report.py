@@ -12,6 +12,7 @@ from gleanframe.operators.columns import categorical_columns, numeric_columns
 from gleanframe.operators.profile import describe_numeric, percent, table_quality, top_category
 from gleanframe.operators.relate import cohort_uplift, driver_scenario, pearson_pairs, ranked_pairs
 from gleanframe.operators.trend import top_trends
+from gleanframe.session import local_frame
 
 STRONG_PAIR = 0.5
 OUTLIER_SHARE = 2.5
@@ -21,7 +22,7 @@ OUTLIER_MIN_VALUES = 5
 
 def _settled(frame: DataFrame) -> DataFrame:
     """A metric frame computed now; it has at most one row per column or pair of columns."""
-    return frame.sparkSession.createDataFrame(frame.collect(), frame.schema)
+    return local_frame(frame.sparkSession, frame.collect(), frame.schema)
 
 
 @dataclass(frozen=True)
@@ -173,8 +174,7 @@ def recommendations(df: DataFrame, order_by: Sequence[str], facts: Facts | None
             ),
         )))
     if not frames:
-        return df.sparkSession.createDataFrame(
-            [], "id string, kind string, priority string, impact_pct double, confidence string, "
+        return local_frame(df.sparkSession, [], "id string, kind string, priority string, impact_pct double, confidence string, "
             "timeline string, text string",
         )
     return _stack(frames)

@@ -10,6 +10,7 @@ from gleanframe.operators.catalog import latest_per_key
 from gleanframe.plans.rules import Rule, apply_rules
 from gleanframe.sources.sinks import table_fingerprint
 from gleanframe.sources.tables import load_table
+from gleanframe.session import local_frame
 
 CATALOG = (
     "dataset_id string, version_number bigint, stage string, path string, row_count bigint, "
@@ -34,7 +35,7 @@ class Store:
 
     def catalog(self) -> DataFrame:
         if self._is_empty():
-            return self.spark.createDataFrame([], CATALOG)
+            return local_frame(self.spark, [], CATALOG)
         return self.spark.read.schema(CATALOG).parquet(self.catalog_path)
 
     def versions(self, dataset_id: str) -> DataFrame:
@@ -69,7 +70,7 @@ class Store:
         # counted on the written files, so the input is not computed again
         seal = table_fingerprint(self.spark.read.parquet(path)).first()
         row = (dataset_id, number, stage, path, seal["rows"], seal["checksum"], parent)
-        self.spark.createDataFrame([row], CATALOG).coalesce(1).write.mode("append").parquet(self.catalog_path)
+        local_frame(self.spark, [row], CATALOG).coalesce(1).write.mode("append").parquet(self.catalog_path)
         return number
 
     def ingest(self, source: str, dataset_id: str, fmt: str | None = None) -> int:

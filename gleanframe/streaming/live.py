@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import LongType, StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from gleanframe.operators.columns import ident
 from gleanframe.session import scratch_path
@@ -34,7 +34,7 @@ def _upsert(target: str):
     def write(batch: DataFrame, epoch: int) -> None:
         # a batch that runs again replaces its own folder
         batch.withColumn("epoch", F.lit(epoch).cast("bigint")).write.mode("overwrite").parquet(
-            f"{target}/epoch={epoch:012d}"
+            f"{target}/batch-{epoch:012d}"
         )
     return write
 
@@ -51,9 +51,8 @@ def run_available(cards: DataFrame, keys: list[str], label: str = "cards") -> Da
         .option("checkpointLocation", state).trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    rows = spark.read.option("recursiveFileLookup", True).schema(
-        StructType(cards.schema.fields).add("epoch", LongType())
-    ).parquet(target)
+    written = StructType([*cards.schema.fields, StructField("epoch", LongType())])
+    rows = spark.read.option("recursiveFileLookup", True).schema(written).parquet(target)
     rest = [c for c in cards.columns if c not in keys]
     newest = F.max(F.struct("epoch", *[ident(c) for c in rest])).alias("top")
     return rows.groupBy(*[ident(c) for c in keys]).agg(newest).select(
