@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import StringType
 
 from gleanframe.functions.constants import HEALTH_MISSING_TEXTS
-from gleanframe.functions.stats import sample_std, skewness_adjusted
+from gleanframe.functions.stats import skewness_adjusted
 from gleanframe.operators.clean import comparable, iqr_bounds
 from gleanframe.operators.columns import (
     aggregate_row, as_double, as_text, categorical_columns, ident, long_aggregates, numeric_columns,
@@ -124,7 +125,8 @@ def health_score(df: DataFrame) -> DataFrame:
 def describe_numeric(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """One row per numeric column: moments, quartiles, outliers, skewness and null share.
 
-    The quartiles come first and enter the one scan of everything else as literals.
+    The quartiles come first.  Everything else is one scan of plain sums: powers of the
+    distance from the median, which lies close enough to the mean to lose no digits.
     """
     columns = list(columns or numeric_columns(df))
     quartiles = exact_quantiles(df, columns, [0.25, 0.5, 0.75])
@@ -133,28 +135,46 @@ def describe_numeric(df: DataFrame, columns: Sequence[str] | None = None) -> Dat
         return F.lit(quartiles[name][i]).cast("double")
 
     def outliers(name: str) -> Column:
-        iqr = q(name, 2) - q(name, 0)
+        if quartiles[name][0] is None:
+            return F.lit(0)
+        q1, _, q3 = quartiles[name]
         x = as_double(df, name)
-        return F.count_if((x < q(name, 0) - 1.5 * iqr) | (x > q(name, 2) + 1.5 * iqr))
+        return F.count_if((x < q1 - 1.5 * (q3 - q1)) | (x > q3 + 1.5 * (q3 - q1)))
 
-    def rounded(fn):
-        return ("double", lambda c: F.round(fn(as_double(df, c)), DIGITS))
+    def power(k: int):
+        def fn(name: str) -> Column:
+            d = as_double(df, name) - q(name, 1)
+            return F.sum(reduce(lambda a, b: a * b, [d] * k))
+        return ("double", fn)
 
-    n = F.count(F.lit(1))
-    return long_aggregates(df, columns, {
+    raw = long_aggregates(df, columns, {
+        "rows": ("bigint", lambda c: F.count(F.lit(1))),
         "count": ("bigint", lambda c: F.count(as_double(df, c))),
-        "mean": rounded(F.avg),
-        "std": rounded(sample_std),
+        "d1": power(1), "d2": power(2), "d3": power(3),
         "min": ("double", lambda c: F.min(as_double(df, c))),
         "max": ("double", lambda c: F.max(as_double(df, c))),
-        "median": ("double", lambda c: F.round(q(c, 1), DIGITS)),
-        "q25": ("double", lambda c: F.round(q(c, 0), DIGITS)),
-        "q75": ("double", lambda c: F.round(q(c, 2), DIGITS)),
-        "iqr": ("double", lambda c: F.round(q(c, 2) - q(c, 0), DIGITS)),
+        "q25": ("double", lambda c: q(c, 0)), "q50": ("double", lambda c: q(c, 1)),
+        "q75": ("double", lambda c: q(c, 2)),
         "outliers_count": ("bigint", outliers),
-        "skewness": rounded(skewness_adjusted),
-        "null_pct": ("double", lambda c: percent(n - F.count(as_double(df, c)), n)),
     }).where(F.col("count") > 0)
+    n = F.col("count").cast("double")
+    shift = F.col("d1") / n
+    m2 = F.greatest(F.col("d2") - n * shift * shift, F.lit(0.0))
+    m3 = F.col("d3") - 3 * shift * F.col("d2") + 2 * n * shift * shift * shift
+    varies = F.col("min") < F.col("max")
+    std = F.when((n > 1) & varies, F.sqrt(m2 / (n - 1))).otherwise(0.0)
+    skew = F.when(
+        (n > 2) & varies, F.sqrt(n) * m3 / F.pow(m2, F.lit(1.5)) * F.sqrt(n * (n - 1)) / (n - 2)
+    ).otherwise(0.0)
+    return raw.select(
+        "column", "count",
+        F.round(F.col("q50") + shift, DIGITS).alias("mean"), F.round(std, DIGITS).alias("std"),
+        "min", "max", F.round("q50", DIGITS).alias("median"),
+        F.round("q25", DIGITS).alias("q25"), F.round("q75", DIGITS).alias("q75"),
+        F.round(F.col("q75") - F.col("q25"), DIGITS).alias("iqr"), "outliers_count",
+        F.round(skew, DIGITS).alias("skewness"),
+        percent(F.col("rows") - F.col("count"), F.col("rows")).alias("null_pct"),
+    )
 
 
 def quantiles(df: DataFrame, columns: Sequence[str] | None = None, digits: int = DIGITS) -> DataFrame:

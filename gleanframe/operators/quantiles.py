@@ -30,14 +30,17 @@ MERGE_FANOUT = 64
 
 @dataclass
 class _Target:
-    """A wanted 0-based rank of ``column`` among the values between ``low`` and ``high``."""
+    """A wanted 0-based rank of ``column``, whose value lies between two bounds.
+
+    A bound is (value, whether the value itself belongs to the interval).
+    """
 
     column: str
     rank: int
-    below: int               # rows up to and including ``low``
-    under: int               # rows below ``high``
-    low: float = -inf
-    high: float = inf
+    below: int               # rows before the interval
+    under: int               # rows up to its end
+    low: tuple[float, bool] = (-inf, False)
+    high: tuple[float, bool] = (inf, False)
     value: float | None = None
 
     @property
@@ -45,24 +48,25 @@ class _Target:
         return self.under - self.below
 
     @property
-    def interval(self) -> tuple[str, float, float]:
+    def interval(self) -> tuple:
         return self.column, self.low, self.high
 
-    def learn(self, value: float, less: int, up_to: int) -> None:
-        """Use that ``less`` rows are smaller than ``value`` and ``up_to`` not larger."""
-        if self.rank < less:
-            if value < self.high:
-                self.high, self.under = value, less
-        elif self.rank < up_to:
+    def learn(self, value: float, included: bool, rows: int) -> None:
+        """Use that ``rows`` rows are below ``value``, or up to it where ``included``."""
+        if self.rank < rows:
+            # of two bounds at one value the open one is tighter
+            if (value, included) < self.high:
+                self.high, self.under = (value, included), rows
+        elif (value, included) > (self.low[0], not self.low[1]):
+            self.low, self.below = (value, not included), rows
+        if self.low == (value, True) and self.high == (value, True):
             self.value = value
-        elif value > self.low:
-            self.low, self.below = value, up_to
 
 
-def _within(interval: tuple[str, float, float]) -> Column:
-    column, low, high = interval
+def _within(interval: tuple) -> Column:
+    column, (low, with_low), (high, with_high) = interval
     c = F.col(column)
-    return F.when((c > low) & (c < high), c)
+    return F.when((c >= low if with_low else c > low) & (c <= high if with_high else c < high), c)
 
 
 def _sketch(
@@ -100,18 +104,19 @@ def _around(at: float) -> list[float]:
     return [max(0.0, at - SKETCH_MARGIN), min(1.0, at + SKETCH_MARGIN)]
 
 
-def _locate(df: DataFrame, targets: list[_Target], proposed: dict[str, set[float]]) -> None:
-    """Count the rows below and up to the proposed values, and tell the targets."""
-    values = [(c, v) for c, vs in proposed.items() for v in sorted(vs)]
+def _locate(df: DataFrame, targets: list[_Target], pairs: dict[str, list[float]]) -> None:
+    """Count the rows up to the first and below the second value of each pair, and tell the targets."""
+    asked = sorted({
+        (c, v, i % 2 == 0) for c, values in pairs.items() for i, v in enumerate(values)
+    })
     row = aggregate_row(df, [
-        e for i, (c, v) in enumerate(values) for e in (
-            F.count_if(F.col(c) < v).alias(f"less{i}"), F.count_if(F.col(c) <= v).alias(f"upto{i}"),
-        )
+        F.count_if(F.col(c) <= v if included else F.col(c) < v).alias(f"k{i}")
+        for i, (c, v, included) in enumerate(asked)
     ])
-    for i, (c, v) in enumerate(values):
+    for i, (c, v, included) in enumerate(asked):
         for t in targets:
             if t.column == c and t.value is None:
-                t.learn(v, row[f"less{i}"], row[f"upto{i}"])
+                t.learn(v, included, row[f"k{i}"])
 
 
 def _pick(df: DataFrame, targets: list[_Target], limit: int) -> None:
@@ -187,15 +192,15 @@ def order_statistics(
         return [t for t in targets if t.value is None and (t.inside > limit) == large]
 
     if wide := unsettled(True):
-        _locate(slim, wide, {x: set(proposals[x]) for x in {t.column for t in wide}})
+        _locate(slim, wide, {x: proposals[x] for x in {t.column for t in wide}})
     while wide := unsettled(True):
         intervals: dict[tuple, list[float]] = {}
         for t in wide:
             intervals.setdefault(t.interval, []).extend(_around((t.rank - t.below + 0.5) / t.inside))
         found, _ = _sketch(slim, [_within(k) for k in intervals], list(intervals.values()))
-        proposed: dict[str, set[float]] = {}
+        proposed: dict[str, list[float]] = {}
         for (x, _, _), values in zip(intervals, found):
-            proposed.setdefault(x, set()).update(values)
+            proposed.setdefault(x, []).extend(values)
         _locate(slim, wide, proposed)
     _pick(slim, unsettled(False), limit)
     return {

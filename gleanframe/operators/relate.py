@@ -21,8 +21,9 @@ TOP_PAIRS = 15
 def _pair_frame(df: DataFrame, pairs: Sequence[tuple[str, str]], expr) -> DataFrame:
     """(col1, col2, r): one aggregate expression per pair, chunked, in one scan each."""
     frames = None
-    for start in range(0, len(pairs), CHUNK):
-        part = pairs[start:start + CHUNK]
+    width = CHUNK // 3
+    for start in range(0, len(pairs), width):
+        part = pairs[start:start + width]
         wide = df.agg(*[
             F.struct(F.lit(a).alias("col1"), F.lit(b).alias("col2"), expr(a, b).alias("r")).alias(f"p{i}")
             for i, (a, b) in enumerate(part)
@@ -35,10 +36,35 @@ def _pair_frame(df: DataFrame, pairs: Sequence[tuple[str, str]], expr) -> DataFr
 
 
 def pearson_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """(col1, col2, r) for each pair of numeric columns, over the rows where both have a value."""
+    """(col1, col2, r) for each pair of numeric columns, over the rows where both have a value.
+
+    Columns without nulls are centred on their mean first, so that a pair costs one plain
+    sum; a pair with nulls has its own means and takes the general form.
+    """
     columns = list(columns or numeric_columns(df))
     slim = df.select(*[as_double(df, c).alias(c) for c in columns])
-    return _pair_frame(slim, list(combinations(columns, 2)), lambda a, b: pearson(ident(a), ident(b)))
+    row = aggregate_row(slim, [F.count(F.lit(1)).alias("rows"), *[
+        e for i, c in enumerate(columns) for e in (
+            F.count(ident(c)).alias(f"n{i}"), F.avg(ident(c)).alias(f"mean{i}"),
+            (F.min(ident(c)) < F.max(ident(c))).alias(f"varies{i}"),
+        )
+    ]])
+    full = {c for i, c in enumerate(columns) if row[f"n{i}"] == row["rows"]}
+    fixed = {c for i, c in enumerate(columns) if not row[f"varies{i}"]}
+    off = {c: ident(c) - F.lit(row[f"mean{i}"]) for i, c in enumerate(columns) if row[f"mean{i}"] is not None}
+
+    def centred(a: str, b: str) -> Column:
+        if a in fixed or b in fixed:
+            return F.lit(None).cast("double")
+        # what rounding left of the means
+        da, db, n = F.sum(off[a]), F.sum(off[b]), float(row["rows"])
+        sxx, syy = F.sum(off[a] * off[a]) - da * da / n, F.sum(off[b] * off[b]) - db * db / n
+        return F.try_divide(F.sum(off[a] * off[b]) - da * db / n, F.sqrt(sxx * syy))
+
+    def expr(a: str, b: str) -> Column:
+        return centred(a, b) if a in full and b in full else pearson(ident(a), ident(b))
+
+    return _pair_frame(slim, list(combinations(columns, 2)), expr)
 
 
 def spearman_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
