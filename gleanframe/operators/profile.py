@@ -12,8 +12,8 @@ from gleanframe.functions.constants import HEALTH_MISSING_TEXTS
 from gleanframe.functions.stats import skewness_adjusted
 from gleanframe.operators.clean import comparable, iqr_bounds
 from gleanframe.operators.columns import (
-    aggregate_row, as_double, as_text, categorical_columns, ident, long_aggregates, numeric_columns,
-    present, text_columns, unpivot_numbers, unpivot_text,
+    CHUNK, aggregate_row, as_double, as_text, categorical_columns, ident, long_aggregates, numbers,
+    numeric_columns, present, text_columns, unpivot_numbers, unpivot_text,
 )
 from gleanframe.operators.quantiles import exact_quantiles, quantile_frame, upper_medians
 from gleanframe.operators.ranks import grouped_quantiles, running_counts
@@ -130,33 +130,37 @@ def describe_numeric(df: DataFrame, columns: Sequence[str] | None = None) -> Dat
     """
     columns = list(columns or numeric_columns(df))
     quartiles = exact_quantiles(df, columns, [0.25, 0.5, 0.75])
-
-    def q(name: str, i: int) -> Column:
-        return F.lit(quartiles[name][i]).cast("double")
-
-    def outliers(name: str) -> Column:
-        if quartiles[name][0] is None:
-            return F.lit(0)
-        q1, _, q3 = quartiles[name]
-        x = as_double(df, name)
-        return F.count_if((x < q1 - 1.5 * (q3 - q1)) | (x > q3 + 1.5 * (q3 - q1)))
-
-    def power(k: int):
-        def fn(name: str) -> Column:
-            d = as_double(df, name) - q(name, 1)
-            return F.sum(reduce(lambda a, b: a * b, [d] * k))
-        return ("double", fn)
-
-    raw = long_aggregates(df, columns, {
-        "rows": ("bigint", lambda c: F.count(F.lit(1))),
-        "count": ("bigint", lambda c: F.count(as_double(df, c))),
-        "d1": power(1), "d2": power(2), "d3": power(3),
-        "min": ("double", lambda c: F.min(as_double(df, c))),
-        "max": ("double", lambda c: F.max(as_double(df, c))),
-        "q25": ("double", lambda c: q(c, 0)), "q50": ("double", lambda c: q(c, 1)),
-        "q75": ("double", lambda c: q(c, 2)),
-        "outliers_count": ("bigint", outliers),
-    }).where(F.col("count") > 0)
+    kept = [c for c in columns if quartiles[c][0] is not None]
+    shifted = numbers(df, kept).selectExpr(
+        *[f"x{i}" for i in range(len(kept))],
+        *[f"x{i} - {quartiles[c][1]!r}D AS d{i}" for i, c in enumerate(kept)],
+    )
+    frames = []
+    for start in range(0, len(kept), CHUNK // 8):
+        part = list(enumerate(kept))[start:start + CHUNK // 8]
+        sums, rows = ["count(1) AS rows"], []
+        for i, c in part:
+            q1, q2, q3 = quartiles[c]
+            low, high = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
+            sums += [
+                f"count(x{i}) AS n{i}", f"sum(d{i}) AS d1_{i}", f"sum(d{i} * d{i}) AS d2_{i}",
+                f"sum(d{i} * d{i} * d{i}) AS d3_{i}", f"min(x{i}) AS min{i}", f"max(x{i}) AS max{i}",
+                f"count_if(x{i} < {low!r}D OR x{i} > {high!r}D) AS out{i}",
+            ]
+            rows.append(F.struct(
+                F.lit(c).alias("column"), "rows", F.col(f"n{i}").alias("count"),
+                F.col(f"d1_{i}").alias("d1"), F.col(f"d2_{i}").alias("d2"), F.col(f"d3_{i}").alias("d3"),
+                F.col(f"min{i}").alias("min"), F.col(f"max{i}").alias("max"), F.lit(q1).alias("q25"),
+                F.lit(q2).alias("q50"), F.lit(q3).alias("q75"), F.col(f"out{i}").alias("outliers_count"),
+            ))
+        wide = shifted.agg(*[F.expr(e) for e in sums])
+        frames.append(wide.select(F.inline(F.array(*rows))))
+    if not frames:
+        return local_frame(df.sparkSession, [], (
+            "column string, count bigint, mean double, std double, min double, max double, median double, "
+            "q25 double, q75 double, iqr double, outliers_count bigint, skewness double, null_pct double"
+        ))
+    raw = reduce(DataFrame.unionByName, frames)
     n = F.col("count").cast("double")
     shift = F.col("d1") / n
     m2 = F.greatest(F.col("d2") - n * shift * shift, F.lit(0.0))

@@ -16,7 +16,7 @@ from math import ceil, floor, inf
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gleanframe.operators.columns import CHUNK, aggregate_row, as_double
+from gleanframe.operators.columns import CHUNK, aggregate_row, as_double, numbers
 from gleanframe.session import local_frame
 
 # rows an interval may hold when its values are picked exactly
@@ -65,8 +65,14 @@ class _Target:
 
 def _within(interval: tuple) -> Column:
     column, (low, with_low), (high, with_high) = interval
-    c = F.col(column)
-    return F.when((c >= low if with_low else c > low) & (c <= high if with_high else c < high), c)
+    tests = []
+    if low != -inf:
+        tests.append(f"{column} {'>=' if with_low else '>'} {low!r}D")
+    if high != inf:
+        tests.append(f"{column} {'<=' if with_high else '<'} {high!r}D")
+    # without a bound only the infinities are outside
+    inside = " AND ".join(tests) or f"abs({column}) < double('Infinity')"
+    return F.expr(f"IF({inside}, {column}, NULL)")
 
 
 def _sketch(
@@ -110,7 +116,7 @@ def _locate(df: DataFrame, targets: list[_Target], pairs: dict[str, list[float]]
         (c, v, i % 2 == 0) for c, values in pairs.items() for i, v in enumerate(values)
     })
     row = aggregate_row(df, [
-        F.count_if(F.col(c) <= v if included else F.col(c) < v).alias(f"k{i}")
+        f"count_if({c} {'<=' if included else '<'} {v!r}D) AS k{i}"
         for i, (c, v, included) in enumerate(asked)
     ])
     for i, (c, v, included) in enumerate(asked):
@@ -161,8 +167,7 @@ def order_statistics(
     if not columns:
         return {}
     names = {c: f"x{i}" for i, c in enumerate(columns)}
-    slim = df.select(*[as_double(df, c).alias(x) for c, x in names.items()])
-    xs = list(names.values())
+    slim, xs = numbers(df, columns), list(names.values())
     sides = [p for h in hints for p in _around(h)]
     per_pass = max(1, CHUNK // 5)
     proposals: dict[str, list[float]] = {}

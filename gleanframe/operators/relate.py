@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gleanframe.functions.stats import correlation_strength, pearson
 from gleanframe.operators.columns import (
-    CHUNK, aggregate_row, as_double, categorical_columns, ident, numeric_columns,
+    CHUNK, aggregate_row, as_double, categorical_columns, ident, numbers, numeric_columns,
 )
 from gleanframe.operators.lookup import attach
 from gleanframe.operators.ranks import running_counts, running_sums
@@ -18,21 +19,20 @@ from gleanframe.session import local_frame
 TOP_PAIRS = 15
 
 
-def _pair_frame(df: DataFrame, pairs: Sequence[tuple[str, str]], expr) -> DataFrame:
-    """(col1, col2, r): one aggregate expression per pair, chunked, in one scan each."""
-    frames = None
-    width = CHUNK // 3
+def _pair_frame(df: DataFrame, pairs: Sequence[tuple[str, str]], exprs: Sequence[Column]) -> DataFrame:
+    """(col1, col2, r): one aggregate expression per pair, in one scan per chunk."""
+    frames, width = [], CHUNK // 3
     for start in range(0, len(pairs), width):
-        part = pairs[start:start + width]
-        wide = df.agg(*[
-            F.struct(F.lit(a).alias("col1"), F.lit(b).alias("col2"), expr(a, b).alias("r")).alias(f"p{i}")
-            for i, (a, b) in enumerate(part)
-        ])
-        long = wide.select(F.explode(F.array(*[f"p{i}" for i in range(len(part))])).alias("p")).select("p.*")
-        frames = long if frames is None else frames.unionByName(long)
-    if frames is None:
+        part = list(zip(pairs, exprs))[start:start + width]
+        wide = df.agg(*[e.alias(f"r{i}") for i, (_, e) in enumerate(part)])
+        rows = [
+            F.struct(F.lit(a).alias("col1"), F.lit(b).alias("col2"), F.col(f"r{i}").alias("r"))
+            for i, ((a, b), _) in enumerate(part)
+        ]
+        frames.append(wide.select(F.inline(F.array(*rows))))
+    if not frames:
         return local_frame(df.sparkSession, [], "col1 string, col2 string, r double")
-    return frames
+    return reduce(DataFrame.unionByName, frames)
 
 
 def pearson_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -42,29 +42,31 @@ def pearson_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
     sum; a pair with nulls has its own means and takes the general form.
     """
     columns = list(columns or numeric_columns(df))
-    slim = df.select(*[as_double(df, c).alias(c) for c in columns])
-    row = aggregate_row(slim, [F.count(F.lit(1)).alias("rows"), *[
-        e for i, c in enumerate(columns) for e in (
-            F.count(ident(c)).alias(f"n{i}"), F.avg(ident(c)).alias(f"mean{i}"),
-            (F.min(ident(c)) < F.max(ident(c))).alias(f"varies{i}"),
+    slim = numbers(df, columns)
+    row = aggregate_row(slim, ["count(1) AS rows", *[
+        e for i in range(len(columns)) for e in (
+            f"count(x{i}) AS n{i}", f"avg(x{i}) AS mean{i}", f"min(x{i}) < max(x{i}) AS varies{i}",
         )
     ]])
-    full = {c for i, c in enumerate(columns) if row[f"n{i}"] == row["rows"]}
-    fixed = {c for i, c in enumerate(columns) if not row[f"varies{i}"]}
-    off = {c: ident(c) - F.lit(row[f"mean{i}"]) for i, c in enumerate(columns) if row[f"mean{i}"] is not None}
-
-    def centred(a: str, b: str) -> Column:
-        if a in fixed or b in fixed:
-            return F.lit(None).cast("double")
-        # what rounding left of the means
-        da, db, n = F.sum(off[a]), F.sum(off[b]), float(row["rows"])
-        sxx, syy = F.sum(off[a] * off[a]) - da * da / n, F.sum(off[b] * off[b]) - db * db / n
-        return F.try_divide(F.sum(off[a] * off[b]) - da * db / n, F.sqrt(sxx * syy))
-
-    def expr(a: str, b: str) -> Column:
-        return centred(a, b) if a in full and b in full else pearson(ident(a), ident(b))
-
-    return _pair_frame(slim, list(combinations(columns, 2)), expr)
+    n = row["rows"]
+    full = {i for i in range(len(columns)) if row[f"n{i}"] == n and row[f"varies{i}"]}
+    fixed = {i for i in range(len(columns)) if not row[f"varies{i}"]}
+    centred = slim.selectExpr("*", *[f"x{i} - {row[f'mean{i}']!r}D AS d{i}" for i in sorted(full)])
+    pairs = list(combinations(range(len(columns)), 2))
+
+    def r(i: int, j: int) -> str:
+        if i in fixed or j in fixed:
+            return "CAST(NULL AS DOUBLE)"
+        if i in full and j in full:
+            # the products with the sums take away what rounding left of the means
+            def moment(a: int, b: int) -> str:
+                return f"(sum(d{a} * d{b}) - sum(d{a}) * sum(d{b}) / {n})"
+            return f"try_divide({moment(i, j)}, sqrt({moment(i, i)} * {moment(j, j)}))"
+        return f"try_divide(regr_sxy(x{j}, x{i}), sqrt(regr_sxx(x{j}, x{i}) * regr_syy(x{j}, x{i})))"
+
+    return _pair_frame(
+        centred, [(columns[i], columns[j]) for i, j in pairs], [F.expr(r(i, j)) for i, j in pairs]
+    )
 
 
 def spearman_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -105,7 +107,7 @@ def spearman_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
         return pearson(F.when(both, F.col(ra)), F.when(both, F.col(rb)))
 
     label = dict(zip(names, columns))
-    got = _pair_frame(ranked, pairs, expr)
+    got = _pair_frame(ranked, pairs, [expr(a, b) for a, b in pairs])
     named = F.create_map(*[x for k, v in label.items() for x in (F.lit(k), F.lit(v))]) if names else None
     if named is None:
         return got
@@ -175,8 +177,8 @@ def correlation_matrix(
     )
     both = pairs.select(F.explode(flipped).alias("p"), "r").select("p.col1", "p.col2", "r")
     diagonal = _pair_frame(
-        df.select(*[as_double(df, c).alias(c) for c in columns]), [(c, c) for c in columns],
-        lambda a, b: F.when(F.min(ident(a)) < F.max(ident(a)), F.lit(1.0)),
+        numbers(df, columns), [(c, c) for c in columns],
+        [F.expr(f"IF(min(x{i}) < max(x{i}), 1.0D, NULL)") for i in range(len(columns))],
     )
     return both.unionByName(diagonal).select("col1", "col2", F.round("r", digits).alias("r"))
 
