@@ -63,8 +63,12 @@ def mask(c: Column) -> Column:
 
 
 def redact(c: Column) -> Column:
-    """Mask e-mail addresses and phone numbers inside running text."""
-    return F.regexp_replace(F.regexp_replace(c, EMAIL_IN_TEXT, MASK), PHONE_IN_TEXT, MASK)
+    """Mask e-mail addresses and phone numbers inside running text.
+
+    Looking for the @ first spares the address pattern its tries at every word.
+    """
+    unaddressed = F.when(c.contains("@"), F.regexp_replace(c, EMAIL_IN_TEXT, MASK)).otherwise(c)
+    return F.regexp_replace(unaddressed, PHONE_IN_TEXT, MASK)
 
 
 def contains_any(c: Column, words: Iterable[str]) -> Column:

@@ -29,7 +29,9 @@ from gleanframe.session import local_frame, materialise
 
 SEED = 42
 MIN_ROWS = 8
-TREES, DEPTH = 100, 12
+TREES, DEPTH, BOOSTS = 100, 12, 100
+# statistics of one group of tree nodes; more memory means fewer passes over the rows
+NODE_MEMORY_MB = 1024
 # labels of an ordinal code travel to every task; wider columns go through encode_label first
 MOST_LABELS = 100_000
 
@@ -153,8 +155,11 @@ def _regressor(kind: str, train: DataFrame):
             elasticNetParam=0.0, standardization=False,
         )
     if kind == "random_forest_regressor":
-        return RandomForestRegressor(labelCol="__label", numTrees=TREES, maxDepth=DEPTH, seed=SEED)
-    return GBTRegressor(labelCol="__label", maxIter=100, stepSize=0.1, maxDepth=3, seed=SEED)
+        return RandomForestRegressor(
+            labelCol="__label", numTrees=TREES, maxDepth=DEPTH, seed=SEED, featureSubsetStrategy="all",
+            maxMemoryInMB=NODE_MEMORY_MB,
+        )
+    return GBTRegressor(labelCol="__label", maxIter=BOOSTS, stepSize=0.1, maxDepth=3, seed=SEED)
 
 
 def _classifier(kind: str, rows: int, classes: int):
@@ -164,9 +169,11 @@ def _classifier(kind: str, rows: int, classes: int):
             standardization=False,
         )
     if kind == "gradient_boosting_classifier":
-        boosted = GBTClassifier(labelCol="__label", maxIter=100, stepSize=0.1, maxDepth=3, seed=SEED)
+        boosted = GBTClassifier(labelCol="__label", maxIter=BOOSTS, stepSize=0.1, maxDepth=3, seed=SEED)
         return boosted if classes <= 2 else OneVsRest(classifier=boosted, labelCol="__label")
-    return RandomForestClassifier(labelCol="__label", numTrees=TREES, maxDepth=DEPTH, seed=SEED)
+    return RandomForestClassifier(
+        labelCol="__label", numTrees=TREES, maxDepth=DEPTH, seed=SEED, maxMemoryInMB=NODE_MEMORY_MB
+    )
 
 
 def _importance(df: DataFrame, names: list[str], model) -> DataFrame | None:
@@ -225,9 +232,11 @@ def train(
         ).fit(train_rows)
         classes = list(coder.labels)
         labelled = coder.transform(prepared.transform(train_rows))
-        estimator = _classifier(kind, labelled.count(), len(classes))
+        estimator = _classifier(kind, train_rows.count(), len(classes))
         tail = [IndexToString(inputCol="prediction", outputCol="__predicted", labels=classes)]
-    fitted = estimator.fit(labelled.select("features", "__label").persist())
+    points = labelled.select("features", "__label").persist()
+    fitted = estimator.fit(points)
+    points.unpersist()
     model = PipelineModel([*prepared.stages, fitted, *tail])
     scored = model.transform(test_rows)
     if is_regression:
@@ -257,6 +266,7 @@ def train_clusters(df: DataFrame, features: Sequence[str], starts: int = 1) -> T
     best = min(fits, key=lambda m: m.summary.trainingCost)
     scored = best.transform(points)
     silhouette = ClusteringEvaluator().evaluate(scored) if n > k else 0.0
+    points.unpersist()
     metrics = calinski_harabasz(scored, "features", "prediction").withColumn(
         "silhouette_score", F.round(F.lit(silhouette), 4)
     )

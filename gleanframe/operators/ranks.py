@@ -91,6 +91,9 @@ def running_sums(
     match = F.col(_SLICE) == F.col("__in")
     for i, c in enumerate(by):
         match = match & (ident(c) == F.col(f"__by{i}"))
+    if not by:
+        # one row per partition of the sort
+        starts = F.broadcast(starts)
     numbered = rows.select("*", *[F.sum(ident(s)).over(local).alias(f"__within_{s}") for s in sums])
     return numbered.join(starts, match).select(
         *[ident(c) for c in df.columns],

@@ -5,19 +5,24 @@ They keep every row of their source and add faults by integer arithmetic on its
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gleanframe.registry.base import table
 
 DIRTY_COLUMNS = ["id", "name", "balance_text", "age", "segment", "email", "empty_col"]
 
 
+def _copies(key: Column) -> Column:
+    """Every fiftieth row twice, in the one scan of all rows."""
+    return F.explode(F.when(key % 50 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy")
+
+
 def dirty_customer(spark: SparkSession, folder: str) -> DataFrame:
     """Customers with padding, null tokens, currency text, odd ages, copies and empty rows."""
     k = F.col("c_custkey")
     none = F.lit(None).cast("string")
     rows = table(spark, folder, "customer").select(
-        k.alias("id"),
+        _copies(k), k.alias("id"),
         F.when(k % 11 == 0, "N/A").when(k % 7 == 0, F.concat(F.lit("  "), "c_name", F.lit(" ")))
         .otherwise(F.col("c_name")).alias("name"),
         F.when(k % 13 == 0, "null").when(k % 19 == 0, "abc")
@@ -26,10 +31,9 @@ def dirty_customer(spark: SparkSession, folder: str) -> DataFrame:
         F.when(k % 23 == 0, None).otherwise(F.col("c_mktsegment")).alias("segment"),
         F.concat(F.lit("u"), k.cast("string"), F.lit("@example.com")).alias("email"),
         none.alias("empty_col"),
-    )
-    copies = rows.where(F.col("id") % 50 == 0)
+    ).drop("copy")
     empty = spark.range(3).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema.fields])
-    return rows.unionAll(copies).unionAll(empty)
+    return rows.unionAll(empty)
 
 
 DIRTY_CUSTOMER = """
@@ -112,14 +116,13 @@ def report_orders(spark: SparkSession, folder: str) -> DataFrame:
     """Orders with a driven column, outliers, a dominant category, gaps and copies."""
     k = F.col("o_orderkey")
     spend = F.col("o_totalprice") * (1 + (k % 10) * 0.1)
-    rows = table(spark, folder, "orders").select(
-        F.when(k % 11 != 0, spend).alias("spend"), "o_orderkey",
+    return table(spark, folder, "orders").select(
+        _copies(k), F.when(k % 11 != 0, spend).alias("spend"), "o_orderkey",
         (spend * 0.25 + k % 7).alias("tax"),
         F.when(k % 20 == 0, F.lit(5000.0)).otherwise((k % 40).cast("double")).alias("bonus"),
         F.when(k % 10 < 8, "standard").otherwise(F.concat(F.lit("top "), "o_orderstatus")).alias("tier"),
         F.col("o_orderpriority").alias("priority"),
-    )
-    return rows.unionAll(rows.where(F.col("o_orderkey") % 50 == 0))
+    ).drop("copy")
 
 
 REPORT_ORDERS = """
