@@ -15,11 +15,11 @@ SALTS = 64
 
 def attach(
     df: DataFrame, lookup: DataFrame, value: str, *, weight: str = "n",
-    broadcast_rows: int = BROADCAST_ROWS,
+    broadcast_rows: int = BROADCAST_ROWS, size: tuple[int, int] | None = None,
 ) -> DataFrame:
     """Left join ``lookup`` (unique ``value``, ``weight`` = its rows in ``df``) on ``value``.
 
-    The lookup is counted first.  A small one is broadcast.  A large one is joined by
+    The lookup is counted first, unless its rows and total weight are given as ``size``.  A small one is broadcast.  A large one is joined by
     shuffle, and its hot values, fewer than ``HOT_SHARE`` by construction, are spread
     over ``SALTS`` partitions on both sides.
     """
@@ -27,11 +27,11 @@ def attach(
     right = lookup.select(
         ident(value).alias("__value"), ident(weight).alias("__weight"), *[ident(c) for c in payload]
     )
-    size = right.agg(F.count(F.lit(1)).alias("rows"), F.sum("__weight").alias("all")).first()
-    if size["rows"] <= broadcast_rows:
+    rows, total = size or right.agg(F.count(F.lit(1)), F.sum("__weight")).first()
+    if rows <= broadcast_rows:
         joined = df.join(F.broadcast(right), ident(value) == F.col("__value"), "left")
         return joined.drop("__value", "__weight")
-    is_hot = F.col("__weight") > F.lit(size["all"] / HOT_SHARE)
+    is_hot = F.col("__weight") > F.lit(total / HOT_SHARE)
     hot = right.where(is_hot).select(F.col("__value").alias("__hot"))
     spread = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     salted = right.withColumn("__salt", F.explode(spread)).drop("__weight")

@@ -14,7 +14,7 @@ from gleanframe.operators.columns import (
 )
 from gleanframe.operators.lookup import attach
 from gleanframe.operators.ranks import running_counts, running_sums
-from gleanframe.session import local_frame
+from gleanframe.session import local_frame, materialise
 
 TOP_PAIRS = 15
 
@@ -73,46 +73,47 @@ def spearman_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
     """Rank correlation with average ranks, over the rows where both have a value.
 
     A rank needs the whole order of a column, so the ranks of its distinct values are
-    found first and attached by value.  A column without nulls has the same ranks in
-    every pair; only a partner with nulls asks for ranks of its own.
+    found first, for all columns in one sort, and attached by value.  A column without
+    nulls has the same ranks in every pair; only a partner with nulls asks for ranks among
+    the rows it shares.
     """
     columns = list(columns or numeric_columns(df))
-    slim = df.select(*[as_double(df, c).alias(f"x{i}") for i, c in enumerate(columns)])
-    names = [f"x{i}" for i in range(len(columns))]
-    n = F.count(F.lit(1))
-    row = aggregate_row(slim, [n.alias("rows"), *[F.count(c).alias(c) for c in names]])
-    full = {c for c in names if row[c] == row["rows"]}
-    ranked, done = slim, {}
-
-    def rank_of(c: str, partner: str) -> str:
-        nonlocal ranked
-        subset = None if partner in full else partner
-        if (c, subset) not in done:
-            used = slim if subset is None else slim.where(F.col(subset).isNotNull())
-            counts = running_counts(used.select(c), [], c)
-            name = f"rank_{c}" if subset is None else f"rank_{c}_with_{subset}"
-            lookup = counts.select(
-                F.col(c), "n", (F.col("before") + (F.col("n") + 1) / 2).alias(name)
-            )
-            ranked = attach(ranked, lookup, c)
-            done[c, subset] = name
-        return done[c, subset]
-
-    pairs = list(combinations(names, 2))
-    by_pair = {(a, b): (rank_of(a, b), rank_of(b, a)) for a, b in pairs}
-
-    def expr(a: str, b: str) -> Column:
-        both = F.col(a).isNotNull() & F.col(b).isNotNull()
-        ra, rb = by_pair[a, b]
-        return pearson(F.when(both, F.col(ra)), F.when(both, F.col(rb)))
-
-    label = dict(zip(names, columns))
-    got = _pair_frame(ranked, pairs, [expr(a, b) for a, b in pairs])
-    named = F.create_map(*[x for k, v in label.items() for x in (F.lit(k), F.lit(v))]) if names else None
-    if named is None:
-        return got
-    return got.select(
-        named[F.col("col1")].alias("col1"), named[F.col("col2")].alias("col2"), "r"
+    slim = numbers(df, columns)
+    places = range(len(columns))
+    row = aggregate_row(slim, ["count(1) AS rows", *[f"count(x{i}) AS n{i}" for i in places]])
+    gappy = {i for i in places if row[f"n{i}"] < row["rows"]}
+    pairs = list(combinations(places, 2))
+    if not pairs:
+        return _pair_frame(slim, [], [])
+
+    def needed(i: int, partner: int) -> str:
+        return f"r{i}_{partner}" if partner in gappy else f"r{i}"
+
+    sources = {}
+    for i, j in pairs:
+        for a, b in ((i, j), (j, i)):
+            sources[needed(a, b)] = (a, f"IF(x{b} IS NULL, NULL, x{a})" if b in gappy else f"x{a}")
+    cells = F.array(*[F.struct(F.lit(k).alias("key"), F.expr(e).alias("value")) for k, (_, e) in sources.items()])
+    values = slim.select(F.explode(cells).alias("c")).select("c.key", "c.value")
+    counts = running_counts(values, ["key"], "value")
+    ranks = materialise(counts.select(
+        "key", "value", "n", (F.col("before") + (F.col("n") + 1) / 2).alias("rank")
+    ), "ranks")
+    sizes = {
+        r["key"]: (r["rows"], r["total"])
+        for r in ranks.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("total")).collect()
+    }
+    ranked = slim
+    for key, (i, _) in sources.items():
+        lookup = ranks.where(F.col("key") == key).select(F.col("value").alias(f"x{i}"), "n", F.col("rank").alias(key))
+        ranked = attach(ranked, lookup, f"x{i}", size=sizes.get(key, (0, 0)))
+
+    def expr(i: int, j: int) -> Column:
+        both = F.col(f"x{i}").isNotNull() & F.col(f"x{j}").isNotNull()
+        return pearson(F.when(both, F.col(needed(i, j))), F.when(both, F.col(needed(j, i))))
+
+    return _pair_frame(
+        ranked, [(columns[i], columns[j]) for i, j in pairs], [expr(i, j) for i, j in pairs]
     )
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, field
 from functools import cached_property, reduce
+from threading import RLock
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -25,11 +27,24 @@ def _settled(frame: DataFrame) -> DataFrame:
     return local_frame(frame.sparkSession, frame.collect(), frame.schema)
 
 
+class _once(cached_property):
+    """A cached property that a second thread waits for instead of computing it again."""
+
+    def __get__(self, instance, owner=None):
+        if instance is None:
+            return self
+        with instance.locks[self.attrname]:
+            return super().__get__(instance, owner)
+
+
 @dataclass(frozen=True)
 class Facts:
     """Metrics of one table that several parts of a report share, each computed once."""
 
     df: DataFrame
+    locks: dict[str, RLock] = field(
+        default_factory=lambda: {n: RLock() for n in ("quality", "stats", "categories", "pairs")}
+    )
 
     @cached_property
     def numeric(self) -> list[str]:
@@ -39,11 +54,11 @@ class Facts:
     def categorical(self) -> list[str]:
         return categorical_columns(self.df)
 
-    @cached_property
+    @_once
     def quality(self) -> DataFrame:
         return _settled(table_quality(self.df))
 
-    @cached_property
+    @_once
     def stats(self) -> DataFrame:
         return _settled(describe_numeric(self.df, self.numeric))
 
@@ -55,14 +70,31 @@ class Facts:
             percent(F.col("outliers_count"), F.col("count"), 1).alias("outlier_pct"),
         )
 
-    @cached_property
+    @_once
     def categories(self) -> DataFrame:
         return _settled(top_category(self.df, self.categorical))
 
-    @cached_property
+    @_once
     def pairs(self) -> DataFrame:
         return _settled(pearson_pairs(self.df, self.numeric))
 
+    def gather(self, *more: Callable[[], DataFrame]) -> list[DataFrame]:
+        """Compute every metric, and further small frames, side by side."""
+        jobs = [lambda: self.quality]
+        if self.numeric:
+            jobs.append(lambda: self.stats)
+        if self.categorical:
+            jobs.append(lambda: self.categories)
+        if len(self.numeric) >= 2:
+            jobs.append(lambda: self.pairs)
+        return _together(*more, *jobs)[:len(more)]
+
+
+def _together(*jobs: Callable[[], DataFrame]) -> list[DataFrame]:
+    """Independent small results from jobs that share the cluster instead of queueing."""
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        return [done.result() for done in [pool.submit(job) for job in jobs]]
+
 
 def _stack(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
@@ -84,7 +116,9 @@ def _finding(kind: str, subject: Column, value: Column, text: Column, severity:
 
 def findings(df: DataFrame, facts: Facts | None = None) -> DataFrame:
     """(kind, subject, value, severity, text): what stands out in a table."""
-    facts = facts or Facts(df)
+    if facts is None:
+        facts = Facts(df)
+        facts.gather()
     frames = []
     if len(facts.numeric) >= 2:
         strongest = ranked_pairs(df, at_least=STRONG_PAIR, top=1, digits=3, pairs=facts.pairs)
@@ -134,7 +168,7 @@ def findings(df: DataFrame, facts: Facts | None = None) -> DataFrame:
 def recommendations(df: DataFrame, order_by: Sequence[str], facts: Facts | None = None) -> DataFrame:
     """(id, kind, priority, impact_pct, confidence, timeline, text) from trends, drivers and cohorts."""
     facts = facts or Facts(df)
-    frames = []
+    jobs = []
 
     def record(name: Column, kind: str, priority, impact, confidence, timeline, text) -> list[Column]:
         return [
@@ -144,8 +178,7 @@ def recommendations(df: DataFrame, order_by: Sequence[str], facts: Facts | None
         ]
 
     if facts.numeric:
-        trends = top_trends(df, order_by, facts.numeric)
-        frames.append(trends.select(*record(
+        jobs.append(lambda: top_trends(df, order_by, facts.numeric).select(*record(
             F.concat(F.lit("trend_"), "column"), "trend", F.col("priority"), F.col("impact_pct"),
             F.col("confidence"), F.format_string("next %d periods", "forecast_steps"),
             F.format_string(
@@ -154,9 +187,8 @@ def recommendations(df: DataFrame, order_by: Sequence[str], facts: Facts | None
             ),
         )))
     if len(facts.numeric) >= 2:
-        drivers = driver_scenario(df, facts.numeric, pairs=facts.pairs)
         size = F.abs("r")
-        frames.append(drivers.select(*record(
+        jobs.append(lambda: driver_scenario(df, facts.numeric, pairs=facts.pairs).select(*record(
             F.concat_ws("_", F.lit("corr"), "col1", "col2"), "driver",
             F.when(size >= 0.7, "high").otherwise("medium"),
             F.least(F.lit(40.0), F.round(size * 35, 1)),
@@ -164,8 +196,7 @@ def recommendations(df: DataFrame, order_by: Sequence[str], facts: Facts | None
             F.format_string("+10%% of %s goes with %+.1f%% of %s", "col1", "delta_pct", "col2"),
         )))
     if facts.numeric and facts.categorical:
-        gaps = cohort_uplift(df)
-        frames.append(gaps.select(*record(
+        jobs.append(lambda: cohort_uplift(df).select(*record(
             F.concat_ws("_", F.lit("cohort"), "category", "metric"), "cohort", F.col("priority"),
             F.least(F.lit(35.0), F.round(F.col("gap_pct") * 0.5, 1)),
             F.when(F.col("segments") >= 3, "high").otherwise("medium"), F.lit("medium term"),
@@ -173,11 +204,12 @@ def recommendations(df: DataFrame, order_by: Sequence[str], facts: Facts | None
                 "%s: %s is %.1f%% above %s", "category", "top_segment", "gap_pct", "bottom_segment"
             ),
         )))
-    if not frames:
-        return local_frame(df.sparkSession, [], "id string, kind string, priority string, impact_pct double, confidence string, "
-            "timeline string, text string",
-        )
-    return _stack(frames)
+    if not jobs:
+        return local_frame(df.sparkSession, [], (
+            "id string, kind string, priority string, impact_pct double, confidence string, "
+            "timeline string, text string"
+        ))
+    return _stack(_together(*[lambda job=job: _settled(job()) for job in jobs]))
 
 
 def kpi_cards(df: DataFrame, facts: Facts | None = None) -> DataFrame:
@@ -185,7 +217,9 @@ def kpi_cards(df: DataFrame, facts: Facts | None = None) -> DataFrame:
 
     A bar's width is its mean against the largest one, between 8 and 100.
     """
-    facts = facts or Facts(df)
+    if facts is None:
+        facts = Facts(df)
+        _together(lambda: facts.quality, *([lambda: facts.stats] if facts.numeric else []))
     cards = _unfold(
         facts.quality.select("total_rows", "total_columns", "completeness_pct", "quality_score"),
         ["total_rows", "total_columns", "completeness_pct", "quality_score"], "card",
@@ -223,6 +257,7 @@ def feature_insights(df: DataFrame, facts: Facts | None = None) -> DataFrame:
 def table_report(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
     """(section, subject, metric, value): everything the report of a table states in numbers."""
     facts = Facts(df)
+    advised = facts.gather(lambda: recommendations(df, order_by, facts))[0]
     overview = _unfold(facts.quality, facts.quality.columns, "metric").select(
         F.lit("overview").alias("section"), F.lit("table").alias("subject"), "metric", "value"
     )
@@ -230,7 +265,7 @@ def table_report(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
     found = findings(df, facts).select(
         F.lit("finding").alias("section"), "subject", F.col("kind").alias("metric"), "value"
     )
-    advice = recommendations(df, order_by, facts).select(
+    advice = advised.select(
         F.lit("recommendation").alias("section"), F.col("id").alias("subject"),
         F.col("kind").alias("metric"), F.col("impact_pct").cast("double").alias("value"),
     )

@@ -131,8 +131,18 @@ def _regression(name, kind):
 
 _regression("ml_linear", "linear_regression")
 _regression("ml_ridge", "ridge")
-_regression("ml_rf_reg", "random_forest_regressor")
-_regression("ml_gbt_reg", "gradient_boosting_regressor")
+
+
+def _part_regression(name, kind):
+    @query(name)
+    def run(spark, folder):
+        parts = table(spark, folder, "part")
+        return ml.train(parts, kind, "p_retailprice", ["p_size", "p_brand", "p_type"], ["p_partkey"]).metrics
+    return run
+
+
+_part_regression("ml_rf_reg", "random_forest_regressor")
+_part_regression("ml_gbt_reg", "gradient_boosting_regressor")
 
 
 def _classification(name, kind):

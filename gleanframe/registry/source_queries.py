@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+from xml.sax.saxutils import escape
+
+import pandas as pd
 from pyspark.sql import functions as F
 
 from gleanframe.registry.base import query, table
 from gleanframe.registry.fixtures import DIRTY_COLUMNS, DIRTY_CUSTOMER, dirty_customer
 from gleanframe.session import scratch_path
-from gleanframe.sources import sinks, tables
+from gleanframe.sources import sinks, tables, workbooks
 
 MESSY_HEADER = "c_custkey,c_name,c_acctbal,c_mktsegment"
 
@@ -81,3 +86,38 @@ def scan_json(spark, folder):
 @query("table_fingerprint")
 def table_fingerprint(spark, folder):
     return sinks.table_fingerprint(table(spark, folder, "orders"))
+
+
+_SHEET = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+_REL = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+_PACKAGE = "http://schemas.openxmlformats.org/package/2006/relationships"
+
+
+def _one_workbook(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A block of at most 500 customers as the bytes of a workbook."""
+    header = ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"]
+    lines = [header, *pdf[header].astype(str).values.tolist()]
+    rows = "".join(
+        f'<row r="{i + 1}">' + "".join(
+            f'<c r="{chr(65 + j)}{i + 1}" t="inlineStr"><is><t>{escape(v)}</t></is></c>' for j, v in enumerate(line)
+        ) + "</row>" for i, line in enumerate(lines)
+    )
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as book:
+        book.writestr("xl/workbook.xml", (
+            f'<workbook xmlns="{_SHEET}" xmlns:r="{_REL}"><sheets><sheet name="a" sheetId="1" r:id="r1"/></sheets></workbook>'
+        ))
+        book.writestr("xl/_rels/workbook.xml.rels", (
+            f'<Relationships xmlns="{_PACKAGE}"><Relationship Id="r1" Target="worksheets/a.xml"/></Relationships>'
+        ))
+        book.writestr("xl/worksheets/a.xml", f'<worksheet xmlns="{_SHEET}"><sheetData>{rows}</sheetData></worksheet>')
+    return pd.DataFrame({"path": [f"block-{pdf['block'].iloc[0]:012d}.xlsx"], "content": [out.getvalue()]})
+
+
+@query("scan_workbooks", """
+SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CAST(c_nationkey AS VARCHAR) AS c_nationkey, c_mktsegment FROM customer""")
+def scan_workbooks(spark, folder):
+    """Customers in workbooks of up to 500 rows each; bytes as a binary file source gives them."""
+    blocks = table(spark, folder, "customer").withColumn("block", F.floor(F.col("c_custkey") / 500))
+    files = blocks.groupBy("block").applyInPandas(_one_workbook, "path string, content binary")
+    return workbooks.read_workbooks(files)

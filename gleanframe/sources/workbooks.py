@@ -75,24 +75,31 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield pd.DataFrame(pending, columns=["path", "row", "cells"])
 
 
-def scan_workbooks(
-    spark: SparkSession, path: str, *, with_origin: bool = False, columns: list[str] | None = None,
+def read_workbooks(
+    files: DataFrame, *, with_origin: bool = False, columns: list[str] | None = None,
 ) -> DataFrame:
-    """All first sheets under ``path`` as text columns named by the header of the first file.
+    """First sheets of (path, content) rows as text columns named by the header of the first path.
 
     A workbook is at most about a million rows, so a file per task is the unit of work;
     many files spread over the cluster.
     """
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.xlsx").load(path).select("path", "content")
-    )
     rows = files.mapInPandas(_read, "path string, row bigint, cells array<string>")
     if columns is None:
-        first = files.select("path").agg(F.min("path")).first()[0]
+        first = files.agg(F.min("path")).first()[0]
         head = rows.where((F.col("path") == first) & (F.col("row") == 0)).first()
         columns = [c or f"column_{i}" for i, c in enumerate(head["cells"])] if head else []
     origin = ["path", "row"] if with_origin else []
     return rows.where("row > 0").select(
         *origin, *[F.get("cells", F.lit(i)).alias(c) for i, c in enumerate(columns)]
     )
+
+
+def scan_workbooks(
+    spark: SparkSession, path: str, *, with_origin: bool = False, columns: list[str] | None = None,
+) -> DataFrame:
+    """All first sheets under a folder, see :func:`read_workbooks`."""
+    files = (
+        spark.read.format("binaryFile").option("recursiveFileLookup", True)
+        .option("pathGlobFilter", "*.xlsx").load(path).select("path", "content")
+    )
+    return read_workbooks(files, with_origin=with_origin, columns=columns)
