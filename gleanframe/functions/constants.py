@@ -47,6 +47,12 @@ OFF_TOPIC_KEYWORDS = (
     "write code for flappy bird", "minecraft", "play game",
 )
 
+# fixed values: characters that count as white space
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+    "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
 MASK = "••••••••"
 IMPUTED_TEXT = "N/A"
 AGE_LIMIT = 120

@@ -6,7 +6,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, functions as F
 
-from gleanframe.functions.constants import CLEAN_NULL_TOKENS, CSV_NULL_TOKENS, MASK
+from gleanframe.functions.constants import CLEAN_NULL_TOKENS, CSV_NULL_TOKENS, MASK, WHITE_SPACE
 
 # try_cast alone accepts "1d", "1f" and "0x1p3", so texts pass this pattern first
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
@@ -17,8 +17,8 @@ PHONE_IN_TEXT = r"\+?\(?\d{3}\)?[ -]\d{3}[ -]\d{4}"
 
 
 def strip(c: Column) -> Column:
-    """Remove white space of every kind at both ends (``trim`` takes spaces only)."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    """Remove white space of every kind at both ends (plain ``trim`` takes spaces only)."""
+    return F.btrim(c, F.lit(WHITE_SPACE))
 
 
 def parse_number(c: Column) -> Column:

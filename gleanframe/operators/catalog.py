@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from gleanframe.operators.columns import ident
+from gleanframe.operators.lookup import attach
 from gleanframe.operators.ranks import positions
 from gleanframe.session import materialise
 
@@ -53,10 +54,13 @@ def threads(
 ) -> DataFrame:
     """Each parent with its children in order, one row per child with its position.
 
-    Rows, not a collected list: one parent may own a large share of all children.
+    Rows, not a collected list: one parent may own a large share of all children, so their
+    positions come from a distributed sort and the parent's columns by a salted join.
     """
-    numbered = positions(children, order, by=[foreign])
-    return parents.join(numbered, ident(key) == ident(foreign)).drop(ident(foreign))
+    numbered = positions(children, order, by=[foreign]).withColumnRenamed(foreign, key)
+    sizes = children.groupBy(ident(foreign).alias(key)).agg(F.count(F.lit(1)).alias("__n"))
+    owners = parents.join(sizes, key).withColumn("__found", F.lit(True))
+    return attach(numbered, owners, key, weight="__n").where("__found").drop("__found")
 
 
 def latest_per_key(

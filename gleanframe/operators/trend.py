@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -48,16 +48,22 @@ def time_span(df: DataFrame, time: str, metric: str) -> Span | None:
     return Span(row["first"], row["last"], row["n"], freq)
 
 
-def resample(df: DataFrame, time: str, metric: str, freq: str | None = None) -> DataFrame:
+def _span(df: DataFrame, time: str, metric: str, freq: str | None, span: Span | None) -> Span:
+    span = span or time_span(df, time, metric)
+    if span is None:
+        raise ValueError("a trend needs at least three points")
+    return span if freq is None else replace(span, freq=freq)
+
+
+def resample(
+    df: DataFrame, time: str, metric: str, freq: str | None = None, span: Span | None = None,
+) -> DataFrame:
     """(period, sum, mean, count) per day, week or month without gaps.
 
-    An empty bin has sum 0, count 0 and no mean.
+    An empty bin has sum 0, count 0 and no mean.  ``span`` hands in a known time range.
     """
-    span = time_span(df, time, metric)
-    if span is None:
-        raise ValueError("a trend needs at least three points")
-    freq = freq or span.freq
-    spark = df.sparkSession
+    span = _span(df, time, metric, freq, span)
+    freq, spark = span.freq, df.sparkSession
     ends = local_frame(spark, [(span.first, span.last)], "a date, b date")
     a, b = bin_end(F.col("a"), freq), bin_end(F.col("b"), freq)
     if freq == "ME":
@@ -79,16 +85,15 @@ def resample(df: DataFrame, time: str, metric: str, freq: str | None = None) ->
 
 def trend_fit(
     df: DataFrame, time: str, metric: str, freq: str | None = None, p_below: float = 0.05,
+    span: Span | None = None,
 ) -> DataFrame:
     """One row: least-squares line through the bin means over the bin index.
 
     Empty bins keep their place on the axis but are no points of the fit.
     """
-    span = time_span(df, time, metric)
-    if span is None:
-        raise ValueError("a trend needs at least three points")
-    freq = freq or span.freq
-    bins = resample(df, time, metric, freq)
+    span = _span(df, time, metric, freq, span)
+    freq = span.freq
+    bins = resample(df, time, metric, span=span)
     first = bin_end(F.lit(span.first), freq)
     x = bin_index(F.col("period"), first, freq).cast("double")
     y = F.col("mean")
@@ -126,11 +131,9 @@ def trend_forecast(
     df: DataFrame, time: str, metric: str, freq: str | None = None, steps: int = FORECAST_STEPS,
 ) -> DataFrame:
     """(step, period, predicted_mean, lower_95_ci, upper_95_ci) after the last bin."""
-    span = time_span(df, time, metric)
-    if span is None:
-        raise ValueError("a trend needs at least three points")
-    freq = freq or span.freq
-    fit = trend_fit(df, time, metric, freq)
+    span = _span(df, time, metric, freq, None)
+    freq = span.freq
+    fit = trend_fit(df, time, metric, span=span)
     ahead = fit.select("*", F.explode(F.sequence(F.lit(1), F.lit(steps))).alias("step"))
     at = F.col("bins") + F.col("step") - 1
     predicted = F.round(F.col("intercept") + F.col("slope") * at, 2)

@@ -7,7 +7,7 @@ from datetime import datetime, timedelta, timezone
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gleanframe.functions.constants import (
-    DATASET_LIMIT, REPORT_LIMIT, STORAGE_LIMIT_GB, TOKEN_LIMIT,
+    DATASET_LIMIT, REPORT_LIMIT, STORAGE_LIMIT_GB, TOKEN_LIMIT, WHITE_SPACE,
 )
 from gleanframe.functions.text import strip
 from gleanframe.operators.columns import ident
@@ -20,7 +20,7 @@ TOKEN_PRICES = {"light": (0.0000001, 0.0000004), "full": (0.000002, 0.00001)}
 
 def word_count(text: Column) -> Column:
     bare = strip(text)
-    return F.when(bare == "", 0).otherwise(F.size(F.split(bare, r"\s+")))
+    return F.when(bare == "", 0).otherwise(F.size(F.split(bare, f"[{WHITE_SPACE}]+")))
 
 
 def _json_int(usage: Column, field: str) -> Column:

@@ -25,7 +25,9 @@ def preview(df: DataFrame, order_by: Sequence[str], limit: int = PREVIEW_ROWS) -
         if f.name in fractional_columns(df):
             c = finite(c)
         elif isinstance(f.dataType, (TimestampType, TimestampNTZType)):
-            c = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
+            whole = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
+            exact = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+            c = F.when(exact.endswith(".000000"), whole).otherwise(exact)
         elif isinstance(f.dataType, DateType):
             c = F.date_format(c, "yyyy-MM-dd")
         cells.append(c.alias(f.name))
@@ -38,13 +40,23 @@ def preview_size(df: DataFrame, limit: int = PREVIEW_ROWS) -> DataFrame:
     return df.agg(n.alias("total_rows"), (n > limit).alias("sampled"))
 
 
+def shown(df: DataFrame, column: str) -> Column:
+    """A cell as a reader sees it: numbers without exponent and without a trailing ``.0``."""
+    c = ident(column)
+    if column not in fractional_columns(df):
+        return as_text(df, column)
+    plain = F.regexp_replace(c.try_cast("decimal(30,10)").cast("string"), r"\.?0+$", "")
+    too_small = (F.abs(c) < 1e-10) & (c != 0)
+    return F.when(too_small, c.cast("string")).otherwise(F.coalesce(plain, c.cast("string")))
+
+
 def search_rows(df: DataFrame, term: str, columns: Sequence[str] | None = None) -> DataFrame:
     """Rows where any cell contains the literal term, in any case; a blank term keeps all rows."""
     if not term.strip():
         return df
     hit: Column = F.lit(False)
     for c in columns or df.columns:
-        hit = hit | F.coalesce(F.lower(as_text(df, c)).contains(term.lower()), F.lit(False))
+        hit = hit | F.coalesce(F.lower(shown(df, c)).contains(term.lower()), F.lit(False))
     return df.where(hit)
 
 

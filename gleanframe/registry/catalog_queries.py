@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gleanframe.functions.constants import WHITE_SPACE
 from gleanframe.operators import catalog, usage
 from gleanframe.plans.versions import Store
 from gleanframe.registry.base import query, table
@@ -131,10 +132,10 @@ def version_append(spark, folder):
     return store.versions("customers").drop("path")
 
 
-@query("token_usage", r"""
+@query("token_usage", f"""
 SELECT conv_id, count(*) AS messages, CAST(sum(CASE WHEN length(text) > 0 THEN greatest(100, CAST(floor(
-  CASE WHEN bare = '' THEN 0 ELSE len(regexp_split_to_array(bare, '\s+')) END * CAST(1.4 AS DOUBLE)) AS BIGINT)) ELSE 0 END) AS BIGINT) AS tokens
-FROM (SELECT *, regexp_replace(text, '^\s+|\s+$', '', 'g') AS bare FROM conversations WHERE role = 'assistant') GROUP BY conv_id""")
+  CASE WHEN bare = '' THEN 0 ELSE len(regexp_split_to_array(bare, '[{WHITE_SPACE}]+')) END * CAST(1.4 AS DOUBLE)) AS BIGINT)) ELSE 0 END) AS BIGINT) AS tokens
+FROM (SELECT *, trim(text, '{WHITE_SPACE}') AS bare FROM conversations WHERE role = 'assistant') GROUP BY conv_id""")
 def token_usage(spark, folder):
     return usage.token_usage(table(spark, folder, "conversations"), "conv_id")
 

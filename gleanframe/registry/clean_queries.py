@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gleanframe.functions.constants import CLEAN_NULL_TOKENS, CSV_NULL_TOKENS, PII_PATTERNS
+from gleanframe.functions.constants import CLEAN_NULL_TOKENS, CSV_NULL_TOKENS, PII_PATTERNS, WHITE_SPACE
 from gleanframe.operators import clean, scale, schema
 from gleanframe.plans import rules
 from gleanframe.registry.base import query, table
@@ -22,7 +22,7 @@ def _in(tokens):
 
 
 def _strip(c):
-    return rf"regexp_replace({c}, '^\s+|\s+$', '', 'g')"
+    return f"trim({c}, '{WHITE_SPACE}')"
 
 
 def _rewrite(new: dict[str, str], source="dirty_customer"):

@@ -12,7 +12,7 @@ EVENTS = "event_id, ts, user_id, event_type, value, props"
 
 
 @query("preview", """
-SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS ts, user_id, event_type, value, props FROM events ORDER BY ts, event_id LIMIT 50""")
+SELECT event_id, CASE WHEN microsecond(ts) % 1000000 = 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') END AS ts, user_id, event_type, value, props FROM events ORDER BY ts, event_id LIMIT 50""")
 def preview(spark, folder):
     return view.preview(table(spark, folder, "events"), ["ts", "event_id"])
 
@@ -24,7 +24,8 @@ def preview_size(spark, folder):
 
 @query("search_rows", " OR ".join([
     "SELECT * FROM customer WHERE contains(lower(CAST(c_custkey AS VARCHAR)), '77')",
-    *[f"contains(lower(CAST({c} AS VARCHAR)), '77')" for c in ("c_name", "c_nationkey", "c_acctbal", "c_mktsegment")],
+    *[f"contains(lower(CAST({c} AS VARCHAR)), '77')" for c in ("c_name", "c_nationkey", "c_mktsegment")],
+    r"contains(regexp_replace(CAST(CAST(c_acctbal AS DECIMAL(30, 10)) AS VARCHAR), '\.?0+$', ''), '77')",
 ]))
 def search_rows(spark, folder):
     return view.search_rows(table(spark, folder, "customer"), "77")
