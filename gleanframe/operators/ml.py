@@ -19,10 +19,10 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import NumericType
 
 from gleanframe.operators.columns import as_double, ident
-from gleanframe.operators.clean import column_mode
 from gleanframe.operators.metrics import (
     calinski_harabasz, classification_metrics, distribution, regression_metrics,
 )
+from gleanframe.operators.profile import top_category
 from gleanframe.operators.quantiles import medians
 from gleanframe.operators.ranks import positions
 from gleanframe.session import local_frame, materialise
@@ -82,13 +82,13 @@ def preprocessing(df: DataFrame, features: Sequence[str]) -> list:
             q, fill = _quoted(c), middle[c] if middle[c] is not None else 0.0
             number = f"CAST({q} AS DOUBLE)"
             fills.append(f"COALESCE(IF(ISNAN({number}), NULL, {number}), {fill!r}D) AS __num{i}")
+    texts = df.select(*[ident(c).cast("string").alias(c) for c in other])
+    tops = {r["column"]: r for r in top_category(texts, other).collect()} if other else {}
     for i, c in enumerate(other):
-        text = df.select(ident(c).cast("string").alias(c))
-        labels = text.agg(F.approx_count_distinct(ident(c), 0.02)).first()[0]
-        if labels > MOST_LABELS:
-            raise ValueError(f"{c} has about {labels} values; apply encode_label first")
-        top = column_mode(text, c)
-        quoted = "'" + (top or "").replace("\\", "\\\\").replace("'", "\\'") + "'"
+        if c in tops and tops[c]["unique_count"] > MOST_LABELS:
+            raise ValueError(f"{c} has {tops[c]['unique_count']} values; apply encode_label first")
+        top = tops[c]["top_category"] if c in tops else ""
+        quoted = "'" + top.replace("\\", "\\\\").replace("'", "\\'") + "'"
         fills.append(f"COALESCE(CAST({_quoted(c)} AS STRING), {quoted}) AS __cat{i}")
     stages.append(SQLTransformer(statement=f"SELECT *, {', '.join(fills)} FROM __THIS__"))
     if numeric:

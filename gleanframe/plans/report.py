@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import cached_property, reduce
 from threading import RLock
@@ -14,6 +13,7 @@ from gleanframe.operators.columns import categorical_columns, numeric_columns
 from gleanframe.operators.profile import describe_numeric, percent, table_quality, top_category
 from gleanframe.operators.relate import cohort_uplift, driver_scenario, pearson_pairs, ranked_pairs
 from gleanframe.operators.trend import top_trends
+from gleanframe.plans.small import settled, together
 from gleanframe.session import local_frame
 
 STRONG_PAIR = 0.5
@@ -22,11 +22,6 @@ DOMINANCE = 70.0
 OUTLIER_MIN_VALUES = 5
 
 
-def _settled(frame: DataFrame) -> DataFrame:
-    """A metric frame computed now; it has at most one row per column or pair of columns."""
-    return local_frame(frame.sparkSession, frame.collect(), frame.schema)
-
-
 class _once(cached_property):
     """A cached property that a second thread waits for instead of computing it again."""
 
@@ -56,11 +51,11 @@ class Facts:
 
     @_once
     def quality(self) -> DataFrame:
-        return _settled(table_quality(self.df))
+        return settled(table_quality(self.df))
 
     @_once
     def stats(self) -> DataFrame:
-        return _settled(describe_numeric(self.df, self.numeric))
+        return settled(describe_numeric(self.df, self.numeric))
 
     @cached_property
     def outliers(self) -> DataFrame:
@@ -72,11 +67,11 @@ class Facts:
 
     @_once
     def categories(self) -> DataFrame:
-        return _settled(top_category(self.df, self.categorical))
+        return settled(top_category(self.df, self.categorical))
 
     @_once
     def pairs(self) -> DataFrame:
-        return _settled(pearson_pairs(self.df, self.numeric))
+        return settled(pearson_pairs(self.df, self.numeric))
 
     def gather(self, *more: Callable[[], DataFrame]) -> list[DataFrame]:
         """Compute every metric, and further small frames, side by side."""
@@ -87,13 +82,7 @@ class Facts:
             jobs.append(lambda: self.categories)
         if len(self.numeric) >= 2:
             jobs.append(lambda: self.pairs)
-        return _together(*more, *jobs)[:len(more)]
-
-
-def _together(*jobs: Callable[[], DataFrame]) -> list[DataFrame]:
-    """Independent small results from jobs that share the cluster instead of queueing."""
-    with ThreadPoolExecutor(len(jobs)) as pool:
-        return [done.result() for done in [pool.submit(job) for job in jobs]]
+        return together(*more, *jobs)[:len(more)]
 
 
 def _stack(frames: Sequence[DataFrame]) -> DataFrame:
@@ -209,7 +198,7 @@ def recommendations(df: DataFrame, order_by: Sequence[str], facts: Facts | None
             "id string, kind string, priority string, impact_pct double, confidence string, "
             "timeline string, text string"
         ))
-    return _stack(_together(*[lambda job=job: _settled(job()) for job in jobs]))
+    return _stack(together(*[lambda job=job: settled(job()) for job in jobs]))
 
 
 def kpi_cards(df: DataFrame, facts: Facts | None = None) -> DataFrame:
@@ -219,7 +208,7 @@ def kpi_cards(df: DataFrame, facts: Facts | None = None) -> DataFrame:
     """
     if facts is None:
         facts = Facts(df)
-        _together(lambda: facts.quality, *([lambda: facts.stats] if facts.numeric else []))
+        together(lambda: facts.quality, *([lambda: facts.stats] if facts.numeric else []))
     cards = _unfold(
         facts.quality.select("total_rows", "total_columns", "completeness_pct", "quality_score"),
         ["total_rows", "total_columns", "completeness_pct", "quality_score"], "card",

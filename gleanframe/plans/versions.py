@@ -14,13 +14,16 @@ from gleanframe.session import local_frame
 
 CATALOG = (
     "dataset_id string, version_number bigint, stage string, path string, row_count bigint, "
-    "checksum string, parent_version bigint"
+    "checksum string, parent_version bigint, deleted boolean"
 )
 
 
 @dataclass(frozen=True)
 class Store:
-    """A folder with one Parquet path per version and an append-only catalog."""
+    """A folder with one Parquet path per version and an append-only catalog.
+
+    Deleting appends a mark; the files of a deleted version can be removed at any time later.
+    """
 
     spark: SparkSession
     root: str
@@ -33,11 +36,26 @@ class Store:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.catalog_path)
         return not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
 
-    def catalog(self) -> DataFrame:
+    def _log(self) -> DataFrame:
         if self._is_empty():
             return local_frame(self.spark, [], CATALOG)
         return self.spark.read.schema(CATALOG).parquet(self.catalog_path)
 
+    def catalog(self) -> DataFrame:
+        """Live versions; one whose parent is gone has none."""
+        log = self._log()
+        gone = log.where("deleted").select(
+            F.col("dataset_id").alias("__d"), F.col("version_number").alias("__v")
+        ).distinct()
+        same = F.col("dataset_id") == F.col("__d")
+        live = log.where("NOT deleted").join(gone, same & (F.col("version_number") == F.col("__v")), "left_anti")
+        marked = live.join(gone, same & (F.col("parent_version") == F.col("__v")), "left")
+        parent = F.when(F.col("__v").isNull(), F.col("parent_version"))
+        return marked.withColumn("parent_version", parent).drop("__d", "__v", "deleted")
+
+    def _add(self, *row) -> None:
+        local_frame(self.spark, [row], CATALOG).coalesce(1).write.mode("append").parquet(self.catalog_path)
+
     def versions(self, dataset_id: str) -> DataFrame:
         """Newest first."""
         return self.catalog().where(F.col("dataset_id") == dataset_id).orderBy(F.desc("version_number"))
@@ -61,16 +79,35 @@ class Store:
 
     def append(self, df: DataFrame, dataset_id: str, stage: str, parent: int | None = None) -> int:
         """Write a new version to a path of its own and add its catalog row."""
-        number = (parent or 0) + 1
-        top = self.resolve(dataset_id)
-        if top is not None:
-            number = max(number, top["version_number"] + 1)
+        number = self._next(dataset_id, parent)
         path = f"{self.root}/dataset_id={dataset_id}/v={number}/stage={stage}"
         df.write.parquet(path)
         # counted on the written files, so the input is not computed again
         seal = table_fingerprint(self.spark.read.parquet(path)).first()
-        row = (dataset_id, number, stage, path, seal["rows"], seal["checksum"], parent)
-        local_frame(self.spark, [row], CATALOG).coalesce(1).write.mode("append").parquet(self.catalog_path)
+        self._add(dataset_id, number, stage, path, seal["rows"], seal["checksum"], parent, False)
+        return number
+
+    def _next(self, dataset_id: str, parent: int | None) -> int:
+        """A number that no version of the dataset has had, deleted ones included."""
+        used = self._log().where(F.col("dataset_id") == dataset_id).agg(F.max("version_number")).first()[0]
+        return max(used or 0, parent or 0) + 1
+
+    def delete(self, dataset_id: str, version: int) -> None:
+        """Drop a version from the catalog; the only one of a dataset stays."""
+        live = [r["version_number"] for r in self.versions(dataset_id).select("version_number").collect()]
+        if version not in live:
+            raise ValueError(f"{dataset_id!r} has no version {version}")
+        if len(live) == 1:
+            raise ValueError("the only version of a dataset cannot be deleted")
+        self._add(dataset_id, version, None, None, None, None, None, True)
+
+    def roll_back(self, dataset_id: str, version: int) -> int:
+        """Make an earlier version the latest again: a new number for the same files."""
+        row = self.resolve(dataset_id, version)
+        if row is None or row["version_number"] != version:
+            raise ValueError(f"{dataset_id!r} has no version {version}")
+        number = self._next(dataset_id, version)
+        self._add(dataset_id, number, row["stage"], row["path"], row["row_count"], row["checksum"], version, False)
         return number
 
     def ingest(self, source: str, dataset_id: str, fmt: str | None = None) -> int:

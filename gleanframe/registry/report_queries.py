@@ -114,14 +114,14 @@ def safe_summary(spark, folder):
 @query("summary_groups", f"""
 WITH {REPORT_ORDERS} SELECT tier AS segment, round(avg(spend), 2) AS mean, count(spend) AS "count" FROM report_orders GROUP BY tier ORDER BY tier LIMIT 5""")
 def summary_groups(spark, folder):
-    return summary.summary_parts(report_orders(spark, folder), ["o_orderkey"])["groups"]
+    return summary.summary_parts(report_orders(spark, folder), ["o_orderkey"])["groups"]()
 
 
 @query("summary_correlations", f"""
 WITH {REPORT_ORDERS}, pairs AS ({_pairs(REPORT_NUMBERS, 'report_orders')})
 SELECT col1, col2, round(r, 3) AS value FROM pairs WHERE r IS NOT NULL ORDER BY abs(round(r, 3)) DESC, col1, col2 LIMIT 10""")
 def summary_correlations(spark, folder):
-    return summary.summary_parts(report_orders(spark, folder), ["o_orderkey"])["correlations"]
+    return summary.summary_parts(report_orders(spark, folder), ["o_orderkey"])["correlations"]()
 
 
 @query("run_analysis_correlation", ORACLES["top_correlations"])

@@ -80,6 +80,15 @@ def test_store_keeps_versions(spark, tmp_path):
     assert store.latest().first()["version_number"] == 2
     with pytest.raises(ValueError):
         store.load("none")
+    assert store.roll_back("d", 1) == 3 and store.load("d").count() == 4
+    store.delete("d", 1)
+    assert [(r["version_number"], r["parent_version"]) for r in store.versions("d").collect()] == [(3, None), (2, None)]
+    store.delete("d", 3)
+    assert store.append(raw, "d", "raw", 2) == 4
+    store.delete("d", 4)
+    for version in (2, 9):
+        with pytest.raises(ValueError):
+            store.delete("d", version)
 
 
 def test_rules_are_approved_by_id(spark):
