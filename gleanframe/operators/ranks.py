@@ -15,6 +15,8 @@ from gleanframe.operators.columns import ident
 from gleanframe.session import materialise
 
 _SLOT, _SLICE = "__slot", "__slice"
+# rows of a group whose values one buffer may hold
+GROUP_ROWS = 50_000
 # monotonically_increasing_id keeps the partition number above this bit
 _SLOT_BITS = 33
 
@@ -121,21 +123,45 @@ def running_counts(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     )
 
 
-def grouped_quantiles(
-    df: DataFrame, by: Sequence[str], value: str, probs: dict[str, float],
-) -> DataFrame:
-    """(by…, one interpolated quantile per name), exact, for groups of any size."""
-    rows = running_counts(df.select(*by, ident(value).cast("double").alias(value)), by, value)
+def _ranked_quantiles(rows: DataFrame, by: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
+    """Quantiles per group from running counts over the global order of (group, value)."""
     aggs, outs = [], []
     for name, p in probs.items():
-        at = F.lit(p) * (F.col("total") - 1)
+        at = F.lit(float(p)) * (F.col("total") - 1)
         for side, rank in (("lo", F.floor(at)), ("hi", F.ceil(at))):
             hit = (F.col("before") <= rank) & (rank < F.col("before") + F.col("n"))
             aggs.append(F.max(F.when(hit, ident(value))).alias(f"{name}_{side}"))
         lo, hi = F.col(f"{name}_lo"), F.col(f"{name}_hi")
         outs.append((lo + (hi - lo) * (at - F.floor(at))).alias(name))
     keys = [ident(c) for c in by]
-    return rows.groupBy(*keys).agg(F.max("total").alias("total"), *aggs).select(*keys, *outs)
+    counted = running_counts(rows, by, value)
+    return counted.groupBy(*keys).agg(F.max("total").alias("total"), *aggs).select(*keys, *outs)
+
+
+def grouped_quantiles(
+    df: DataFrame, by: Sequence[str], value: str, probs: dict[str, float], *, limit: int = GROUP_ROWS,
+) -> DataFrame:
+    """(by…, one interpolated quantile per name), exact, for groups of any size.
+
+    Groups are counted first.  Those of at most ``limit`` rows fit the buffer of the built-in
+    percentile; larger ones are sorted across partitions.  Null groups are left out.
+    """
+    keys = [ident(c) for c in by]
+    rows = df.select(*keys, ident(value).cast("double").alias(value)).dropna()
+    large = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > limit).select(*keys)
+    wanted = F.percentile(ident(value), F.array(*[F.lit(float(p)) for p in probs.values()])).alias("__q")
+
+    def picked(some: DataFrame) -> DataFrame:
+        return some.groupBy(*keys).agg(wanted).select(
+            *keys, *[F.col("__q")[i].alias(name) for i, name in enumerate(probs)]
+        )
+
+    if large.isEmpty():
+        return picked(rows)
+    large = materialise(large, "large-groups")
+    return picked(rows.join(large, list(by), "left_anti")).unionByName(
+        _ranked_quantiles(rows.join(large, list(by), "left_semi"), by, value, probs)
+    )
 
 
 def first_per_key(

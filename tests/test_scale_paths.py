@@ -73,8 +73,12 @@ def test_running_counts_and_group_medians(spark):
     for r in got.itertuples():
         same = d[d.g == r.g]["v"]
         assert r.before == (same < r.v).sum() and r.n == (same == r.v).sum() and r.total == len(same)
-    medians = {r["g"]: r["m"] for r in ranks.grouped_quantiles(df, ["g"], "v", {"m": 0.5}).collect()}
-    assert medians == d.groupby("g")["v"].median().to_dict()
+    d["g"] = np.where(rng.random(4000) < 0.1, "few", d["g"])
+    df = spark.createDataFrame(d).unionAll(spark.createDataFrame([(None, 1.0), ("hot", None)], "g string, v double"))
+    for limit in (10**6, 1000, 0):
+        got = ranks.grouped_quantiles(df, ["g"], "v", {"m": 0.5, "p": 0.1}, limit=limit).collect()
+        assert {r["g"]: r["m"] for r in got} == d.groupby("g")["v"].median().to_dict()
+        assert {r["g"]: r["p"] for r in got} == pytest.approx(d.groupby("g")["v"].quantile(0.1).to_dict())
 
 
 @pytest.mark.parametrize("broadcast_rows", [10**6, 0])
