@@ -19,9 +19,9 @@ def attach(
 ) -> DataFrame:
     """Left join ``lookup`` (unique ``value``, ``weight`` = its rows in ``df``) on ``value``.
 
-    The lookup is counted first, unless its rows and total weight are given as ``size``.  A small one is broadcast.  A large one is joined by
-    shuffle, and its hot values, fewer than ``HOT_SHARE`` by construction, are spread
-    over ``SALTS`` partitions on both sides.
+    The lookup is counted first, unless its rows and total weight are given as ``size``.
+    A small one is broadcast.  A large one is joined by shuffle, and its hot values, fewer
+    than ``HOT_SHARE`` by construction, are spread over ``SALTS`` partitions on both sides.
     """
     payload = [c for c in lookup.columns if c not in (value, weight)]
     right = lookup.select(

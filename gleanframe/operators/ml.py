@@ -319,11 +319,3 @@ def score_fallback(df: DataFrame, columns: Sequence[str] | None = None, order_by
         return df.withColumn("prediction", F.round(total / len(numeric), 2))
     ranked = positions(df, list(order_by) or df.columns, name="__i")
     return ranked.withColumn("prediction", F.round(1.0 + F.col("__i") * 0.5, 2)).drop("__i")
-
-
-__all__ = [
-    "CLASSIFIERS", "CLUSTERERS", "REGRESSORS", "Trained", "add_missing_features",
-    "cluster_count", "cluster_sizes", "feature_columns", "fit_preprocessing", "load",
-    "preprocessing", "save", "score", "score_fallback", "split_features", "split_rows", "train",
-    "train_clusters",
-]

@@ -16,7 +16,7 @@ from gleanframe.operators.columns import (
     numeric_columns, present, text_columns, unpivot_numbers, unpivot_text,
 )
 from gleanframe.operators.quantiles import exact_quantiles, quantile_frame, upper_medians
-from gleanframe.operators.ranks import grouped_quantiles, running_counts
+from gleanframe.operators.ranks import grouped_quantiles
 from gleanframe.session import local_frame
 
 DIGITS = 4
@@ -396,12 +396,3 @@ def profile_table(df: DataFrame) -> DataFrame:
     if texts:
         out = out.join(F.broadcast(string_lengths(df, texts)), "column", "left")
     return out
-
-
-__all__ = [
-    "box_plot_stats", "describe_numeric", "describe_population", "distinct_profile", "health_score",
-    "histogram", "kurtosis", "null_profile", "outlier_counts", "percent", "profile_table",
-    "quantiles", "running_counts", "segment_compare", "segment_stats", "skewness",
-    "small_group_means", "string_lengths", "table_quality", "top_category", "top_values",
-    "value_counts",
-]
