@@ -2,33 +2,49 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructType
 
 from gleanframe.operators.columns import ident
 
-# a lookup of at most this many rows is sent to every executor
+# a lookup of at most this many rows and bytes of text is sent to every executor
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 32 * 1024 * 1024
 # a value with more than 1/HOT_SHARE of all rows is salted; there are fewer than HOT_SHARE of them
 HOT_SHARE = 1000
 SALTS = 64
 
 
+def _text_bytes(df: DataFrame) -> Column:
+    """Bytes of a row beyond its fixed-width cells."""
+    total = F.lit(0).cast("bigint")
+    for f in df.schema.fields:
+        if isinstance(f.dataType, (StringType, BinaryType)):
+            total = total + F.coalesce(F.octet_length(ident(f.name)), F.lit(0))
+        elif isinstance(f.dataType, (ArrayType, MapType, StructType)):
+            total = total + F.coalesce(F.octet_length(F.to_json(ident(f.name))), F.lit(0))
+    return total
+
+
 def attach(
     df: DataFrame, lookup: DataFrame, value: str, *, weight: str = "n",
-    broadcast_rows: int = BROADCAST_ROWS, size: tuple[int, int] | None = None,
+    broadcast_rows: int = BROADCAST_ROWS, size: tuple[int, int, int] | None = None,
 ) -> DataFrame:
     """Left join ``lookup`` (unique ``value``, ``weight`` = its rows in ``df``) on ``value``.
 
-    The lookup is counted first, unless its rows and total weight are given as ``size``.
-    A small one is broadcast.  A large one is joined by shuffle, and its hot values, fewer
-    than ``HOT_SHARE`` by construction, are spread over ``SALTS`` partitions on both sides.
+    The lookup is measured first, unless its (rows, total weight, bytes of text) are given
+    as ``size``.  A small one is broadcast.  A large one is joined by shuffle, and its hot
+    values, fewer than ``HOT_SHARE`` by construction, are spread over ``SALTS`` partitions
+    on both sides; copies of one whole row share a salt and are left to the skew join.
     """
     payload = [c for c in lookup.columns if c not in (value, weight)]
     right = lookup.select(
         ident(value).alias("__value"), ident(weight).alias("__weight"), *[ident(c) for c in payload]
     )
-    rows, total = size or right.agg(F.count(F.lit(1)), F.sum("__weight")).first()
-    if rows <= broadcast_rows:
+    rows, total, text = size or right.agg(
+        F.count(F.lit(1)), F.sum("__weight"), F.coalesce(F.sum(_text_bytes(right)), F.lit(0))
+    ).first()
+    if rows <= broadcast_rows and text <= BROADCAST_BYTES:
         joined = df.join(F.broadcast(right), ident(value) == F.col("__value"), "left")
         return joined.drop("__value", "__weight")
     is_hot = F.col("__weight") > F.lit(total / HOT_SHARE)

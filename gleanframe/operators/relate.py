@@ -8,7 +8,7 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gleanframe.functions.stats import correlation_strength, pearson
+from gleanframe.functions.stats import correlation_strength
 from gleanframe.operators.columns import (
     CHUNK, aggregate_row, as_double, categorical_columns, ident, numbers, numeric_columns,
 )
@@ -78,13 +78,15 @@ def spearman_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
     the rows it shares.
     """
     columns = list(columns or numeric_columns(df))
-    slim = numbers(df, columns)
     places = range(len(columns))
-    row = aggregate_row(slim, ["count(1) AS rows", *[f"count(x{i}) AS n{i}" for i in places]])
-    gappy = {i for i in places if row[f"n{i}"] < row["rows"]}
     pairs = list(combinations(places, 2))
     if not pairs:
-        return _pair_frame(slim, [], [])
+        return _pair_frame(df, [], [])
+    slim = numbers(df, columns)
+    row = aggregate_row(slim, ["count(1) AS rows", *[f"count(x{i}) AS n{i}" for i in places]])
+    gappy = {i for i in places if row[f"n{i}"] < row["rows"]}
+    # copies of a row are one row with a weight from here on
+    slim = materialise(slim.groupBy(*slim.columns).agg(F.count(F.lit(1)).alias("w")), "weighted-rows")
 
     def needed(i: int, partner: int) -> str:
         return f"r{i}_{partner}" if partner in gappy else f"r{i}"
@@ -94,10 +96,12 @@ def spearman_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
         for a, b in ((i, j), (j, i)):
             sources[needed(a, b)] = (a, f"IF(x{b} IS NULL, NULL, x{a})" if b in gappy else f"x{a}")
     cells = F.array(*[F.struct(F.lit(k).alias("key"), F.expr(e).alias("value")) for k, (_, e) in sources.items()])
-    values = slim.select(F.explode(cells).alias("c")).select("c.key", "c.value")
-    counts = running_counts(values, ["key"], "value")
-    ranks = materialise(counts.select(
-        "key", "value", "n", (F.col("before") + (F.col("n") + 1) / 2).alias("rank")
+    counted = (
+        slim.select(F.explode(cells).alias("c"), "w").select("c.key", "c.value", "w").where("value IS NOT NULL")
+        .groupBy("key", "value").agg(F.sum("w").alias("n"))
+    )
+    ranks = materialise(running_sums(counted, ["key"], "value", ["n"]).select(
+        "key", "value", "n", (F.col("before_n") + (F.col("n") + 1) / 2).alias("rank")
     ), "ranks")
     sizes = {
         r["key"]: (r["rows"], r["total"])
@@ -106,14 +110,22 @@ def spearman_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
     ranked = slim
     for key, (i, _) in sources.items():
         lookup = ranks.where(F.col("key") == key).select(F.col("value").alias(f"x{i}"), "n", F.col("rank").alias(key))
-        ranked = attach(ranked, lookup, f"x{i}", size=sizes.get(key, (0, 0)))
+        ranked = attach(ranked, lookup, f"x{i}", size=(*sizes.get(key, (0, 0)), 0))
+
+    def r(i: int, j: int) -> str:
+        if any(sizes.get(k, (0, 0))[0] < 2 for k in (needed(i, j), needed(j, i))):
+            return "CAST(NULL AS DOUBLE)"
+        both = f"x{i} IS NOT NULL AND x{j} IS NOT NULL"
+        # ranks run from 1 to the number of rows, so half of that is a good centre
+        dx, dy = [f"IF({both}, {k} - {row['rows'] / 2!r}D, NULL)" for k in (needed(i, j), needed(j, i))]
+        n = f"sum(IF({both}, w, 0))"
 
-    def expr(i: int, j: int) -> Column:
-        both = F.col(f"x{i}").isNotNull() & F.col(f"x{j}").isNotNull()
-        return pearson(F.when(both, F.col(needed(i, j))), F.when(both, F.col(needed(j, i))))
+        def moment(a: str, b: str) -> str:
+            return f"(sum(w * {a} * {b}) - try_divide(sum(w * {a}) * sum(w * {b}), {n}))"
+        return f"try_divide({moment(dx, dy)}, sqrt({moment(dx, dx)} * {moment(dy, dy)}))"
 
     return _pair_frame(
-        ranked, [(columns[i], columns[j]) for i, j in pairs], [expr(i, j) for i, j in pairs]
+        ranked, [(columns[i], columns[j]) for i, j in pairs], [F.expr(r(i, j)) for i, j in pairs]
     )
 
 

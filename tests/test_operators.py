@@ -88,6 +88,10 @@ def test_constant_column_has_no_correlation(spark):
     pairs = {(r["col1"], r["col2"]): r["r"] for r in relate.pearson_pairs(df).collect()}
     assert pairs["k", "a"] is None and pairs["a", "b"] == pytest.approx(1.0)
     assert relate.ranked_pairs(df).count() == 1
+    ranks = {(r["col1"], r["col2"]): r["r"] for r in relate.spearman_pairs(df).collect()}
+    assert ranks["k", "a"] is None and ranks["a", "b"] == pytest.approx(1.0)
+    gaps = spark.createDataFrame([(5.0, 1.0), (5.0, 2.0), (7.0, None), (None, 4.0)], "a double, b double")
+    assert relate.spearman_pairs(gaps).first()["r"] is None
     assert relate.correlation_matrix(df.select("a")).count() == 0
 
 
