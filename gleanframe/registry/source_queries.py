@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import io
+import sys
 import zipfile
 from xml.sax.saxutils import escape
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from gleanframe.registry.base import query, table
@@ -88,6 +90,9 @@ def table_fingerprint(spark, folder):
     return sinks.table_fingerprint(table(spark, folder, "orders"))
 
 
+# the function below travels to the workers whole
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _SHEET = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
 _REL = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
 _PACKAGE = "http://schemas.openxmlformats.org/package/2006/relationships"
