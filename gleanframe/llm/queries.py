@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gleanframe.llm import bpe, exact_dedup, packing, urls
+from gleanframe.llm import bpe, exact_dedup, langid, packing, pii, quality, urls
+from gleanframe.llm.rows import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -28,6 +29,24 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+# pseudonyms of the test tables; a deployment brings its own secret
+PII_KEY = b"test tables only"
+
+
+@query("op3_pii")
+def pii_query(spark: SparkSession, folder: str) -> DataFrame:
+    done = pii.pseudonymise(table(spark, folder, "documents"), PII_KEY, keep=("doc_id", "text"))
+    return done.select("doc_id", "text", F.size("spans").cast("bigint").alias("n_replaced"))
+
+
+@query("op4_language_id")
+def language_id(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    held_out = fold(F.col("doc_id"), 4) == 2
+    trees = langid.fit(documents.where(~held_out))
+    return langid.predict(documents, trees).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 URL_RULES = [
     urls.UrlRule("block", "net"),
     urls.UrlRule("allow", "example.net", "/en/"),
@@ -73,3 +92,36 @@ def bpe_query(spark: SparkSession, folder: str) -> DataFrame:
     return done.select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+_SPLIT = "list_filter(string_split_regex({}, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '')"
+
+
+@query("op9_quality", f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS t FROM documents),
+s AS (SELECT doc_id, r, t, {_SPLIT.format("t")} AS w,
+  list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^ \\t\\n\\x0B\\f\\r]')) AS lines FROM d),
+g AS (SELECT r, i, w[i] || chr(10) || w[i + 1] || chr(10) || w[i + 2] AS g
+  FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM s)),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM g) WHERE n > 1),
+covered AS (SELECT r, count(DISTINCT i + j) AS n FROM twice, (VALUES (0), (1), (2)) AS o(j) GROUP BY r),
+good AS (SELECT r, list_filter(lines, lambda l: NOT (
+  len(list_filter(['lorem ipsum', 'javascript', 'cookie', 'privacy policy', 'terms of use', 'terms of service',
+    'all rights reserved', 'sign in', 'sign up', 'subscribe', 'click here', 'read more', 'share this',
+    'released under the', 'copyright ©', '{{', '}}'], lambda p: contains(lower(l), p))) > 0
+  OR length(regexp_replace(l, '[^#*$%&|<>]', '', 'g')) * 100 > length(l) * 8
+  OR length(regexp_replace(l, '[^|»›•·]', '', 'g')) >= 3
+  OR (upper(l) = l AND lower(l) <> l AND len({_SPLIT.format("l")}) >= 3)
+  OR (NOT regexp_matches(rtrim(l, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '[.!?…:;"”’»)\\]'']$')
+    AND len({_SPLIT.format("l")}) >= 8))) AS good FROM s),
+m AS (SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+  length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+  len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words,
+  length(regexp_replace(array_to_string(good, ''), '[ \\t\\n\\x0B\\f\\r]', '', 'g')) AS clean
+  FROM s JOIN good USING (r) LEFT JOIN covered USING (r))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * clean >= 50 * word_chars AS kept FROM m
+""")
+def quality_query(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.clean_lines(table(spark, folder, "documents")).drop("clean_text", "lines_removed")

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import sys
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -16,12 +18,33 @@ from gleanframe.operators.columns import ident
 STEP_BYTES = 4 << 20
 
 
+# values that a worker holds on to; the longest unused goes first
+KEPT = 6
+
+
 def kept(key, make: Callable):
     """A value that outlives the task in a reused Python worker, such as a loaded vocabulary."""
     store = sys.__dict__.setdefault("_gleanframe_kept", {})
-    if key not in store:
-        store[key] = make()
-    return store[key]
+    value = store.pop(key) if key in store else make()
+    store[key] = value
+    while len(store) > KEPT:
+        del store[next(iter(store))]
+    return value
+
+
+class Sent:
+    """A driver-side value of bounded size on every worker, loaded once per worker.
+
+    It travels with its classes, so the package need not be installed there.
+    """
+
+    def __init__(self, spark: SparkSession, value):
+        self.name = uuid.uuid4().hex
+        self.packed = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    @property
+    def value(self):
+        return kept(self.name, lambda: cloudpickle.loads(self.packed.value))
 
 
 def steps(batches: Iterator[pa.RecordBatch], limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-from gleanframe.llm.rows import map_steps, picked
+from gleanframe.llm.rows import Sent, map_steps, picked
 
 # rules that are broadcast; a longer list is refused, never cut
 MAX_RULES = 2_000_000
@@ -93,7 +93,7 @@ def judge_urls(
     ``default`` and the rule null.  Null URLs and those without ``://`` have an empty host and
     path, which no rule fits.  Repeated rows are judged alike, an empty table gives an empty one.
     """
-    trie = df.sparkSession.sparkContext.broadcast(UrlTrie(rules))
+    trie = Sent(df.sparkSession, UrlTrie(rules))
 
     def judge(columns):
         hosts, paths, names, verdicts = [], [], [], []
