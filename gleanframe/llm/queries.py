@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gleanframe.llm import bpe, exact_dedup, langid, packing, pii, quality, urls
+from gleanframe.llm import bpe, exact_dedup, html, langid, packing, pii, quality, toxicity, urls
 from gleanframe.llm.rows import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,19 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query("op1_html_text")
+def html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html.extract_text(table(spark, folder, "pages"))
+
+
+@query("op2_toxicity")
+def toxicity_query(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    held_out = fold(F.col("doc_id"), 5) == 0
+    grammar = toxicity.fit(documents, table(spark, folder, "labels").where(~held_out))
+    return toxicity.score(documents, grammar).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 # pseudonyms of the test tables; a deployment brings its own secret
 PII_KEY = b"test tables only"
 
