@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gleanframe.llm import bpe, exact_dedup, html, langid, packing, pii, quality, toxicity, urls
+from gleanframe.llm import bpe, exact_dedup, html, jaccard, langid, packing, pii, quality, toxicity, urls
 from gleanframe.llm.rows import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -138,3 +138,21 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 """)
 def quality_query(spark: SparkSession, folder: str) -> DataFrame:
     return quality.clean_lines(table(spark, folder, "documents")).drop("clean_text", "lines_removed")
+
+
+@query("op10_ngram_jaccard", r"""
+WITH RECURSIVE t AS (SELECT doc_id, list_filter(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0B\f\r]+'),
+    lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) AS i FROM t WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b USING (s) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r(v, l) AS (SELECT doc_id, doc_id FROM n UNION SELECT u.b, r.l FROM r JOIN u ON u.a = r.v)
+SELECT t.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(m.l, t.doc_id) AS component_id
+FROM t LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT v, min(l) AS l FROM r GROUP BY v) m ON m.v = t.doc_id
+""")
+def ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.similar_classes(table(spark, folder, "documents"), words=4, percent=85)
