@@ -23,9 +23,7 @@ SEQUENCE_TOKENS = 2048
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts in one of the languages that the labelled documents teach."""
     trees = langid.fit(docs.where(fold(F.col("doc_id"), 4) != 2))
-    rest = tuple(c for c in docs.columns if c != "doc_id")
-    judged = langid.predict(docs, trees, carry=rest)
-    return judged.where(langid.accepted(F.col("bits_per_byte"), F.col("lang_pred"))).select(*docs.columns)
+    return langid.accepted(docs, trees)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

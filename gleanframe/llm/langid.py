@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from gleanframe.llm.rows import Sent, kept, map_steps, picked, text_bytes
 from gleanframe.operators.columns import ident
@@ -160,8 +160,25 @@ def fit(
     return Trees(languages, (which.astype(np.int64), grams.astype(np.uint32), counts.astype(np.float64)))
 
 
-def predict(df: DataFrame, trees: Trees, *, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """(key, lang_pred, score, bits_per_byte, carry…), one row per input row.
+def _judge(sent: Sent, names: list[str], contents: list[bytes]) -> tuple[list, np.ndarray, list]:
+    """(language, score, bits per byte) of each text."""
+    model = kept(("costs", sent.name), lambda: Costs(sent.value))
+    letter = kept("letter", lambda: regex.compile(_LETTER))
+    known = np.array([bool(names) and letter.search(t.decode()) is not None for t in contents], bool)
+    out, score, each = ["und"] * len(contents), np.zeros(len(contents)), [None] * len(contents)
+    if known.any():
+        at = np.flatnonzero(known)
+        bits, n = model.lengths([contents[i] for i in at])
+        best = bits.argmin(1)
+        least = bits[np.arange(len(at)), best]
+        score[at] = 1 / np.exp2(np.minimum(least[:, None] - bits, 0)).sum(1)
+        for i, b, length, size in zip(at, best, least, n):
+            out[i], each[i] = names[b], length / size
+    return out, score, each
+
+
+def predict(df: DataFrame, trees: Trees, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, lang_pred, score, bits_per_byte), one row per input row.
 
     The language with the shortest code wins, the first in order among equals; the score is its
     share of 2^-length over all languages.  A null text, one without a letter, and every text
@@ -170,28 +187,25 @@ def predict(df: DataFrame, trees: Trees, *, key: str = "doc_id", text: str = "te
     sent, names = Sent(df.sparkSession, trees), trees.languages
 
     def run(columns):
-        model = kept(("costs", sent.name), lambda: Costs(sent.value))
-        contents = text_bytes(columns[text])
-        letter = kept("letter", lambda: regex.compile(_LETTER))
-        known = np.array([bool(names) and letter.search(t.decode()) is not None for t in contents], bool)
-        out, score, each = ["und"] * len(contents), np.zeros(len(contents)), [None] * len(contents)
-        if known.any():
-            at = np.flatnonzero(known)
-            bits, n = model.lengths([contents[i] for i in at])
-            best = bits.argmin(1)
-            least = bits[np.arange(len(at)), best]
-            score[at] = 1 / np.exp2(np.minimum(least[:, None] - bits, 0)).sum(1)
-            for i, b, length, size in zip(at, best, least, n):
-                out[i], each[i] = names[b], length / size
-        return [columns[key], out, score, pa.array(each, pa.float64()), *[columns[c] for c in carry]]
-
-    def ddl(name: str) -> str:
-        return f"`{name}` {df.schema[name].dataType.simpleString()}"
-
-    schema = ", ".join([ddl(key), "lang_pred string, score double, bits_per_byte double", *map(ddl, carry)])
-    return map_steps(picked(df, list(dict.fromkeys([key, text, *carry]))), run, schema)
-
-
-def accepted(bits: Column, language: Column) -> Column:
-    """Texts in a learned language: not ``und``, and coded in fewer bits than a plain byte has."""
-    return (language != "und") & (bits < 8)
+        out, score, each = _judge(sent, names, text_bytes(columns[text]))
+        return columns[key], out, score, pa.array(each, pa.float64())
+
+    kind = df.schema[key].dataType.simpleString()
+    return map_steps(picked(df, [key, text]), run, f"`{key}` {kind}, lang_pred string, score double, bits_per_byte double")
+
+
+def accepted(df: DataFrame, trees: Trees, *, text: str = "text") -> DataFrame:
+    """The rows, with all columns, whose text is in a learned language.
+
+    Rejected are ``und`` and what its best language codes in as many bits as plain bytes have.
+    """
+    sent, names = Sent(df.sparkSession, trees), trees.languages
+
+    def run(columns):
+        *_, each = _judge(sent, names, text_bytes(columns["__text"]))
+        keep = pa.array([b is not None and b < 8 for b in each], pa.bool_())
+        return [c.filter(keep) for name, c in columns.items() if name != "__text"]
+
+    source = df.select(*[ident(c).alias(f"c{i}") for i, c in enumerate(df.columns)], ident(text).alias("__text"))
+    schema = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(df.schema.fields))
+    return map_steps(source, run, schema).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(df.columns)])
