@@ -31,6 +31,7 @@ FREQUENT = 16
 RANGE, MOST_BITS = 1 << 20, 27
 # bits of the parity sketch of a set, in 64-bit words
 SKETCH = 8
+SKETCHES = [f"p{i}" for i in range(SKETCH)]
 # bits of the id filter that spares texts outside all lists the making of their sets
 FILTER_BITS = 23
 
@@ -173,10 +174,6 @@ def _posted(columns, words: int, percent: int, boundary: int, maps: dict):
     return [_signed(merged["list"]), merged["id"], merged["n"], merged["one"], merged["rare"]]
 
 
-def _sizes_fit(a: Column, b: Column, percent: int) -> Column:
-    return (100 * a >= percent * b) & (100 * b >= percent * a)
-
-
 def _id_filter(ids: DataFrame) -> DataFrame:
     """A bitmap of 2^FILTER_BITS bits over hashed ids, as 64-bit words (w, b)."""
     slots = ids.select(_slot("id").alias("s"))
@@ -200,8 +197,26 @@ def _sets_of(rows: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     return map_steps(near, run, "id bigint, shingles array<bigint>").join(ids, "id", "left_semi")
 
 
-def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar."""
+def _near(a: str, b: str, percent: int) -> Column:
+    """Whether the sizes and parity sketches of sides a and b leave room for a link.
+
+    Two sets differ in as many shingles as their sketches differ in bits, or in more.
+    """
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    differ = F.lit(0)
+    for c in SKETCHES:
+        differ = differ + F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}")))
+    return (100 * n >= percent * m) & (100 * m >= percent * n) & ((100 + percent) * differ <= (100 - percent) * (n + m))
+
+
+def _links(pairs: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose whole sets are similar.
+
+    Only texts that are in a pair have their sets made and moved.
+    """
+    pairs = materialise(pairs, "pairs")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets = materialise(_sets_of(rows, ids, words), "sets")
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
@@ -222,14 +237,13 @@ def similar_classes(
     by 64-bit hashes.
     """
     rows = df.select(ident(key).cast("bigint").alias("id"), ident(text).cast("string").alias("text"))
-    sketch = [f"p{i}" for i in range(SKETCH)]
     described = materialise(map_steps(
         rows, lambda c: _described(c, words),
-        "id bigint, n bigint, one bigint, two bigint, " + ", ".join(f"{c} bigint" for c in sketch),
+        "id bigint, n bigint, one bigint, two bigint, " + ", ".join(f"{c} bigint" for c in SKETCHES),
     ), "shingle-sets")
     # one row per set: equal sets are one member, under their smallest id
     members = described.where("n > 0 AND id IS NOT NULL").groupBy("n", "one", "two").agg(
-        F.min("id").alias("id"), *[F.first(c).alias(c) for c in sketch],
+        F.min("id").alias("id"), *[F.first(c).alias(c) for c in SKETCHES],
     )
     members = materialise(members, "members")
     small = members.groupBy(F.least("n", F.lit(MOST_SMALL + 1)).alias("n")).agg(
@@ -250,32 +264,24 @@ def similar_classes(
     lists = materialise(lists.select("list", "id", "n", "rare"), "lists")
     # the most central member of each list that has more than one
     centre = lists.groupBy("list").agg(F.min(F.struct("rare", "n", "id")).alias("p"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    met = materialise(
-        lists.join(centre.select("list", F.col("p.id").alias("centre"), F.col("p.n").alias("m")), "list"), "lists-met",
-    )
-    sets = materialise(_sets_of(texts, met.select("id").distinct(), words), "sets")
-    first = met.where((F.col("id") != F.col("centre")) & _sizes_fit(F.col("n"), F.col("m"), percent)).select(
+    met = materialise(lists.join(centre.select("list", F.col("p.id").alias("centre")), "list"), "lists-met")
+    sides = members.select("id", "n", *SKETCHES)
+    stars = met.where(F.col("id") != F.col("centre")).select(
         F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b"),
     ).distinct()
-    first_links = materialise(_links(first, sets, percent), "links")
+    x, y = sides.alias("x"), sides.alias("y")
+    likely = stars.join(x, F.col("a") == F.col("x.id")).join(y, F.col("b") == F.col("y.id")).where(_near("x", "y", percent))
+    first_links = materialise(_links(likely.select("a", "b"), texts, words, percent), "links")
     parts = components(first_links)
     # lists that still hold more than one part
-    placed = met.select("list", "id", "n").join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    placed = met.select("list", "id").join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
     placed = materialise(placed, "placed")
     open_lists = placed.groupBy("list").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("list")
-    told = materialise(
-        placed.join(open_lists, "list", "left_semi").join(members.select("id", *sketch), "id"), "open-lists",
-    )
+    told = materialise(placed.join(open_lists, "list", "left_semi").join(sides, "id"), "open-lists")
     a, b = told.alias("a"), told.alias("b")
-    differ = sum((F.bit_count(F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}"))) for c in sketch[1:]),
-                 F.bit_count(F.col("a.p0").bitwiseXOR(F.col("b.p0"))))
-    # the sets differ in as many shingles as their parity sketches in bits, or more
-    near = (100 + percent) * differ <= (100 - percent) * (F.col("a.n") + F.col("b.n"))
-    others = a.join(b, (
-        (F.col("a.list") == F.col("b.list")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.component") != F.col("b.component"))
-        & _sizes_fit(F.col("a.n"), F.col("b.n"), percent) & near
-    )).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
-    more = _links(others, sets, percent)
+    apart = (F.col("a.list") == F.col("b.list")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.component") != F.col("b.component"))
+    others = a.join(b, apart & _near("a", "b", percent)).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    more = _links(others, texts, words, percent)
     final = components(first_links.unionByName(more))
     classes = members.select("n", "one", "two", "id").join(final, "id", "left").select(
         F.col("n").alias("__n"), F.col("one").alias("__one"), F.col("two").alias("__two"),
