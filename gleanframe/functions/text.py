@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from math import isfinite
 
 from pyspark.sql import Column, functions as F
 
@@ -58,6 +59,11 @@ def finite(c: Column) -> Column:
     return F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c)
 
 
+def sql_double(x: float) -> str:
+    """A Python number as a SQL literal, infinities and NaN included."""
+    return f"{x!r}D" if isfinite(x) else f"DOUBLE('{x}')"
+
+
 def mask(c: Column) -> Column:
     return F.when(c.isNotNull() & (c != ""), F.lit(MASK)).otherwise(c)
 

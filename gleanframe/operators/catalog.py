@@ -100,8 +100,9 @@ def delete_version(
 ) -> DataFrame:
     """Drop version ``wanted`` of every key that has another one; its children lose their parent."""
     counts = versions.groupBy(ident(key).alias("__key")).agg(F.count(F.lit(1)).alias("__n"))
-    sized = versions.join(counts, ident(key) == F.col("__key"))
-    goes = (ident(number) == wanted) & (F.col("__n") > 1)
+    sized = versions.join(counts, ident(key).eqNullSafe(F.col("__key")))
+    # a version without a number is not the wanted one
+    goes = F.coalesce((ident(number) == wanted) & (F.col("__n") > 1), F.lit(False))
     orphan = (ident(parent) == wanted) & (F.col("__n") > 1)
     return sized.where(~goes).select(*[
         F.when(~F.coalesce(orphan, F.lit(False)), ident(c)).alias(c) if c == parent else ident(c)
@@ -113,7 +114,7 @@ def version_lineage(versions: DataFrame, key: str, parent: str) -> DataFrame:
     """(key, root, depth): first ancestor of each version and the number of steps to it.
 
     Every round doubles the distance covered, so a chain of n versions takes log2(n)
-    rounds of one join.
+    rounds of one join; a table that needs more has a cycle and is refused.
     """
     rows = versions.select(ident(key).alias("id"), ident(parent).alias("up"))
     known = rows.select(F.col("id").alias("__known"))
@@ -121,8 +122,8 @@ def version_lineage(versions: DataFrame, key: str, parent: str) -> DataFrame:
         "id", F.coalesce("__known", "id").alias("root"),
         F.when(F.col("__known").isNotNull(), 1).otherwise(0).cast("bigint").alias("depth"),
     )
-    while True:
-        jumps = materialise(jumps, "lineage")
+    jumps = materialise(jumps, "lineage")
+    for _ in range(jumps.count().bit_length() + 1):
         ahead = jumps.select(
             F.col("id").alias("__id"), F.col("root").alias("__root"), F.col("depth").alias("__depth")
         )
@@ -137,3 +138,4 @@ def version_lineage(versions: DataFrame, key: str, parent: str) -> DataFrame:
         jumps = moved.drop("moved")
         if moved.where("moved").isEmpty():
             return jumps.select(F.col("id").alias(key), "root", "depth")
+    raise ValueError("the parents of some versions form a cycle")

@@ -18,6 +18,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import NumericType
 
+from gleanframe.functions.text import sql_double
 from gleanframe.operators.columns import as_double, ident
 from gleanframe.operators.metrics import (
     calinski_harabasz, classification_metrics, distribution, regression_metrics,
@@ -81,7 +82,7 @@ def preprocessing(df: DataFrame, features: Sequence[str]) -> list:
         for i, c in enumerate(numeric):
             q, fill = _quoted(c), middle[c] if middle[c] is not None else 0.0
             number = f"CAST({q} AS DOUBLE)"
-            fills.append(f"COALESCE(IF(ISNAN({number}), NULL, {number}), {fill!r}D) AS __num{i}")
+            fills.append(f"COALESCE(IF(ISNAN({number}), NULL, {number}), {sql_double(fill)}) AS __num{i}")
     texts = df.select(*[ident(c).cast("string").alias(c) for c in other])
     tops = {r["column"]: r for r in top_category(texts, other).collect()} if other else {}
     for i, c in enumerate(other):
@@ -141,7 +142,7 @@ def split_rows(df: DataFrame, key: Sequence[str], folds: int = 5) -> tuple[DataF
 def spread(df: DataFrame) -> DataFrame:
     """At least one partition per core; a table of few files would train on few of them."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores)
 
 
 def _regressor(kind: str, train: DataFrame):
@@ -251,10 +252,10 @@ def cluster_count(rows: int) -> int:
     return min(4, max(2, rows // 10))
 
 
-def train_clusters(df: DataFrame, features: Sequence[str], starts: int = 1) -> Trained:
+def train_clusters(df: DataFrame, features: Sequence[str], starts: int = 10) -> Trained:
     """K-means on the prepared features; the best of several starts by its cost.
 
-    The parallel seeding makes one start the rule; each further one costs a full fit.
+    Each start costs a full fit on the prepared points.
     """
     names = list(features)
     rows = spread(materialise(df.select(*[ident(c) for c in names]), "clusters"))

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from math import isfinite
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import StringType
 
 from gleanframe.functions.constants import HEALTH_MISSING_TEXTS
 from gleanframe.functions.stats import skewness_adjusted
+from gleanframe.functions.text import finite, sql_double
 from gleanframe.operators.clean import comparable, iqr_bounds
 from gleanframe.operators.columns import (
-    CHUNK, aggregate_row, as_double, as_text, categorical_columns, ident, long_aggregates, numbers,
+    CHUNK, aggregate_row, as_double, as_text, categorical_columns, fractional_columns, ident, long_aggregates, numbers,
     numeric_columns, present, text_columns, unpivot_numbers, unpivot_text,
 )
 from gleanframe.operators.quantiles import exact_quantiles, quantile_frame, upper_medians
@@ -49,8 +51,12 @@ def distinct_profile(df: DataFrame, approximate: bool = False) -> DataFrame:
             "distinct_count": ("bigint", lambda c: F.approx_count_distinct(as_text(df, c), 0.02)),
         })
     none = local_frame(df.sparkSession, [(c,) for c in df.columns], "column string")
+    # adding zero makes one value of both zeros
+    same = df.select(*[
+        (ident(c) + F.lit(0.0)).cast(df.schema[c].dataType).alias(c) if c in fractional_columns(df) else ident(c) for c in df.columns
+    ])
     counted = (
-        unpivot_text(df, df.columns).groupBy("column", "value").agg(F.lit(1).alias("one"))
+        unpivot_text(same, df.columns).groupBy("column", "value").agg(F.lit(1).alias("one"))
         .groupBy("column").agg(F.count("one").alias("distinct_count"))
     )
     # both sides have one row per column
@@ -131,9 +137,11 @@ def describe_numeric(df: DataFrame, columns: Sequence[str] | None = None) -> Dat
     columns = list(columns or numeric_columns(df))
     quartiles = exact_quantiles(df, columns, [0.25, 0.5, 0.75])
     kept = [c for c in columns if quartiles[c][0] is not None]
+    # a column whose middle is infinite is not shifted; its moments are not finite either way
+    centres = [quartiles[c][1] if isfinite(quartiles[c][1]) else 0.0 for c in kept]
     shifted = numbers(df, kept).selectExpr(
         *[f"x{i}" for i in range(len(kept))],
-        *[f"x{i} - {quartiles[c][1]!r}D AS d{i}" for i, c in enumerate(kept)],
+        *[f"x{i} - {centre!r}D AS d{i}" for i, centre in enumerate(centres)],
     )
     frames = []
     for start in range(0, len(kept), CHUNK // 8):
@@ -145,12 +153,12 @@ def describe_numeric(df: DataFrame, columns: Sequence[str] | None = None) -> Dat
             sums += [
                 f"count(x{i}) AS n{i}", f"sum(d{i}) AS d1_{i}", f"sum(d{i} * d{i}) AS d2_{i}",
                 f"sum(d{i} * d{i} * d{i}) AS d3_{i}", f"min(x{i}) AS min{i}", f"max(x{i}) AS max{i}",
-                f"count_if(x{i} < {low!r}D OR x{i} > {high!r}D) AS out{i}",
+                f"count_if(x{i} < {sql_double(low)} OR x{i} > {sql_double(high)}) AS out{i}",
             ]
             rows.append(F.struct(
                 F.lit(c).alias("column"), "rows", F.col(f"n{i}").alias("count"),
                 F.col(f"d1_{i}").alias("d1"), F.col(f"d2_{i}").alias("d2"), F.col(f"d3_{i}").alias("d3"),
-                F.col(f"min{i}").alias("min"), F.col(f"max{i}").alias("max"), F.lit(q1).alias("q25"),
+                F.col(f"min{i}").alias("min"), F.col(f"max{i}").alias("max"), F.lit(centres[i]).alias("centre"), F.lit(q1).alias("q25"),
                 F.lit(q2).alias("q50"), F.lit(q3).alias("q75"), F.col(f"out{i}").alias("outliers_count"),
             ))
         wide = shifted.agg(*[F.expr(e) for e in sums])
@@ -172,7 +180,7 @@ def describe_numeric(df: DataFrame, columns: Sequence[str] | None = None) -> Dat
     ).otherwise(0.0)
     return raw.select(
         "column", "count",
-        F.round(F.col("q50") + shift, DIGITS).alias("mean"), F.round(std, DIGITS).alias("std"),
+        F.round(F.col("centre") + shift, DIGITS).alias("mean"), F.round(std, DIGITS).alias("std"),
         "min", "max", F.round("q50", DIGITS).alias("median"),
         F.round("q25", DIGITS).alias("q25"), F.round("q75", DIGITS).alias("q75"),
         F.round(F.col("q75") - F.col("q25"), DIGITS).alias("iqr"), "outliers_count",
@@ -262,38 +270,43 @@ def describe_population(df: DataFrame, columns: Sequence[str] | None = None) ->
 
 
 def histogram(df: DataFrame, columns: Sequence[str] | None = None, bins: int = 10) -> DataFrame:
-    """(column, bin, low, high, count): equal widths from minimum to maximum, empty bins kept."""
+    """(column, bin, low, high, count): equal widths from minimum to maximum, empty bins kept.
+
+    The bins cover the finite cells.  Infinite ones are counted apart, in bin -1 below and bin
+    ``bins`` above, which appear only if there are any.
+    """
     columns = list(columns or numeric_columns(df))
     row = aggregate_row(df, [
         e for i, c in enumerate(columns) for e in (
-            F.min(as_double(df, c)).alias(f"lo{i}"), F.max(as_double(df, c)).alias(f"hi{i}"),
+            F.min(finite(as_double(df, c))).alias(f"lo{i}"), F.max(finite(as_double(df, c))).alias(f"hi{i}"),
         )
     ])
-    spark = df.sparkSession
     edges = [
         (c, b, row[f"lo{i}"], row[f"hi{i}"])
         for i, c in enumerate(columns) if row[f"lo{i}"] is not None for b in range(bins)
     ]
-    frame = local_frame(spark, edges, "column string, bin bigint, lo double, hi double")
+    frame = local_frame(df.sparkSession, edges, "column string, bin bigint, lo double, hi double")
     limits = F.create_map(*[
         x for i, c in enumerate(columns) if row[f"lo{i}"] is not None
         for x in (F.lit(c), F.array(F.lit(row[f"lo{i}"]), F.lit(row[f"hi{i}"])))
-    ])
+    ] or [F.lit(""), F.array(F.lit(0.0))])
     cells = unpivot_numbers(df, columns).withColumn("limits", limits[F.col("column")])
-    lo, hi = F.col("limits")[0], F.col("limits")[1]
-    slot = F.floor(F.coalesce(F.try_divide((F.col("value") - lo) * bins, hi - lo), F.lit(0.0)))
+    lo, hi, x = F.col("limits")[0], F.col("limits")[1], F.col("value")
+    slot = F.least(F.floor(F.coalesce(F.try_divide((x - lo) * bins, hi - lo), F.lit(0.0))), F.lit(bins - 1))
+    placed = F.when(x == float("inf"), bins).when(x == float("-inf"), -1).otherwise(slot)
     counted = (
-        cells.select("column", F.least(slot, F.lit(bins - 1)).cast("bigint").alias("bin"))
-        .groupBy("column", "bin").agg(F.count(F.lit(1)).alias("count"))
+        cells.select("column", placed.cast("bigint").alias("bin")).groupBy("column", "bin").agg(F.count(F.lit(1)).alias("count"))
     )
     step = (F.col("hi") - F.col("lo")) / bins
     # one row per column and bin on both sides
-    return frame.join(F.broadcast(counted), ["column", "bin"], "left").select(
+    got = frame.join(F.broadcast(counted), ["column", "bin"], "full").select(
         "column", "bin",
         F.round(F.col("lo") + F.col("bin") * step, DIGITS).alias("low"),
         F.round(F.col("lo") + (F.col("bin") + 1) * step, DIGITS).alias("high"),
         F.coalesce("count", F.lit(0)).alias("count"),
     )
+    edge = F.when(F.col("bin") < 0, F.lit(float("-inf"))).when(F.col("bin") >= bins, F.lit(float("inf")))
+    return got.select("column", "bin", F.coalesce("low", edge).alias("low"), F.coalesce("high", edge).alias("high"), "count")
 
 
 # ---- categories and texts -----------------------------------------------------------------------

@@ -132,7 +132,9 @@ def _ranked_quantiles(rows: DataFrame, by: Sequence[str], value: str, probs: dic
             hit = (F.col("before") <= rank) & (rank < F.col("before") + F.col("n"))
             aggs.append(F.max(F.when(hit, ident(value))).alias(f"{name}_{side}"))
         lo, hi = F.col(f"{name}_lo"), F.col(f"{name}_hi")
-        outs.append((lo + (hi - lo) * (at - F.floor(at))).alias(name))
+        # as the built-in percentile interpolates, infinities included
+        between = (F.ceil(at) - at) * lo + (at - F.floor(at)) * hi
+        outs.append(F.when(lo == hi, lo).otherwise(between).alias(name))
     keys = [ident(c) for c in by]
     counted = running_counts(rows, by, value)
     return counted.groupBy(*keys).agg(F.max("total").alias("total"), *aggs).select(*keys, *outs)

@@ -9,6 +9,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gleanframe.functions.stats import correlation_strength
+from gleanframe.functions.text import finite
 from gleanframe.operators.columns import (
     CHUNK, aggregate_row, as_double, categorical_columns, ident, numbers, numeric_columns,
 )
@@ -35,6 +36,11 @@ def _pair_frame(df: DataFrame, pairs: Sequence[tuple[str, str]], exprs: Sequence
     return reduce(DataFrame.unionByName, frames)
 
 
+def _finite_numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The columns as x0, x1, … with infinities taken for missing, as a coefficient cannot use them."""
+    return numbers(df, columns).select(*[finite(F.col(f"x{i}")).alias(f"x{i}") for i in range(len(columns))])
+
+
 def pearson_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(col1, col2, r) for each pair of numeric columns, over the rows where both have a value.
 
@@ -42,7 +48,7 @@ def pearson_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
     sum; a pair with nulls has its own means and takes the general form.
     """
     columns = list(columns or numeric_columns(df))
-    slim = numbers(df, columns)
+    slim = _finite_numbers(df, columns)
     row = aggregate_row(slim, ["count(1) AS rows", *[
         e for i in range(len(columns)) for e in (
             f"count(x{i}) AS n{i}", f"avg(x{i}) AS mean{i}", f"min(x{i}) < max(x{i}) AS varies{i}",
@@ -82,7 +88,7 @@ def spearman_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
     pairs = list(combinations(places, 2))
     if not pairs:
         return _pair_frame(df, [], [])
-    slim = numbers(df, columns)
+    slim = _finite_numbers(df, columns)
     row = aggregate_row(slim, ["count(1) AS rows", *[f"count(x{i}) AS n{i}" for i in places]])
     gappy = {i for i in places if row[f"n{i}"] < row["rows"]}
     # copies of a row are one row with a weight from here on

@@ -28,10 +28,6 @@ CLEAR_VALUES = 100
 CLEAR_RATIOS = (0.15, 0.26)
 
 
-def _first_rows(df: DataFrame, order_by: Sequence[str], n: int) -> DataFrame:
-    return (df.orderBy(*[ident(c) for c in order_by]) if order_by else df).limit(n)
-
-
 def _is_category(df: DataFrame, names: Sequence[str]) -> dict[str, bool | None]:
     """Whether text columns are categorical; None for a column without values.
 
@@ -69,30 +65,21 @@ def _is_category(df: DataFrame, names: Sequence[str]) -> dict[str, bool | None]:
     return out
 
 
-def _date_columns(df: DataFrame, names: Sequence[str], order_by: Sequence[str]) -> set[str]:
-    """Columns of which eight of the first ten filled cells are dates, from one scan.
-
-    Each partition passes on at most ten cells per column.  Without an order the rows
-    count as they lie in the files.
-    """
+def _date_columns(df: DataFrame, names: Sequence[str]) -> set[str]:
+    """Columns of which eight in ten filled cells are dates, over all rows in one scan."""
     if not names:
         return set()
-    keys = [f"__o{i}" for i in range(len(order_by))] or ["__o"]
-    order = [ident(c).alias(k) for c, k in zip(order_by, keys)] or [F.monotonically_increasing_id().alias("__o")]
-    cells = unpivot_text(df.select(*[ident(c) for c in names], *order), names, keys)
-    w = Window.partitionBy("column").orderBy(*keys)
-    first = cells.withColumn("rank", F.row_number().over(w)).where("rank <= 10")
-    shares = first.groupBy("column").agg(
-        (F.count(parse_timestamp(F.col("value"))) / F.count(F.lit(1))).alias("share")
-    )
-    return {r["column"] for r in shares.collect() if r["share"] >= 0.8}
+    row = aggregate_row(df, [
+        F.try_divide(F.count(parse_timestamp(ident(c))), F.count(ident(c))).alias(f"s{i}") for i, c in enumerate(names)
+    ])
+    return {c for i, c in enumerate(names) if row[f"s{i}"] is not None and row[f"s{i}"] >= 0.8}
 
 
-def logical_types(df: DataFrame, order_by: Sequence[str] = ()) -> dict[str, str]:
+def logical_types(df: DataFrame) -> dict[str, str]:
     """integer, float, boolean, datetime, categorical or string for every column."""
     out: dict[str, str] = {}
     texts = _is_category(df, text_columns(df))
-    dates = _date_columns(df, [c for c, category in texts.items() if category is False], order_by)
+    dates = _date_columns(df, [c for c, category in texts.items() if category is False])
     for f in df.schema.fields:
         t = f.dataType
         if isinstance(t, IntegralType):
@@ -112,9 +99,9 @@ def logical_types(df: DataFrame, order_by: Sequence[str] = ()) -> dict[str, str]
     return out
 
 
-def infer_types(df: DataFrame, order_by: Sequence[str] = ()) -> DataFrame:
+def infer_types(df: DataFrame) -> DataFrame:
     """(column, ordinal, inferred_type), ordinals from 1."""
-    types = logical_types(df, order_by)
+    types = logical_types(df)
     rows = [(c, i + 1, types[c]) for i, c in enumerate(df.columns)]
     return local_frame(df.sparkSession, rows, "column string, ordinal bigint, inferred_type string")
 
@@ -123,11 +110,10 @@ def pii_headers(columns: Sequence[str]) -> list[str]:
     return [c for c in columns if any(k in c.lower() for k in PII_HEADER_KEYWORDS)]
 
 
-def pii_by_value(df: DataFrame, columns: Sequence[str], order_by: Sequence[str] = ()) -> list[str]:
-    """Columns where half of the filled cells among the first 20 rows fit one pattern."""
+def pii_by_value(df: DataFrame, columns: Sequence[str]) -> list[str]:
+    """Columns where half of the filled cells of all rows fit one pattern."""
     if not columns:
         return []
-    head = _first_rows(df.select(*[ident(c) for c in dict.fromkeys([*columns, *order_by])]), order_by, 20)
     exprs = []
     for i, c in enumerate(columns):
         text = strip(as_text(df, c))
@@ -136,23 +122,16 @@ def pii_by_value(df: DataFrame, columns: Sequence[str], order_by: Sequence[str]
             F.try_divide(F.count_if(filled & text.rlike(p)), F.count_if(filled))
             for p in PII_PATTERNS.values()
         ]).alias(f"s{i}"))
-    row = aggregate_row(head, exprs)
+    row = aggregate_row(df, exprs)
     return [c for i, c in enumerate(columns) if row[f"s{i}"] is not None and row[f"s{i}"] >= 0.5]
 
 
-def pii_suspects(df: DataFrame, order_by: Sequence[str] = ()) -> list[str]:
+def pii_suspects(df: DataFrame) -> list[str]:
     by_name = pii_headers(df.columns)
-    by_value = pii_by_value(df, [c for c in df.columns if c not in by_name], order_by)
+    by_value = pii_by_value(df, [c for c in df.columns if c not in by_name])
     return [c for c in df.columns if c in by_name or c in by_value]
 
 
-def pii_columns(df: DataFrame) -> DataFrame:
-    """(column, is_pii) by header alone."""
-    hits = set(pii_headers(df.columns))
-    rows = [(c, c in hits) for c in df.columns]
-    return local_frame(df.sparkSession, rows, "column string, is_pii boolean")
-
-
 def pii_value_rates(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(column, pattern, matches, filled, rate) over every row, not a sample."""
     columns = list(columns if columns is not None else text_columns(df))
@@ -176,9 +155,9 @@ def pii_value_rates(df: DataFrame, columns: Sequence[str] | None = None) -> Data
     )
 
 
-def column_catalog(df: DataFrame, order_by: Sequence[str] = ()) -> DataFrame:
+def column_catalog(df: DataFrame) -> DataFrame:
     """(column, ordinal, inferred_type, is_pii)."""
-    types, suspects = logical_types(df, order_by), set(pii_suspects(df, order_by))
+    types, suspects = logical_types(df), set(pii_suspects(df))
     rows = [(c, i + 1, types[c], c in suspects) for i, c in enumerate(df.columns)]
     return local_frame(df.sparkSession, rows, "column string, ordinal bigint, inferred_type string, is_pii boolean"
     )
@@ -207,11 +186,9 @@ def safe_value_counts(df: DataFrame, top: int = 5, most: int = 25) -> DataFrame:
     )
 
 
-def mask_pii(
-    df: DataFrame, columns: Sequence[str] | None = None, order_by: Sequence[str] = (),
-) -> DataFrame:
+def mask_pii(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Replace filled cells of the given, or all suspected, columns by a fixed mask."""
-    hidden = set(columns if columns is not None else pii_suspects(df, order_by))
+    hidden = set(columns if columns is not None else pii_suspects(df))
     return df.select(*[
         mask(as_text(df, c)).alias(c) if c in hidden else ident(c) for c in df.columns
     ])

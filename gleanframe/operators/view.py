@@ -41,13 +41,18 @@ def preview_size(df: DataFrame, limit: int = PREVIEW_ROWS) -> DataFrame:
 
 
 def shown(df: DataFrame, column: str) -> Column:
-    """A cell as a reader sees it: numbers without exponent and without a trailing ``.0``."""
+    """A cell as a reader sees it: all digits of a number, without exponent and without a trailing ``.0``.
+
+    Only numbers beyond 20 digits before or 18 after the point keep their exponent.
+    """
     c = ident(column)
     if column not in fractional_columns(df):
         return as_text(df, column)
-    plain = F.regexp_replace(c.try_cast("decimal(30,10)").cast("string"), r"\.?0+$", "")
-    too_small = (F.abs(c) < 1e-10) & (c != 0)
-    return F.when(too_small, c.cast("string")).otherwise(F.coalesce(plain, c.cast("string")))
+    text = c.cast("string")
+    exact = text.try_cast("decimal(38,18)")
+    kept = exact.isNotNull() & (exact.cast("double") == c)
+    plain = F.regexp_replace(exact.cast("string"), r"\.?0+$", "")
+    return F.when(text.contains("E"), F.when(kept, plain).otherwise(text)).otherwise(F.regexp_replace(text, r"\.0$", ""))
 
 
 def search_rows(df: DataFrame, term: str, columns: Sequence[str] | None = None) -> DataFrame:

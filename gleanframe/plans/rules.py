@@ -75,7 +75,7 @@ def apply_rule(df: DataFrame, rule: Rule) -> DataFrame:
         case "filter_outliers":
             return clean.filter_outliers(df, columns, p.get("k", 1.5))
         case "mask_pii_fields":
-            return mask_pii(df, columns, p.get("order_by", ()))
+            return mask_pii(df, columns)
     return df
 
 

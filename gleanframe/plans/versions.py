@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gleanframe.operators.catalog import latest_per_key
@@ -32,14 +34,13 @@ class Store:
     def catalog_path(self) -> str:
         return f"{self.root}/catalog"
 
-    def _is_empty(self) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.catalog_path)
-        return not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
-
     def _log(self) -> DataFrame:
-        if self._is_empty():
+        try:
+            return self.spark.read.schema(CATALOG).parquet(self.catalog_path)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
             return local_frame(self.spark, [], CATALOG)
-        return self.spark.read.schema(CATALOG).parquet(self.catalog_path)
 
     def catalog(self) -> DataFrame:
         """Live versions; one whose parent is gone has none."""
@@ -80,7 +81,8 @@ class Store:
     def append(self, df: DataFrame, dataset_id: str, stage: str, parent: int | None = None) -> int:
         """Write a new version to a path of its own and add its catalog row."""
         number = self._next(dataset_id, parent)
-        path = f"{self.root}/dataset_id={dataset_id}/v={number}/stage={stage}"
+        # a path of this attempt alone: one that fails leaves nothing in the way of the next
+        path = f"{self.root}/dataset_id={dataset_id}/v={number}/stage={stage}/{uuid.uuid4().hex}"
         df.write.parquet(path)
         # counted on the written files, so the input is not computed again
         seal = table_fingerprint(self.spark.read.parquet(path)).first()

@@ -7,13 +7,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gleanframe.functions.constants import WHITE_SPACE
 from gleanframe.operators import catalog, usage
 from gleanframe.plans.versions import Store
 from gleanframe.registry.base import query, table
 from gleanframe.registry.fixtures import dirty_customer
 from gleanframe.session import scratch_path
 
+# written out once more, so that a wrong character in the library shows
+WHITE_SPACE = "".join(map(chr, [
+    *range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000,
+]))
+
 
 @query("ownership_chain", """
 SELECT l_orderkey, l_partkey, l_linenumber, l_extendedprice, o_orderpriority, c_name, n_name, r_name
@@ -193,3 +197,12 @@ SELECT conv_id, (SELECT text FROM conversations u WHERE u.conv_id = c.conv_id AN
   count(*) AS message_count FROM conversations c GROUP BY conv_id ORDER BY conv_id DESC LIMIT 50""")
 def conversation_list(spark, folder):
     return usage.conversation_list(table(spark, folder, "conversations"))
+
+
+@query("quota_reset", """
+SELECT event_id, CAST(CAST(ts - INTERVAL 1 HOUR AS DATE) + CAST(7 - dayofweek(ts - INTERVAL 1 HOUR) AS INTEGER) AS TIMESTAMP)
+  + INTERVAL '23 hours 59 minutes 59 seconds' AS resets_at FROM events""")
+def quota_reset(spark, folder):
+    """When the quotas of each event's moment start anew."""
+    now = F.col("ts").cast("timestamp_ntz")
+    return table(spark, folder, "events").select("event_id", usage.next_reset(now).alias("resets_at"))

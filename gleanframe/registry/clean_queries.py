@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gleanframe.functions.constants import CLEAN_NULL_TOKENS, CSV_NULL_TOKENS, PII_PATTERNS, WHITE_SPACE
 from gleanframe.operators import clean, scale, schema
 from gleanframe.plans import rules
 from gleanframe.registry.base import query, table
@@ -12,6 +11,21 @@ from gleanframe.registry.fixtures import (
     DIRTY_COLUMNS, DIRTY_CUSTOMER, TYPED_ORDERS, dirty_customer, typed_orders,
 )
 
+# the rules' own words, written out once more so that a wrong one in the library shows
+CSV_NULL_TOKENS = (
+    "|#N/A|#N/A N/A|#NA|-1.#IND|-1.#QNAN|-NaN|-nan|1.#IND|1.#QNAN|<NA>|N/A|NA|NULL|NaN|None|n/a|nan|null"
+).split("|")
+CLEAN_NULL_TOKENS = "null|None|N/A|n/a|undefined|nan|NaN|?|#N/A|-|none".split("|")
+WHITE_SPACE = "".join(map(chr, [
+    *range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000,
+]))
+PII_PATTERNS = {
+    "email": r"^[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9-.]+$",
+    "phone": r"^\+?[\d\s\-\(\)]{7,15}$",
+    "ssn": r"^\d{3}-\d{2}-\d{4}$",
+    "credit_card": r"^\d{4}[\s\-]?\d{4}[\s\-]?\d{4}[\s\-]?\d{4}$",
+    "ip_address": r"^\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}$",
+}
 TEXTS = ["name", "balance_text", "segment", "email", "empty_col"]
 MASK = "••••••••"
 _NUM = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
@@ -261,7 +275,7 @@ def filter_outliers_iqr(spark, folder):
 
 @query("mask_pii", _dirty(_rewrite({"email": f"CASE WHEN email <> '' THEN '{MASK}' ELSE email END"})))
 def mask_pii(spark, folder):
-    return schema.mask_pii(dirty_customer(spark, folder), order_by=["id"])
+    return schema.mask_pii(dirty_customer(spark, folder))
 
 
 @query("redact_text", rf"""
@@ -293,14 +307,14 @@ def _type_case(c):
         return f"'{kind}'"
     return f"""(SELECT CASE WHEN count(DISTINCT {c}) <= 30 OR count(DISTINCT {c}) * 1.0 / count({c}) < 0.2 THEN 'categorical'
       WHEN (SELECT count(TRY_CAST(s AS TIMESTAMP)) * 1.0 / count(*) FROM (
-        SELECT {c} AS s FROM typed_orders ORDER BY o_orderkey LIMIT 10)) >= 0.8 THEN 'datetime' ELSE 'string' END FROM typed_orders)"""
+        SELECT {c} AS s FROM typed_orders WHERE {c} IS NOT NULL)) >= 0.8 THEN 'datetime' ELSE 'string' END FROM typed_orders)"""
 
 
 @query("infer_types", f"WITH {TYPED_ORDERS} " + "\nUNION ALL\n".join(
     f"SELECT '{c}' AS \"column\", CAST({i + 1} AS BIGINT) AS ordinal, {_type_case(c)} AS inferred_type"
     for i, c in enumerate(_TYPED)))
 def infer_types(spark, folder):
-    return schema.infer_types(typed_orders(spark, folder), ["o_orderkey"])
+    return schema.infer_types(typed_orders(spark, folder))
 
 
 _HEADER = " OR ".join(f"contains(lower(column_name), '{k}')" for k in (
@@ -308,12 +322,6 @@ _HEADER = " OR ".join(f"contains(lower(column_name), '{k}')" for k in (
     "first_name", "last_name", "full_name", "address", "zipcode"))
 
 
-@query("pii_columns", _dirty(f"""
-SELECT column_name AS "column", {_HEADER} AS is_pii FROM (DESCRIBE SELECT * FROM dirty_customer)"""))
-def pii_columns(spark, folder):
-    return schema.pii_columns(dirty_customer(spark, folder))
-
-
 @query("pii_value_rates", f"WITH {TYPED_ORDERS} " + "\nUNION ALL\n".join(
     f"SELECT '{c}' AS \"column\", '{name}' AS pattern, count(*) FILTER (trim({c}) <> '' AND regexp_matches(trim({c}), '{p}')) AS matches, "
     f"count(*) FILTER (trim({c}) <> '') AS filled, "
@@ -329,7 +337,7 @@ def _pii_case(c):
         f"count(*) FILTER (s <> '' AND regexp_matches(s, '{p}')) * 1.0 / count(*) FILTER (s <> '')" for p in PII_PATTERNS.values())
     return (
         f"(SELECT coalesce(greatest({rate}), 0) >= 0.5 FROM "
-        f"(SELECT trim(CAST({c} AS VARCHAR)) AS s FROM typed_orders ORDER BY o_orderkey LIMIT 20))"
+        f"(SELECT trim(CAST({c} AS VARCHAR)) AS s FROM typed_orders))"
     )
 
 
@@ -337,7 +345,43 @@ def _pii_case(c):
     f"SELECT '{c}' AS \"column\", CAST({i + 1} AS BIGINT) AS ordinal, {_type_case(c)} AS inferred_type, {_pii_case(c)} AS is_pii"
     for i, c in enumerate(_TYPED)))
 def column_catalog(spark, folder):
-    return schema.column_catalog(typed_orders(spark, folder), ["o_orderkey"])
+    return schema.column_catalog(typed_orders(spark, folder))
+
+
+def _late_sql(c):
+    rate = ", ".join(
+        f"count(*) FILTER (s <> '' AND regexp_matches(s, '{p}')) * 1.0 / count(*) FILTER (s <> '')" for p in PII_PATTERNS.values())
+    return (
+        f"SELECT '{c}' AS column_name, (SELECT coalesce(greatest({rate}), 0) >= 0.5 FROM "
+        f"(SELECT trim(CAST({c} AS VARCHAR)) AS s FROM late_customer)) AS by_value"
+    )
+
+
+_LATE = """late_customer AS (SELECT c_custkey, c_name AS full_name, c_acctbal,
+  CASE WHEN c_custkey > 25 THEN 'u' || c_custkey || '@example.com' END AS contact FROM customer)"""
+
+
+def _late_customer(spark, folder):
+    """Customers whose addresses only show after the first rows, under a header that says nothing."""
+    k = F.col("c_custkey")
+    return table(spark, folder, "customer").select(
+        "c_custkey", F.col("c_name").alias("full_name"), "c_acctbal",
+        F.when(k > 25, F.concat(F.lit("u"), k.cast("string"), F.lit("@example.com"))).alias("contact"),
+    )
+
+
+@query("column_catalog_late", f"""
+WITH {_LATE}, found AS ({" UNION ALL ".join(_late_sql(c) for c in ("c_custkey", "full_name", "c_acctbal", "contact"))})
+SELECT column_name AS "column", by_value OR {_HEADER} AS is_pii FROM found""")
+def column_catalog_late(spark, folder):
+    return schema.column_catalog(_late_customer(spark, folder)).select("column", "is_pii")
+
+
+@query("mask_pii_late", f"""
+WITH {_LATE} SELECT c_custkey, '{MASK}' AS full_name, c_acctbal,
+  CASE WHEN contact IS NOT NULL THEN '{MASK}' END AS contact FROM late_customer""")
+def mask_pii_late(spark, folder):
+    return schema.mask_pii(_late_customer(spark, folder))
 
 
 @query("safe_value_counts", _dirty(""", cells AS (

@@ -132,3 +132,23 @@ report_rows AS (
     CASE WHEN o_orderkey % 10 < 8 THEN 'standard' ELSE 'top ' || o_orderstatus END AS tier, o_orderpriority AS priority
   FROM (SELECT *, o_totalprice * (1 + (o_orderkey % 10) * CAST(0.1 AS DOUBLE)) AS s FROM orders)
 ), report_orders AS (SELECT * FROM report_rows UNION ALL SELECT * FROM report_rows WHERE o_orderkey % 50 = 0)"""
+
+
+def endless_orders(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders with infinite totals in both directions and a column whose middle is infinite."""
+    k = F.col("o_orderkey")
+    inf, low = F.lit(float("inf")), F.lit(float("-inf"))
+    return table(spark, folder, "orders").select(
+        "o_orderkey", F.when(k % 100 == 0, inf).when(k % 100 == 1, low).otherwise(F.col("o_totalprice")).alias("total"),
+        F.when(k % 3 != 0, inf).otherwise(k.cast("double")).alias("mostly"), (F.col("o_totalprice") * 2 + k % 5).alias("twice"),
+        F.col("o_orderpriority").alias("priority"),
+    )
+
+
+ENDLESS_ORDERS = """
+endless_orders AS (
+  SELECT o_orderkey, CASE WHEN o_orderkey % 100 = 0 THEN 'Infinity'::DOUBLE WHEN o_orderkey % 100 = 1 THEN '-Infinity'::DOUBLE
+      ELSE o_totalprice END AS total,
+    CASE WHEN o_orderkey % 3 <> 0 THEN 'Infinity'::DOUBLE ELSE CAST(o_orderkey AS DOUBLE) END AS mostly,
+    o_totalprice * 2 + o_orderkey % 5 AS twice, o_orderpriority AS priority
+  FROM orders)"""

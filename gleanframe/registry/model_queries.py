@@ -159,7 +159,10 @@ _classification("ml_gbt_clf", "gradient_boosting_classifier")
 
 
 def _spread_vectors(spark, folder):
-    return table(spark, folder, "embeddings").select(*[F.col("embedding")[i].alias(f"e{i}") for i in range(64)])
+    """One column per element of the longest vector."""
+    vectors = table(spark, folder, "embeddings")
+    width = vectors.agg(F.max(F.size("embedding"))).first()[0] or 0
+    return vectors.select(*[F.get("embedding", F.lit(i)).alias(f"e{i}") for i in range(width)])
 
 
 @query("ml_kmeans")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gleanframe.operators import clean, profile
 from gleanframe.registry.base import LINEITEM_NUMBERS, per_column, query, table
 from gleanframe.registry.fixtures import (
-    DIRTY_COLUMNS, DIRTY_CUSTOMER, SPARSE_ORDERS, dirty_customer, sparse_orders,
+    DIRTY_COLUMNS, DIRTY_CUSTOMER, ENDLESS_ORDERS, SPARSE_ORDERS, dirty_customer, endless_orders, sparse_orders,
 )
 
 SPARSE_COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
@@ -157,6 +157,28 @@ def histogram(spark, folder):
     return profile.histogram(table(spark, folder, "events"))
 
 
+_ENDLESS = ["total", "mostly", "twice"]
+
+
+@query("histogram_inf", f"WITH {ENDLESS_ORDERS} " + per_column(_ENDLESS, """
+SELECT '{c}' AS "column", b AS bin, round(lo + b * ((hi - lo) / 10), 4) AS low, round(lo + (b + 1) * ((hi - lo) / 10), 4) AS high,
+  (SELECT count(*) FROM endless_orders WHERE isfinite({c}) AND least(CAST(floor(({c} - lo) * 10 / (hi - lo)) AS BIGINT), 9) = b) AS "count"
+FROM (SELECT min({c}) FILTER (isfinite({c})) AS lo, max({c}) FILTER (isfinite({c})) AS hi FROM endless_orders), (SELECT range AS b FROM range(10))
+UNION ALL SELECT '{c}', CASE WHEN {c} > 0 THEN 10 ELSE -1 END, {c}, {c}, count(*) FROM endless_orders WHERE isinf({c}) GROUP BY {c}"""))
+def histogram_inf(spark, folder):
+    return profile.histogram(endless_orders(spark, folder), _ENDLESS)
+
+
+@query("describe_inf", f"WITH {ENDLESS_ORDERS} " + per_column(_ENDLESS, """
+SELECT '{c}' AS "column", count({c}) AS "count", round(quantile_cont({c}, 0.5), 4) AS median, min({c}) AS min, max({c}) AS max,
+  round(quantile_cont({c}, 0.25), 4) AS q25, round(quantile_cont({c}, 0.75), 4) AS q75,
+  CASE WHEN count(*) FILTER (isinf({c})) = 0 THEN round(sum({c}) FILTER (isfinite({c})) / count({c}), 2) END AS finite_mean FROM endless_orders"""))
+def describe_inf(spark, folder):
+    got = profile.describe_numeric(endless_orders(spark, folder), _ENDLESS)
+    mean = F.when(F.abs("mean") < float("inf"), F.round("mean", 2))
+    return got.select("column", "count", "median", "min", "max", "q25", "q75", F.nanvl(mean, F.lit(None).cast("double")).alias("finite_mean"))
+
+
 _LONG_TEXT = "SELECT '{c}' AS col, CAST({c} AS VARCHAR) AS val FROM {t} WHERE {c} IS NOT NULL"
 _DIRTY_TEXT = ["name", "balance_text", "segment", "email", "empty_col"]
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from gleanframe.operators import relate
 from gleanframe.registry.base import LINEITEM_NUMBERS, per_column, query, table
-from gleanframe.registry.fixtures import SPARSE_ORDERS, sparse_orders
+from gleanframe.registry.fixtures import ENDLESS_ORDERS, SPARSE_ORDERS, endless_orders, sparse_orders
 
 _R = "regr_sxy({y}, {x}) / nullif(sqrt(regr_sxx({y}, {x}) * regr_syy({y}, {x})), 0)"
 
@@ -47,6 +47,17 @@ def corr_pearson_nulls(spark, folder):
     return relate.correlation_matrix(sparse_orders(spark, folder))
 
 
+_ENDLESS = ["o_orderkey", "total", "mostly", "twice"]
+_ONLY_FINITE = "finite_orders AS (SELECT " + ", ".join(
+    f"CASE WHEN isfinite(CAST({c} AS DOUBLE)) THEN {c} END AS {c}" for c in _ENDLESS) + " FROM endless_orders)"
+
+
+@query("corr_pearson_inf", f"WITH {ENDLESS_ORDERS}, {_ONLY_FINITE}," + _matrix(_ENDLESS, "finite_orders", _pairs(_ENDLESS, "finite_orders")))
+def corr_pearson_inf(spark, folder):
+    """Infinite cells count as missing."""
+    return relate.correlation_matrix(endless_orders(spark, folder))
+
+
 def _spearman(columns, source):
     def one(a, b):
         def rank(c):
@@ -71,6 +82,11 @@ def corr_spearman_nulls(spark, folder):
     return relate.correlation_matrix(sparse_orders(spark, folder), _SPARSE, "spearman")
 
 
+@query("corr_spearman_inf", f"WITH {ENDLESS_ORDERS}, {_ONLY_FINITE}," + _matrix(_ENDLESS, "finite_orders", _spearman(_ENDLESS, "finite_orders")))
+def corr_spearman_inf(spark, folder):
+    return relate.correlation_matrix(endless_orders(spark, folder), _ENDLESS, "spearman")
+
+
 @query("corr_kendall", """
 WITH g AS (SELECT l_quantity AS x, l_discount AS y, count(*) AS n FROM lineitem GROUP BY ALL),
 p AS (SELECT sum(a.n * b.n * sign(a.x - b.x) * sign(a.y - b.y)) / 2 AS s FROM g a, g b),

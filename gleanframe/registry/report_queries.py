@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from gleanframe.plans import analyses, report, summary
-from gleanframe.registry.base import ORACLES, per_column, query, table
-from gleanframe.registry.fixtures import REPORT_NUMBERS, REPORT_ORDERS, REPORT_TEXTS, report_orders
+from gleanframe.registry.base import per_column, query, table
+from gleanframe.registry.fixtures import REPORT_NUMBERS, REPORT_ORDERS, REPORT_TEXTS, endless_orders, report_orders
+from gleanframe.registry.profile_queries import _describe_sql
 from gleanframe.registry.relate_queries import _pairs
-from gleanframe.registry.trend_queries import projection_sql
+from gleanframe.registry.trend_queries import TREND_ANALYSIS, projection_sql
 
 ALL = [*REPORT_NUMBERS, *REPORT_TEXTS]
 _GAPS = " + ".join(f"(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END)" for c in ALL)
@@ -124,13 +125,43 @@ def summary_correlations(spark, folder):
     return summary.summary_parts(report_orders(spark, folder), ["o_orderkey"])["correlations"]()
 
 
-@query("run_analysis_correlation", ORACLES["top_correlations"])
+_AMOUNTS = ["o_orderkey", "o_custkey", "o_totalprice"]
+
+
+@query("run_analysis_correlation", f"""
+WITH all_pairs AS ({_pairs(_AMOUNTS, "orders")}), mirrored AS (
+  SELECT col1, col2, r FROM all_pairs UNION ALL SELECT col2, col1, r FROM all_pairs
+  UNION ALL SELECT c, c, 1.0 FROM (VALUES {", ".join(f"('{c}')" for c in _AMOUNTS)}) AS t(c)),
+top AS (SELECT col1, col2, round(r, 4) AS value FROM all_pairs WHERE r IS NOT NULL ORDER BY abs(round(r, 4)) DESC, col1, col2 LIMIT 15)
+SELECT 'matrix' AS section, col1, col2, round(CAST(r AS DOUBLE), 4) AS value, abs(round(CAST(r AS DOUBLE), 4)) AS abs_value,
+  CAST(NULL AS VARCHAR) AS strength FROM mirrored
+UNION ALL SELECT 'top', col1, col2, value, abs(value), CASE WHEN abs(value) >= 0.7 THEN 'strong' WHEN abs(value) >= 0.4 THEN 'moderate'
+  ELSE 'weak' END FROM top""")
 def run_analysis_correlation(spark, folder):
-    return analyses.run_analysis(table(spark, folder, "lineitem"), "correlation", {"method": "pearson"})
+    return analyses.run_analysis(table(spark, folder, "orders"), "correlation", {"method": "pearson"})
 
 
-@query("run_analysis_default", ORACLES["describe_numeric"])
+@query("run_analysis_default", _describe_sql(_AMOUNTS, "orders"))
 def run_analysis_default(spark, folder):
-    return analyses.run_analysis(table(spark, folder, "lineitem"), "unknown")
+    return analyses.run_analysis(table(spark, folder, "orders"), "unknown")
+
+
+@query("run_analysis_segment", """
+SELECT l_returnflag AS segment, count(l_quantity) AS "count", round(avg(l_quantity), 4) AS mean, round(median(l_quantity), 4) AS median,
+  round((round(avg(l_quantity), 6) - (SELECT avg(l_quantity) FROM lineitem)) / (SELECT abs(avg(l_quantity)) FROM lineitem) * 100, 2)
+    AS vs_overall_pct FROM lineitem GROUP BY l_returnflag""")
+def run_analysis_segment(spark, folder):
+    params = {"category_column": "l_returnflag", "metric_column": "l_quantity"}
+    return analyses.run_analysis(table(spark, folder, "lineitem"), "segment_compare", params)
+
+
+@query("run_analysis_trend", TREND_ANALYSIS)
+def run_analysis_trend(spark, folder):
+    params = {"time_column": "ts", "metric_column": "value"}
+    return analyses.run_analysis(table(spark, folder, "events"), "trend", params)
 
 
+@query("report_inf")
+def report_inf(spark, folder):
+    """The whole report of a table with infinite cells."""
+    return report.table_report(endless_orders(spark, folder), ["o_orderkey"])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from gleanframe.operators import trend
 from gleanframe.registry.base import per_column, query, table
 from gleanframe.registry.fixtures import SPARSE_EVENTS, sparse_events
+from gleanframe.session import scratch_path
 from gleanframe.streaming import live
 
 DAY = "CAST(ts AS DATE)"
@@ -14,6 +15,13 @@ WEEK = "CAST(date_trunc('week', o_orderdate) AS DATE) + 6"
 MONTH = "last_day(o_orderdate)"
 
 
+def p_value_sql(t, v):
+    """Two-sided p-value of Student's t by Simpson's rule; a scalar subquery."""
+    density = f"exp(lgamma(({v} + 1) / 2.0) - lgamma({v} / 2.0)) / sqrt({v} * pi()) * pow(1 + pow(abs({t}) * k / 4000.0, 2) / {v}, -({v} + 1) / 2.0)"
+    weight = "CASE WHEN k IN (0, 4000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END"
+    return f"(SELECT greatest(0.0, 1 - 2 * sum({weight} * {density}) * abs({t}) / 12000.0) FROM (SELECT range AS k FROM range(4001)))"
+
+
 def _bins(ctes, source, period, metric, spine):
     return f"""
 WITH {ctes} binned AS (SELECT {period} AS period, sum({metric}) AS s, avg({metric}) AS m, count({metric}) AS n FROM {source} GROUP BY 1),
@@ -29,8 +37,7 @@ _MONTHLY_SPINE = """SELECT last_day(CAST(unnest(generate_series(date_trunc('mont
 
 DAILY = _bins("", "events", DAY, "value", _DAILY_SPINE)
 SPARSE_DAILY = _bins(SPARSE_EVENTS + ",", "sparse_events", DAY, "value", _DAILY_SPINE)
-_YEAR = """half AS (SELECT * FROM orders WHERE o_orderdate < (SELECT min(o_orderdate) FROM orders) + INTERVAL 200 DAY),"""
-WEEKLY = _bins(_YEAR, "half", WEEK, "o_totalprice", _WEEKLY_SPINE)
+WEEKLY = _bins("", "orders", WEEK, "o_totalprice", _WEEKLY_SPINE)
 MONTHLY = _bins("", "orders", MONTH, "o_totalprice", _MONTHLY_SPINE)
 _SERIES = " SELECT period, round(s, 2) AS sum, round(m, 6) AS mean, n AS count FROM bins"
 
@@ -39,13 +46,6 @@ def _rounded(bins):
     return bins.select("period", F.round("sum", 2).alias("sum"), F.round("mean", 6).alias("mean"), "count")
 
 
-def _half_year(spark, folder):
-    """Orders of the first 200 days, a span that asks for weekly bins."""
-    orders = table(spark, folder, "orders")
-    first = orders.agg(F.to_date(F.min("o_orderdate")).alias("d")).first()["d"]
-    return orders.where(F.col("o_orderdate") < F.date_add(F.lit(first), 200))
-
-
 @query("resample_daily", DAILY + _SERIES)
 def resample_daily(spark, folder):
     return _rounded(trend.resample(table(spark, folder, "events"), "ts", "value"))
@@ -56,9 +56,11 @@ def resample_gaps(spark, folder):
     return _rounded(trend.resample(sparse_events(spark, folder), "ts", "value"))
 
 
-@query("resample_weekly", WEEKLY + _SERIES)
+@query("resample_weekly", WEEKLY + _SERIES.replace("round(m, 6)", "round(m + 1e-7, 4)"))
 def resample_weekly(spark, folder):
-    return _rounded(trend.resample(_half_year(spark, folder), "o_orderdate", "o_totalprice"))
+    """Means of cents over a few dozen orders end in halves; a nudge makes both engines round them alike."""
+    bins = trend.resample(table(spark, folder, "orders"), "o_orderdate", "o_totalprice", "W")
+    return bins.select("period", F.round("sum", 2).alias("sum"), F.round(F.col("mean") + 1e-7, 4).alias("mean"), "count")
 
 
 @query("resample_monthly", MONTHLY + _SERIES)
@@ -84,6 +86,14 @@ def trend_fit(spark, folder):
     return trend.trend_summary(table(spark, folder, "orders"), "o_orderdate", "o_totalprice")
 
 
+@query("trend_direction", MONTHLY + _FIT + f""", p AS (SELECT *, {p_value_sql("slope / stderr", "(CAST(n AS DOUBLE) - 2)")} AS p FROM line)
+SELECT round(p, 6) AS p_value, CASE WHEN slope > 0 AND p < 0.05 THEN 'up' WHEN slope < 0 AND p < 0.05 THEN 'down' ELSE 'flat' END AS direction
+FROM p""")
+def trend_direction(spark, folder):
+    got = trend.trend_fit(table(spark, folder, "orders"), "o_orderdate", "o_totalprice")
+    return got.select(F.round("p_value", 6).alias("p_value"), "direction")
+
+
 @query("trend_fit_gaps", _fit_sql(SPARSE_DAILY, "D"))
 def trend_fit_gaps(spark, folder):
     return trend.trend_summary(sparse_events(spark, folder), "ts", "value")
@@ -106,7 +116,7 @@ def trend_forecast(spark, folder):
 
 @query("trend_forecast_weekly", _forecast_sql(WEEKLY, "CAST(last_period + CAST(step * 7 AS INTEGER) AS DATE)"))
 def trend_forecast_weekly(spark, folder):
-    return trend.trend_forecast(_half_year(spark, folder), "o_orderdate", "o_totalprice")
+    return trend.trend_forecast(table(spark, folder, "orders"), "o_orderdate", "o_totalprice", "W")
 
 
 @query("trend_forecast_daily", _forecast_sql(DAILY, "CAST(last_period + CAST(step AS INTEGER) AS DATE)"))
@@ -114,6 +124,16 @@ def trend_forecast_daily(spark, folder):
     return trend.trend_forecast(table(spark, folder, "events"), "ts", "value")
 
 
+TREND_ANALYSIS = f"""
+WITH ahead AS ({_forecast_sql(DAILY, "CAST(last_period + CAST(step AS INTEGER) AS DATE)")}),
+fitted AS ({DAILY + _FIT} SELECT *, {p_value_sql("slope / stderr", "(CAST(n AS DOUBLE) - 2)")} AS p FROM line), history AS ({DAILY} SELECT period, m FROM bins)
+SELECT 'trend' AS section, last_period AS period, CAST(NULL AS DOUBLE) AS value, CAST(NULL AS DOUBLE) AS lower, CAST(NULL AS DOUBLE) AS upper,
+  CASE WHEN slope > 0 AND p < 0.05 THEN 'up' WHEN slope < 0 AND p < 0.05 THEN 'down' ELSE 'flat' END AS direction,
+  round(slope, 4) AS slope, round(r2, 4) AS r_squared, round(p, 4) AS p_value FROM fitted
+UNION ALL SELECT 'history', period, round(m, 2), NULL, NULL, NULL, NULL, NULL, NULL FROM history
+UNION ALL SELECT 'forecast', period, predicted_mean, lower_95_ci, upper_95_ci, NULL, NULL, NULL, NULL FROM ahead"""
+
+
 # ---- row order ----------------------------------------------------------------------------------
 
 EVENT_NUMBERS = ["event_id", "user_id", "value"]
@@ -178,9 +198,10 @@ def top_trends(spark, folder):
     return got.select("column", "r_squared", "pct_change", "priority", "impact_pct")
 
 
-@query("trend_pvalues")
+@query("trend_pvalues", "WITH " + index_fit_sql(["user_id", "value"], "events", "ts, event_id") + f"""
+SELECT col AS "column", round(slope / stderr, 6) AS t, round({p_value_sql("slope / stderr", "(CAST(n AS DOUBLE) - 2)")}, 6) AS p_value FROM line""")
 def trend_pvalues(spark, folder):
-    return trend.trend_p_values(table(spark, folder, "events"), ["ts", "event_id"])
+    return trend.trend_p_values(table(spark, folder, "events"), ["ts", "event_id"], ["user_id", "value"])
 
 
 @query("stream_kpi", """
@@ -191,7 +212,21 @@ def stream_kpi(spark, folder):
     # the source reads a folder; a glob picks the one file out of it
     source = live.read_growing(spark, f"{folder}/events*.parquet", schema)
     timed = source.withColumn("ts", F.col("ts").cast("timestamp"))
-    cards = live.run_available(live.metric_cards(timed, "ts", "event_type", "value"), ["window_start", "event_type"])
+    return _shown_cards(live.run_available(timed, "ts", "event_type", "value"))
+
+
+def _shown_cards(cards):
     return cards.select(
         F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 2).alias("total")
     )
+
+
+@query("stream_kpi_late", """
+SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2""")
+def stream_kpi_late(spark, folder):
+    """The same cards from many files in an order that has nothing to do with time, a few a batch."""
+    events = table(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    path = scratch_path(spark, "late-events")
+    events.repartition(20, F.xxhash64("event_id")).sortWithinPartitions(F.desc("ts")).write.parquet(path)
+    source = live.read_growing(spark, path, events.schema, files_per_trigger=5)
+    return _shown_cards(live.run_available(source, "ts", "event_type", "value"))

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gleanframe.functions.constants import OFF_TOPIC_KEYWORDS
 from gleanframe.operators import view
 from gleanframe.registry.base import query, table
 
+# written out once more, so that a wrong word in the library shows
+OFF_TOPIC_KEYWORDS = (
+    "joke|weather|poem|recipe|song|who is the president|capital of|movie|sports|football|cricket|translate to french|"
+    "translate to spanish|who are you|write code for flappy bird|minecraft|play game"
+).split("|")
 EVENTS = "event_id, ts, user_id, event_type, value, props"
 
 
@@ -25,12 +29,22 @@ def preview_size(spark, folder):
 @query("search_rows", " OR ".join([
     "SELECT * FROM customer WHERE contains(lower(CAST(c_custkey AS VARCHAR)), '77')",
     *[f"contains(lower(CAST({c} AS VARCHAR)), '77')" for c in ("c_name", "c_nationkey", "c_mktsegment")],
-    r"contains(regexp_replace(CAST(CAST(c_acctbal AS DECIMAL(30, 10)) AS VARCHAR), '\.?0+$', ''), '77')",
+    r"contains(regexp_replace(CAST(c_acctbal AS VARCHAR), '\.0$', ''), '77')",
 ]))
 def search_rows(spark, folder):
     return view.search_rows(table(spark, folder, "customer"), "77")
 
 
+@query("search_digits", """
+SELECT * FROM (SELECT c_custkey, c_custkey / 7.0::DOUBLE AS part, c_custkey * 1e9 AS large FROM customer)
+WHERE contains(CAST(c_custkey AS VARCHAR), '428571') OR contains(CAST(part AS VARCHAR), '428571') OR contains(CAST(c_custkey AS VARCHAR) || '000000000', '428571')""")
+def search_digits(spark, folder):
+    """A term that only shows beyond the tenth digit of many numbers."""
+    k = F.col("c_custkey")
+    rows = table(spark, folder, "customer").select("c_custkey", (k / F.lit(7.0)).alias("part"), (k * F.lit(1e9)).alias("large"))
+    return view.search_rows(rows, "428571")
+
+
 @query("sort_rows", "SELECT * FROM part ORDER BY lower(p_name) DESC NULLS LAST, p_partkey LIMIT 100")
 def sort_rows(spark, folder):
     return view.sort_rows(table(spark, folder, "part"), "p_name", ascending=False, ties=["p_partkey"], limit=100)

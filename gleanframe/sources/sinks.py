@@ -8,8 +8,12 @@ from gleanframe.operators.clean import comparable
 from gleanframe.operators.columns import ident
 
 
+# timestamps as JSON text, with all digits
+_MOMENT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+
+
 def write_csv(df: DataFrame, path: str) -> None:
-    """CSV with a header; padding inside cells is kept."""
+    """CSV with a header; padding inside cells is kept.  An empty text and null are the same empty cell."""
     (
         df.write.option("header", True).option("escape", '"').option("emptyValue", "")
         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
@@ -22,7 +26,9 @@ def write_parquet(df: DataFrame, path: str) -> None:
 
 def write_json(df: DataFrame, path: str) -> None:
     """One JSON record per line, null fields kept."""
-    df.select(F.to_json(F.struct(*[ident(c) for c in df.columns]), {"ignoreNullFields": "false"})).write.text(path)
+    df.select(F.to_json(F.struct(*[ident(c) for c in df.columns]), {
+        "ignoreNullFields": "false", "timestampFormat": _MOMENT, "timestampNTZFormat": _MOMENT,
+    })).write.text(path)
 
 
 def table_fingerprint(df: DataFrame) -> DataFrame:
@@ -32,7 +38,9 @@ def table_fingerprint(df: DataFrame) -> DataFrame:
     count and the fold is a plain aggregate.
     """
     cells = F.struct(*[comparable(df, c).alias(f"c{i}") for i, c in enumerate(df.columns)])
-    row = F.sha2(F.to_json(cells, {"ignoreNullFields": "false"}), 256)
+    row = F.sha2(F.to_json(cells, {
+        "ignoreNullFields": "false", "timestampFormat": _MOMENT, "timestampNTZFormat": _MOMENT,
+    }), 256)
     parts = [F.conv(F.substring(row, 1 + 16 * i, 15), 16, 10).cast("decimal(20,0)") for i in range(4)]
     sums = [
         F.pmod(F.coalesce(F.sum(p), F.lit(0).cast("decimal(30,0)")), F.lit(2**60).cast("decimal(30,0)"))

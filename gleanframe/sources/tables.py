@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import csv
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -14,7 +17,7 @@ _BAD = "__bad_record"
 # fixed values: file endings and their formats; anything else is read as CSV
 FORMATS = {
     "csv": "csv", "tsv": "csv", "txt": "csv", "json": "json", "jsonl": "jsonl", "ndjson": "jsonl",
-    "parquet": "parquet", "xlsx": "xlsx", "xls": "xlsx",
+    "parquet": "parquet", "xlsx": "xlsx", "xls": "xls",
 }
 
 
@@ -23,6 +26,18 @@ def format_of(path: str) -> str:
     return FORMATS.get(ending[-1].lower(), "csv") if len(ending) == 2 else "csv"
 
 
+def _headers(spark: SparkSession, path: str, sep: str) -> list[tuple[list[str], list[str]]]:
+    """(column names, files) of every distinct first line, in the order of the first file with it."""
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"),
+        F.col("_metadata.file_block_start").alias("start"),
+    ).where("start = 0")
+    first = lines.groupBy("file").agg(F.min_by("value", "at").alias("head"))
+    groups = first.groupBy("head").agg(F.min("file").alias("first"), F.collect_list("file").alias("files"))
+    found = groups.orderBy("first").collect()
+    return [(next(csv.reader([r["head"]], delimiter=sep), []), r["files"]) for r in found]
+
+
 def scan_csv(
     spark: SparkSession, path: str, *, sep: str = ",", columns: list[str] | None = None,
     header: bool = True, multi_line: bool = False,
@@ -31,9 +46,28 @@ def scan_csv(
 
     Whether a line is too long is decided on its raw text, so an empty surplus field counts
     too.  ``multi_line`` reads quoted line breaks, at the price that a file is not split.
+    Files of a folder are matched by the names in their headers, not by position; a column
+    that a file lacks is null there.
     """
+    if header and columns is None:
+        groups = _headers(spark, path, sep)
+        if len(groups) > 1:
+            parts = []
+            for names, files in groups:
+                if len(set(names)) < len(names):
+                    raise ValueError(f"files with different headers, one of which repeats a name: {names}")
+                parts.append(_scan_alike(spark, files, sep, names, True, multi_line))
+            return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     reader = spark.read.option("sep", sep).option("quote", '"').option("escape", '"')
     names = columns or reader.option("header", header).csv(path).columns
+    return _scan_alike(spark, path, sep, names, header, multi_line)
+
+
+def _scan_alike(
+    spark: SparkSession, path: str | list[str], sep: str, names: list[str], header: bool, multi_line: bool,
+) -> DataFrame:
+    """Files of one layout."""
+    reader = spark.read.option("sep", sep).option("quote", '"').option("escape", '"')
     schema = StructType([
         *[StructField(f"c{i}", StringType()) for i in range(len(names))], StructField(_BAD, StringType()),
     ])
@@ -100,6 +134,8 @@ def load_table(spark: SparkSession, path: str, fmt: str | None = None, **options
         return nan_to_null(spark.read.parquet(path))
     if fmt in ("json", "jsonl"):
         return settle_types(nan_to_null(scan_json(spark, path, lines=fmt == "jsonl", **options)))
+    if fmt == "xls":
+        raise ValueError(f"{path}: the old binary workbook format is not read; save it as xlsx")
     if fmt == "xlsx":
         return settle_types(scan_workbooks(spark, path, **options))
     return settle_types(scan_csv(spark, path, **options))

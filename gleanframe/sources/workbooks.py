@@ -68,35 +68,44 @@ def sheet_rows(content: bytes) -> Iterator[list[str | None]]:
 
 
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows below the header with the column names of their own file; a surplus cell has a name by position."""
+    columns = ["path", "row", "cells", "names"]
     for batch in batches:
         for path, content in zip(batch["path"], batch["content"]):
-            pending: list[tuple] = []
+            pending, header = [], []
             for i, cells in enumerate(sheet_rows(content)):
-                pending.append((path, i, cells))
+                if i == 0:
+                    header = [c or f"column_{j}" for j, c in enumerate(cells)]
+                names = header + [f"column_{j}" for j in range(len(header), len(cells))]
+                pending.append((path, i, cells if i else [], names))
                 if len(pending) == 5000:
-                    yield pd.DataFrame(pending, columns=["path", "row", "cells"])
+                    yield pd.DataFrame(pending, columns=columns)
                     pending = []
             if pending:
-                yield pd.DataFrame(pending, columns=["path", "row", "cells"])
+                yield pd.DataFrame(pending, columns=columns)
 
 
 def read_workbooks(
     files: DataFrame, *, with_origin: bool = False, columns: list[str] | None = None,
 ) -> DataFrame:
-    """First sheets of (path, content) rows as text columns named by the header of the first path.
+    """First sheets of (path, content) rows as text columns, matched by the names in each header.
 
     A workbook is at most about a million rows, so a file per task is the unit of work;
-    many files spread over the cluster.
+    many files spread over the cluster.  A column that a workbook lacks is null there.  Given
+    ``columns`` are taken by position instead.
     """
-    rows = files.mapInPandas(_read, "path string, row bigint, cells array<string>")
-    if columns is None:
-        first = files.agg(F.min("path")).first()[0]
-        head = rows.where((F.col("path") == first) & (F.col("row") == 0)).first()
-        columns = [c or f"column_{i}" for i, c in enumerate(head["cells"])] if head else []
+    rows = files.mapInPandas(_read, "path string, row bigint, cells array<string>, names array<string>")
     origin = ["path", "row"] if with_origin else []
-    return rows.where("row > 0").select(
-        *origin, *[F.get("cells", F.lit(i)).alias(c) for i, c in enumerate(columns)]
-    )
+    if columns is not None:
+        cells = [F.get("cells", F.lit(i)).alias(c) for i, c in enumerate(columns)]
+        return rows.where("row > 0").select(*origin, *cells)
+    # one row per distinct header, in the order of the first file with it
+    headers = rows.groupBy("names").agg(F.min("path").alias("first")).orderBy("first", F.size("names")).collect()
+    found = list(dict.fromkeys(n for r in headers for n in r["names"]))
+    place = {n: F.array_position("names", n).cast("int") for n in found}
+    return rows.where("row > 0").select(*origin, *[
+        F.when(place[n] > 0, F.get("cells", place[n] - 1)).alias(n) for n in found
+    ])
 
 
 def scan_workbooks(
@@ -105,6 +114,6 @@ def scan_workbooks(
     """All first sheets under a folder, see :func:`read_workbooks`."""
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.xlsx").load(path).select("path", "content")
+        .option("pathGlobFilter", "*.[xX][lL][sS][xX]").load(path).select("path", "content")
     )
     return read_workbooks(files, with_origin=with_origin, columns=columns)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import StructType
 
 from gleanframe.operators.columns import ident
 from gleanframe.session import scratch_path
@@ -15,46 +15,37 @@ def read_growing(spark: SparkSession, path: str, schema: StructType, files_per_t
     )
 
 
-def metric_cards(
-    stream: DataFrame, time: str, by: str, value: str, width: str = "1 day", late: str = "1 hour",
-) -> DataFrame:
-    """(window_start, by, n, total) per window and kind.
-
-    State is one row per open window and kind; the watermark drops closed ones.
-    """
+def metric_cards(rows: DataFrame, time: str, by: str, value: str, width: str = "1 day") -> DataFrame:
+    """(window_start, by, n, total) per window and kind of the given rows."""
     window = F.window(ident(time), width)
     return (
-        stream.withWatermark(time, late).groupBy(window, ident(by))
-        .agg(F.count(F.lit(1)).alias("n"), F.sum(ident(value)).alias("total"))
+        rows.groupBy(window, ident(by)).agg(F.count(F.lit(1)).alias("n"), F.sum(ident(value)).alias("total"))
         .select(F.col("window.start").alias("window_start"), ident(by), "n", "total")
     )
 
 
-def _upsert(target: str):
-    def write(batch: DataFrame, epoch: int) -> None:
-        # a batch that runs again replaces its own folder
-        batch.withColumn("epoch", F.lit(epoch).cast("bigint")).write.mode("overwrite").parquet(
-            f"{target}/batch-{epoch:012d}"
-        )
-    return write
-
-
-def run_available(cards: DataFrame, keys: list[str], label: str = "cards") -> DataFrame:
-    """Process what is there, then return the newest state of every card.
+def run_available(
+    stream: DataFrame, time: str, by: str, value: str, width: str = "1 day", label: str = "cards",
+) -> DataFrame:
+    """Process what is there and return the card of every window and kind.
 
-    Update mode writes changed cards per batch; the last epoch of a key wins.
+    Each batch writes the sums of its own rows, and the sums of all batches are added when
+    read.  There is no state and no watermark, so a row counts however late it comes; a batch
+    that runs again replaces its own folder.
     """
-    spark = cards.sparkSession
+    spark = stream.sparkSession
     target, state = scratch_path(spark, label), scratch_path(spark, f"{label}-state")
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        sums = metric_cards(batch, time, by, value, width)
+        sums.write.mode("overwrite").parquet(f"{target}/batch-{epoch:012d}")
+
     query = (
-        cards.writeStream.outputMode("update").foreachBatch(_upsert(target))
-        .option("checkpointLocation", state).trigger(availableNow=True).start()
+        stream.writeStream.foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    written = StructType([*cards.schema.fields, StructField("epoch", LongType())])
-    rows = spark.read.option("recursiveFileLookup", True).schema(written).parquet(target)
-    rest = [c for c in cards.columns if c not in keys]
-    newest = F.max(F.struct("epoch", *[ident(c) for c in rest])).alias("top")
-    return rows.groupBy(*[ident(c) for c in keys]).agg(newest).select(
-        *[ident(c) for c in keys], *[F.col("top")[c].alias(c) for c in rest]
-    )
+    shape = metric_cards(spark.createDataFrame([], stream.schema), time, by, value, width).schema
+    if not query.recentProgress:
+        return spark.createDataFrame([], shape)
+    rows = spark.read.option("recursiveFileLookup", True).schema(shape).parquet(target)
+    return rows.groupBy("window_start", ident(by)).agg(F.sum("n").alias("n"), F.sum("total").alias("total"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gleanframe.functions import stats, text
 from gleanframe.functions.dates import bin_step, parse_timestamp, to_display_time
-from gleanframe.operators import catalog, clean, metrics, profile, relate, scale, schema, trend, usage, view
+from gleanframe.operators import catalog, clean, metrics, profile, ranks, relate, scale, schema, trend, usage, view
 
 
 def test_number_texts(spark):
@@ -160,7 +160,7 @@ def test_column_names_with_dots(spark):
 def test_types_of_literal_columns(spark):
     rows = [(i, f"code{i}", f"2024-01-{i % 28 + 1:02d} 10:00:{i % 60:02d}.{i}", None) for i in range(60)]
     df = spark.createDataFrame(rows, "i long, code string, at string, none string")
-    assert schema.logical_types(df, ["i"]) == {"i": "integer", "code": "string", "at": "datetime", "none": "string"}
+    assert schema.logical_types(df) == {"i": "integer", "code": "string", "at": "datetime", "none": "string"}
 
 
 def test_pii_by_value(spark):
@@ -170,6 +170,38 @@ def test_pii_by_value(spark):
     assert masked[0]["a"] == "••••••••" and masked[0]["c"] == "plain"
 
 
+def test_personal_data_below_the_first_rows(spark):
+    df = spark.range(100).selectExpr("id", "IF(id < 25, NULL, concat('u', id, '@example.com')) AS note", "concat('2024-01-0', id % 9 + 1, ' 10:00:', 10 + id % 50, '.', id) AS at")
+    assert schema.pii_suspects(df) == ["note"]
+    assert schema.mask_pii(df).where("note LIKE '%@%'").count() == 0
+
+
+def test_cycle_of_versions_is_refused(spark):
+    df = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, None)], "v long, p long")
+    with pytest.raises(ValueError, match="cycle"):
+        catalog.version_lineage(df, "v", "p")
+
+
+def test_deleting_keeps_versions_without_a_number(spark):
+    df = spark.createDataFrame([("a", 1, None), ("a", 2, 1), ("a", None, None), (None, 2, None)], "k string, n long, p long")
+    got = {(r["k"], r["n"], r["p"]) for r in catalog.delete_version(df, "k", "n", "p", 1).collect()}
+    assert got == {("a", 2, None), ("a", None, None), (None, 2, None)}
+
+
+@pytest.mark.parametrize("limit", [0, 50_000])
+def test_group_medians_with_infinities(spark, limit):
+    inf = float("inf")
+    rows = [("all", inf)] * 4 + [("some", v) for v in (1.0, 2.0, inf, inf)] + [("low", -inf), ("low", 3.0), ("low", 5.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r["g"]: r["m"] for r in ranks.grouped_quantiles(df, ["g"], "v", {"m": 0.5}, limit=limit).collect()}
+    assert got == {"all": inf, "some": inf, "low": 3.0}
+
+
+def test_both_zeros_are_one_value(spark):
+    df = spark.createDataFrame([(0.0,), (-0.0,), (1.0,)], "v double")
+    assert profile.distinct_profile(df).first()["distinct_count"] == 2
+
+
 def test_trend_needs_points_and_handles_flat(spark):
     day = dt.datetime(2024, 1, 1)
     flat = spark.createDataFrame([(day + dt.timedelta(days=i), 4.0) for i in (0, 1, 2, 6)], "t timestamp, v double")
@@ -223,11 +255,14 @@ def test_lineage_of_a_long_chain(spark):
     assert got[39] == (0, 39) and got[0] == (0, 0) and got[100] == (100, 0)
 
 
-def test_next_reset():
-    utc = dt.timezone.utc
-    assert usage.next_reset(dt.datetime(2024, 5, 1, 12, tzinfo=utc)) == dt.datetime(2024, 5, 5, 23, 59, 59, tzinfo=utc)
-    assert usage.next_reset(dt.datetime(2024, 5, 5, 0, 30, tzinfo=utc)).day == 5
-    assert usage.next_reset(dt.datetime(2024, 5, 5, 1, tzinfo=utc)).day == 12
+def test_next_reset(spark):
+    cases = {
+        dt.datetime(2024, 5, 1, 12): 5, dt.datetime(2024, 5, 4, 23, 59): 5, dt.datetime(2024, 5, 5, 0, 30): 5,
+        dt.datetime(2024, 5, 5, 1): 12, dt.datetime(2024, 5, 6): 12,
+    }
+    df = spark.createDataFrame([(now,) for now in cases], "now timestamp_ntz")
+    got = {r["now"]: r["at"] for r in df.select("now", usage.next_reset(F.col("now")).alias("at")).collect()}
+    assert got == {now: dt.datetime(2024, 5, day, 23, 59, 59) for now, day in cases.items()}
 
 
 def test_group_means_stop_at_ten_groups(spark):

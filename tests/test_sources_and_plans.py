@@ -4,6 +4,7 @@ import json
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from gleanframe.operators import profile
 from gleanframe.plans import analyses, report, rules, summary
@@ -106,7 +107,7 @@ def test_unknown_rule_changes_nothing(spark):
 
 def test_analysis_dispatch(spark):
     df = spark.range(20).selectExpr("id AS a", "id * 2 AS b", "CAST(id % 3 AS STRING) AS g")
-    assert analyses.run_analysis(df, "correlation", {"method": "spearman"}).first()["strength"] == "strong"
+    assert analyses.run_analysis(df, "correlation", {"method": "spearman"}).where("section = 'top'").first()["strength"] == "strong"
     assert analyses.run_analysis(df, "anything").count() == 2
     assert analyses.run_analysis(df, "segment_compare", {"category_column": "g", "metric_column": "a"}).count() == 3
     with pytest.raises(ValueError):
@@ -154,3 +155,44 @@ def test_scores_stay_in_range(spark):
     df = spark.createDataFrame([(1, "null"), (1, "null"), (None, None)], "a long, s string")
     assert 0 <= profile.table_quality(df).first()["quality_score"] <= 100
     assert profile.health_score(df).first()["health_status"] == "Needs Cleaning"
+
+
+def test_csv_files_meet_by_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("k,v\n1,x\n2,y\n")
+    (tmp_path / "b.csv").write_text("v,k,w\nz,3,9\n")
+    got = {tuple(r) for r in tables.scan_csv(spark, str(tmp_path)).select("k", "v", "w").collect()}
+    assert got == {("1", "x", None), ("2", "y", None), ("3", "z", "9")}
+
+
+def test_workbooks_meet_by_header(spark, tmp_path):
+    _workbook(tmp_path / "a.xlsx", [["k", "v"], [1, "x"]])
+    _workbook(tmp_path / "b.XLSX", [["v", "k"], ["y", 2, "more"]])
+    got = {tuple(r) for r in tables.load_table(spark, str(tmp_path), "xlsx").select("k", "v", "column_2").collect()}
+    assert got == {(1, "x", None), (2, "y", "more")}
+
+
+def test_old_workbooks_are_refused(spark, tmp_path):
+    assert tables.format_of("old.xls") == "xls"
+    with pytest.raises(ValueError, match="xlsx"):
+        tables.load_table(spark, str(tmp_path / "old.xls"))
+
+
+def test_a_failed_append_does_not_block(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    broken = spark.range(3).selectExpr("id", "raise_error('broken') AS x")
+    with pytest.raises(Exception, match="broken"):
+        store.append(broken, "d", "raw")
+    assert store.append(spark.range(3), "d", "raw") == 1
+    assert store.load("d").count() == 3
+
+
+def test_files_of_any_age_count(spark, tmp_path):
+    from gleanframe.streaming import live
+
+    for i in range(20):
+        day = 20 - i
+        rows = spark.createDataFrame([(f"2024-01-{day:02d} 10:00:00", "a", 1.0)], "ts string, kind string, v double")
+        rows.withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = live.read_growing(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema, files_per_trigger=5)
+    cards = live.run_available(source, "ts", "kind", "v")
+    assert cards.agg(F.sum("n")).first()[0] == 20 and cards.count() == 20
