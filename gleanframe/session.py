@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -53,6 +55,10 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/gleanframe/{label}-{uuid.uuid4().hex}"
 
 
+# scratch tables written inside the innermost scope
+_SCOPE: ContextVar[list[str] | None] = ContextVar("scratch scope", default=None)
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to shared storage and read it back.
 
@@ -62,7 +68,37 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if _SCOPE.get() is not None:
+        _SCOPE.get().append(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.scratch = path
+    return back
+
+
+def free(*tables: DataFrame) -> None:
+    """Give back the storage of materialised tables that nothing will read any more.
+
+    An empty table takes their place, so this asks no more of the storage than writing does.
+    """
+    for table in tables:
+        _empty(table.sparkSession, table.scratch)
+
+
+def _empty(spark: SparkSession, path: str) -> None:
+    local_frame(spark, [], "freed boolean").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Frees, when left, the tables materialised inside; what is to stay has to be written before."""
+    paths: list[str] = []
+    token = _SCOPE.set(paths)
+    try:
+        yield
+    finally:
+        _SCOPE.reset(token)
+        for path in paths:
+            _empty(spark, path)
 
 
 def local_frame(spark: SparkSession, rows: Iterable[Sequence], schema: str | StructType) -> DataFrame:
