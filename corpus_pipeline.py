@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from gleanframe.llm import exact_dedup, jaccard, langid, packing, pii
 from gleanframe.llm.queries import PII_KEY, VOCABULARY
 from gleanframe.llm.rows import fold
-from gleanframe.session import materialise
+from gleanframe.session import scratch_path, scratch_scope
 
 # setting that names the key of the pseudonyms; without it the key of the test tables is used
 KEY_SETTING = "spark.gleanframe.pii.key"
@@ -68,5 +68,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The packed sequences of the documents of a folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        path = scratch_path(spark, f"stage-{name}")
+        with scratch_scope(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from gleanframe.session import materialise
+from gleanframe.session import free, materialise
 
 # a path of any length is contracted by more than half each round
 MAX_ROUNDS = 64
@@ -24,17 +24,15 @@ def components(edges: DataFrame) -> DataFrame:
         both = left.select("a", "b").unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = materialise(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), "least")
         if labels is None:
-            labels = least.select(F.col("a").alias("id"), F.col("m").alias("component"))
+            labels = materialise(least.select(F.col("a").alias("id"), F.col("m").alias("component")), "labels")
         else:
-            labels = materialise(
-                labels.join(least, labels["component"] == least["a"], "left")
-                .select("id", F.coalesce("m", "component").alias("component")), "labels",
-            )
+            moved = labels.join(least, labels["component"] == least["a"], "left")
+            old, labels = labels, materialise(moved.select("id", F.coalesce("m", "component").alias("component")), "labels")
+            free(old)
         x, y = least.select(F.col("a"), F.col("m").alias("ma")), least.select(F.col("a").alias("b"), F.col("m").alias("mb"))
-        left = materialise(
-            left.join(x, "a").join(y, "b").where("ma <> mb").select(F.col("ma").alias("a"), F.col("mb").alias("b")).distinct(),
-            "edges",
-        )
+        rest = left.join(x, "a").join(y, "b").where("ma <> mb").select(F.col("ma").alias("a"), F.col("mb").alias("b"))
+        old, left = left, materialise(rest.distinct(), "edges")
+        free(old, least)
     else:
         raise RuntimeError("components do not settle")
     if labels is None:

@@ -24,7 +24,7 @@ from pyspark.sql.types import StructType
 
 from gleanframe.llm.rows import steps, text_bytes
 from gleanframe.operators.columns import ident
-from gleanframe.session import materialise
+from gleanframe.session import free, materialise
 
 # content bytes that one table may hold in memory
 TABLE_BYTES = 32 << 20
@@ -220,11 +220,16 @@ def _grouped(df: DataFrame, key: str, text: str, limit: int, payload: Sequence[s
         ).mapInArrow(lambda batches: _chunk_rows(batches, limit, fields), schema),
         "dedup-rows",
     )
-    groups = (
+    groups = materialise(
         written.where("content IS NOT NULL").select("local_group", "n", "best", "best_row", "sha", "content")
-        .repartition(F.xxhash64("sha")).mapInArrow(lambda batches: _settle(batches, limit), _SETTLED)
+        .repartition(F.xxhash64("sha")).mapInArrow(lambda batches: _settle(batches, limit), _SETTLED), "dedup-groups",
     )
-    return written.where("content IS NULL"), groups
+    rows = written.where("content IS NULL").drop("content", "n", "best", "best_row")
+    if not payload:
+        # the contents are done with; what stays is a few numbers a row
+        rows = materialise(rows, "dedup-members")
+        free(written)
+    return rows, groups
 
 
 def exact_groups(
@@ -249,6 +254,12 @@ def keep_one(
     df: DataFrame, *, key: str = "doc_id", text: str = "text", table_bytes: int = TABLE_BYTES,
 ) -> DataFrame:
     """The rows of :func:`exact_groups` that stay, with all their columns."""
+    rows, groups = _grouped(df, key, text, table_bytes, ())
+    repeated = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR id IS NULL")
+    if repeated.isEmpty():
+        # a key names its row, so the texts need not be kept beside their groups
+        gone = rows.select("id", "row", "local_group").join(groups, "local_group").where("row <> keep_row")
+        return df.join(gone.select(F.col("id").cast(df.schema[key].dataType).alias(key)), key, "left_anti")
     rows, groups = _grouped(df, key, text, table_bytes, df.columns)
     keepers = groups.select(F.col("keep_row").alias("row")).distinct()
     return rows.join(keepers, "row", "left_semi").select(*[F.col(f"p{i}").alias(c) for i, c in enumerate(df.columns)])

@@ -21,7 +21,7 @@ from gleanframe.llm.components import components
 from gleanframe.llm.rows import Sent, map_steps, text_bytes
 from gleanframe.llm.shingles import mixed, shingle_sets
 from gleanframe.operators.columns import ident
-from gleanframe.session import materialise
+from gleanframe.session import free, materialise
 
 # sets up to this size may enumerate subsets; cost of a posting against that of a subset
 MOST_SMALL, POSTING_COST = 24, 3
@@ -221,7 +221,10 @@ def _links(pairs: DataFrame, rows: DataFrame, words: int, percent: int) -> DataF
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     union = F.size("x") + F.size("y") - both
-    return pairs.join(left, "a").join(right, "b").where(100 * both >= percent * union).select("a", "b")
+    found = pairs.join(left, "a").join(right, "b").where(100 * both >= percent * union).select("a", "b")
+    links = materialise(found, "links")
+    free(pairs, sets)
+    return links
 
 
 def similar_classes(
@@ -265,23 +268,26 @@ def similar_classes(
     # the most central member of each list that has more than one
     centre = lists.groupBy("list").agg(F.min(F.struct("rare", "n", "id")).alias("p"), F.count(F.lit(1)).alias("c")).where("c > 1")
     met = materialise(lists.join(centre.select("list", F.col("p.id").alias("centre")), "list"), "lists-met")
+    free(lists)
     sides = members.select("id", "n", *SKETCHES)
     stars = met.where(F.col("id") != F.col("centre")).select(
         F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b"),
     ).distinct()
     x, y = sides.alias("x"), sides.alias("y")
     likely = stars.join(x, F.col("a") == F.col("x.id")).join(y, F.col("b") == F.col("y.id")).where(_near("x", "y", percent))
-    first_links = materialise(_links(likely.select("a", "b"), texts, words, percent), "links")
+    first_links = _links(likely.select("a", "b"), texts, words, percent)
     parts = components(first_links)
     # lists that still hold more than one part
     placed = met.select("list", "id").join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    placed = materialise(placed, "placed")
+    old, placed = met, materialise(placed, "placed")
+    free(old)
     open_lists = placed.groupBy("list").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("list")
     told = materialise(placed.join(open_lists, "list", "left_semi").join(sides, "id"), "open-lists")
     a, b = told.alias("a"), told.alias("b")
     apart = (F.col("a.list") == F.col("b.list")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.component") != F.col("b.component"))
     others = a.join(b, apart & _near("a", "b", percent)).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
     more = _links(others, texts, words, percent)
+    free(placed, told)
     final = components(first_links.unionByName(more))
     classes = members.select("n", "one", "two", "id").join(final, "id", "left").select(
         F.col("n").alias("__n"), F.col("one").alias("__one"), F.col("two").alias("__two"),
