@@ -28,12 +28,14 @@ MOST_SMALL, POSTING_COST = 24, 3
 # texts that share a shingle from which it counts as frequent and is looked at last
 FREQUENT = 16
 # shingles counted in one group, and the largest bitmap over shingles that is broadcast (bits)
-RANGE, MOST_BITS = 1 << 20, 27
+RANGE, MOST_BITS = 1 << 20, 28
+# eighths of the hash range in which shingles are counted: the rarest ones of nearly every set lie there
+COUNTED = 3
 # bits of the parity sketch of a set, in 64-bit words
 SKETCH = 8
 SKETCHES = [f"p{i}" for i in range(SKETCH)]
-# bits of the id filter that spares texts outside all lists the making of their sets
-FILTER_BITS = 23
+# bits of the largest filter that keeps keys without a partner from being moved
+FILTER_BITS = 26
 
 
 def required(percent: int, a: int, b: int) -> int:
@@ -87,6 +89,7 @@ def _counted(columns, words: int, bits: int):
     """Shingles of a slice with the number of its texts, packed by range of their leading 32 bits."""
     sets = shingle_sets(text_bytes(columns["text"]), words)
     short = np.concatenate([s >> np.uint64(32) for s in sets] or [np.zeros(0, np.uint64)]).astype(np.uint32)
+    short = short[short < COUNTED << 29]
     short, n = np.unique(short, return_counts=True)
     cut = short >> np.uint32(32 - bits) if bits else np.zeros(len(short), np.uint32)
     ranges, first = np.unique(cut, return_index=True)
@@ -120,41 +123,46 @@ def _segments(group: pa.Table, range_bits: int, map_bits: int) -> pa.Table:
 def _bitmaps(rows: DataFrame, words: int, total: int) -> dict:
     """Two bitmaps over the leading bits of shingles, of at most 2^MOST_BITS bits however many shingles there are.
 
-    A set bit may also come from another shingle.  That costs work, never a pair: bits only
-    decide in which order, and whether in vain, a shingle is looked up.
+    A set bit may also come from another shingle, and shingles outside the counted range have
+    none.  That costs work, never a pair: bits only decide in which order, and whether in vain,
+    a shingle is looked up.
     """
     map_bits = min(MOST_BITS, max(16, (16 * total).bit_length()))
     range_bits = min(map_bits - 4, max(0, (total // RANGE).bit_length()))
     counted = map_steps(
-        rows, lambda c: _counted(c, words, range_bits), "r bigint, shingles binary, counts binary", 8 << 20,
+        rows, lambda c: _counted(c, words, range_bits), "r bigint, shingles binary, counts binary", 4 << 20,
     )
     segments = counted.groupBy("r").applyInArrow(
         lambda t: _segments(t, range_bits, map_bits), "r bigint, shared binary, frequent binary",
     ).toArrow()
-    size = (1 << map_bits) // 8
+    size = (1 << map_bits) // 8 * COUNTED // 8
     maps = {"bits": map_bits, "shared": bytearray(size), "frequent": bytearray(size)}
-    step = size >> range_bits
+    step = (1 << map_bits) // 8 >> range_bits
     for r, shared, frequent in zip(*[segments.column(i).to_pylist() for i in range(3)]):
-        maps["shared"][r * step:(r + 1) * step] = shared
-        maps["frequent"][r * step:(r + 1) * step] = frequent
+        # the last range may reach beyond the counted ones
+        for name, segment in (("shared", shared), ("frequent", frequent)):
+            maps[name][r * step:(r + 1) * step] = segment[:max(0, size - r * step)]
     return {k: bytes(v) if isinstance(v, bytearray) else v for k, v in maps.items()}
 
 
-def _marked(bitmap: bytes, at: np.ndarray) -> np.ndarray:
+def _marked(bitmap: bytes, at: np.ndarray, beyond: bool) -> np.ndarray:
+    """Bits at the places, ``beyond`` for places after the bitmap's end."""
     data = np.frombuffer(bitmap, np.uint8)
-    return data[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1
+    inside = at >> 3 < len(data)
+    at = np.where(inside, at, 0)
+    return np.where(inside, data[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1, beyond)
 
 
 def _posted(columns, words: int, percent: int, boundary: int, maps: dict):
-    """(list, id, size, first sum, share of rare shingles) for every list that a set is on."""
-    out = {k: [] for k in ("list", "id", "n", "one", "rare")}
+    """(list, id, size, first sum, share of rare shingles, shingles that others may have) for every list of a set."""
+    out = {k: [] for k in ("list", "id", "n", "one", "rare", "open")}
     ids = columns["id"].to_numpy()
     for key, s in zip(ids, shingle_sets(text_bytes(columns["text"]), words)):
         n = len(s)
         if not n:
             continue
         at = (s >> np.uint64(64 - maps["bits"])).astype(np.int64)
-        frequent, shared = _marked(maps["frequent"], at), _marked(maps["shared"], at)
+        frequent, shared = _marked(maps["frequent"], at, False), _marked(maps["shared"], at, True)
         lists = []
         if 100 * n > percent * boundary:
             # rare shingles first, in the order of their hash; those of one text meet nobody
@@ -168,33 +176,33 @@ def _posted(columns, words: int, percent: int, boundary: int, maps: dict):
         lists = np.concatenate(lists) if lists else s[:0]
         one = _signed(mixed(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).reshape(1))[0]
         out["list"].append(lists)
-        for name, v in (("id", key), ("n", n), ("one", one), ("rare", int(1_000_000 * (~frequent).sum() / n))):
+        for name, v in (("id", key), ("n", n), ("one", one), ("rare", int(1_000_000 * (~frequent).sum() / n)), ("open", int(shared.sum()))):
             out[name].append(np.full(len(lists), v, np.int64))
     merged = {k: np.concatenate(v) if v else np.zeros(0, np.int64) for k, v in out.items()}
-    return [_signed(merged["list"]), merged["id"], merged["n"], merged["one"], merged["rare"]]
+    return [_signed(merged["list"]), *[merged[c] for c in ("id", "n", "one", "rare", "open")]]
 
 
-def _id_filter(ids: DataFrame) -> DataFrame:
-    """A bitmap of 2^FILTER_BITS bits over hashed ids, as 64-bit words (w, b)."""
-    slots = ids.select(_slot("id").alias("s"))
-    return slots.groupBy(F.shiftright("s", 6).alias("w")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(s % 64 AS int))")).alias("b")
-    )
+def _filtered(rows: DataFrame, name: str, keys: DataFrame, n: int) -> DataFrame:
+    """The rows whose ``name`` is probably among the ``n`` distinct keys, and all that surely are.
 
+    The filter is a bitmap over hashed keys as 64-bit words (w, b), 2^FILTER_BITS bits at most.
+    """
+    bits = min(FILTER_BITS, max(10, (32 * n).bit_length()))
 
-def _slot(name: str) -> Column:
-    return F.pmod(F.xxhash64(name), F.lit(1 << FILTER_BITS))
+    def slot(c: str) -> Column:
+        return F.pmod(F.xxhash64(c), F.lit(1 << bits))
 
+    words = keys.select(slot(name).alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(s % 64 AS int))")).alias("b")
+    )
+    near = rows.withColumn("__s", slot(name)).join(F.broadcast(words), F.shiftright("__s", 6) == F.col("w"))
+    return near.where(F.expr("shiftright(b, cast(__s % 64 AS int)) & 1 = 1")).drop("__s", "w", "b")
 
-def _sets_of(rows: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """(id, shingles) of the given ids.  A small bitmap of ids first keeps most other texts out."""
-    def run(columns):
-        return columns["id"], [_signed(s) for s in shingle_sets(text_bytes(columns["text"]), words)]
 
-    likely = F.broadcast(_id_filter(ids))
-    near = rows.withColumn("__s", _slot("id")).join(likely, F.shiftright("__s", 6) == F.col("w"))
-    near = near.where(F.expr("shiftright(b, cast(__s % 64 AS int)) & 1 = 1")).select("id", "text")
-    return map_steps(near, run, "id bigint, shingles array<bigint>").join(ids, "id", "left_semi")
+def _room(n: str, m: str, x: str, y: str, percent: int) -> Column:
+    """Whether sets of sizes n and m can be similar that share at most x, and at most y, shingles with any other."""
+    most = F.least(F.col(x), F.col(y))
+    return (100 + percent) * most >= percent * (F.col(n) + F.col(m))
 
 
 def _near(a: str, b: str, percent: int) -> Column:
@@ -212,18 +220,26 @@ def _near(a: str, b: str, percent: int) -> Column:
 def _links(pairs: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar.
 
-    Only texts that are in a pair have their sets made and moved.
+    Only texts that are in a pair are moved, as text, which packs better than hashes.
     """
     pairs = materialise(pairs, "pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = materialise(_sets_of(rows, ids, words), "sets")
-    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    union = F.size("x") + F.size("y") - both
-    found = pairs.join(left, "a").join(right, "b").where(100 * both >= percent * union).select("a", "b")
-    links = materialise(found, "links")
-    free(pairs, sets)
+    wanted = materialise(_filtered(rows, "id", ids, 2 * pairs.count()), "texts")
+
+    def similar(columns):
+        pair = [shingle_sets(text_bytes(columns[c]), words) for c in ("x", "y")]
+        keep = []
+        for x, y in zip(*pair):
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            keep.append(100 * both >= percent * (len(x) + len(y) - both))
+        keep = pa.array(keep, pa.bool_())
+        return [columns[c].filter(keep) for c in ("a", "b")]
+
+    left = wanted.select(F.col("id").alias("a"), F.col("text").alias("x"))
+    right = wanted.select(F.col("id").alias("b"), F.col("text").alias("y"))
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
+    links = materialise(map_steps(both, similar, "a bigint, b bigint").distinct(), "links")
+    free(pairs, wanted)
     return links
 
 
@@ -261,31 +277,35 @@ def similar_classes(
     maps = Sent(df.sparkSession, _bitmaps(texts, words, total))
     posted = map_steps(
         texts, lambda c: _posted(c, words, percent, boundary, maps.value),
-        "list bigint, id bigint, n bigint, one bigint, rare bigint",
+        "list bigint, id bigint, n bigint, one bigint, rare bigint, open bigint",
     )
-    lists = posted.groupBy("list", "n", "one").agg(F.min("id").alias("id"), F.min("rare").alias("rare"))
-    lists = materialise(lists.select("list", "id", "n", "rare"), "lists")
-    # the most central member of each list that has more than one
-    centre = lists.groupBy("list").agg(F.min(F.struct("rare", "n", "id")).alias("p"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    met = materialise(lists.join(centre.select("list", F.col("p.id").alias("centre")), "list"), "lists-met")
-    free(lists)
+    lists = posted.groupBy("list", "n", "one").agg(*[F.min(c).alias(c) for c in ("id", "rare", "open")])
+    lists = materialise(lists.drop("one"), "lists")
+    shared = lists.groupBy("list").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("list")
+    shared = materialise(shared, "shared-lists")
+    met = _filtered(lists, "list", shared, shared.count())
+    # the most central member of each list
+    centre = met.groupBy("list").agg(F.min(F.struct("rare", "n", "id", "open")).alias("p"))
+    met = materialise(met.drop("rare").join(centre, "list"), "lists-met")
+    free(lists, shared)
     sides = members.select("id", "n", *SKETCHES)
-    stars = met.where(F.col("id") != F.col("centre")).select(
-        F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b"),
+    stars = met.where(F.col("id") != F.col("p.id")).where(_room("n", "p.n", "open", "p.open", percent)).select(
+        F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b"),
     ).distinct()
     x, y = sides.alias("x"), sides.alias("y")
     likely = stars.join(x, F.col("a") == F.col("x.id")).join(y, F.col("b") == F.col("y.id")).where(_near("x", "y", percent))
     first_links = _links(likely.select("a", "b"), texts, words, percent)
     parts = components(first_links)
     # lists that still hold more than one part
-    placed = met.select("list", "id").join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    placed = met.select("list", "id", "open").join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
     old, placed = met, materialise(placed, "placed")
     free(old)
     open_lists = placed.groupBy("list").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("list")
     told = materialise(placed.join(open_lists, "list", "left_semi").join(sides, "id"), "open-lists")
     a, b = told.alias("a"), told.alias("b")
     apart = (F.col("a.list") == F.col("b.list")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.component") != F.col("b.component"))
-    others = a.join(b, apart & _near("a", "b", percent)).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    room = _room("a.n", "b.n", "a.open", "b.open", percent)
+    others = a.join(b, apart & room & _near("a", "b", percent)).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
     more = _links(others, texts, words, percent)
     free(placed, told)
     final = components(first_links.unionByName(more))
