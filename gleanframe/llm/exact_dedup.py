@@ -27,7 +27,7 @@ from gleanframe.operators.columns import ident
 from gleanframe.session import free, materialise
 
 # content bytes that one table may hold in memory
-TABLE_BYTES = 32 << 20
+TABLE_BYTES = 16 << 20
 # spill files of one partitioning, and how often a bucket is split: 8 bits of the hash each time
 FANOUT, LEVELS = 16, 30
 _HEAD = "<32sqqqq?q"

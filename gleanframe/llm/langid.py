@@ -115,10 +115,9 @@ class Costs:
     def lengths(self, contents: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(bits of each text under each language, its number of coded bytes)."""
         data, starts = symbols(contents)
-        x = self.classes[data]
+        x = self.classes.astype(np.int32)[data]
         code = (x[:-3] * self.size + x[1:-2]) * self.size + x[2:-1]
-        at = self.rows[code].astype(np.int64) * self.size + x[3:]
-        at = np.concatenate([np.zeros(3, np.int64), at])
+        at = np.concatenate([np.zeros(3, np.int64), self.rows[code] * np.int64(self.size) + x[3:]])
         real = data != 0
         n = np.add.reduceat(real.astype(np.int64), starts)
         bits = np.stack([

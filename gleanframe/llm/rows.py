@@ -15,7 +15,7 @@ from pyspark.sql.types import StructType
 from gleanframe.operators.columns import ident
 
 # bytes of text that one step of a worker function sees, unless a single row is longer
-STEP_BYTES = 4 << 20
+STEP_BYTES = 1 << 20
 
 
 # values that a worker holds on to; the longest unused goes first
@@ -54,6 +54,8 @@ def steps(batches: Iterator[pa.RecordBatch], limit: int = STEP_BYTES) -> Iterato
         width = -(-batch.num_rows // pieces) or 1
         for start in range(0, batch.num_rows, width):
             yield batch.slice(start, width)
+        del batch
+        pa.default_memory_pool().release_unused()
 
 
 def map_steps(df: DataFrame, fn: Callable, schema: str, limit: int = STEP_BYTES) -> DataFrame:
