@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 from functools import reduce
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gleanframe.functions.stats import correlation_strength
@@ -17,7 +21,12 @@ from gleanframe.operators.lookup import attach
 from gleanframe.operators.ranks import running_counts, running_sums
 from gleanframe.session import local_frame, materialise
 
+# worker functions travel whole, so the package need not be installed on the workers
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 TOP_PAIRS = 15
+# columns beyond which pairs are summed as matrix products, in one scan
+WIDE = 40
 
 
 def _pair_frame(df: DataFrame, pairs: Sequence[tuple[str, str]], exprs: Sequence[Column]) -> DataFrame:
@@ -41,6 +50,43 @@ def _finite_numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return numbers(df, columns).select(*[finite(F.col(f"x{i}")).alias(f"x{i}") for i in range(len(columns))])
 
 
+def _wide_pairs(slim: DataFrame, columns: list[str], centres: list[float], fixed: set[int]) -> DataFrame:
+    """Every pair's coefficient from one scan: each task sums matrix products of its rows.
+
+    Row i of a task's sums holds, against every column j, the rows both have, and the sums of
+    x_i, x_j, their squares and their product over these rows.  A group has one such row per task.
+    """
+    k, names = len(columns), ["n", "sx", "sy", "sxx", "syy", "sxy"]
+    schema = "i int, " + ", ".join(f"{c} array<double>" for c in names)
+
+    def sums(batches):
+        total = np.zeros((len(names), k, k))
+        for batch in batches:
+            x = np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns], 1)
+            here = np.isfinite(x)
+            x, m = np.where(here, x - centres, 0.0), here.astype(float)
+            first, square = x.T @ m, (x * x).T @ m
+            total += np.stack([m.T @ m, first, first.T, square, square.T, x.T @ x])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(range(k), pa.int32()), *[pa.array(t.tolist(), pa.list_(pa.float64())) for t in total]], names=["i", *names],
+        )
+
+    def finish(group: pa.Table) -> pa.Table:
+        i = group.column("i")[0].as_py()
+        n, sx, sy, sxx, syy, sxy = (np.array(group.column(c).to_pylist()).sum(0) for c in names)
+        with np.errstate(all="ignore"):
+            left, right = sxx - sx * sx / n, syy - sy * sy / n
+            r = (sxy - sx * sy / n) / np.sqrt(left * right)
+        later = [j for j in range(i + 1, k)]
+        fine = [None if j in fixed or i in fixed or not np.isfinite(r[j]) else float(r[j]) for j in later]
+        return pa.table({
+            "col1": pa.array([columns[i]] * len(later), pa.string()), "col2": pa.array([columns[j] for j in later], pa.string()),
+            "r": pa.array(fine, pa.float64()),
+        })
+
+    return slim.mapInArrow(sums, schema).groupBy("i").applyInArrow(finish, "col1 string, col2 string, r double")
+
+
 def pearson_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(col1, col2, r) for each pair of numeric columns, over the rows where both have a value.
 
@@ -59,6 +105,9 @@ def pearson_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
     fixed = {i for i in range(len(columns)) if not row[f"varies{i}"]}
     centred = slim.selectExpr("*", *[f"x{i} - {row[f'mean{i}']!r}D AS d{i}" for i in sorted(full)])
     pairs = list(combinations(range(len(columns)), 2))
+    if len(columns) > WIDE:
+        centres = [row[f"mean{i}"] or 0.0 for i in range(len(columns))]
+        return _wide_pairs(slim, columns, centres, fixed)
 
     def r(i: int, j: int) -> str:
         if i in fixed or j in fixed:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass
+from datetime import datetime, timezone
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -16,10 +17,14 @@ from gleanframe.session import local_frame
 
 CATALOG = (
     "dataset_id string, version_number bigint, stage string, path string, row_count bigint, "
-    "checksum string, parent_version bigint, deleted boolean"
+    "checksum string, parent_version bigint, deleted boolean, byte_size bigint, created_at timestamp, columns string"
 )
 
 
+def _now() -> datetime:
+    return datetime.now(timezone.utc)
+
+
 @dataclass(frozen=True)
 class Store:
     """A folder with one Parquet path per version and an append-only catalog.
@@ -86,7 +91,10 @@ class Store:
         df.write.parquet(path)
         # counted on the written files, so the input is not computed again
         seal = table_fingerprint(self.spark.read.parquet(path)).first()
-        self._add(dataset_id, number, stage, path, seal["rows"], seal["checksum"], parent, False)
+        files = self.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path)
+        size = files.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+        shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
+        self._add(dataset_id, number, stage, path, seal["rows"], seal["checksum"], parent, False, size, _now(), shape)
         return number
 
     def _next(self, dataset_id: str, parent: int | None) -> int:
@@ -101,7 +109,7 @@ class Store:
             raise ValueError(f"{dataset_id!r} has no version {version}")
         if len(live) == 1:
             raise ValueError("the only version of a dataset cannot be deleted")
-        self._add(dataset_id, version, None, None, None, None, None, True)
+        self._add(dataset_id, version, None, None, None, None, None, True, None, _now(), None)
 
     def roll_back(self, dataset_id: str, version: int) -> int:
         """Make an earlier version the latest again: a new number for the same files."""
@@ -109,7 +117,10 @@ class Store:
         if row is None or row["version_number"] != version:
             raise ValueError(f"{dataset_id!r} has no version {version}")
         number = self._next(dataset_id, version)
-        self._add(dataset_id, number, row["stage"], row["path"], row["row_count"], row["checksum"], version, False)
+        self._add(
+            dataset_id, number, row["stage"], row["path"], row["row_count"], row["checksum"], version, False,
+            row["byte_size"], _now(), row["columns"],
+        )
         return number
 
     def ingest(self, source: str, dataset_id: str, fmt: str | None = None) -> int:

@@ -8,9 +8,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gleanframe.operators import catalog, usage
+from gleanframe.plans.rules import Rule
 from gleanframe.plans.versions import Store
 from gleanframe.registry.base import query, table
-from gleanframe.registry.fixtures import dirty_customer
+from gleanframe.registry.fixtures import DIRTY_CUSTOMER, dirty_customer
 from gleanframe.session import scratch_path
 
 # written out once more, so that a wrong character in the library shows
@@ -127,13 +128,22 @@ def resolve_version(spark, folder):
     return catalog.resolve_versions(_messages_as_versions(spark, folder), "conv_id", "version_number", 2, ["stage"])
 
 
-@query("version_append")
+@query("version_append", f"""
+WITH {DIRTY_CUSTOMER}, n AS (SELECT count(*) AS n FROM dirty_customer)
+SELECT 'customers' AS dataset_id, v AS version_number, CASE WHEN v = 1 THEN 'raw' ELSE 'cleaned' END AS stage,
+  CASE WHEN v = 1 THEN n ELSE (SELECT count(*) FROM (SELECT DISTINCT * FROM dirty_customer)) END AS row_count,
+  CASE WHEN v = 2 THEN 1 END::BIGINT AS parent_version, true AS has_size,
+  'id bigint, name string, balance_text string, age double, segment string, email string, empty_col string' AS columns
+FROM n, (VALUES (1::BIGINT), (2)) AS t(v)""")
 def version_append(spark, folder):
     """Raw customers become version 1, their cleaned form version 2 with version 1 as parent."""
     store = Store(spark, scratch_path(spark, "versions"))
     first = store.append(dirty_customer(spark, folder), "customers", "raw")
-    store.clean("customers", version=first)
-    return store.versions("customers").drop("path")
+    store.clean("customers", [Rule("deduplicate")], version=first)
+    return store.versions("customers").select(
+        "dataset_id", "version_number", "stage", "row_count", "parent_version",
+        ((F.col("byte_size") > 0) & F.col("created_at").isNotNull()).alias("has_size"), "columns",
+    )
 
 
 @query("token_usage", f"""

@@ -278,9 +278,16 @@ def mask_pii(spark, folder):
     return schema.mask_pii(dirty_customer(spark, folder))
 
 
-@query("redact_text", rf"""
-SELECT doc_id, regexp_replace(regexp_replace(text, '[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9-.]+', '{MASK}', 'g'),
-  '\+?\(?\d{{3}}\)?[ -]\d{{3}}[ -]\d{{4}}', '{MASK}', 'g') AS text FROM documents""")
+_KINDS = [
+    r"[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9-.]+", r"\b\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}\b", r"\b\d{3}-\d{2}-\d{4}\b",
+    r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b", r"\+?\(?\d{3}\)?[ -]\d{3}[ -]\d{4}",
+]
+_BARE = "text"
+for _kind in _KINDS:
+    _BARE = f"regexp_replace({_BARE}, '{_kind}', '{MASK}', 'g')"
+
+
+@query("redact_text", f"SELECT doc_id, {_BARE} AS text FROM documents")
 def redact_text(spark, folder):
     return clean.redact_text(table(spark, folder, "documents").select("doc_id", "text"), ["text"])
 

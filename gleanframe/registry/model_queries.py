@@ -114,7 +114,11 @@ def ml_prepare(spark, folder):
     return prepared.select("l_orderkey", "l_linenumber", F.col("features").cast("string").alias("features"))
 
 
-@query("ml_split")
+def _fold(key: str) -> str:
+    return f"CAST('0x' || substr(md5({key} || '|42'), 1, 8) AS BIGINT) % 5"
+
+
+@query("ml_split", f"SELECT o_orderkey, CASE WHEN {_fold('o_orderkey')} = 0 THEN 'test' ELSE 'train' END AS side FROM orders")
 def ml_split(spark, folder):
     train, test = ml.split_rows(table(spark, folder, "orders"), ["o_orderkey"])
     return train.select("o_orderkey", F.lit("train").alias("side")).unionAll(
@@ -133,6 +137,34 @@ _regression("ml_linear", "linear_regression")
 _regression("ml_ridge", "ridge")
 
 
+# with one feature, least squares has a closed form
+_LINE = f"""
+WITH rows AS (SELECT o_orderkey, CAST(o_custkey AS DOUBLE) AS x, o_totalprice + 10 * o_custkey AS y, {_fold('o_orderkey')} AS fold FROM orders),
+line AS (SELECT regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM rows WHERE fold <> 0),
+guessed AS (SELECT *, a + b * x AS p FROM rows, line)"""
+
+
+def _line_rows(spark, folder):
+    orders = table(spark, folder, "orders")
+    return orders.select("o_orderkey", "o_custkey", (F.col("o_totalprice") + 10 * F.col("o_custkey")).alias("target"))
+
+
+@query("ml_linear_line", f"""{_LINE}, t AS (SELECT * FROM guessed WHERE fold = 0)
+SELECT round(1 - avg(pow(y - p, 2)) / var_pop(y), 4) AS r2_score, round(sqrt(avg(pow(y - p, 2))), 2) AS rmse, round(avg(abs(y - p)), 2) AS mae,
+  round(avg(abs((y - p) / y)) * 100, 2) AS mape_pct, round(1 - var_pop(y - p) / var_pop(y), 4) AS explained_variance,
+  count(*) AS test_samples, (SELECT count(*) FROM rows WHERE fold <> 0) AS train_samples FROM t""")
+def ml_linear_line(spark, folder):
+    got = ml.train(_line_rows(spark, folder), "linear_regression", "target", ["o_custkey"], ["o_orderkey"]).metrics
+    return got.withColumn("rmse", F.round("rmse", 2)).withColumn("mae", F.round("mae", 2))
+
+
+@query("ml_score_line", f"{_LINE} SELECT o_orderkey, round(round(p, 4), 1) AS prediction FROM guessed")
+def ml_score_line(spark, folder):
+    rows = _line_rows(spark, folder)
+    model = ml.train(rows, "linear_regression", "target", ["o_custkey"], ["o_orderkey"])
+    return ml.score(model, rows).select("o_orderkey", F.round("prediction", 1).alias("prediction"))
+
+
 def _part_regression(name, kind):
     @query(name)
     def run(spark, folder):

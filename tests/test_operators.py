@@ -197,6 +197,22 @@ def test_group_medians_with_infinities(spark, limit):
     assert got == {"all": inf, "some": inf, "low": 3.0}
 
 
+def test_wide_correlations_equal_narrow_ones(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 8)) + 50
+    x[:, 1] += 3 * x[:, 0]
+    x[:, 2] = 7.0
+    x[::5, 3] = np.nan
+    x[::7, 4] = np.inf
+    df = spark.createDataFrame(x.tolist(), [f"c{i}" for i in range(8)]).repartition(4)
+    want = {(r["col1"], r["col2"]): r["r"] for r in relate.pearson_pairs(df).collect()}
+    monkeypatch.setattr(relate, "WIDE", 1)
+    got = {(r["col1"], r["col2"]): r["r"] for r in relate.pearson_pairs(df).collect()}
+    assert set(got) == set(want)
+    for pair, r in want.items():
+        assert got[pair] == (None if r is None else pytest.approx(r, abs=1e-9)), pair
+
+
 def test_both_zeros_are_one_value(spark):
     df = spark.createDataFrame([(0.0,), (-0.0,), (1.0,)], "v double")
     assert profile.distinct_profile(df).first()["distinct_count"] == 2
