@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from gleanframe.operators.columns import ident
 from gleanframe.operators.lookup import attach
 from gleanframe.operators.ranks import positions
-from gleanframe.session import materialise
+from gleanframe.session import free, materialise
 
 
 def ownership_chain(levels: Sequence[tuple[DataFrame, str, str | None]]) -> DataFrame:
@@ -122,7 +122,7 @@ def version_lineage(versions: DataFrame, key: str, parent: str) -> DataFrame:
         "id", F.coalesce("__known", "id").alias("root"),
         F.when(F.col("__known").isNotNull(), 1).otherwise(0).cast("bigint").alias("depth"),
     )
-    jumps = materialise(jumps, "lineage")
+    written = jumps = materialise(jumps, "lineage")
     for _ in range(jumps.count().bit_length() + 1):
         ahead = jumps.select(
             F.col("id").alias("__id"), F.col("root").alias("__root"), F.col("depth").alias("__depth")
@@ -134,8 +134,9 @@ def version_lineage(versions: DataFrame, key: str, parent: str) -> DataFrame:
             (F.col("depth") + F.coalesce("__depth", F.lit(0))).alias("depth"),
             F.col("__id").isNotNull().alias("moved"),
         )
-        moved = materialise(moved, "lineage")
-        jumps = moved.drop("moved")
+        old, moved = written, materialise(moved, "lineage")
+        free(old)
+        written, jumps = moved, moved.drop("moved")
         if moved.where("moved").isEmpty():
             return jumps.select(F.col("id").alias(key), "root", "depth")
     raise ValueError("the parents of some versions form a cycle")

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import (
-    ArrayType, IntegralType, MapType, NumericType, StringType, StructType,
+    ArrayType, DoubleType, FloatType, IntegralType, MapType, NumericType, StringType, StructType,
 )
 
 from gleanframe.functions.constants import (
@@ -36,6 +36,20 @@ def comparable(df: DataFrame, name: str) -> Column:
     return c
 
 
+def row_digest(df: DataFrame) -> Column:
+    """128 bits that tell rows apart, so that counting copies need not move whole rows.
+
+    A null counts by its place, and both zeros are one value, as grouping sees them.
+    """
+    parts = []
+    for f in df.schema.fields:
+        cell = comparable(df, f.name)
+        if isinstance(f.dataType, (FloatType, DoubleType)):
+            cell = cell + F.lit(0.0)
+        parts += [cell.isNull(), cell]
+    return F.struct(F.xxhash64(F.lit(1), *parts).alias("a"), F.xxhash64(F.lit(2), *parts).alias("b"))
+
+
 # ---- text ---------------------------------------------------------------------------------------
 
 def trim_whitespace(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql.types import StringType
 from gleanframe.functions.constants import HEALTH_MISSING_TEXTS
 from gleanframe.functions.stats import skewness_adjusted
 from gleanframe.functions.text import finite, sql_double
-from gleanframe.operators.clean import comparable, iqr_bounds
+from gleanframe.operators.clean import iqr_bounds, row_digest
 from gleanframe.operators.columns import (
     CHUNK, aggregate_row, as_double, as_text, categorical_columns, fractional_columns, ident, long_aggregates, numbers,
     numeric_columns, present, text_columns, unpivot_numbers, unpivot_text,
@@ -67,10 +67,9 @@ def distinct_profile(df: DataFrame, approximate: bool = False) -> DataFrame:
 
 def _distinct_rows(df: DataFrame, missing: Column) -> DataFrame:
     """(copies, gaps): one row per distinct row, with the missing cells of its copies."""
-    cells = [comparable(df, c).alias(f"k{i}") for i, c in enumerate(df.columns)]
-    return df.select(*cells, missing.alias("gaps")).groupBy(
-        *[f"k{i}" for i in range(len(cells))], "gaps"
-    ).agg(F.count(F.lit(1)).alias("copies"))
+    return df.select(row_digest(df).alias("row"), missing.alias("gaps")).groupBy("row", "gaps").agg(
+        F.count(F.lit(1)).alias("copies")
+    )
 
 
 def _sum(parts: Sequence[Column]) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.feature import OneHotEncoder
 from pyspark.sql import DataFrame, functions as F
 
 from gleanframe.operators.columns import aggregate_row, as_double, ident, numeric_columns
@@ -77,18 +78,34 @@ def encode_label(df: DataFrame, column: str, name: str | None = None) -> DataFra
     return attach(df, positions(counted, [column], name=name), column)
 
 
+def encode_onehot_vector(df: DataFrame, column: str, name: str | None = None) -> DataFrame:
+    """Add a sparse 0/1 vector with a place per distinct value, in sorted order; null is all zeros.
+
+    Works for any number of values: a row holds one number and its place.
+    """
+    name = name or f"{column}_onehot"
+    coded = encode_label(df, column, "__code")
+    size = coded.agg(F.max("__code")).first()[0]
+    coded = coded.withColumn("__code", F.coalesce("__code", F.lit((size or 0) + 1)).cast("double"))
+    known = coded.where(ident(column).isNotNull())
+    encoder = OneHotEncoder(inputCol="__code", outputCol=name, handleInvalid="keep", dropLast=True)
+    if size is None:
+        raise ValueError(f"{column} has no values")
+    return encoder.fit(known).transform(coded).drop("__code")
+
+
 def encode_onehot(df: DataFrame, column: str, most: int = ONE_HOT_MOST) -> DataFrame:
     """Replace a column by one 0/1 column per value, in sorted order.
 
     A table cannot get a column per value of a free text; that is refused, and
-    :func:`encode_label` covers such columns.
+    :func:`encode_onehot_vector` covers such columns.
     """
     found = (
         df.where(ident(column).isNotNull()).select(ident(column)).distinct()
         .orderBy(ident(column)).limit(most + 1).collect()
     )
     if len(found) > most:
-        raise ValueError(f"{column} has more than {most} values; use encode_label")
+        raise ValueError(f"{column} has more than {most} values; use encode_onehot_vector")
     rest = [ident(c) for c in df.columns if c != column]
     flags = [
         F.coalesce((ident(column) == F.lit(r[0])).cast("int"), F.lit(0)).alias(f"{column}_{r[0]}")

@@ -122,8 +122,19 @@ def row_index(df: DataFrame, order_by: Sequence[str], name: str = "row_index") -
 
 
 def select_rows(df: DataFrame, order_by: Sequence[str], indices: Sequence[int]) -> DataFrame:
-    """Rows at the given 0-based positions of the order."""
-    return row_index(df, order_by, "__index").where(F.col("__index").isin(*indices)).drop("__index")
+    """Rows at the given 0-based positions of the order, whose columns identify a row.
+
+    Only the order columns are sorted; the few wanted keys then fetch their rows.
+    """
+    keys = row_index(df.select(*[ident(c) for c in order_by]), order_by, "__index")
+    wanted = keys.where(F.col("__index").isin(*indices)).select(
+        *[ident(c).alias(f"__o{i}") for i, c in enumerate(order_by)]
+    )
+    same = F.lit(True)
+    for i, c in enumerate(order_by):
+        same = same & ident(c).eqNullSafe(F.col(f"__o{i}"))
+    # at most one row per wanted position
+    return df.join(F.broadcast(wanted), same, "left_semi")
 
 
 def search_entities(df: DataFrame, columns: Sequence[str], term: str) -> DataFrame:

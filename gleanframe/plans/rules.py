@@ -114,10 +114,8 @@ def suggest_rules(df: DataFrame) -> DataFrame:
         empty = empty & ident(c).isNull()
     for c in names:
         padded = padded | F.coalesce(strip(ident(c)) != ident(c), F.lit(False))
-    cells = [clean.comparable(df, c).alias(f"k{i}") for i, c in enumerate(df.columns)]
-    grouped = df.select(*cells, empty.alias("empty"), padded.alias("padded")).groupBy(
-        *[f"k{i}" for i in range(len(cells))], "empty", "padded"
-    ).agg(F.count(F.lit(1)).alias("n"))
+    marked = df.select(clean.row_digest(df).alias("row"), empty.alias("empty"), padded.alias("padded"))
+    grouped = marked.groupBy("row", "empty", "padded").agg(F.count(F.lit(1)).alias("n"))
     got = grouped.agg(
         F.coalesce(F.sum(F.when(F.col("empty"), F.col("n"))), F.lit(0)).alias("drop_empty_rows"),
         F.coalesce(F.sum(F.when(F.col("padded"), F.col("n"))), F.lit(0)).alias("trim_whitespace"),

@@ -213,6 +213,23 @@ def test_wide_correlations_equal_narrow_ones(spark, monkeypatch):
         assert got[pair] == (None if r is None else pytest.approx(r, abs=1e-9)), pair
 
 
+def test_onehot_vectors_of_many_values(spark):
+    df = spark.createDataFrame([(i, f"v{i % 700:04d}" if i % 9 else None) for i in range(2000)], "i long, v string")
+    got = scale.encode_onehot_vector(df, "v").collect()
+    values = sorted({r["v"] for r in got if r["v"]})
+    assert len(got) == 2000
+    for r in got:
+        assert r["v_onehot"].size == len(values)
+        assert r["v_onehot"].indices.tolist() == ([] if r["v"] is None else [values.index(r["v"])])
+
+
+def test_copies_by_digest(spark):
+    rows = [(None, "a", 0.0), ("a", None, 0.0), ("a", None, -0.0), (None, "a", 0.0), ("a", None, None)]
+    df = spark.createDataFrame(rows, "x string, y string, z double")
+    got = profile.table_quality(df).first()
+    assert got["duplicate_rows"] == 2 and got["null_cells"] == 6
+
+
 def test_both_zeros_are_one_value(spark):
     df = spark.createDataFrame([(0.0,), (-0.0,), (1.0,)], "v double")
     assert profile.distinct_profile(df).first()["distinct_count"] == 2
