@@ -132,6 +132,13 @@ def pii_suspects(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c in by_name or c in by_value]
 
 
+def pii_columns(df: DataFrame) -> DataFrame:
+    """(column, is_pii, filled): whether the header alone marks a column, and how many cells that covers."""
+    hits = pii_headers(df.columns)
+    counted = long_aggregates(df, df.columns, {"filled": ("bigint", lambda c: F.count(ident(c)))})
+    return counted.select("column", F.col("column").isin(hits).alias("is_pii"), "filled")
+
+
 def pii_value_rates(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(column, pattern, matches, filled, rate) over every row, not a sample."""
     columns = list(columns if columns is not None else text_columns(df))

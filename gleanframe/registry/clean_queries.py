@@ -329,6 +329,13 @@ _HEADER = " OR ".join(f"contains(lower(column_name), '{k}')" for k in (
     "first_name", "last_name", "full_name", "address", "zipcode"))
 
 
+@query("pii_columns", _dirty("""
+SELECT column_name AS "column", __HEADER__ AS is_pii, filled FROM (""".replace("__HEADER__", _HEADER) + " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, count({c}) AS filled FROM dirty_customer" for c in DIRTY_COLUMNS) + ")"))
+def pii_columns(spark, folder):
+    return schema.pii_columns(dirty_customer(spark, folder))
+
+
 @query("pii_value_rates", f"WITH {TYPED_ORDERS} " + "\nUNION ALL\n".join(
     f"SELECT '{c}' AS \"column\", '{name}' AS pattern, count(*) FILTER (trim({c}) <> '' AND regexp_matches(trim({c}), '{p}')) AS matches, "
     f"count(*) FILTER (trim({c}) <> '') AS filled, "
