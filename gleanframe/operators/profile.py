@@ -393,7 +393,10 @@ def small_group_means(
 
 
 def profile_table(df: DataFrame) -> DataFrame:
-    """One row per column: counts for all, statistics for numbers, lengths for texts."""
+    """One row per column: counts for all, statistics for numbers, lengths and the ten top values for texts.
+
+    Top values are JSON text, most frequent first; :func:`table_quality` sums up the table.
+    """
     numeric, texts = numeric_columns(df), text_columns(df)
     base = null_profile(df).join(F.broadcast(distinct_profile(df)), "column")
     kind = F.when(F.col("column").isin(*numeric), "numeric") if numeric else F.when(F.lit(False), "")
@@ -407,4 +410,8 @@ def profile_table(df: DataFrame) -> DataFrame:
         out = out.join(F.broadcast(stats), "column", "left")
     if texts:
         out = out.join(F.broadcast(string_lengths(df, texts)), "column", "left")
+        ranked = F.sort_array(F.collect_list(F.struct("rank", "value", "count")))
+        shown = F.to_json(F.transform(ranked, lambda x: F.struct(x["value"].alias("value"), x["count"].alias("count"))))
+        tops = top_values(df, texts).groupBy("column").agg(shown.alias("top_values"))
+        out = out.join(F.broadcast(tops), "column", "left")
     return out

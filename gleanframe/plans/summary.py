@@ -34,6 +34,13 @@ def _statistics(df: DataFrame, numeric: Sequence[str]) -> DataFrame:
     return moments.join(F.broadcast(middle), "column").join(F.broadcast(outliers), "column")
 
 
+def _categories(df: DataFrame) -> DataFrame:
+    """(column, unique_count, null_count)."""
+    # both sides have one row per column
+    nulls = F.broadcast(null_profile(df).select("column", "null_count"))
+    return distinct_profile(df).join(nulls, "column").select("column", F.col("distinct_count").alias("unique_count"), "null_count")
+
+
 def summary_parts(df: DataFrame, order_by: Sequence[str]) -> dict[str, Callable[[], DataFrame]]:
     """How to compute each of the small frames of a summary; none holds a row of the table."""
     numeric, categorical = numeric_columns(df), categorical_columns(df)
@@ -44,9 +51,7 @@ def summary_parts(df: DataFrame, order_by: Sequence[str]) -> dict[str, Callable[
     if len(numeric) >= 2:
         parts["correlations"] = lambda: ranked_pairs(df, numeric, top=10, digits=3).select("col1", "col2", "value")
     if categorical:
-        parts["categories"] = lambda: distinct_profile(df.select(*[f"`{c}`" for c in categorical])).select(
-            "column", F.col("distinct_count").alias("unique_count")
-        )
+        parts["categories"] = lambda: _categories(df.select(*[f"`{c}`" for c in categorical]))
         parts["value_counts"] = lambda: safe_value_counts(df)
         named = any(k in categorical[0].lower() for k in SUMMARY_ID_KEYWORDS)
         if numeric and not named:
@@ -79,4 +84,6 @@ def safe_summary(df: DataFrame, name: str, order_by: Sequence[str]) -> DataFrame
             F.sort_array(F.collect_list(F.struct(*[F.col(f"`{c}`") for c in frame.columns]))).alias(part)
         ).withColumn("__one", F.lit(1))
         out = out.join(F.broadcast(packed), "__one")
+    total_nulls = F.aggregate("nulls", F.lit(0).cast("bigint"), lambda n, x: n + x["null_count"])
+    out = out.withColumn("total_nulls", total_nulls)
     return out.select(F.to_json(F.struct(*[c for c in out.columns if c != "__one"])).alias("document"))

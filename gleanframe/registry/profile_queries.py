@@ -241,7 +241,7 @@ SELECT '{c}' AS "column", count(*) AS total_count, count(*) - count(x) AS null_c
   min(x) AS min, max(x) AS max, round(avg(x), 4) AS mean, round(stddev_samp(x), 4) AS std, round(any_value(q2), 4) AS median,
   round(any_value(q1), 4) AS q25, round(any_value(q3), 4) AS q75, round(any_value(q3 - q1), 4) AS iqr,
   count(*) FILTER (x < q1 - 1.5 * (q3 - q1) OR x > q3 + 1.5 * (q3 - q1)) AS outlier_count,
-  CAST(NULL AS DOUBLE) AS avg_string_length, CAST(NULL AS BIGINT) AS max_string_length
+  CAST(NULL AS DOUBLE) AS avg_string_length, CAST(NULL AS BIGINT) AS max_string_length, CAST(NULL AS VARCHAR) AS top_values
 FROM (SELECT CAST({c} AS DOUBLE) AS x FROM sparse_orders),
   (SELECT quantile_cont(CAST({c} AS DOUBLE), 0.25) AS q1, quantile_cont(CAST({c} AS DOUBLE), 0.5) AS q2,
      quantile_cont(CAST({c} AS DOUBLE), 0.75) AS q3 FROM sparse_orders)"""
@@ -249,8 +249,9 @@ FROM (SELECT CAST({c} AS DOUBLE) AS x FROM sparse_orders),
 SELECT '{c}' AS "column", count(*) AS total_count, count(*) - count({c}) AS null_count,
   round((count(*) - count({c})) * 100.0 / count(*), 2) AS null_pct, count(DISTINCT {c}) AS distinct_count, 'categorical' AS type,
   NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, """
-    text = other + "round(avg(length({c})), 2), max(length({c})) FROM sparse_orders"
-    plain = other + "NULL, NULL FROM sparse_orders"
+    text = other + """round(avg(length({c})), 2), max(length({c})), (SELECT CAST(to_json(list({'value': v, 'count': n} ORDER BY n DESC, v)) AS VARCHAR)
+  FROM (SELECT {c} AS v, count(*) AS n FROM sparse_orders WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY n DESC, v LIMIT 10)) FROM sparse_orders"""
+    plain = other + "NULL, NULL, NULL FROM sparse_orders"
     return f"WITH {SPARSE_ORDERS} " + "\nUNION ALL\n".join([
         per_column(numeric, number), per_column(texts, text), per_column(["o_orderdate"], plain),
     ])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from gleanframe.plans import analyses, report, summary
 from gleanframe.registry.base import per_column, query, table
 from gleanframe.registry.fixtures import REPORT_NUMBERS, REPORT_ORDERS, REPORT_TEXTS, endless_orders, report_orders
@@ -128,6 +130,20 @@ def summary_correlations(spark, folder):
 _AMOUNTS = ["o_orderkey", "o_custkey", "o_totalprice"]
 
 
+@query("summary_categories", f"WITH {REPORT_ORDERS} " + per_column(REPORT_TEXTS, """
+SELECT '{c}' AS "column", count(DISTINCT {c}) AS unique_count, count(*) - count({c}) AS null_count FROM report_orders"""))
+def summary_categories(spark, folder):
+    return summary.summary_parts(report_orders(spark, folder), ["o_orderkey"])["categories"]()
+
+
+@query("summary_nulls", f"""
+WITH {REPORT_ORDERS} SELECT CAST(sum({" + ".join(f"(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END)" for c in REPORT_NUMBERS + REPORT_TEXTS)}) AS BIGINT)
+  AS total_nulls FROM report_orders""")
+def summary_nulls(spark, folder):
+    document = summary.safe_summary(report_orders(spark, folder), "orders", ["o_orderkey"])
+    return document.select(F.get_json_object("document", "$.total_nulls").cast("bigint").alias("total_nulls"))
+
+
 @query("run_analysis_correlation", f"""
 WITH all_pairs AS ({_pairs(_AMOUNTS, "orders")}), mirrored AS (
   SELECT col1, col2, r FROM all_pairs UNION ALL SELECT col2, col1, r FROM all_pairs
