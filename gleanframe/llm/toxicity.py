@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from gleanframe.llm.rows import Sent, kept, map_steps, picked, texts
 from gleanframe.operators.columns import ident
+from gleanframe.session import free, materialise
 
 # labelled texts that the grammar is fitted on, chosen by a hash of their id (expected number)
 SAMPLE = 20_000
@@ -28,6 +29,8 @@ SAMPLE = 20_000
 LEAST_SHARE, LEAST_TEXTS, LEAST_WEIGHT, BEGINNINGS = 0.004, 3, 1.5, (3, 4, 5, 6, 7, 8)
 # twice the log likelihood by which an entry's texts have to differ from the sample's mix
 SIGNIFICANT, SAME_TEXTS = 30.0, 0.8
+# texts are near copies when so many least hashes of their runs of so many words are equal
+LEAST_RUNS, RUN_WORDS = 3, 5
 # factors of the surroundings, and words that a negation or a target reaches
 NEGATED, REPORTED, AIMED, AIMLESS_THREAT, REACH = 0.3, 0.5, 1.5, 0.3, 4
 THREAT_WEIGHT = 2.0
@@ -200,6 +203,17 @@ def _curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> list[float]:
     return b.tolist()
 
 
+def _without_copies(rows: DataFrame) -> DataFrame:
+    """(text, y): of the texts of a label with equal least hashes of word runs the one with the smallest key."""
+    words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+"), lambda w: w != "")
+    # fewer words than a run holds count as one run
+    last = F.greatest(F.size("words") - (RUN_WORDS - 1), F.lit(1))
+    runs = F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.slice("words", i, RUN_WORDS)))
+    least = F.slice(F.array_sort(F.array_distinct(runs)), 1, LEAST_RUNS)
+    marked = rows.withColumn("words", words).select("key", "text", "y", least.alias("g"))
+    return marked.groupBy("y", "g").agg(F.min(F.struct("key", "text")).alias("t")).select("t.text", "y")
+
+
 def fit(
     documents: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE,
 ) -> Grammar:
@@ -215,12 +229,12 @@ def fit(
     chosen = known.where(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < F.lit(int((1 << 30) * share)))
     # at most the sample is broadcast, so the texts stay where they are
     rows = documents.select(ident(key).alias("key"), ident(text).alias("text")).join(F.broadcast(chosen), "key")
-    # near copies would make any of their words look like a mark: one text for each least word hash
-    words = F.transform(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+"), lambda w: F.xxhash64(w))
-    rows = rows.select("text", (F.col("y") > 0).alias("y"), F.array_min(words).alias("g")).dropDuplicates(["y", "g"])
+    # near copies would make any of their words look like a mark; the bounded sample is written once
+    rows = materialise(_without_copies(rows.select("key", "text", (F.col("y") > 0).alias("y"))), "toxic-sample")
     sizes = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_toxic, n_clean = sizes.get(True, 0), sizes.get(False, 0)
     if not n_toxic or not n_clean:
+        free(rows)
         rate = (n_toxic + 0.5) / (n_toxic + n_clean + 1)
         return Grammar({}, [float(np.log(rate / (1 - rate))), 0.0, 0.0, 0.0])
     least = max(LEAST_TEXTS, int(LEAST_SHARE * n_toxic))
@@ -234,6 +248,7 @@ def fit(
         return [*zip(*[m.features(t) for t in texts(columns["text"])]), columns["y"]]
 
     got = map_steps(rows, measure, "a double, b double, c double, y boolean").toArrow()
+    free(rows)
     x = np.stack([got.column(i).to_numpy() for i in range(3)], 1)
     grammar.curve = _curve(x, got.column(3).to_numpy().astype(float))
     return grammar
