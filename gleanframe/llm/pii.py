@@ -23,6 +23,16 @@ from gleanframe.operators.columns import ident
 ROUNDS = 8
 _FIRST_DAY, _LAST_DAY = dt.date(1900, 1, 1).toordinal(), dt.date(2099, 12, 31).toordinal()
 
+# fixed values: characters of an IBAN by country
+IBAN_LENGTHS = {c[:2]: int(c[2:]) for c in (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 FO18 FR27 "
+    "GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 "
+    "MD24 ME22 MK19 MR27 MT31 MU30 NL18 NO15 PK24 PL28 PS29 PT25 QA29 RO24 RS22 SA24 SC31 SD18 SE24 SI19 SK24 SM27 ST25 SV28 "
+    "TL23 TN24 TR26 UA29 VA22 VG24 XK20"
+).split()}
+# fewest characters of a value that may end before its candidate does
+SHORTEST = {"card": 13, "iban": 15}
+
 # what starts a closer look at a text
 _HINT = re.compile(r"[0-9@=]")
 _FIND = re.compile(
@@ -36,7 +46,7 @@ _FIND = re.compile(
     | (?P<ip>(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d))
     | (?P<phone>(?<![\d+])\+\d{1,3}[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)
         | (?<![\d+(-])\(\d{3}\)[ ]?\d{3}[-. ]\d{4}(?!\d) | (?<![\d+.-])\d{3}[-.]\d{3}[-.]\d{4}(?![\d-]))
-    | (?P<card>(?<![\d-])\d(?:[ -]?\d){12,18}(?!-?\d))
+    | (?P<card>(?<![\d-])\d(?:[ -]?\d){12,18}(?!\d))
     """,
     re.VERBOSE,
 )
@@ -67,6 +77,30 @@ def feistel(key: bytes, tweak: str, x: int, size: int, inverse: bool = False) ->
             return x
 
 
+def _usual(kind: str, found: str) -> int:
+    """Characters that a card of this network or an IBAN of this country mostly has."""
+    if kind == "iban":
+        return IBAN_LENGTHS.get(found[:2], 0)
+    first = re.sub(r"\D", "", found[:4])[:2]
+    return 15 if first in ("34", "37") else 14 if first in ("30", "36", "38", "39") else 16
+
+
+def _candidates(kind: str, found: str) -> list[str]:
+    """What a match may stand for: cards and IBANs also end before the groups that follow them.
+
+    The usual length comes first, then the longest.
+    """
+    if kind not in SHORTEST:
+        return [found]
+    sizes, n = {}, 0
+    for end, c in enumerate(found, 1):
+        n += c.isalnum()
+        if c.isalnum() and n >= SHORTEST[kind] and not found[end:end + 1].isalnum():
+            sizes[n] = end
+    usual = _usual(kind, found)
+    return [found[:sizes[n]] for n in sorted(sizes, key=lambda n: (n != usual, -n))]
+
+
 class Pseudonyms:
     """Replacement of each kind of value; None where a value does not validate."""
 
@@ -191,16 +225,20 @@ class Pseudonyms:
         out, spans, last, size = [], [], 0, 0
         at = 0
         while m := _FIND.search(text, at):
-            new = kinds[m.lastgroup](m[0])
+            kind, new = m.lastgroup, None
+            for value in _candidates(kind, m[0]):
+                new = kinds[kind](value)
+                if new is not None:
+                    break
             if new is None:
                 # look again behind the first character, another kind may fit from there
                 at = m.start() + 1
                 continue
             out += [text[last:m.start()], new]
             size += m.start() - last
-            spans.append((m.lastgroup, size, size + len(new)))
+            spans.append((kind, size, size + len(new)))
             size += len(new)
-            last = at = m.end()
+            last = at = m.start() + len(value)
         return "".join([*out, text[last:]]), spans
 
 

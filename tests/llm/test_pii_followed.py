@@ -1,0 +1,27 @@
+"""Cards and IBANs with digits or capitals behind them."""
+
+import pytest
+
+from gleanframe.llm import pii
+
+CARD, IBAN = "4111 1111 1111 1111", "GB82 WEST 1234 5698 7654 32"
+
+
+@pytest.mark.parametrize("value, behind", [
+    (CARD, " 12/27"), (CARD, " 123"), (CARD, " 12 27 123"), ("4111111111111111", " 123 cvv"), ("4111111111111111", " 12 27"),
+    ("4111-1111-1111-1111", " 12"), ("4111-1111-1111-1111", "-12-27-123"), ("378282246310005", " 1234"),
+    ("DE89370400440532013000", " EUR"), ("DE89370400440532013000", " BIC COBADEFFXXX"), (IBAN, " BIC ABC"), (IBAN, " 1000 EUR"),
+])
+def test_what_follows_does_not_hide_a_value(value, behind):
+    hide, show = pii.Pseudonyms(b"k"), pii.Pseudonyms(b"k", inverse=True)
+    alone = hide.replace(value)[0]
+    new, spans = hide.replace(f"pay {value}{behind}")
+    # the same pseudonym as elsewhere, and what follows stays
+    assert alone != value and new == f"pay {alone}{behind}" and len(spans) == 1
+    assert new[spans[0][1]:spans[0][2]] == alone
+    assert show.replace(new)[0] == f"pay {value}{behind}"
+
+
+@pytest.mark.parametrize("text", ["4111 1111 1111 1112 12/27", "GB83 WEST 1234 5698 7654 32 BIC ABC", "41111111111111119999"])
+def test_no_end_validates(text):
+    assert pii.Pseudonyms(b"k").replace(text) == (text, [])
