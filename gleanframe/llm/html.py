@@ -2,7 +2,8 @@
 
 Every text block gives points for its length and commas to its ancestors, less with distance;
 a container's points are discounted by its share of link text.  The best container is kept
-with those siblings that score or read like text.
+with those siblings that score or read like text.  A box that its name or tag marks as no part
+of the article stays out unless it holds most of the page's prose.
 """
 
 from __future__ import annotations
@@ -16,12 +17,12 @@ from gleanframe.llm.rows import map_steps, picked, texts
 
 # fixed values: elements by their role
 RAW = frozenset("script style noscript template textarea title iframe xmp noembed noframes svg math object".split())
-DROPPED = RAW | frozenset("head nav footer aside form button select option label fieldset dialog menu canvas audio video".split())
+DROPPED = RAW | frozenset("head nav footer aside button select option label dialog menu canvas audio video".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
     "html body main article section header div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th "
     "caption blockquote pre figure figcaption address details summary hr center".split()
-) | DROPPED
+) | DROPPED | {"form", "fieldset"}
 # a start tag closes open elements of these kinds, up to the given boundary
 CLOSES = {
     "li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
@@ -36,6 +37,8 @@ UNLIKELY = frozenset(
     "overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations "
     "pagination pager toolbar widget widgets skip search complementary contentinfo hidden paywall outbrain taboola".split()
 )
+# elements that mostly hold controls, but may be wrapped around a page
+FORMS = frozenset(("form", "fieldset"))
 HOLDERS = frozenset("html body article main".split())
 TAG_POINTS = {"article": 10, "main": 10, "section": 3, "div": 3, "pre": 3, "td": 3, "blockquote": 3, "ul": -3, "ol": -3, "form": -3}
 
@@ -44,6 +47,9 @@ BLOCK_CHARS, LENGTH_POINTS, GENERATIONS = 25, 3.0, 5
 # a sibling stays from this share of the best score, or these points
 SIBLING_SHARE, SIBLING_POINTS = 0.2, 10.0
 LINK_SHARE = 0.5
+# a marked box counts when the text outside marked boxes is less than this share of its prose,
+# or than this share if it holds the page's first heading or its main element
+BOX_SHARE, WRAPPER_SHARE = 0.1, 1.0
 
 _TAG = re.compile(
     r"""<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|$)""",
@@ -56,13 +62,12 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 def _unlikely(attributes: str) -> bool:
-    if not attributes:
-        return False
+    """Whether class, id or role name what is not the article."""
     for m in _NAMED.finditer(attributes):
         words = _WORD.findall(_CAMEL.sub(" ", m[1] or m[2] or m[3] or "").lower())
         if not UNLIKELY.isdisjoint(words):
             return True
-    return bool(_HIDDEN.search(attributes))
+    return False
 
 
 class Page:
@@ -70,6 +75,10 @@ class Page:
 
     def __init__(self, source: str):
         self.tags, self.parents, self.dropped = ["#root"], [-1], [False]
+        # elements that their name or tag marks, unless hidden or dropped
+        self.marked: list[int] = []
+        # the first h1, if it stands in a marked element that is dropped
+        self.headed = -1
         # element, pieces of text, characters of link text
         self.blocks: list[tuple[int, str, int]] = []
         self._stack = [0]
@@ -95,12 +104,17 @@ class Page:
 
     def _push(self, tag: str, attributes: str) -> None:
         inside = self._stack[-1]
-        drop = tag in DROPPED or tag not in HOLDERS and _unlikely(attributes)
+        named = tag not in HOLDERS and bool(attributes) and _unlikely(attributes)
+        # inline boxes are too small to hold an article
+        drop = tag in DROPPED or named and tag not in BLOCKS or tag not in HOLDERS and bool(_HIDDEN.search(attributes))
         if tag == "header" and not (self._open.get("article") or self._open.get("main")):
             drop = True
         self.tags.append(tag)
         self.parents.append(inside)
-        self.dropped.append(self.dropped[inside] or drop)
+        drop = drop or self.dropped[inside]
+        if not drop and (tag in FORMS or named):
+            self.marked.append(len(self.tags) - 1)
+        self.dropped.append(drop)
         self._stack.append(len(self.tags) - 1)
         self._open[tag] = self._open.get(tag, 0) + 1
 
@@ -155,6 +169,41 @@ class Page:
         self._text(source[at:])
         self._flush()
         self._pop_to(1)
+        if self.marked:
+            self._drop_boxes()
+
+    def _drop_boxes(self) -> None:
+        """Drops the marked elements that do not hold most of the page's prose, with all inside."""
+        n, marked = len(self.tags), set(self.marked)
+        # nearest marked element of each element, itself included
+        box = [-1] * n
+        for e in range(1, n):
+            box[e] = e if e in marked else box[self.parents[e]]
+        self.headed = next((e for e in range(n) if self.tags[e] == "h1" and not self.dropped[e]), -1)
+        evident = [(e == self.headed or self.tags[e] == "main") and not self.dropped[e] for e in range(n)]
+        # prose with all inside, text of an element's own boxless parts, and text outside of what may be dropped
+        prose, direct, outside = [0] * n, [0] * n, 0
+        for element, text, link in self.blocks:
+            if box[element] < 0:
+                outside += len(text) - link
+            else:
+                direct[box[element]] += len(text) - link
+            if len(text) >= BLOCK_CHARS and self.tags[element] not in HEADINGS:
+                prose[element] += len(text) - link
+        for e in range(n - 1, 0, -1):
+            prose[self.parents[e]] += prose[e]
+            evident[self.parents[e]] |= evident[e]
+        counted = {-1}
+        # the fullest first, so what is around before what is inside
+        for e in sorted(self.marked, key=lambda e: (-prose[e], e)):
+            if box[self.parents[e]] in counted and outside < (WRAPPER_SHARE if evident[e] else BOX_SHARE) * prose[e]:
+                counted.add(e)
+                outside += direct[e]
+        for e in range(1, n):
+            self.dropped[e] = self.dropped[e] or self.dropped[self.parents[e]] or e in marked and e not in counted
+        if self.headed >= 0 and not self.dropped[self.headed]:
+            self.headed = -1
+        self.blocks = [b for b in self.blocks if not self.dropped[b[0]] or b[0] == self.headed]
 
     def main_blocks(self) -> list[str]:
         """Texts of the kept blocks in page order."""
@@ -211,6 +260,16 @@ class Page:
                 if total[e] >= floor or prose or self.tags[e] == "h1":
                     keep.add(e)
         inside = [False] * n
+        if self.headed >= 0 and best > 0:
+            # a title often stands in a box named for it, beside the text or within
+            up = self.headed
+            while up > 0 and self.dropped[up]:
+                up = self.parents[up]
+            above = up
+            while above > 0 and above not in keep:
+                above = self.parents[above]
+            if above in keep or up == self.parents[best]:
+                keep.add(self.headed)
         for e in range(n):
             # lists and boxes of links within the article stay out
             boxed = self.tags[e] in ("ul", "ol", "div", "section", "table") and links[e] > LINK_SHARE * size[e]
