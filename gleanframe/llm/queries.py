@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gleanframe.llm import bpe, exact_dedup, html, jaccard, langid, packing, pii, quality, toxicity, urls
+from gleanframe.llm import bpe, exact_dedup, html, jaccard, langid, lattice, packing, pii, quality, toxicity, urls
 from gleanframe.llm.rows import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -156,3 +156,18 @@ FROM t LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT v, min(l) AS l FROM r GROUP
 """)
 def ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.similar_classes(table(spark, folder, "documents"), words=4, percent=85)
+
+
+@query("op11_lattice_neardup", """
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, label,
+    CASE WHEN label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(embedding, lambda x: x <> 0)) > 0 THEN embedding::DOUBLE[] END AS e FROM embeddings),
+l AS (SELECT a.r AS a, b.r AS b FROM v a JOIN v b ON a.label = b.label AND a.r <> b.r AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+t(r, c) AS (SELECT r, vec_id FROM v UNION SELECT l.b, t.c FROM t JOIN l ON l.a = t.r),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a), m AS (SELECT r, min(c) AS c FROM t GROUP BY r)
+SELECT vec_id, coalesce(n, 0) AS n_links, c AS component_id, vec_id IS NOT DISTINCT FROM c AS kept
+FROM v JOIN m USING (r) LEFT JOIN n ON n.a = v.r
+""")
+def lattice_neardup(spark: SparkSession, folder: str) -> DataFrame:
+    return lattice.near_classes(table(spark, folder, "embeddings"), threshold=0.93)
