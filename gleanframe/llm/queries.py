@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gleanframe.llm import bpe, exact_dedup, html, jaccard, langid, lattice, packing, pii, quality, toxicity, urls
+from gleanframe.llm import bpe, exact_dedup, html, jaccard, langid, lattice, packing, pii, prefix_tree, quality, toxicity, urls
 from gleanframe.llm.rows import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -171,3 +171,39 @@ FROM v JOIN m USING (r) LEFT JOIN n ON n.a = v.r
 """)
 def lattice_neardup(spark: SparkSession, folder: str) -> DataFrame:
     return lattice.near_classes(table(spark, folder, "embeddings"), threshold=0.93)
+
+
+# unsigned CRC-32 of a decimal text, byte by byte and bit by bit
+_CRC = """list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({0}::VARCHAR, ''), lambda d: ascii(d)::BIGINT)),
+  lambda s, b: list_reduce(list_prepend(xor(s, b), [0, 1, 2, 3, 4, 5, 6, 7]::BIGINT[]),
+    lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::BIGINT) ELSE x // 2 END))"""
+HEADS = 4
+
+
+@query("op12_prefix_tree", f"""
+WITH o AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM conversations WHERE conv_id IS NOT NULL),
+k AS (SELECT c, max(i) AS n, xor({_CRC.format("c")}, 4294967295::BIGINT) % 4 AS h FROM o GROUP BY c),
+t AS (SELECT k.c, o.i, o.role, o.text FROM k JOIN o ON o.c = k.c - k.c % 20 AND o.i <= k.h
+  UNION ALL SELECT k.c, k.h + o.i, o.role, o.text FROM k JOIN o ON o.c = k.c AND o.i > k.h),
+l AS (SELECT c, list({{'r': role, 't': text}} ORDER BY i) AS turns FROM t GROUP BY c),
+w AS (SELECT k.c, coalesce(l.turns, []) AS turns FROM k LEFT JOIN l USING (c)),
+p AS (SELECT c, len(turns) AS n, unnest(range(0, len(turns) + 1)) AS d, turns FROM w),
+q AS (SELECT c, n, d, sha256(turns[1:d]::VARCHAR) AS s, sha256(turns[1:d - 1]::VARCHAR) AS up,
+  CASE WHEN d > 0 THEN len(list_filter(string_split_regex(turns[d].t, '[ \t\n\x0B\f\r]+'), lambda x: x <> '')) ELSE 0 END AS words FROM p),
+node AS (SELECT d, s, min(c) AS conv_id, count(*) AS n_convs, any_value(CASE WHEN d > 0 THEN up END) AS up, any_value(words) AS words,
+  string_agg(CASE WHEN n = d THEN c::VARCHAR END, ',' ORDER BY c) AS ends FROM q GROUP BY d, s),
+kids AS (SELECT d - 1 AS d, up AS s, count(*) AS n FROM node WHERE d > 0 GROUP BY ALL),
+full_node AS (SELECT node.*, coalesce(kids.n, 0) AS n_children FROM node LEFT JOIN kids USING (d, s)),
+under AS (SELECT DISTINCT a.d AS ad, a.s AS a, b.d AS bd, b.s AS b FROM q a JOIN q b ON a.c = b.c AND a.d <= b.d),
+sums AS (SELECT ad AS d, a AS s, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((n_convs - 1) * words) AS saved_tokens
+  FROM under JOIN full_node ON full_node.d = bd AND full_node.s = b GROUP BY ALL)
+SELECT x.conv_id, x.d::BIGINT AS depth, y.conv_id AS parent_conv_id, x.n_convs, x.n_children, sums.n_leaves::BIGINT AS n_leaves,
+  sums.saved_tokens::BIGINT AS saved_tokens, sha256(coalesce(x.ends, '')) AS ends_sha256
+FROM full_node x JOIN sums USING (d, s) LEFT JOIN node y ON y.d = x.d - 1 AND y.s = x.up
+""")
+def conversation_tree(spark: SparkSession, folder: str) -> DataFrame:
+    conv = F.col("conv")
+    return prefix_tree.prefix_tree(
+        table(spark, folder, "conversations"), fold(conv, HEADS), conv - conv % 20, HEADS - 1,
+    )
