@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -112,71 +113,67 @@ def tree_nodes(prefixes: DataFrame, sizes: DataFrame) -> DataFrame:
     return materialise(lower.select(*root.columns).unionByName(first.select(*root.columns)).unionByName(root), "tree-nodes")
 
 
+def _union(tables: Sequence[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables)
+
+
 def subtree_sums(nodes: DataFrame, values: Sequence[str]) -> DataFrame:
     """(node, one column per value): the values of (node, up, values…) summed over every subtree.
 
     ``up`` is null at a root; any number of trees is contracted at once.  Alive nodes carry what
-    their removed descendants came to.  Splicing out node v above its only child u hands u an
-    offset: what v's parent receives from u is u's total and the offset.
+    their removed descendants came to, how many children are left, and the exclusive or of these,
+    which names an only child.  Splicing out node v above its only child u hands u an offset: what
+    v's parent receives from u is u's total and the offset.  Each round's table stays until the
+    end: its leaves are settled there, and it tells what was spliced out to make it.
     """
     zero = F.lit(0).cast("bigint")
-    alive = materialise(nodes.select(
-        "node", "up", *[F.col(v).cast("bigint").alias(v) for v in values], *[zero.alias(f"off_{v}") for v in values],
+    offsets = [f"off_{v}" for v in values]
+    children = nodes.where("up IS NOT NULL").groupBy(F.col("up").alias("node")).agg(
+        F.count(F.lit(1)).alias("kids"), F.bit_xor("node").alias("child"),
+    )
+    alive = materialise(nodes.join(children, "node", "left").select(
+        "node", "up", F.coalesce("kids", zero).alias("kids"), F.coalesce("child", zero).alias("child"),
+        *[F.col(v).cast("bigint").alias(v) for v in values], *[zero.alias(c) for c in offsets],
+        F.lit(None).cast("bigint").alias("gone"), *[zero.alias(f"add_{v}") for v in values],
     ), "alive")
-    done, spliced, turn = [], [], 0
+    rounds = []
     while not alive.isEmpty():
+        rounds.append(alive)
         # rake: nodes without children are settled, and their parents receive them
-        kids = alive.where("up IS NOT NULL").select(F.col("up").alias("node")).distinct().withColumn("inner", F.lit(True))
-        told = materialise(alive.join(kids, "node", "left"), "alive-told")
-        leaf = F.col("inner").isNull()
-        done.append(materialise(told.where(leaf).select("node", *values), "settled"))
-        received = told.where("up IS NOT NULL").groupBy(F.col("up").alias("node")).agg(
-            *[F.sum(F.when(leaf, F.col(v) + F.col(f"off_{v}")).otherwise(zero)).alias(f"got_{v}") for v in values],
-            F.count_if(~leaf).alias("left"), F.min(F.when(~leaf, F.col("node"))).alias("child"),
+        received = alive.where("kids = 0 AND up IS NOT NULL").groupBy(F.col("up").alias("node")).agg(
+            *[F.sum(F.col(v) + F.col(f"off_{v}")).alias(f"got_{v}") for v in values],
+            F.count(F.lit(1)).alias("raked"), F.bit_xor("node").alias("mask"),
         )
-        inner = told.where(~leaf).join(received, "node").select(
-            "node", "up", *[(F.col(v) + F.col(f"got_{v}")).alias(v) for v in values], *[f"off_{v}" for v in values],
-            F.when((F.col("left") == 1) & F.col("up").isNotNull(), F.col("child")).alias("child"),
-        )
-        old, alive = alive, materialise(inner, "alive-raked")
-        free(old, told)
+        raked = materialise(alive.where("kids > 0").drop("gone", *[f"add_{v}" for v in values]).join(received, "node", "left").select(
+            "node", "up", (F.col("kids") - F.coalesce("raked", zero)).alias("kids"),
+            F.col("child").bitwiseXOR(F.coalesce("mask", zero)).alias("child"),
+            *[(F.col(v) + F.coalesce(f"got_{v}", zero)).alias(v) for v in values], *offsets,
+        ), "alive-raked")
         # compress: of neighbours in a chain never both
-        wants = F.col("child").isNotNull() & (F.xxhash64("node", F.lit(turn)) % 2 == 0)
-        willing = alive.where(wants)
-        below = willing.select(F.col("node").alias("child"), F.lit(True).alias("taken"))
-        gone = materialise(willing.join(below, "child", "left").where("taken IS NULL").select(
-            F.col("node").alias("gone"), F.col("up").alias("new_up"), F.col("child").alias("node"),
-            *[(F.col(v) + F.col(f"off_{v}")).alias(f"add_{v}") for v in values], *[F.col(v).alias(f"own_{v}") for v in values],
-        ), "spliced")
-        if gone.isEmpty():
-            free(gone)
-            alive = materialise(alive.drop("child"), "alive")
-        else:
-            offsets = alive.select("node", *[F.col(f"off_{v}").alias(f"old_{v}") for v in values])
-            # total of the spliced node: its own, the child's total and the child's offset until now
-            spliced.append(materialise(gone.join(offsets, "node").select(
-                F.col("gone"), "node", *[(F.col(f"own_{v}") + F.col(f"old_{v}")).alias(f"add_{v}") for v in values],
-            ), "to-expand"))
-            kept = alive.join(gone.select(F.col("gone").alias("node")), "node", "left_anti")
-            old, alive = alive, materialise(kept.join(gone.drop("gone"), "node", "left").select(
-                "node", F.when(F.col("new_up").isNotNull(), F.col("new_up")).otherwise(F.col("up")).alias("up"), *values,
-                *[(F.col(f"off_{v}") + F.coalesce(f"add_{v}", zero)).alias(f"off_{v}") for v in values],
-            ), "alive")
-            free(old, gone)
-        turn += 1
-    if not done:
-        return nodes.select("node", *[F.col(v).cast("bigint").alias(v) for v in values])
-    for some in reversed(spliced):
-        settled = done[0]
-        for more in done[1:]:
-            settled = settled.unionByName(more)
-        done.append(materialise(some.join(settled, "node").select(
+        willing = raked.where((F.col("kids") == 1) & F.col("up").isNotNull() & (F.xxhash64("node", F.lit(len(rounds))) % 2 == 0))
+        below = willing.select(F.col("node").alias("child"))
+        gone = willing.join(below, "child", "left_anti").select(
+            F.col("child").alias("node"), F.col("node").alias("gone"), F.col("up").alias("new_up"),
+            *[F.col(v).alias(f"own_{v}") for v in values], *[F.col(f"off_{v}").alias(f"more_{v}") for v in values],
+        )
+        # a child takes its place below the parent of the node that goes; a root never goes
+        patch = gone.groupBy(F.col("new_up").alias("node")).agg(F.bit_xor(F.col("gone").bitwiseXOR(F.col("node"))).alias("patch"))
+        stay = raked.join(gone.select(F.col("gone").alias("node")), "node", "left_anti")
+        alive = materialise(stay.join(gone, "node", "left").join(patch, "node", "left").select(
+            "node", F.coalesce("new_up", "up").alias("up"), "kids", F.col("child").bitwiseXOR(F.coalesce("patch", zero)).alias("child"), *values,
+            *[(F.col(f"off_{v}") + F.coalesce(F.col(f"own_{v}") + F.col(f"more_{v}"), zero)).alias(f"off_{v}") for v in values],
+            "gone", *[(F.col(f"own_{v}") + F.col(f"off_{v}")).alias(f"add_{v}") for v in values],
+        ), "alive")
+        free(raked)
+    settled = [r.where("kids = 0").select("node", *values) for r in rounds]
+    # the child of a node that went was alive in the round after, so only later rounds know its total
+    for i in range(len(rounds) - 1, 0, -1):
+        back = rounds[i].where("gone IS NOT NULL").select("gone", "node", *[f"add_{v}" for v in values])
+        later = _union(settled[i:])
+        settled.append(materialise(back.join(later, "node").select(
             F.col("gone").alias("node"), *[(F.col(v) + F.col(f"add_{v}")).alias(v) for v in values],
         ), "expanded"))
-    out = done[0]
-    for more in done[1:]:
-        out = out.unionByName(more)
-    return out
+    return _union(settled) if settled else nodes.select("node", *[F.col(v).cast("bigint").alias(v) for v in values])
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
