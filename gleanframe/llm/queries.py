@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gleanframe.llm import bpe, exact_dedup, html, jaccard, langid, lattice, packing, pii, prefix_tree, quality, toxicity, urls
+from gleanframe.llm import bpe, exact_dedup, html, jaccard, langid, lattice, negatives, packing, pii, prefix_tree, quality, toxicity, urls
 from gleanframe.llm.rows import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -207,3 +207,24 @@ def conversation_tree(spark: SparkSession, folder: str) -> DataFrame:
     return prefix_tree.prefix_tree(
         table(spark, folder, "conversations"), fold(conv, HEADS), conv - conv % 20, HEADS - 1,
     )
+
+
+@query("op13_hard_negatives", """
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+a AS (SELECT vec_id AS anchor_id, label, q FROM v WHERE vec_id % 100 = 0),
+s AS (SELECT anchor_id, v.vec_id, a.label = v.label AS same,
+    list_sum(list_transform(range(1, len(v.q) + 1), lambda i: a.q[i] * v.q[i]))::BIGINT AS score FROM a, v WHERE v.vec_id <> anchor_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score, row_number() OVER w AS k FROM s WHERE same
+  WINDOW w AS (PARTITION BY anchor_id ORDER BY score DESC, vec_id)),
+n AS (SELECT p.anchor_id, positive_id, (row_number() OVER w)::INTEGER AS rank, s.vec_id AS negative_id, positive_score, s.score AS negative_score
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score
+  WHERE k <= 5 WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id))
+SELECT * FROM n WHERE rank <= 10
+""")
+def hard_negatives_query(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(rows.withColumn("label", label), F.col("id") % 100 == 0)

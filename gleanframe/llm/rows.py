@@ -46,6 +46,10 @@ class Sent:
     def value(self):
         return kept(self.name, lambda: cloudpickle.loads(self.packed.value))
 
+    def drop(self) -> None:
+        """Give back the copies on the executors; a task that still asks for the value fetches it anew."""
+        self.packed.unpersist()
+
 
 def steps(batches: Iterator[pa.RecordBatch], limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of about ``limit`` bytes."""
