@@ -98,7 +98,7 @@ class Best:
 
 def _limit(dims: int) -> int:
     """Components below it in size keep every score within 62 bits."""
-    return math.isqrt((1 << 62) // max(1, dims))
+    return math.isqrt((1 << 62) // max(1, int(dims)))
 
 
 _PACKED = "id bigint, label bigint, dims int, planes binary"
