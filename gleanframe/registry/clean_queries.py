@@ -12,13 +12,21 @@ from gleanframe.registry.fixtures import (
 )
 
 # the rules' own words, written out once more so that a wrong one in the library shows
+# fixed values: cell texts a CSV reader takes for missing; the empty text is no cell here
 CSV_NULL_TOKENS = (
-    "|#N/A|#N/A N/A|#NA|-1.#IND|-1.#QNAN|-NaN|-nan|1.#IND|1.#QNAN|<NA>|N/A|NA|NULL|NaN|None|n/a|nan|null"
-).split("|")
-CLEAN_NULL_TOKENS = "null|None|N/A|n/a|undefined|nan|NaN|?|#N/A|-|none".split("|")
-WHITE_SPACE = "".join(map(chr, [
-    *range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000,
-]))
+    "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+    "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
+)
+# fixed values: cell texts the trim rule turns into null
+CLEAN_NULL_TOKENS = (
+    "null", "None", "N/A", "n/a", "undefined", "nan", "NaN", "?", "#N/A", "-", "none",
+)
+# fixed values: characters that count as white space
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+    "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+# fixed values: patterns for personal data, each for a whole cell
 PII_PATTERNS = {
     "email": r"^[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9-.]+$",
     "phone": r"^\+?[\d\s\-\(\)]{7,15}$",
