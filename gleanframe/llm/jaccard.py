@@ -281,6 +281,7 @@ def similar_classes(
     )
     lists = posted.groupBy("list", "n", "one").agg(*[F.min(c).alias(c) for c in ("id", "rare", "open")])
     lists = materialise(lists.drop("one"), "lists")
+    maps.drop()
     shared = lists.groupBy("list").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("list")
     shared = materialise(shared, "shared-lists")
     met = _filtered(lists, "list", shared, shared.count())

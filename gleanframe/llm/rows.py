@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark import cloudpickle
+from pyspark import TaskContext, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -18,18 +20,32 @@ from gleanframe.operators.columns import ident
 STEP_BYTES = 1 << 20
 
 
-# values that a worker holds on to; the longest unused goes first
-KEPT = 6
+def _turned() -> dict:
+    """What this worker holds on to; a value that the last two tasks did not ask for is dropped."""
+    store = sys.__dict__.setdefault("_gleanframe_kept", {"task": None, "now": {}, "last": {}})
+    context = TaskContext.get()
+    task = context.taskAttemptId() if context else None
+    if task != store["task"]:
+        store.update(task=task, last=store["now"], now={})
+    return store
 
 
 def kept(key, make: Callable):
     """A value that outlives the task in a reused Python worker, such as a loaded vocabulary."""
-    store = sys.__dict__.setdefault("_gleanframe_kept", {})
-    value = store.pop(key) if key in store else make()
-    store[key] = value
-    while len(store) > KEPT:
-        del store[next(iter(store))]
-    return value
+    store = _turned()
+    if key not in store["now"]:
+        store["now"][key] = store["last"][key] if key in store["last"] else make()
+    return store["now"][key]
+
+
+def give_back() -> None:
+    """Return freed memory to the system, so that idle workers do not add up."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    # only glibc keeps freed blocks, and only there is this function
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 class Sent:
@@ -52,7 +68,8 @@ class Sent:
 
 
 def steps(batches: Iterator[pa.RecordBatch], limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in slices of about ``limit`` bytes."""
+    """The same rows in slices of about ``limit`` bytes; at the end the worker's free memory is given back."""
+    _turned()
     for batch in batches:
         pieces = max(1, min(batch.num_rows, -(-batch.nbytes // limit)))
         width = -(-batch.num_rows // pieces) or 1
@@ -60,6 +77,7 @@ def steps(batches: Iterator[pa.RecordBatch], limit: int = STEP_BYTES) -> Iterato
             yield batch.slice(start, width)
         del batch
         pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def map_steps(df: DataFrame, fn: Callable, schema: str, limit: int = STEP_BYTES) -> DataFrame:
