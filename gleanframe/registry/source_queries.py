@@ -43,6 +43,27 @@ def scan_csv_skip_bad(spark, folder):
     return tables.scan_csv(spark, path, columns=MESSY_HEADER.split(","), header=False)
 
 
+@query("scan_csv_multiline", """
+SELECT CAST(c_custkey AS VARCHAR) AS "cust
+key", CASE c_custkey % 4 WHEN 0 THEN c_name || chr(10) || 'second, line' WHEN 1 THEN chr(10) || '"' || c_name || '"' || chr(10) || chr(10)
+  WHEN 2 THEN c_name || ' 5" pipe' ELSE c_name END AS "name, full", CAST(CAST(c_acctbal AS DECIMAL(12, 2)) AS VARCHAR) AS balance
+FROM customer""")
+def scan_csv_multiline(spark, folder):
+    """Line breaks, separators and quotes inside cells and inside the names of the header."""
+    k, path = F.col("c_custkey"), scratch_path(spark, "multiline-csv")
+    name = (
+        F.when(k % 4 == 0, F.concat(F.lit('"'), "c_name", F.lit('\nsecond, line"')))
+        .when(k % 4 == 1, F.concat(F.lit('"\n""'), "c_name", F.lit('""\n\n"')))
+        .when(k % 4 == 2, F.concat("c_name", F.lit(' 5" pipe'))).otherwise(F.col("c_name"))
+    )
+    row = F.concat_ws(",", k.cast("string"), name, F.col("c_acctbal").cast("decimal(12,2)").cast("string"))
+    block = table(spark, folder, "customer").groupBy(F.floor(k / 1000).alias("part")).agg(F.array_join(F.collect_list(row), "\n").alias("rows"))
+    # a thousand customers a file, each file with the header
+    block.repartitionByRange(8, "part").select(F.concat(F.lit('"cust\nkey","name, full",balance\n'), "rows").alias("value")).write.option(
+        "maxRecordsPerFile", 1).text(path)
+    return tables.scan_csv(spark, path, multi_line=True)
+
+
 @query("load_csv_typed", """
 SELECT c_custkey, c_name, c_nationkey::BIGINT AS c_nationkey, c_acctbal, c_mktsegment FROM customer""")
 def load_csv_typed(spark, folder):

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import csv
-from functools import reduce
+import io
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from gleanframe.functions.text import INTEGER, null_tokens, parse_amount, strip
 from gleanframe.operators.columns import aggregate_row, ident, nan_to_null, text_columns
+from gleanframe.session import local_frame, materialise
+from gleanframe.sources.records import block_states, split_records
 from gleanframe.sources.workbooks import scan_workbooks
 
 _BAD = "__bad_record"
@@ -26,16 +28,25 @@ def format_of(path: str) -> str:
     return FORMATS.get(ending[-1].lower(), "csv") if len(ending) == 2 else "csv"
 
 
-def _headers(spark: SparkSession, path: str, sep: str) -> list[tuple[list[str], list[str]]]:
-    """(column names, files) of every distinct first line, in the order of the first file with it."""
+def _first_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, head): the first line of every file that is not blank."""
     lines = spark.read.text(path).select(
-        "value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"),
+        "value", F.xxhash64("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"),
         F.col("_metadata.file_block_start").alias("start"),
-    ).where("start = 0")
-    first = lines.groupBy("file").agg(F.min_by("value", "at").alias("head"))
-    groups = first.groupBy("head").agg(F.min("file").alias("first"), F.collect_list("file").alias("files"))
-    found = groups.orderBy("first").collect()
-    return [(next(csv.reader([r["head"]], delimiter=sep), []), r["files"]) for r in found]
+    ).where((F.col("start") == 0) & (F.trim("value") != ""))
+    return lines.groupBy("file").agg(F.min_by("value", "at").alias("head"))
+
+
+def _headers(heads: DataFrame, sep: str) -> tuple[list[list[str]], DataFrame]:
+    """The distinct headers, the most common first, and the number of each file's header.
+
+    Only distinct headers reach the driver, however many files there are.
+    """
+    counted = heads.groupBy("head").agg(F.count(F.lit(1)).alias("n"))
+    found = [r["head"] for r in counted.orderBy(F.desc("n"), "head").collect()]
+    names = [next(csv.reader(io.StringIO(h), delimiter=sep), []) for h in found]
+    number = F.coalesce(*[F.when(F.col("head") == h, F.lit(i)) for i, h in enumerate(found)]) if found else F.lit(0)
+    return names, heads.select("file", number.alias("header"))
 
 
 def scan_csv(
@@ -45,42 +56,77 @@ def scan_csv(
     """All columns as text; lines with too many fields are skipped, short ones padded with null.
 
     Whether a line is too long is decided on its raw text, so an empty surplus field counts
-    too.  ``multi_line`` reads quoted line breaks, at the price that a file is not split.
-    Files of a folder are matched by the names in their headers, not by position; a column
-    that a file lacks is null there.
+    too.  Blank lines are skipped, before a header as well.  ``multi_line`` reads line breaks
+    inside quotes, in header names too; files are split all the same, at the price of a pass
+    that finds how each block begins.  Files of a folder are matched by the names in their
+    headers, not by position; a column that a file lacks is null there.
     """
-    if header and columns is None:
-        groups = _headers(spark, path, sep)
-        if len(groups) > 1:
-            parts = []
-            for names, files in groups:
-                if len(set(names)) < len(names):
-                    raise ValueError(f"files with different headers, one of which repeats a name: {names}")
-                parts.append(_scan_alike(spark, files, sep, names, True, multi_line))
-            return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    reader = spark.read.option("sep", sep).option("quote", '"').option("escape", '"')
-    names = columns or reader.option("header", header).csv(path).columns
-    return _scan_alike(spark, path, sep, names, header, multi_line)
-
-
-def _scan_alike(
-    spark: SparkSession, path: str | list[str], sep: str, names: list[str], header: bool, multi_line: bool,
-) -> DataFrame:
-    """Files of one layout."""
-    reader = spark.read.option("sep", sep).option("quote", '"').option("escape", '"')
-    schema = StructType([
-        *[StructField(f"c{i}", StringType()) for i in range(len(names))], StructField(_BAD, StringType()),
-    ])
-    rows = (
-        reader.schema(schema).option("header", header).option("enforceSchema", True)
-        .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _BAD)
-        # a pruned parser would not see the surplus fields
-        .option("columnPruning", False).option("multiLine", multi_line).csv(path)
-    )
+    blocks = block_states(spark, path, sep) if multi_line else None
+    files = None
+    if columns is not None or not header:
+        layouts = [list(columns)] if columns is not None else [_counted_names(spark, path, sep, blocks)]
+    else:
+        if blocks is not None:
+            heads = blocks.where("start = 0").select("file", F.regexp_replace("head", "\r$", "").alias("head"))
+            if not heads.where("head IS NULL").isEmpty():
+                # a header that crosses blocks is whole only among the records
+                first = split_records(spark, path, sep, blocks).where("first")
+                heads = materialise(first.select("file", F.regexp_replace("value", "\r$", "").alias("head")), "csv-heads")
+        else:
+            heads = _first_lines(spark, path)
+        layouts, files = _headers(heads, sep)
+        if not layouts:
+            return local_frame(spark, [], StructType())
+    if len(layouts) > 1:
+        for names in layouts:
+            if len(set(names)) < len(names):
+                raise ValueError(f"files with different headers, one of which repeats a name: {names}")
+    width = max(map(len, layouts))
+    rows = _parsed(spark, path, sep, width, header, blocks)
     outside_quotes = F.regexp_replace(F.col(_BAD), '"([^"]|"")*"', "")
     fields = F.length(outside_quotes) - F.length(F.replace(outside_quotes, F.lit(sep), F.lit(""))) + 1
-    kept = rows.where(F.col(_BAD).isNull() | (fields <= len(names)))
-    return kept.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)])
+    if len(layouts) == 1:
+        kept = rows.where(F.col(_BAD).isNull() | (fields <= width))
+        return kept.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(layouts[0])])
+    # a record that fits the widest header may still be too long for its own
+    own = F.element_at(F.array(*[F.lit(len(names)) for names in layouts]), F.col("header") + 1)
+    kept = rows.join(files, "file").where(F.coalesce(fields, F.lit(width)) <= own)
+    everything = list(dict.fromkeys(n for names in layouts for n in names))
+    return kept.select(*[
+        F.coalesce(*[
+            F.when(F.col("header") == i, F.col(f"c{names.index(n)}")) for i, names in enumerate(layouts) if n in names
+        ]).alias(n) for n in everything
+    ])
+
+
+def _counted_names(spark: SparkSession, path: str, sep: str, blocks: DataFrame | None) -> list[str]:
+    """Names by position for files without a header, as many as the first record has fields."""
+    heads = blocks.where("start = 0 AND head IS NOT NULL") if blocks is not None else _first_lines(spark, path)
+    first = heads.orderBy("file").select("head").first()
+    return [f"_c{i}" for i in range(len(next(csv.reader(io.StringIO(first["head"]), delimiter=sep), [])))] if first else []
+
+
+def _parsed(
+    spark: SparkSession, path: str, sep: str, width: int, header: bool, blocks: DataFrame | None,
+) -> DataFrame:
+    """(file, c0, c1, …, bad record) of every record but the headers; bad ones have not just ``width`` fields."""
+    fields = [StructField(f"c{i}", StringType()) for i in range(width)]
+    schema = StructType([*fields, StructField(_BAD, StringType())])
+    options = {
+        "sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD,
+        # a pruned parser would not see the surplus fields
+        "columnPruning": "false",
+    }
+    if blocks is None:
+        rows = spark.read.schema(schema).options(**options, header=header, enforceSchema=True).csv(path)
+        return rows.select(F.xxhash64("_metadata.file_path").alias("file"), *schema.names)
+    records = split_records(spark, path, sep, blocks)
+    records = records.where(~F.col("first")) if header else records
+    text = F.regexp_replace("value", "\r$", "")
+    ddl = ", ".join(f"`{f.name}` string" for f in schema)
+    return records.select("file", text.alias("value")).where(F.trim("value") != "").select(
+        "file", F.from_csv("value", ddl, options).alias("r"),
+    ).select("file", "r.*")
 
 
 def settle_types(df: DataFrame) -> DataFrame:
