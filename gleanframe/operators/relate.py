@@ -9,8 +9,8 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark import TaskContext, cloudpickle
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gleanframe.functions.stats import correlation_strength
 from gleanframe.functions.text import finite
@@ -18,7 +18,7 @@ from gleanframe.operators.columns import (
     CHUNK, aggregate_row, as_double, categorical_columns, ident, numbers, numeric_columns,
 )
 from gleanframe.operators.lookup import attach
-from gleanframe.operators.ranks import running_counts, running_sums
+from gleanframe.operators.ranks import running_sums
 from gleanframe.session import local_frame, materialise
 
 # worker functions travel whole, so the package need not be installed on the workers
@@ -184,49 +184,152 @@ def spearman_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
     )
 
 
-def kendall(df: DataFrame, a: str, b: str) -> DataFrame:
-    """(col1, col2, r): tau-b of two columns, exact, without forming pairs of rows.
-
-    Discordant pairs are inversions of b in the order of a.  They are counted bit by bit
-    over the ranks of b: two values differ first at one bit, below a shared prefix, so per
-    (bit, prefix) the ones that come before each zero are a running sum.
+def weighted_inversions(keys: np.ndarray, n: np.ndarray) -> int:
+    """Sum of n_i * n_j over all i < j with keys_i > keys_j, by merging ever longer sorted runs."""
+    m, total = len(keys), 0
+    if m < 2:
+        return 0
+    rank = np.unique(keys, return_inverse=True)[1].astype(np.int64)
+    # products that could leave 64 bits are summed as Python integers
+    kind = np.int64 if int(n.sum()) < 1 << 31 else object
+    place, width, n = np.arange(m), 1, n.astype(np.int64)
+    while width < m:
+        pair = place // (2 * width)
+        left = place // width % 2 == 0
+        order = np.argsort(pair * m + rank, kind="stable")
+        rank, n, left = rank[order], n[order], left[order]
+        smaller = np.cumsum(np.where(left, n, 0))
+        first = np.flatnonzero(np.diff(pair, prepend=-1))
+        before = np.concatenate([[0], smaller])[first]
+        all_left = smaller[np.append(first[1:], m) - 1] - before
+        greater = np.where(left, 0, all_left[pair] - (smaller - before[pair]))
+        total += int((greater.astype(kind) * n.astype(kind)).sum())
+        width *= 2
+    return total
+
+
+def _runs(*keys: np.ndarray) -> list[tuple[int, int]]:
+    """(start, end) of every run of rows equal in all keys."""
+    new = np.zeros(len(keys[0]), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    starts = np.flatnonzero(new).tolist()
+    return list(zip(starts, [*starts[1:], len(new)]))
+
+
+_COUNTED = "pair int, slot bigint, n bigint, bucket int, inversions string"
+
+
+def _in_buckets(batches):
+    """Rows of one range of (y, x), in this order: the bucket of each, and the inversions of their places by (x, y)."""
+    bucket, batches = TaskContext.get().partitionId(), list(batches)
+    if not batches:
+        return
+    pair, slot, n = (np.concatenate([b.column(i).to_numpy() for b in batches]) for i in range(3))
+    del batches
+    for a, b in _runs(pair):
+        yield pa.RecordBatch.from_arrays([
+            pa.array(np.append(pair[a:b], pair[a]), pa.int32()), pa.array(np.append(slot[a:b], 0), pa.int64(), mask=np.arange(b - a + 1) == b - a),
+            pa.array(np.append(n[a:b], 0)), pa.array(np.full(b - a + 1, bucket), pa.int32()),
+            pa.array([None] * (b - a) + [str(weighted_inversions(slot[a:b], n[a:b]))], pa.string()),
+        ], names=["pair", "slot", "n", "bucket", "inversions"])
+
+
+_CELLS = "pair int, slice int, bucket int, n bigint, inversions string"
+
+
+def _in_slices(batches):
+    """Rows of whole slices by their place: rows per bucket, and the inversions of buckets within each slice."""
+    batches = list(batches)
+    if not batches:
+        return
+    pair, part, bucket, n = (np.concatenate([b.column(i).to_numpy() for b in batches]) for i in (0, 1, 3, 4))
+    del batches
+    for a, b in _runs(part, pair):
+        buckets, at = np.unique(bucket[a:b], return_inverse=True)
+        rows = np.zeros(len(buckets), np.int64)
+        np.add.at(rows, at, n[a:b])
+        k = len(buckets) + 1
+        yield pa.RecordBatch.from_arrays([
+            pa.array(np.full(k, pair[a]), pa.int32()), pa.array(np.full(k, part[a]), pa.int32()),
+            pa.array([*buckets.tolist(), None], pa.int32()), pa.array([*rows.tolist(), 0], pa.int64()),
+            pa.array([None] * (k - 1) + [str(weighted_inversions(bucket[a:b], n[a:b]))], pa.string()),
+        ], names=["pair", "slice", "bucket", "n", "inversions"])
+
+
+def _discordant(counted: DataFrame) -> DataFrame:
+    """(pair, d): discordant rows of (pair, x, y, n), the rows of each distinct (x, y).
+
+    In the order of (x, y), a discordant pair is an inversion of the order of (y, x); ties are
+    none, as both orders agree on them.  The first order is cut into slices, the second into
+    buckets, ranges that split a value with any share of the rows.  Inversions within a bucket, and
+    between buckets within a slice, are counted by merging in one task each; what is left lies in
+    different slices and buckets, for which the rows per (slice, bucket) are enough.
     """
-    both = df.select(as_double(df, a).alias("x"), as_double(df, b).alias("y")).dropna()
-    ranks = running_counts(both.select("y"), [], "y").select("y", "n", F.col("before").alias("code"))
-    rows = int(ranks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
-    coded = attach(both, ranks, "y").groupBy("x", "code").agg(F.count(F.lit(1)).alias("n"))
-    bits = max(1, rows.bit_length())
-    level = F.explode(F.sequence(F.lit(0), F.lit(bits - 1))).alias("bit")
-    split = coded.select("x", "code", "n", level).select(
-        "x", "bit", F.expr("shiftright(code, bit + 1)").alias("prefix"),
-        F.expr("IF(shiftright(code, bit) & 1 = 1, n, 0)").alias("ones"),
-        F.expr("IF(shiftright(code, bit) & 1 = 0, n, 0)").alias("zeros"),
-    ).groupBy("bit", "prefix", "x").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))
-    summed = running_sums(split, ["bit", "prefix"], "x", ["ones"])
-
-    def wide(c) -> Column:
-        return (F.col(c) if isinstance(c, str) else c).cast("decimal(19,0)")
-
-    def pairs(c: str) -> Column:
-        return F.coalesce(F.sum(wide(c) * wide(F.col(c) - 1)), F.lit(0)).cast("double") / 2
-
-    discordant = F.coalesce(F.sum(wide("zeros") * wide("before_ones")), F.lit(0)).cast("double")
-    d = summed.agg(discordant.alias("d")).first()["d"]
-    tie_x = both.groupBy("x").agg(F.count(F.lit(1)).alias("n")).agg(pairs("n")).first()[0]
-    tie_y = ranks.agg(pairs("n")).first()[0]
-    tie_xy = coded.agg(pairs("n")).first()[0]
-    total = rows * (rows - 1) / 2
-    base = ((total - tie_x) * (total - tie_y)) ** 0.5
-    tau = (total - tie_x - tie_y + tie_xy - 2 * d) / base if base else None
-    return local_frame(df.sparkSession, [(a, b, tau)], "col1 string, col2 string, r double")
+    order, across = ["pair", "x", "y"], ["pair", "y", "x"]
+    placed = materialise(
+        counted.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("slot", F.monotonically_increasing_id()),
+        "kendall-order",
+    )
+    bucketed = placed.repartitionByRange(*across).sortWithinPartitions(*across).select("pair", "slot", "n")
+    bucketed = materialise(bucketed.mapInArrow(_in_buckets, _COUNTED), "kendall-buckets")
+    inside = bucketed.where("inversions IS NOT NULL").select("pair", F.col("inversions").cast("decimal(38,0)").alias("d"))
+    rows = bucketed.where("inversions IS NULL").select("pair", F.shiftright("slot", 33).cast("int").alias("slice"), "slot", "bucket", "n")
+    cells = materialise(
+        rows.repartition("slice").sortWithinPartitions("slice", "slot").mapInArrow(_in_slices, _CELLS), "kendall-cells",
+    )
+    within = cells.where("inversions IS NOT NULL").select("pair", F.col("inversions").cast("decimal(38,0)").alias("d"))
+    cells = cells.where("inversions IS NULL").select("pair", "slice", "bucket", "n")
+    # every (slice, bucket) of a pair: the squared number of partitions, whatever the rows
+    spine = cells.select("pair", "slice").distinct().join(cells.select("pair", "bucket").distinct(), "pair")
+    dense = spine.join(cells, ["pair", "slice", "bucket"], "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("decimal(19,0)"))
+    earlier = Window.partitionBy("pair", "bucket").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    above = Window.partitionBy("pair", "slice").orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    grid = dense.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)).cast("decimal(19,0)")).withColumn(
+        "greater", F.coalesce(F.sum("before").over(above), F.lit(0)).cast("decimal(19,0)"),
+    ).select("pair", (F.col("greater") * F.col("n")).cast("decimal(38,0)").alias("d"))
+    return inside.unionByName(within).unionByName(grid).groupBy("pair").agg(F.sum("d").cast("double").alias("d"))
 
 
 def kendall_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """(col1, col2, r): tau-b of every pair of numeric columns, exact, without forming pairs of rows.
+
+    All pairs of columns go through the same few sorts.
+    """
     columns = list(columns or numeric_columns(df))
-    out = local_frame(df.sparkSession, [], "col1 string, col2 string, r double")
-    for a, b in combinations(columns, 2):
-        out = out.unionByName(kendall(df, a, b))
-    return out
+    places = list(combinations(range(len(columns)), 2))
+    schema = "col1 string, col2 string, r double"
+    if not places:
+        return local_frame(df.sparkSession, [], schema)
+    slim = _finite_numbers(df, columns)
+    cells = F.array(*[
+        F.struct(F.lit(k).alias("pair"), F.col(f"x{i}").alias("x"), F.col(f"x{j}").alias("y")) for k, (i, j) in enumerate(places)
+    ])
+    counted = materialise(
+        slim.select(F.explode(cells).alias("c")).select("c.*").dropna().groupBy("pair", "x", "y").agg(F.count(F.lit(1)).alias("n")),
+        "kendall-rows",
+    )
+
+    def ties(by: list[str], name: str) -> DataFrame:
+        n = F.col("n").cast("decimal(19,0)")
+        groups = counted.groupBy("pair", *by).agg(F.sum("n").alias("n")) if by != ["x", "y"] else counted
+        return groups.groupBy("pair").agg((F.sum(n * (n - 1)).cast("double") / 2).alias(name), F.sum("n").alias(f"rows_{name}"))
+
+    found = ties(["x"], "tie_x").join(ties(["y"], "tie_y"), "pair").join(ties(["x", "y"], "tie_xy"), "pair").join(
+        _discordant(counted), "pair", "left",
+    )
+    total = F.col("rows_tie_x") * (F.col("rows_tie_x") - F.lit(1.0)) / 2
+    base = F.sqrt((total - F.col("tie_x")) * (total - F.col("tie_y")))
+    concordant_less = total - F.col("tie_x") - F.col("tie_y") + F.col("tie_xy") - 2 * F.coalesce("d", F.lit(0.0))
+    tau = {r["pair"]: r["r"] for r in found.select("pair", F.try_divide(concordant_less, base).alias("r")).collect()}
+    # one row per pair of columns
+    return local_frame(df.sparkSession, [(columns[i], columns[j], tau.get(k)) for k, (i, j) in enumerate(places)], schema)
+
+
+def kendall(df: DataFrame, a: str, b: str) -> DataFrame:
+    """(col1, col2, r): tau-b of two columns."""
+    return kendall_pairs(df, [a, b])
 
 
 METHODS = {"pearson": pearson_pairs, "spearman": spearman_pairs, "kendall": kendall_pairs}

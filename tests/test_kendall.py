@@ -1,0 +1,54 @@
+"""Kendall's tau without pairs of rows, against all pairs of rows."""
+
+import itertools
+import math
+import random
+
+import numpy as np
+import pytest
+
+from gleanframe.operators import relate
+
+
+def tau_b(rows):
+    rows = [r for r in rows if all(v is not None and math.isfinite(v) for v in r)]
+    score = tie_x = tie_y = 0
+    for (a, b), (c, d) in itertools.combinations(rows, 2):
+        score += (a > c) * (b > d) + (a < c) * (b < d) - (a > c) * (b < d) - (a < c) * (b > d)
+        tie_x, tie_y = tie_x + (a == c), tie_y + (b == d)
+    total = len(rows) * (len(rows) - 1) / 2
+    base = math.sqrt((total - tie_x) * (total - tie_y))
+    return score / base if base else None
+
+
+def test_inversions():
+    draw = np.random.default_rng(1)
+    for m in (0, 1, 2, 3, 17, 200):
+        keys, n = draw.integers(0, 9, m), draw.integers(1, 4, m)
+        want = sum(int(n[i] * n[j]) for i in range(m) for j in range(i + 1, m) if keys[i] > keys[j])
+        assert relate.weighted_inversions(keys, n) == want
+        huge = n.astype(np.int64) << 33
+        assert relate.weighted_inversions(keys, huge) == want << 66
+
+
+@pytest.mark.parametrize("values", [3, 40, 100_000])
+def test_tau_equals_all_pairs(spark, values):
+    draw = random.Random(values)
+    data = [
+        tuple(None if draw.random() < 0.05 else float(draw.randrange(values)) if c else 1.0 if draw.random() < 0.4 else draw.random() for c in range(3))
+        for _ in range(400)
+    ] + [(math.inf, 1.0, math.nan), (7.0, 7.0, 7.0)] * 2
+    df = spark.createDataFrame(data, "a double, b double, c double")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {(r["col1"], r["col2"]): r["r"] for r in relate.kendall_pairs(df).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for (i, a), (j, b) in itertools.combinations(enumerate("abc"), 2):
+        assert got[a, b] == pytest.approx(tau_b([(r[i], r[j]) for r in data]), abs=1e-12)
+
+
+def test_tau_without_variation(spark):
+    df = spark.createDataFrame([(1.0, 2.0, None), (1.0, 3.0, None)], "a double, b double, c double")
+    assert [r["r"] for r in relate.kendall_pairs(df).collect()] == [None, None, None]
+    assert relate.kendall_pairs(df.limit(0)).count() == 3 and relate.kendall_pairs(df, ["a"]).count() == 0
