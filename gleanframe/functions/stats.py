@@ -40,10 +40,14 @@ def correlation_strength(r: Column, strong: float = 0.7, moderate: float = 0.4)
 def fit_from_moments(n: Column, sxx: Column, syy: Column, sxy: Column) -> dict[str, Column]:
     """Slope, R², standard error and t of a least-squares line from centred sums.
 
-    A constant y has R² 0; an exact fit has a standard error of 0.
+    A constant y has R² 0; an exact fit has a standard error of 0.  Sums that infinite values
+    made infinite or NaN give null.
     """
+    sound = ~F.isnan(sxy - sxy) & ~F.isnan(syy - syy)
+    sxx, syy, sxy = (F.when(sound, c) for c in (sxx, syy, sxy))
     slope = F.try_divide(sxy, sxx)
-    r2 = F.least(F.coalesce(F.try_divide(sxy * sxy, sxx * syy), F.lit(0.0)), F.lit(1.0))
+    share = F.coalesce(F.try_divide(sxy * sxy, sxx * syy), F.when(syy.isNotNull(), F.lit(0.0)))
+    r2 = F.when(share.isNotNull(), F.least(share, F.lit(1.0)))
     stderr = F.sqrt(F.greatest(F.try_divide((1 - r2) * syy, sxx * (n - 2)), F.lit(0.0)))
     return {"slope": slope, "r2": r2, "stderr": stderr}
 

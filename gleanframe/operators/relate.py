@@ -17,8 +17,6 @@ from gleanframe.functions.text import finite
 from gleanframe.operators.columns import (
     CHUNK, aggregate_row, as_double, categorical_columns, ident, numbers, numeric_columns,
 )
-from gleanframe.operators.lookup import attach
-from gleanframe.operators.ranks import running_sums
 from gleanframe.session import local_frame, materialise
 
 # worker functions travel whole, so the package need not be installed on the workers
@@ -27,6 +25,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 TOP_PAIRS = 15
 # columns beyond which pairs are summed as matrix products, in one scan
 WIDE = 40
+# rows of partial sums that one group adds up
+MERGED = 32
 
 
 def _pair_frame(df: DataFrame, pairs: Sequence[tuple[str, str]], exprs: Sequence[Column]) -> DataFrame:
@@ -54,10 +54,16 @@ def _wide_pairs(slim: DataFrame, columns: list[str], centres: list[float], fixed
     """Every pair's coefficient from one scan: each task sums matrix products of its rows.
 
     Row i of a task's sums holds, against every column j, the rows both have, and the sums of
-    x_i, x_j, their squares and their product over these rows.  A group has one such row per task.
+    x_i, x_j, their squares and their product over these rows.  They are added up in levels, so
+    that no group has more than ``MERGED`` such rows however many tasks there are.
     """
     k, names = len(columns), ["n", "sx", "sy", "sxx", "syy", "sxy"]
-    schema = "i int, " + ", ".join(f"{c} array<double>" for c in names)
+    schema = "part bigint, i int, " + ", ".join(f"{c} array<double>" for c in names)
+
+    def frame(part: int, rows: Sequence[int], total: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([
+            pa.array([part] * len(rows), pa.int64()), pa.array(rows, pa.int32()), *[pa.array(t.tolist(), pa.list_(pa.float64())) for t in total],
+        ], names=["part", "i", *names])
 
     def sums(batches):
         total = np.zeros((len(names), k, k))
@@ -67,13 +73,17 @@ def _wide_pairs(slim: DataFrame, columns: list[str], centres: list[float], fixed
             x, m = np.where(here, x - centres, 0.0), here.astype(float)
             first, square = x.T @ m, (x * x).T @ m
             total += np.stack([m.T @ m, first, first.T, square, square.T, x.T @ x])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(range(k), pa.int32()), *[pa.array(t.tolist(), pa.list_(pa.float64())) for t in total]], names=["i", *names],
-        )
+        yield frame(TaskContext.get().partitionId(), range(k), total)
+
+    def added(group: pa.Table) -> np.ndarray:
+        return np.stack([np.array(group.column(c).to_pylist()).sum(0) for c in names])
+
+    def merge(group: pa.Table) -> pa.Table:
+        return pa.Table.from_batches([frame(group.column("part")[0].as_py() // MERGED, [group.column("i")[0].as_py()], added(group)[:, None])])
 
     def finish(group: pa.Table) -> pa.Table:
         i = group.column("i")[0].as_py()
-        n, sx, sy, sxx, syy, sxy = (np.array(group.column(c).to_pylist()).sum(0) for c in names)
+        n, sx, sy, sxx, syy, sxy = added(group)
         with np.errstate(all="ignore"):
             left, right = sxx - sx * sx / n, syy - sy * sy / n
             r = (sxy - sx * sy / n) / np.sqrt(left * right)
@@ -84,7 +94,25 @@ def _wide_pairs(slim: DataFrame, columns: list[str], centres: list[float], fixed
             "r": pa.array(fine, pa.float64()),
         })
 
-    return slim.mapInArrow(sums, schema).groupBy("i").applyInArrow(finish, "col1 string, col2 string, r double")
+    return merged_levels(slim.mapInArrow(sums, schema), scan_tasks(slim), merge, schema).groupBy("i").applyInArrow(
+        finish, "col1 string, col2 string, r double",
+    )
+
+
+def scan_tasks(df: DataFrame) -> int:
+    """Number of tasks that read ``df``."""
+    return df.rdd.getNumPartitions()
+
+
+def merged_levels(sums: DataFrame, tasks: int, merge, schema: str) -> DataFrame:
+    """Rows of (part, i, …), one per task and i, merged until at most ``MERGED`` parts are left.
+
+    ``merge`` makes one row of a group's, with the part ``part // MERGED``.
+    """
+    while tasks > MERGED:
+        sums = sums.groupBy("i", F.floor(F.col("part") / MERGED).alias("level")).applyInArrow(merge, schema)
+        tasks = -(-tasks // MERGED)
+    return sums
 
 
 def pearson_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -124,24 +152,74 @@ def pearson_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
     )
 
 
+_RANKED = "row bigint, key int, slice int, lo bigint, len bigint, edge double"
+
+
+def _local_ranks(batches):
+    """Sorted cells (key, value, row) of one slice: where the run of a cell's value starts within its key, and its length.
+
+    Runs that touch a border of the slice's share of a key carry their value, as they may go on beyond it.
+    """
+    part, batches = TaskContext.get().partitionId(), list(batches)
+    if not batches:
+        return
+    key, value, row = (np.concatenate([b.column(i).to_numpy() for b in batches]) for i in range(3))
+    del batches
+    starts, ends = (np.array(x) for x in zip(*_runs(key, value)))
+    of = np.repeat(np.arange(len(starts)), ends - starts)
+    first, last = (np.array(x) for x in zip(*_runs(key)))
+    share = np.searchsorted(first, starts, "right") - 1
+    edge = (starts == first[share]) | (ends == last[share])
+    for a in range(0, len(row), 1 << 16):
+        some = of[a:a + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([
+            pa.array(row[a:a + (1 << 16)]), pa.array(key[a:a + (1 << 16)], pa.int32()), pa.array(np.full(len(some), part), pa.int32()),
+            pa.array((starts - first[share])[some]), pa.array((ends - starts)[some]),
+            pa.array(value[starts][some], mask=~edge[some]),
+        ], names=["row", "key", "slice", "lo", "len", "edge"])
+
+
+def average_ranks(cells: DataFrame) -> DataFrame:
+    """(row, key, rank) of (key, value, row): 1-based average ranks of the values of every key.
+
+    All keys go through one range sort, which splits a value with any share of the rows.  A task
+    ranks its own range; what lies before it, and runs that cross a border, are told by at most two
+    rows per range and key.
+    """
+    order = ["key", "value", "row"]
+    runs = materialise(
+        cells.select(*order).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_local_ranks, _RANKED), "rank-runs",
+    )
+    spans = runs.groupBy("key", "slice").agg(F.max(F.col("lo") + F.col("len")).alias("n"))
+    earlier = Window.partitionBy("key").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.select("key", "slice", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    borders = runs.where("edge IS NOT NULL").groupBy("key", "slice", "lo").agg(F.max("len").alias("len"), F.max("edge").alias("edge"))
+    run = Window.partitionBy("key", "edge")
+    borders = borders.join(spans, ["key", "slice"]).select(
+        "key", "slice", "lo", F.min(F.col("before") + F.col("lo")).over(run).alias("base"), F.sum("len").over(run).alias("all"),
+    )
+    known = runs.join(F.broadcast(spans), ["key", "slice"]).join(F.broadcast(borders), ["key", "slice", "lo"], "left")
+    start, length = F.coalesce("base", F.col("before") + F.col("lo")), F.coalesce("all", "len")
+    return known.select("row", "key", (start + (length + 1) / 2).alias("rank"))
+
+
 def spearman_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Rank correlation with average ranks, over the rows where both have a value.
 
-    A rank needs the whole order of a column, so the ranks of its distinct values are
-    found first, for all columns in one sort, and attached by value.  A column without
-    nulls has the same ranks in every pair; only a partner with nulls asks for ranks among
-    the rows it shares.
+    Cells of all columns are ranked in one sort and brought back to their rows in one grouping.
+    A column without nulls has the same ranks in every pair; only a partner with nulls asks for
+    ranks among the rows it shares.
     """
     columns = list(columns or numeric_columns(df))
     places = range(len(columns))
     pairs = list(combinations(places, 2))
     if not pairs:
         return _pair_frame(df, [], [])
-    slim = _finite_numbers(df, columns)
-    row = aggregate_row(slim, ["count(1) AS rows", *[f"count(x{i}) AS n{i}" for i in places]])
+    slim = materialise(_finite_numbers(df, columns).withColumn("row", F.monotonically_increasing_id()), "numbered-rows")
+    row = aggregate_row(slim, ["count(1) AS rows", *[
+        e for i in places for e in (f"count(x{i}) AS n{i}", f"coalesce(min(x{i}) < max(x{i}), false) AS varies{i}")
+    ]])
     gappy = {i for i in places if row[f"n{i}"] < row["rows"]}
-    # copies of a row are one row with a weight from here on
-    slim = materialise(slim.groupBy(*slim.columns).agg(F.count(F.lit(1)).alias("w")), "weighted-rows")
 
     def needed(i: int, partner: int) -> str:
         return f"r{i}_{partner}" if partner in gappy else f"r{i}"
@@ -149,35 +227,28 @@ def spearman_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
     sources = {}
     for i, j in pairs:
         for a, b in ((i, j), (j, i)):
-            sources[needed(a, b)] = (a, f"IF(x{b} IS NULL, NULL, x{a})" if b in gappy else f"x{a}")
-    cells = F.array(*[F.struct(F.lit(k).alias("key"), F.expr(e).alias("value")) for k, (_, e) in sources.items()])
-    counted = (
-        slim.select(F.explode(cells).alias("c"), "w").select("c.key", "c.value", "w").where("value IS NOT NULL")
-        .groupBy("key", "value").agg(F.sum("w").alias("n"))
-    )
-    ranks = materialise(running_sums(counted, ["key"], "value", ["n"]).select(
-        "key", "value", "n", (F.col("before_n") + (F.col("n") + 1) / 2).alias("rank")
-    ), "ranks")
-    sizes = {
-        r["key"]: (r["rows"], r["total"])
-        for r in ranks.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("total")).collect()
-    }
-    ranked = slim
-    for key, (i, _) in sources.items():
-        lookup = ranks.where(F.col("key") == key).select(F.col("value").alias(f"x{i}"), "n", F.col("rank").alias(key))
-        ranked = attach(ranked, lookup, f"x{i}", size=(*sizes.get(key, (0, 0)), 0))
+            sources[needed(a, b)] = f"IF(x{b} IS NULL, NULL, x{a})" if b in gappy else f"x{a}"
+    # adding zero makes one of both zeros
+    cells = F.array(*[F.struct(F.lit(k).alias("key"), F.expr(f"{e} + 0D").alias("value")) for k, e in enumerate(sources.values())])
+    ranks = average_ranks(slim.select("row", F.explode(cells).alias("c")).select("c.key", "c.value", "row").where("value IS NOT NULL"))
+    ranked = ranks.groupBy("row").agg(*[F.expr(f"max(IF(key = {k}, rank, NULL))").alias(name) for k, name in enumerate(sources)])
+    if len(pairs) > CHUNK // 3:
+        # the products take more than one scan
+        ranked = materialise(ranked, "ranks")
+    if not gappy and len(columns) > WIDE:
+        fixed = {i for i in places if not row[f"varies{i}"]}
+        return _wide_pairs(ranked.select(*[f"r{i}" for i in places]), columns, [row["rows"] / 2] * len(columns), fixed)
 
     def r(i: int, j: int) -> str:
-        if any(sizes.get(k, (0, 0))[0] < 2 for k in (needed(i, j), needed(j, i))):
-            return "CAST(NULL AS DOUBLE)"
-        both = f"x{i} IS NOT NULL AND x{j} IS NOT NULL"
+        a, b = needed(i, j), needed(j, i)
+        both = f"{a} IS NOT NULL AND {b} IS NOT NULL"
         # ranks run from 1 to the number of rows, so half of that is a good centre
-        dx, dy = [f"IF({both}, {k} - {row['rows'] / 2!r}D, NULL)" for k in (needed(i, j), needed(j, i))]
-        n = f"sum(IF({both}, w, 0))"
+        dx, dy = [f"IF({both}, {k} - {row['rows'] / 2!r}D, NULL)" for k in (a, b)]
 
         def moment(a: str, b: str) -> str:
-            return f"(sum(w * {a} * {b}) - try_divide(sum(w * {a}) * sum(w * {b}), {n}))"
-        return f"try_divide({moment(dx, dy)}, sqrt({moment(dx, dx)} * {moment(dy, dy)}))"
+            return f"(sum({a} * {b}) - try_divide(sum({a}) * sum({b}), count({dx})))"
+        varies = f"min({dx}) < max({dx}) AND min({dy}) < max({dy})"
+        return f"IF({varies}, try_divide({moment(dx, dy)}, sqrt({moment(dx, dx)} * {moment(dy, dy)})), NULL)"
 
     return _pair_frame(
         ranked, [(columns[i], columns[j]) for i, j in pairs], [F.expr(r(i, j)) for i, j in pairs]

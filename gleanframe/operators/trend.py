@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 from datetime import date
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext, cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import StringType
 
 from gleanframe.functions.dates import bin_end, bin_index, bin_step, parse_timestamp
 from gleanframe.functions.stats import fit_from_moments, with_p_value
-from gleanframe.operators.columns import as_double, ident, numeric_columns, unpivot_numbers
+from gleanframe.functions.text import finite
+from gleanframe.operators.columns import as_double, ident, numeric_columns
 from gleanframe.operators.quantiles import medians
 from gleanframe.session import local_frame
 
+# worker functions travel whole, so the package need not be installed on the workers
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 FORECAST_STEPS = 6
 MIN_POINTS = 6
 
@@ -154,54 +162,74 @@ def trend_forecast(
 
 # ---- trends over row order ----------------------------------------------------------------------
 
+_RUNS = "place int, slice int, n bigint, ay double, syy double, sxy double, last double"
+
+
+def _slice_moments(batches, k: int):
+    """Centred moments of every column over the running number of its filled cells, within one sorted slice."""
+    n = np.zeros(k, np.int64)
+    ay, syy, sxy, last = np.zeros(k), np.zeros(k), np.zeros(k), np.full(k, np.nan)
+    for batch in batches:
+        for i in range(k):
+            y = batch.column(i).to_numpy(zero_copy_only=False).astype(float)
+            y = y[~np.isnan(y)]
+            m = len(y)
+            if not m:
+                continue
+            with np.errstate(invalid="ignore"):
+                mean = y.mean()
+                dy, share = mean - ay[i], n[i] * m / (n[i] + m)
+                # numbers run on, so the middles of both parts are half of all cells apart
+                syy[i] += ((y - mean) ** 2).sum() + dy * dy * share
+                sxy[i] += ((np.arange(m) - (m - 1) / 2) * (y - mean)).sum() + dy * (n[i] + m) / 2 * share
+                ay[i] += dy * m / (n[i] + m)
+            n[i] += m
+            last[i] = y[-1]
+    some = np.flatnonzero(n)
+    yield pa.RecordBatch.from_arrays([
+        pa.array(some, pa.int32()), pa.array(np.full(len(some), TaskContext.get().partitionId()), pa.int32()),
+        pa.array(n[some]), *[pa.array(v[some]) for v in (ay, syy, sxy, last)],
+    ], names=["place", "slice", "n", "ay", "syy", "sxy", "last"])
+
+
 def index_fit(
     df: DataFrame, order_by: Sequence[str], columns: Sequence[str] | None = None,
 ) -> DataFrame:
     """One row per numeric column: a line through its values over their position.
 
-    Positions count the filled cells of a column in ``order_by``, which has to be unique.
-    No row ever gets its position: cells are range-partitioned, each partition reduces its
-    run of a column to centred moments over local positions, and the few rows per column
-    that remain are shifted and merged.
+    Positions count the filled cells of a column in ``order_by``, which has to be unique.  A
+    column with an infinite cell has no line and no row.  The rows are sorted once for all
+    columns, and none ever gets its position: each partition reduces every column to centred
+    moments over local positions, and the few rows per column that remain are shifted and merged.
     """
     columns = list(columns or numeric_columns(df))
     order = [f"__o{i}" for i in range(len(order_by))]
-    keyed = df.select(
-        *[ident(c).alias(o) for c, o in zip(order_by, order)], *[as_double(df, c).alias(c) for c in columns]
-    )
-    cells = unpivot_numbers(keyed, columns, order)
-    slots = (
-        cells.repartitionByRange("column", *order).sortWithinPartitions("column", *order)
-        .withColumn("slot", F.monotonically_increasing_id())
-        .withColumn("slice", F.shiftright("slot", 33))
-        .withColumn("x", F.col("slot").bitwiseAND(2**33 - 1).cast("double"))
-    )
-    y, x = "value", "x"
-    runs = slots.groupBy("column", "slice").agg(
-        F.count(F.lit(1)).alias("n"), F.avg(x).alias("ax"), F.min(x).alias("x0"), F.avg(y).alias("ay"),
-        F.regr_sxx(y, x).alias("sxx"), F.regr_syy(y, x).alias("syy"), F.regr_sxy(y, x).alias("sxy"),
-        F.max("slot").alias("last_slot"), F.max_by(y, "slot").alias("last"),
-    )
+    keyed = df.select(*[ident(c).alias(o) for c, o in zip(order_by, order)], *[as_double(df, c).alias(f"x{i}") for i, c in enumerate(columns)])
+    ordered = keyed.repartitionByRange(*order).sortWithinPartitions(*order).drop(*order)
+    k = len(columns)
+    runs = ordered.mapInArrow(lambda batches: _slice_moments(batches, k), _RUNS)
     # from here on there is one row per column and partition
-    w = Window.partitionBy("column")
+    w = Window.partitionBy("place")
     before = F.sum("n").over(w.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))
     total = F.sum("n").over(w)
     shifted = runs.select(
-        "column", "n", "ay", "sxx", "syy", "sxy", "last_slot", "last", total.alias("total"),
-        (F.coalesce(before, F.lit(0)) + F.col("ax") - F.col("x0")).alias("mx"),
+        "place", "slice", "n", "ay", "syy", "sxy", "last", total.alias("total"),
+        (F.coalesce(before, F.lit(0)) + (F.col("n") - 1) / 2).alias("mx"),
         (F.sum(F.col("n") * F.col("ay")).over(w) / total).alias("mean"),
     )
     dx, dy = F.col("mx") - (F.col("total") - 1) / 2, F.col("ay") - F.col("mean")
-    merged = shifted.groupBy("column").agg(
+    n = F.col("n").cast("double")
+    merged = shifted.groupBy("place").agg(
         F.sum("n").alias("n"), F.max("mean").alias("mean"),
-        F.sum(F.col("sxx") + F.col("n") * dx * dx).alias("sxx"),
-        F.sum(F.col("syy") + F.col("n") * dy * dy).alias("syy"),
-        F.sum(F.col("sxy") + F.col("n") * dx * dy).alias("sxy"),
-        F.max_by("last", "last_slot").alias("last"),
-    ).where(F.col("n") >= MIN_POINTS)
+        F.sum(n * (n * n - 1) / 12 + n * dx * dx).alias("sxx"),
+        F.sum(F.col("syy") + n * dy * dy).alias("syy"),
+        F.sum(F.col("sxy") + n * dx * dy).alias("sxy"),
+        F.max_by("last", "slice").alias("last"),
+    ).where((F.col("n") >= MIN_POINTS) & finite(F.col("syy")).isNotNull() & finite(F.col("sxy")).isNotNull())
     fit = fit_from_moments(F.col("n"), F.col("sxx"), F.col("syy"), F.col("sxy"))
+    name = F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("place") + 1) if columns else F.lit("")
     return merged.select(
-        "column", "n", "mean", "last", "sxx", fit["slope"].alias("slope"),
+        name.alias("column"), "n", "mean", "last", "sxx", fit["slope"].alias("slope"),
         (F.col("mean") - fit["slope"] * (F.col("n") - 1) / 2).alias("intercept"),
         fit["r2"].alias("r_squared"), fit["stderr"].alias("stderr"),
     )

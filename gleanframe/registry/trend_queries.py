@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gleanframe.operators import trend
 from gleanframe.registry.base import per_column, query, table
-from gleanframe.registry.fixtures import SPARSE_EVENTS, sparse_events
+from gleanframe.registry.fixtures import ENDLESS_ORDERS, SPARSE_EVENTS, endless_orders, sparse_events
 from gleanframe.session import scratch_path
 from gleanframe.streaming import live
 
@@ -186,10 +186,35 @@ _NUMBERS = [
 ]
 
 
-@query("index_projection", INDEX_PROJECTION + " SELECT * FROM numbers")
+# beyond sixty standard errors the p-value is 0 in all digits shown
+_P_VALUE = f"CASE WHEN slope = 0 THEN 1.0 WHEN stderr = 0 OR abs(slope / stderr) > 60 THEN 0.0 ELSE {p_value_sql('slope / stderr', '(CAST(n AS DOUBLE) - 2)')} END"
+_CLASSES = f""", sure AS (SELECT col AS "column", slope AS s, round(r2, 4) AS r2, {_P_VALUE} AS p FROM line)
+SELECT numbers.*, round(p, 5) AS p_value, CASE WHEN s > 0 AND (p < 0.1 OR r2 >= 0.2) THEN 'increasing'
+  WHEN s < 0 AND (p < 0.1 OR r2 >= 0.2) THEN 'decreasing' ELSE 'stable' END AS direction,
+  CASE WHEN r2 >= 0.4 AND p < 0.05 THEN 'high' WHEN r2 >= 0.15 THEN 'medium' ELSE 'low' END AS confidence FROM numbers JOIN sure USING ("column")"""
+
+
+@query("index_projection", INDEX_PROJECTION + _CLASSES)
 def index_projection(spark, folder):
-    """The numbers of a projection; its class needs the p-value, which SQL does not have."""
-    return trend.index_projection(table(spark, folder, "events"), ["ts", "event_id"]).select(*_NUMBERS)
+    got = trend.index_projection(table(spark, folder, "events"), ["ts", "event_id"])
+    return got.select(*_NUMBERS, "p_value", "direction", "confidence")
+
+
+# a column with an infinite cell has no line, so only these are left
+_SOUND = ["o_orderkey", "twice"]
+
+
+@query("index_trend_inf", f"""
+WITH {ENDLESS_ORDERS}, {index_fit_sql(_SOUND, "endless_orders", "o_orderkey")}
+SELECT col AS "column", n, round(slope, 5) AS slope, round(intercept, 4) AS intercept, round(r2, 4) AS r_squared, round(stderr, 6) AS stderr FROM line""")
+def index_trend_inf(spark, folder):
+    return trend.index_trend(endless_orders(spark, folder), ["o_orderkey"])
+
+
+@query("top_trends_inf", f"WITH {ENDLESS_ORDERS}, " + projection_sql(_SOUND, "endless_orders", "o_orderkey") + TOP_TRENDS)
+def top_trends_inf(spark, folder):
+    got = trend.top_trends(endless_orders(spark, folder), ["o_orderkey"])
+    return got.select("column", "r_squared", "pct_change", "priority", "impact_pct")
 
 
 @query("top_trends", INDEX_PROJECTION + TOP_TRENDS)

@@ -96,14 +96,13 @@ def test_attach_salts_hot_values(spark, monkeypatch, broadcast_rows):
     assert all(found[r.id] == (None if r.v is None else 2 * size[r.v]) for r in want.itertuples())
 
 
-@pytest.mark.parametrize("broadcast_rows", [10**6, 0])
-def test_spearman_with_gaps(spark, monkeypatch, broadcast_rows):
-    monkeypatch.setattr(relate, "attach", lambda *a, **k: lookup.attach(*a, **{**k, "broadcast_rows": broadcast_rows}))
+@pytest.mark.parametrize("partitions", [1, 11])
+def test_spearman_with_gaps(spark, partitions):
     rng = np.random.default_rng(4)
     d = pd.DataFrame(rng.integers(0, 9, (400, 3)).astype(float), columns=list("abc"))
     d["b"] += d["a"] * 2
     d.loc[rng.random(400) < 0.2, "c"] = np.nan
-    got = {(r["col1"], r["col2"]): r["r"] for r in relate.spearman_pairs(spark.createDataFrame(d)).collect()}
+    got = {(r["col1"], r["col2"]): r["r"] for r in relate.spearman_pairs(spark.createDataFrame(d).repartition(partitions)).collect()}
     for a, b in itertools.combinations("abc", 2):
         both = d[[a, b]].dropna().rank()
         assert got[a, b] == pytest.approx(both[a].corr(both[b]), abs=1e-12)
@@ -133,3 +132,15 @@ def test_index_fit_over_many_partitions(spark):
     slope, intercept = np.polyfit(np.arange(len(kept)), kept, 1)
     assert row["n"] == len(kept) and row["last"] == kept[-1]
     assert row["slope"] == pytest.approx(slope, rel=1e-9) and row["intercept"] == pytest.approx(intercept, rel=1e-9)
+
+
+def test_columns_with_infinite_cells_have_no_trend(spark):
+    rows = [(i, float(i), float("inf") if i == 17 else float(i % 7), None if i % 2 else 3.0 * i) for i in range(200)]
+    df = spark.createDataFrame(rows, "k int, up double, endless double, gaps double").repartition(7)
+    fit = {r["column"]: r for r in trend.index_fit(df, ["k"], ["up", "endless", "gaps"]).collect()}
+    assert set(fit) == {"up", "gaps"} and fit["up"]["slope"] == pytest.approx(1.0) and fit["gaps"]["slope"] == pytest.approx(6.0)
+    assert fit["gaps"]["n"] == 100 and fit["gaps"]["last"] == 594.0
+    top = trend.top_trends(df, ["k"], ["up", "endless", "gaps"]).collect()
+    assert [r["column"] for r in top] == ["gaps", "up"] and all(r["r_squared"] == 1.0 for r in top)
+    plan = trend.index_fit(df, ["k"], ["up", "endless", "gaps"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("rangepartitioning") == 1
