@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 from dataclasses import dataclass
 from datetime import datetime, timezone
+from urllib.parse import quote
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -25,10 +28,37 @@ def _now() -> datetime:
     return datetime.now(timezone.utc)
 
 
+def create_if_absent(spark: SparkSession, path: str) -> bool:
+    """Create an empty file, in one step; False if it is there already.
+
+    The file systems of a cluster refuse to create a file twice by themselves.  The local one
+    checks first and creates then, so there the operating system is asked directly.
+    """
+    jvm = spark._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(target.getParent())
+    if system.getUri().getScheme() == "file":
+        try:
+            os.close(os.open(target.toUri().getPath(), os.O_CREAT | os.O_EXCL))
+        except FileExistsError:
+            return False
+        return True
+    try:
+        system.create(target, False).close()
+    except Py4JJavaError as e:
+        if "FileAlreadyExists" not in e.java_exception.getClass().getName():
+            raise
+        return False
+    return True
+
+
 @dataclass(frozen=True)
 class Store:
     """A folder with one Parquet path per version and an append-only catalog.
 
+    A version number belongs to whoever creates its file in the claims folder, which only one
+    writer can; the others go on to the next number.
     Deleting appends a mark; the files of a deleted version can be removed at any time later.
     """
 
@@ -41,7 +71,7 @@ class Store:
 
     def _log(self) -> DataFrame:
         try:
-            return self.spark.read.schema(CATALOG).parquet(self.catalog_path)
+            return self.spark.read.schema(CATALOG).option("recursiveFileLookup", True).parquet(self.catalog_path)
         except AnalysisException as e:
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise
@@ -60,7 +90,8 @@ class Store:
         return marked.withColumn("parent_version", parent).drop("__d", "__v", "deleted")
 
     def _add(self, *row) -> None:
-        local_frame(self.spark, [row], CATALOG).coalesce(1).write.mode("append").parquet(self.catalog_path)
+        # a folder per entry, as two jobs cannot commit to one at a time
+        local_frame(self.spark, [row], CATALOG).coalesce(1).write.parquet(f"{self.catalog_path}/{uuid.uuid4().hex}")
 
     def versions(self, dataset_id: str) -> DataFrame:
         """Newest first."""
@@ -85,15 +116,16 @@ class Store:
 
     def append(self, df: DataFrame, dataset_id: str, stage: str, parent: int | None = None) -> int:
         """Write a new version to a path of its own and add its catalog row."""
-        number = self._next(dataset_id, parent)
         # a path of this attempt alone: one that fails leaves nothing in the way of the next
-        path = f"{self.root}/dataset_id={dataset_id}/v={number}/stage={stage}/{uuid.uuid4().hex}"
+        path = f"{self.root}/dataset_id={dataset_id}/stage={stage}/{uuid.uuid4().hex}"
         df.write.parquet(path)
         # counted on the written files, so the input is not computed again
         seal = table_fingerprint(self.spark.read.parquet(path)).first()
         files = self.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path)
         size = files.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
         shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
+        # the number is claimed when the files are there, so a failed write uses none up
+        number = self._claim(dataset_id, parent)
         self._add(dataset_id, number, stage, path, seal["rows"], seal["checksum"], parent, False, size, _now(), shape)
         return number
 
@@ -102,6 +134,14 @@ class Store:
         used = self._log().where(F.col("dataset_id") == dataset_id).agg(F.max("version_number")).first()[0]
         return max(used or 0, parent or 0) + 1
 
+    def _claim(self, dataset_id: str, parent: int | None) -> int:
+        """A number that is this writer's alone, whoever else appends meanwhile."""
+        number = self._next(dataset_id, parent)
+        folder = f"{self.root}/claims/{quote(dataset_id, safe='')}"
+        while not create_if_absent(self.spark, f"{folder}/{number:012d}"):
+            number += 1
+        return number
+
     def delete(self, dataset_id: str, version: int) -> None:
         """Drop a version from the catalog; the only one of a dataset stays."""
         live = [r["version_number"] for r in self.versions(dataset_id).select("version_number").collect()]
@@ -116,7 +156,7 @@ class Store:
         row = self.resolve(dataset_id, version)
         if row is None or row["version_number"] != version:
             raise ValueError(f"{dataset_id!r} has no version {version}")
-        number = self._next(dataset_id, version)
+        number = self._claim(dataset_id, version)
         self._add(
             dataset_id, number, row["stage"], row["path"], row["row_count"], row["checksum"], version, False,
             row["byte_size"], _now(), row["columns"],
