@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
@@ -12,11 +13,37 @@ DATE_FORMATS = (
 )
 
 
+# what a run of pattern letters stands for in a text; other letters have no shape
+_SHAPES = {"yyyy": r"[+-]?\d{4,}", "MMM": r"\p{L}+\.?", **dict.fromkeys(("MM", "dd", "HH", "mm", "ss"), r"\d{2}"), **dict.fromkeys("MdHms", r"\d+")}
+
+
+def format_shape(fmt: str) -> str | None:
+    """Pattern that every text of a date format matches; None for a format it cannot tell."""
+    out = ""
+    for run in re.findall(r"([A-Za-z])(\1*)|([^A-Za-z])", fmt):
+        letters, other = run[0] + run[1], run[2]
+        if letters and letters not in _SHAPES or other and other in "'[]":
+            return None
+        out += _SHAPES[letters] if letters else re.escape(other)
+    return f"^{out}$"
+
+
 def parse_timestamp(c: Column, formats: Sequence[str] = DATE_FORMATS) -> Column:
-    """ISO text first, then each listed format; null when none fits."""
+    """ISO text first, then each listed format; null when none fits.
+
+    A parser that fails costs far more than a look at a text's shape, so each format only sees
+    texts of its shape.
+    """
     text = F.trim(c)
     iso = F.when(text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}"), F.try_to_timestamp(text))
-    return F.coalesce(iso, *[F.try_to_timestamp(text, F.lit(f)) for f in formats])
+    tried = []
+    for f in formats:
+        shape, parsed = format_shape(f), F.try_to_timestamp(text, F.lit(f))
+        tried.append(parsed if shape is None else F.when(text.rlike(shape), parsed))
+    found = F.coalesce(iso, *tried)
+    if any(format_shape(f) is None for f in formats):
+        return found
+    return F.when(text.rlike(r"^[+-]?\d|^\p{L}+\.?[ -/]"), found)
 
 
 def bin_end(c: Column, freq: str) -> Column:

@@ -15,7 +15,7 @@ from pyspark.ml.feature import (
     IndexToString, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler,
 )
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import NumericType
 
 from gleanframe.functions.text import sql_double
@@ -99,13 +99,10 @@ def preprocessing(df: DataFrame, features: Sequence[str]) -> list:
         ]
         parts.append("__scaled")
     if other:
-        indexers = [
-            StringIndexer(
-                inputCol=f"__cat{i}", outputCol=f"__idx{i}", stringOrderType="alphabetAsc",
-                handleInvalid="keep",
-            ) for i in range(len(other))
-        ]
-        stages += indexers
+        stages.append(StringIndexer(
+            inputCols=[f"__cat{i}" for i in range(len(other))], outputCols=[f"__idx{i}" for i in range(len(other))],
+            stringOrderType="alphabetAsc", handleInvalid="keep",
+        ))
         stages.append(("codes", len(other)))
         parts += [f"__code{i}" for i in range(len(other))]
     stages.append(VectorAssembler(inputCols=parts, outputCol="features"))
@@ -117,11 +114,10 @@ def fit_preprocessing(df: DataFrame, features: Sequence[str]) -> PipelineModel:
     fitted, rows = [], df
     for stage in preprocessing(df, features):
         if isinstance(stage, tuple):
-            indexers = [m for m in fitted if hasattr(m, "labels")]
+            labels = next(m for m in fitted if hasattr(m, "labelsArray")).labelsArray
             # a fresh expression also drops the nominal metadata, so trees see ordered codes
             cells = ", ".join(
-                f"IF(__idx{i} >= {len(m.labels)}, -1.0D, __idx{i} + 0.0D) AS __code{i}"
-                for i, m in enumerate(indexers)
+                f"IF(__idx{i} >= {len(known)}, -1.0D, __idx{i} + 0.0D) AS __code{i}" for i, known in enumerate(labels)
             )
             stage = SQLTransformer(statement=f"SELECT *, {cells} FROM __THIS__")
         model = stage.fit(rows) if hasattr(stage, "fit") else stage
@@ -130,14 +126,19 @@ def fit_preprocessing(df: DataFrame, features: Sequence[str]) -> PipelineModel:
     return PipelineModel(fitted)
 
 
-def split_rows(df: DataFrame, key: Sequence[str], folds: int = 5) -> tuple[DataFrame, DataFrame]:
-    """(train, test), four fifths to one, decided by the MD5 of the key's text.
+def held_out(key: Sequence[str], folds: int = 5) -> Column:
+    """Whether a row is one of the tested, one in ``folds``, by the MD5 of its key's text.
 
     The same row lands on the same side in every run, under any partitioning and in any engine.
     """
     text = F.concat_ws("|", *[F.coalesce(ident(c).cast("string"), F.lit("")) for c in key], F.lit(str(SEED)))
-    fold = F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("bigint") % folds
-    return df.where(fold != 0), df.where(fold == 0)
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("bigint") % folds == 0
+
+
+def split_rows(df: DataFrame, key: Sequence[str], folds: int = 5) -> tuple[DataFrame, DataFrame]:
+    """(train, test), four fifths to one."""
+    tested = held_out(key, folds)
+    return df.where(~tested), df.where(tested)
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -217,11 +218,13 @@ def train(
         *[ident(c) for c in dict.fromkeys([*names, *key])],
         (label.cast("double") if is_regression else ident(target).cast("string")).alias("__target"),
     )
-    if used.limit(MIN_ROWS).count() < MIN_ROWS:
+    # the rows are read many times, so they are spread and dealt to their side once
+    rows = materialise(spread(used.withColumn("__held_out", held_out(list(key) or [*names, "__target"]))), "training")
+    sizes = {r["__held_out"]: r["count"] for r in rows.groupBy("__held_out").count().collect()}
+    if sum(sizes.values()) < MIN_ROWS:
         raise ValueError("too few rows with a target")
-    # iterative fitting reads the rows many times
-    rows = spread(materialise(used, "training"))
-    train_rows, test_rows = split_rows(rows, list(key) or [*names, "__target"])
+    train_rows, test_rows = rows.where("NOT __held_out").drop("__held_out"), rows.where("__held_out").drop("__held_out")
+    trained_on = sizes.get(False, 0)
     prepared = fit_preprocessing(train_rows, names)
     classes: list[str] = []
     if is_regression:
@@ -234,7 +237,7 @@ def train(
         ).fit(train_rows)
         classes = list(coder.labels)
         labelled = coder.transform(prepared.transform(train_rows))
-        estimator = _classifier(kind, train_rows.count(), len(classes))
+        estimator = _classifier(kind, trained_on, len(classes))
         tail = [IndexToString(inputCol="prediction", outputCol="__predicted", labels=classes)]
     points = labelled.select("features", "__label").persist()
     fitted = estimator.fit(points)
@@ -245,7 +248,7 @@ def train(
         metrics = regression_metrics(scored, "__target", "prediction")
     else:
         metrics = classification_metrics(scored, "__target", "__predicted")
-    metrics = metrics.withColumn("train_samples", F.lit(train_rows.count()).cast("bigint"))
+    metrics = metrics.withColumn("train_samples", F.lit(trained_on).cast("bigint"))
     return Trained(kind, model, names, metrics, _importance(df, ordered, fitted), classes)
 
 

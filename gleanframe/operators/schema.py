@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import (
     BooleanType, DateType, DecimalType, DoubleType, FloatType, IntegralType, StringType,
     TimestampNTZType, TimestampType,
@@ -110,19 +110,45 @@ def pii_headers(columns: Sequence[str]) -> list[str]:
     return [c for c in columns if any(k in c.lower() for k in PII_HEADER_KEYWORDS)]
 
 
+# lengths of the texts that a pattern can match, and a character they have
+_REACH = {"email": (6, None, "@"), "phone": (7, 16, None), "ssn": (11, 11, "-"), "credit_card": (16, 19, None), "ip_address": (7, 15, ".")}
+
+
+def _fits(text: Column, name: str) -> Column:
+    """Whether a text matches a pattern; most are told by their length, without the pattern."""
+    least, most, needed = _REACH[name]
+    size = F.length(text)
+    near = size >= least if most is None else size.between(least, most)
+    if needed is not None:
+        near = near & F.contains(text, F.lit(needed))
+    return near & text.rlike(PII_PATTERNS[name])
+
+
+def _number_fits(n: Column) -> list[Column]:
+    """The patterns that the text of a whole number can match: telephone and card, by its digits."""
+    phone = n.between(10**6, 10**15 - 1) | n.between(-(10**14) + 1, -(10**5))
+    return [phone, n.between(10**15, 10**16 - 1)]
+
+
 def pii_by_value(df: DataFrame, columns: Sequence[str]) -> list[str]:
-    """Columns where half of the filled cells of all rows fit one pattern."""
+    """Columns where half of the filled cells of all rows fit one pattern.
+
+    Fractions, times of day and booleans have texts that fit none.
+    """
+    kinds = {c: df.schema[c].dataType for c in columns}
+    never = (FloatType, DoubleType, BooleanType, TimestampType, TimestampNTZType)
+    columns = [c for c in columns if not isinstance(kinds[c], never) and getattr(kinds[c], "scale", 0) <= 0]
     if not columns:
         return []
+    whole = {c for c in columns if isinstance(kinds[c], IntegralType)}
+    cells = df.select(*[(ident(c).cast("bigint") if c in whole else strip(as_text(df, c))).alias(f"c{i}") for i, c in enumerate(columns)])
     exprs = []
     for i, c in enumerate(columns):
-        text = strip(as_text(df, c))
-        filled = text != ""
-        exprs.append(F.greatest(*[
-            F.try_divide(F.count_if(filled & text.rlike(p)), F.count_if(filled))
-            for p in PII_PATTERNS.values()
-        ]).alias(f"s{i}"))
-    row = aggregate_row(df, exprs)
+        cell = F.col(f"c{i}")
+        filled = cell.isNotNull() if c in whole else cell != ""
+        hits = _number_fits(cell) if c in whole else [_fits(cell, p) for p in PII_PATTERNS]
+        exprs.append(F.try_divide(F.greatest(*[F.count_if(filled & h) for h in hits]), F.count_if(filled)).alias(f"s{i}"))
+    row = aggregate_row(cells, exprs)
     return [c for i, c in enumerate(columns) if row[f"s{i}"] is not None and row[f"s{i}"] >= 0.5]
 
 
