@@ -131,15 +131,22 @@ _REL = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
 _PACKAGE = "http://schemas.openxmlformats.org/package/2006/relationships"
 
 
+def _text_cell(place: str, value: str) -> str:
+    return f'<c r="{place}" t="inlineStr"><is><t>{escape(value)}</t></is></c>'
+
+
 def _one_workbook(pdf: pd.DataFrame) -> pd.DataFrame:
     """A block of at most 500 customers as the bytes of a workbook."""
     header = ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"]
     lines = [header, *pdf[header].astype(str).values.tolist()]
     rows = "".join(
-        f'<row r="{i + 1}">' + "".join(
-            f'<c r="{chr(65 + j)}{i + 1}" t="inlineStr"><is><t>{escape(v)}</t></is></c>' for j, v in enumerate(line)
-        ) + "</row>" for i, line in enumerate(lines)
+        f'<row r="{i + 1}">' + "".join(_text_cell(f"{chr(65 + j)}{i + 1}", v) for j, v in enumerate(line)) + "</row>"
+        for i, line in enumerate(lines)
     )
+    return _packed_book(pdf, rows)
+
+
+def _packed_book(pdf: pd.DataFrame, rows: str, styles: str | None = None) -> pd.DataFrame:
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as book:
         book.writestr("xl/workbook.xml", (
@@ -148,6 +155,8 @@ def _one_workbook(pdf: pd.DataFrame) -> pd.DataFrame:
         book.writestr("xl/_rels/workbook.xml.rels", (
             f'<Relationships xmlns="{_PACKAGE}"><Relationship Id="r1" Target="worksheets/a.xml"/></Relationships>'
         ))
+        if styles is not None:
+            book.writestr("xl/styles.xml", styles)
         book.writestr("xl/worksheets/a.xml", f'<worksheet xmlns="{_SHEET}"><sheetData>{rows}</sheetData></worksheet>')
     return pd.DataFrame({"path": [f"block-{pdf['block'].iloc[0]:012d}.xlsx"], "content": [out.getvalue()]})
 
@@ -159,3 +168,31 @@ def scan_workbooks(spark, folder):
     blocks = table(spark, folder, "customer").withColumn("block", F.floor(F.col("c_custkey") / 500))
     files = blocks.groupBy("block").applyInPandas(_one_workbook, "path string, content binary")
     return workbooks.read_workbooks(files)
+
+
+def _dated_workbook(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A block of orders with their day, their day and time, and their price, as numbers that only styles tell apart."""
+    first, days = pd.Timestamp(1899, 12, 30), pd.to_datetime(pdf["o_orderdate"])
+    day = (days.dt.normalize() - first).dt.days
+    lines = zip(pdf["o_orderkey"], day, day + (pdf["o_orderkey"] % 24) / 24, pdf["o_orderkey"] % 1000 + 40_000)
+    rows = '<row r="1">' + "".join(_text_cell(f"{c}1", n) for c, n in zip("ABCD", ("o_orderkey", "day", "moment", "amount"))) + "</row>"
+    rows += "".join(
+        f'<row r="{i}"><c r="A{i}"><v>{key}</v></c><c r="B{i}" s="1"><v>{d}</v></c><c r="C{i}" s="2"><v>{m!r}</v></c>'
+        f'<c r="D{i}" s="3"><v>{a}</v></c></row>' for i, (key, d, m, a) in enumerate(lines, 2)
+    )
+    return _packed_book(pdf, rows, (
+        f'<styleSheet xmlns="{_SHEET}"><numFmts><numFmt numFmtId="164" formatCode="yyyy\\-mm\\-dd hh:mm"/>'
+        '<numFmt numFmtId="165" formatCode="[Red]0.00&quot; days&quot;"/></numFmts>'
+        '<cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="164"/><xf numFmtId="165"/></cellXfs></styleSheet>'
+    ))
+
+
+@query("scan_workbooks_dates", """
+SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day,
+  strftime(o_orderdate, '%Y-%m-%d') || CASE WHEN o_orderkey % 24 > 0 THEN ' ' || lpad(CAST(o_orderkey % 24 AS VARCHAR), 2, '0') || ':00:00' ELSE '' END AS moment,
+  CAST(o_orderkey % 1000 + 40000 AS VARCHAR) AS amount FROM orders""")
+def scan_workbooks_dates(spark, folder):
+    """Numbers in date formats come back as dates, others as numbers."""
+    orders = table(spark, folder, "orders").select("o_orderkey", F.col("o_orderdate").cast("timestamp").alias("o_orderdate"))
+    blocks = orders.withColumn("block", F.floor(F.col("o_orderkey") / 5000))
+    return workbooks.read_workbooks(blocks.groupBy("block").applyInPandas(_dated_workbook, "path string, content binary"))

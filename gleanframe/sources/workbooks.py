@@ -7,12 +7,15 @@ import re
 import sys
 import zipfile
 from collections.abc import Iterator
+from datetime import datetime, time, timedelta
 from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from gleanframe.session import materialise
+
 # the functions below travel to the workers whole, so the package need not be installed there
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -38,13 +41,68 @@ def _first_sheet(book: zipfile.ZipFile) -> str:
     raise ValueError("workbook without a sheet")
 
 
+# fixed values: numbers of the built-in formats that show a date or a time
+DATE_FORMATS = {*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)}
+# fixed values: built-in formats that show a time span beyond a day
+SPAN_FORMATS = {46}
+_EPOCHS = (datetime(1899, 12, 30), datetime(1904, 1, 1))
+
+
+def format_kind(code: str) -> str | None:
+    """date or span for a number format with letters of dates or times, None for any other."""
+    # texts, escaped characters, fillers and conditions say nothing; [h] counts hours beyond a day
+    bare = re.sub(r'"[^"]*"|\\.|[_*].', "", code)
+    if re.search(r"\[(h+|m+|s+)\]", bare, re.I):
+        return "span"
+    bare = re.sub(r"\[[^\]]*\]", "", bare).split(";")[0]
+    return "date" if re.search(r"[ymdhs]", bare, re.I) and not re.search("general", bare, re.I) else None
+
+
+def _styles(book: zipfile.ZipFile) -> list[str | None]:
+    """For every cell style, what its number means: a date, a time span, or None."""
+    if "xl/styles.xml" not in book.namelist():
+        return []
+    root = ElementTree.fromstring(book.read("xl/styles.xml"))
+    own = {int(f.get("numFmtId")): format_kind(f.get("formatCode") or "") for f in root.iter(f"{_NS}numFmt")}
+    used = root.find(f"{_NS}cellXfs")
+    numbers = [int(x.get("numFmtId") or 0) for x in used] if used is not None else []
+    return [own[n] if n in own else "date" if n in DATE_FORMATS else "span" if n in SPAN_FORMATS else None for n in numbers]
+
+
+def _starts_1904(book: zipfile.ZipFile) -> bool:
+    settings = ElementTree.fromstring(book.read("xl/workbook.xml")).find(f"{_NS}workbookPr")
+    return settings is not None and settings.get("date1904") in ("1", "true")
+
+
+def moment_text(serial: str, kind: str, from_1904: bool) -> str:
+    """The text of a date cell: a day, a day and time, or a time; a span in hours.
+
+    Days before March 1900 are one off in the file, which counts a 29 February 1900.  What is no
+    number, or out of range, stays as it is.
+    """
+    try:
+        days = float(serial)
+        micros = round(days * 86_400_000) * 1000
+        if kind == "span":
+            minutes, seconds = divmod(abs(micros) // 1_000_000, 60)
+            return f"{'-' if days < 0 else ''}{minutes // 60}:{minutes % 60:02d}:{seconds:02d}"
+        if 0 <= days < 1:
+            return str((_EPOCHS[0] + timedelta(microseconds=micros)).time())
+        moved = timedelta(days=1) if not from_1904 and 1 <= days < 60 else timedelta()
+        moment = _EPOCHS[from_1904] + timedelta(microseconds=micros) + moved
+    except (ValueError, OverflowError):
+        return serial
+    return str(moment.date()) if moment.time() == time() else str(moment)
+
+
 def sheet_rows(content: bytes) -> Iterator[list[str | None]]:
-    """Cell texts of the first sheet, row by row."""
+    """Cell texts of the first sheet, row by row; numbers in a date format as dates."""
     with zipfile.ZipFile(io.BytesIO(content)) as book:
         shared = []
         if "xl/sharedStrings.xml" in book.namelist():
             for item in ElementTree.fromstring(book.read("xl/sharedStrings.xml")):
                 shared.append("".join(t.text or "" for t in item.iter(f"{_NS}t")))
+        styles, from_1904 = _styles(book), _starts_1904(book)
         with book.open(_first_sheet(book)) as sheet:
             for _, node in ElementTree.iterparse(sheet):
                 if node.tag != f"{_NS}row":
@@ -62,6 +120,12 @@ def sheet_rows(content: bytes) -> Iterator[list[str | None]]:
                             text = shared[int(text)]
                         elif kind == "b":
                             text = "True" if text == "1" else "False"
+                        elif kind == "d":
+                            text = text.replace("T", " ").removesuffix(" 00:00:00")
+                        elif kind in (None, "n") and text and cell.get("s"):
+                            style = int(cell.get("s"))
+                            meant = styles[style] if style < len(styles) else None
+                            text = moment_text(text, meant, from_1904) if meant else text
                         cells[at] = text
                 yield cells
                 node.clear()
@@ -91,7 +155,8 @@ def read_workbooks(
     """First sheets of (path, content) rows as text columns, matched by the names in each header.
 
     A workbook is at most about a million rows, so a file per task is the unit of work;
-    many files spread over the cluster.  A column that a workbook lacks is null there.  Given
+    many files spread over the cluster.  Each is parsed once: the texts are written before the
+    headers are known.  Cells in a date format come as ISO dates, times or both.  A column that a workbook lacks is null there.  Given
     ``columns`` are taken by position instead.
     """
     rows = files.mapInPandas(_read, "path string, row bigint, cells array<string>, names array<string>")
@@ -99,6 +164,7 @@ def read_workbooks(
     if columns is not None:
         cells = [F.get("cells", F.lit(i)).alias(c) for i, c in enumerate(columns)]
         return rows.where("row > 0").select(*origin, *cells)
+    rows = materialise(rows, "workbook-rows")
     # one row per distinct header, in the order of the first file with it
     headers = rows.groupBy("names").agg(F.min("path").alias("first")).orderBy("first", F.size("names")).collect()
     found = list(dict.fromkeys(n for r in headers for n in r["names"]))

@@ -196,3 +196,17 @@ def test_files_of_any_age_count(spark, tmp_path):
     source = live.read_growing(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema, files_per_trigger=5)
     cards = live.run_available(source, "ts", "kind", "v")
     assert cards.agg(F.sum("n")).first()[0] == 20 and cards.count() == 20
+
+
+def test_number_formats_that_mean_dates():
+    from gleanframe.sources.workbooks import format_kind, moment_text
+
+    dates = ["yyyy-mm-dd", "d/m/yy", "h:mm AM/PM", "[$-409]mmm d", "mm:ss.0", r"dd\.mm", '"am" yyyy']
+    assert [format_kind(c) for c in dates] == ["date"] * len(dates)
+    others = ["General", "0.00", "#,##0", '0" days"', "[Red]0", "0%", "@", r"0\d", "_-* #,##0_-", '0;"d"']
+    assert [format_kind(c) for c in others] == [None] * len(others)
+    assert format_kind("[h]:mm") == format_kind("[mm]:ss") == "span"
+    assert [moment_text(s, "date", False) for s in ("45000", "45000.5", "1", "59", "61", "0.75", "x", "1e300")] == [
+        "2023-03-15", "2023-03-15 12:00:00", "1900-01-01", "1900-02-28", "1900-03-01", "18:00:00", "x", "1e300",
+    ]
+    assert moment_text("43538", "date", True) == "2023-03-15" and moment_text("1.5", "span", False) == "36:00:00"
