@@ -78,54 +78,62 @@ def better(a: tuple, b: tuple) -> tuple:
     return min(a, b, key=lambda x: (x[0], -x[1], x[2]))
 
 
-def _settled(records: Iterable[Record]) -> Iterator[tuple]:
-    """(local group, keep id or None, keep row, group size) of one bucket."""
-    table, sums, members = ContentTable(), [], []
-    for digest, group, n, best, row, null, content in records:
-        entry = table.find(digest, content)
-        if entry == len(sums):
-            sums.append((n, (null, best, row)))
-            members.append([group])
-        else:
-            size, keep = sums[entry]
-            sums[entry] = (size + n, better(keep, (null, best, row)))
-            members[entry].append(group)
-    for (size, (null, best, row)), groups in zip(sums, members):
-        for group in groups:
+def _settled(members: Iterable[list[tuple]]) -> Iterator[tuple]:
+    """(local group, keep id or None, keep row, group size) of the rows (group, n, best, row, null) of each content."""
+    for rows in members:
+        size, keep = 0, None
+        for _, n, best, row, null in rows:
+            size += n
+            keep = (null, best, row) if keep is None else better(keep, (null, best, row))
+        null, best, row = keep
+        for group, *_ in rows:
             yield group, None if null else best, row, size
 
 
+# length of a record whose content is that of the record before it in the file
+_AGAIN = -1
+
+
 def _read(file) -> Iterator[Record]:
     file.seek(0)
+    content = b""
     while head := file.read(struct.calcsize(_HEAD)):
         digest, group, n, best, row, null, length = struct.unpack(_HEAD, head)
-        yield digest, group, n, best, row, null, file.read(length)
+        content = content if length == _AGAIN else file.read(length)
+        yield digest, group, n, best, row, null, content
 
 
 def grace_groups(records: Iterable[Record], limit: int = TABLE_BYTES, level: int = 0) -> Iterator[tuple]:
-    """Settle records in memory if they fit, else split them to spill files by the next hash byte.
+    """Settle records in a table if their distinct contents fit, else split them to spill files by the next hash byte.
 
-    The files have no name, so the system frees them with the task, however it ends.  Records
-    of equal content share every hash byte; at the last level the table holds one copy of each
-    content, which is all that any order of splitting could reach.
+    Records go into the table as they come, so equal contents share one copy at every level; what
+    a full table holds is written with one copy, too.  The files have no name, so the system frees
+    them with the task, however it ends.  At the last level the table takes what is left, one copy
+    of each content, which is all that any order of splitting could reach.
     """
-    records, held, size = iter(records), [], 0
-    for record in records:
-        held.append(record)
-        size += len(record[-1])
-        if size > limit and level < LEVELS:
+    records, table, members = iter(records), ContentTable(), []
+    for digest, group, n, best, row, null, content in records:
+        entry = table.find(digest, content)
+        if entry == len(members):
+            members.append([])
+        members[entry].append((group, n, best, row, null))
+        if table.bytes > limit and level < LEVELS:
             break
     else:
-        yield from _settled(held)
+        yield from _settled(members)
         return
     files = [tempfile.TemporaryFile(dir=os.environ.get("TMPDIR")) for _ in range(FANOUT)]
     try:
-        for part in (held, records):
-            for digest, group, n, best, row, null, content in part:
-                file = files[digest[level] % FANOUT]
-                file.write(struct.pack(_HEAD, digest, group, n, best, row, null, len(content)))
-                file.write(content)
-            part = held = ()
+        for digest, content, rows in zip(table.digests, table.contents, members):
+            file = files[digest[level] % FANOUT]
+            for i, (group, n, best, row, null) in enumerate(rows):
+                file.write(struct.pack(_HEAD, digest, group, n, best, row, null, _AGAIN if i else len(content)))
+                file.write(b"" if i else content)
+        table = members = rows = content = None
+        for digest, group, n, best, row, null, content in records:
+            file = files[digest[level] % FANOUT]
+            file.write(struct.pack(_HEAD, digest, group, n, best, row, null, len(content)))
+            file.write(content)
         for file in files:
             yield from grace_groups(_read(file), limit, level + 1)
             file.close()

@@ -17,6 +17,8 @@ from gleanframe.llm.rows import map_steps, picked, texts
 
 # fixed values: elements by their role
 RAW = frozenset("script style noscript template textarea title iframe xmp noembed noframes svg math object".split())
+# of these, only elements of other languages can close themselves
+FOREIGN = frozenset(("svg", "math"))
 DROPPED = RAW | frozenset("head nav footer aside button select option label dialog menu canvas audio video".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
@@ -37,6 +39,15 @@ UNLIKELY = frozenset(
     "overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations "
     "pagination pager toolbar widget widgets skip search complementary contentinfo hidden paywall outbrain taboola".split()
 )
+# of these, words that a box carries first when it surely is no article: adverts; reader comments and notices
+ADVERTS = frozenset("ad ads advert adverts advertisement advertising adbox adsense sponsor sponsored outbrain taboola".split())
+CERTAIN = ADVERTS | frozenset("comment comments commentlist disqus respond replies reply notice notices cookie cookies consent gdpr".split())
+# a box that is named so and nothing else holds links to other pages
+MENUS = frozenset("menu mainmenu nav navbar navigation topnav subnav breadcrumb breadcrumbs".split())
+# words after which a name says what a page is like, not what a box holds
+STATES = frozenset("open closed enabled disabled on off none free".split())
+# what a head may hold; any other tag begins the body
+HEAD_PARTS = frozenset("title meta link base style script noscript template basefont bgsound".split())
 # elements that mostly hold controls, but may be wrapped around a page
 FORMS = frozenset(("form", "fieldset"))
 HOLDERS = frozenset("html body article main".split())
@@ -55,19 +66,48 @@ _TAG = re.compile(
     r"""<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|$)""",
     re.DOTALL,
 )
-_NAMED = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
-_HIDDEN = re.compile(r"""(?:^|\s)hidden(?:[\s=]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none|visibility\s*:\s*hidden""", re.IGNORECASE)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _WORD = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
-def _unlikely(attributes: str) -> bool:
-    """Whether class, id or role name what is not the article."""
-    for m in _NAMED.finditer(attributes):
-        words = _WORD.findall(_CAMEL.sub(" ", m[1] or m[2] or m[3] or "").lower())
-        if not UNLIKELY.isdisjoint(words):
-            return True
-    return False
+def attributes_of(source: str) -> dict[str, str]:
+    """Names, lower-cased, and values of a start tag's attributes; the first of a name counts."""
+    out: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(source):
+        out.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return out
+
+
+def _hidden(attributes: dict[str, str]) -> bool:
+    style = "".join(attributes.get("style", "").lower().split())
+    return (
+        "hidden" in attributes or attributes.get("aria-hidden", "").strip().lower() == "true"
+        or "display:none" in style or "visibility:hidden" in style
+    )
+
+
+def _words(name: str) -> list[str]:
+    return _WORD.findall(_CAMEL.sub(" ", name).lower())
+
+
+def _meant(tag: str, attributes: dict[str, str], within: bool) -> tuple[bool, bool]:
+    """(marked, certain): whether class, role or id name what is not the article, and whether beyond doubt.
+
+    Headings, paragraphs and inline elements are only taken for adverts, by their class: the rest
+    of their names describes how they look, and their ids come from the text.  An id counts when
+    all its words do, and inside an article (``within``) only when they mean comments or adverts.
+    """
+    names = [_words(n) for key in ("class", "role") for n in attributes.get(key, "").split()]
+    if tag not in BLOCKS or tag in HEADINGS or tag == "p":
+        advert = any(w and w[0] in ADVERTS and STATES.isdisjoint(w) for w in names)
+        return advert, advert
+    own = _words(attributes.get("id", ""))
+    if own and all(w in (CERTAIN if within else UNLIKELY) for w in own):
+        names.append(own)
+    marked = any(not UNLIKELY.isdisjoint(w) for w in names)
+    certain = any(w and (w[0] in CERTAIN and STATES.isdisjoint(w) or len(w) == 1 and w[0] in MENUS) for w in names)
+    return marked, certain
 
 
 class Page:
@@ -99,14 +139,19 @@ class Page:
             self._pieces = []
 
     def _text(self, raw: str) -> None:
+        if self._open.get("head") and self.tags[self._stack[-1]] == "head" and not raw.isspace() and raw:
+            # text begins the body too
+            self._close({"head"}, {"html"})
         if raw and not self.dropped[self._stack[-1]]:
             self._pieces.append((html.unescape(raw) if "&" in raw else raw, self._open.get("a", 0) > 0))
 
     def _push(self, tag: str, attributes: str) -> None:
         inside = self._stack[-1]
-        named = tag not in HOLDERS and bool(attributes) and _unlikely(attributes)
-        # inline boxes are too small to hold an article
-        drop = tag in DROPPED or named and tag not in BLOCKS or tag not in HOLDERS and bool(_HIDDEN.search(attributes))
+        named = drop = tag in DROPPED
+        if tag not in HOLDERS and attributes and not attributes.isspace():
+            found = attributes_of(attributes)
+            named, certain = _meant(tag, found, bool(self._open.get("article") or self._open.get("main")))
+            drop = drop or certain or _hidden(found)
         if tag == "header" and not (self._open.get("article") or self._open.get("main")):
             drop = True
         self.tags.append(tag)
@@ -151,6 +196,8 @@ class Page:
                 if tag in BLOCKS or not any(self.tags[n] in BLOCKS for n in self._stack[depth:]):
                     self._pop_to(depth)
                 continue
+            if self._open.get("head") and tag not in HEAD_PARTS and tag != "head":
+                self._close({"head"}, {"html"})
             if tag == "br":
                 self._text(" ")
             if tag in BLOCKS:
@@ -159,7 +206,7 @@ class Page:
                     self._close({"p"}, {"table", "td", "button"})
             if tag in CLOSES:
                 self._close(*CLOSES[tag])
-            if tag in VOID or attributes.endswith("/") and tag not in BLOCKS:
+            if tag in VOID or attributes.endswith("/") and (tag not in BLOCKS or tag in FOREIGN):
                 continue
             if tag in RAW:
                 end = re.compile("</" + re.escape(tag) + r"(?=[\s/>]|$)[^>]*>?", re.IGNORECASE).search(source, at)

@@ -19,10 +19,12 @@ from gleanframe.llm.rows import Sent, kept, map_steps, picked, text_bytes
 from gleanframe.operators.columns import ident
 
 ORDER = 3
-# texts per language that the trees are fitted on, chosen by a hash of the text (expected number)
-SAMPLE = 5_000
-# occurrences from which a context is kept, and languages that one model may tell apart
-CONTEXT_SEEN, MAX_LANGUAGES = 8, 64
+# distinct texts per language that the trees are fitted on, chosen by a hash of the text (expected
+# number), and of all languages together
+SAMPLE, SAMPLE_IN_ALL = 5_000, 320_000
+# occurrences from which a context is kept, and bytes of the table of costs; with many languages
+# a context must have been seen more often
+CONTEXT_SEEN, TABLE_BYTES = 8, 64 << 20
 _LETTER = r"\p{L}"
 
 
@@ -63,7 +65,7 @@ class Trees:
 class Costs:
     """Bits of every byte in every kept context under each language."""
 
-    def __init__(self, trees: Trees):
+    def __init__(self, trees: Trees, table_bytes: int = TABLE_BYTES):
         which, grams, counts = trees.counts
         languages = max(1, len(trees.languages))
         context = np.stack([grams >> np.uint32(8 * i) & np.uint32(255) for i in range(ORDER + 1)])
@@ -76,6 +78,10 @@ class Costs:
         weight[0] = 256 - len(present)
         seen = self.classes[context]
         self.size, self.rows = size, np.zeros(size ** ORDER, np.int32)
+        most = max(1, table_bytes // (4 * size * languages))
+        least = CONTEXT_SEEN
+        while self._contexts(seen, counts, least) > most and least < 1 << 40:
+            least *= 2
         # root: the context without bytes, its parent the uniform choice of a byte
         below = np.full((1, languages, size), 1 / 256)
         of_code = np.zeros(1, np.int64)  # row of each context of the order before
@@ -85,7 +91,7 @@ class Costs:
             for i in range(order, 0, -1):
                 code = code * size + seen[i]
             found, row = np.unique(code, return_inverse=True)
-            often = np.bincount(row, counts, len(found)) >= (CONTEXT_SEEN if order else 0)
+            often = np.bincount(row, counts, len(found)) >= (least if order else 0)
             if order == 0 and not len(found):
                 found, often = np.zeros(1, np.int64), np.ones(1, bool)
             kept_codes = found[often]
@@ -112,6 +118,14 @@ class Costs:
         bits = -np.log2(np.concatenate(tables))
         self.bits = np.ascontiguousarray(bits.transpose(0, 2, 1).reshape(-1, languages), np.float32)
 
+    def _contexts(self, seen: np.ndarray, counts: np.ndarray, least: int) -> int:
+        """Contexts of all orders that were seen so often."""
+        n, code = 1, np.zeros(seen.shape[1], np.int64)
+        for order in range(1, ORDER + 1):
+            code = code + seen[order] * self.size ** (order - 1)
+            n += int((np.bincount(np.unique(code, return_inverse=True)[1], counts) >= least).sum()) if len(code) else 0
+        return n
+
     def lengths(self, contents: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(bits of each text under each language, its number of coded bytes)."""
         data, starts = symbols(contents)
@@ -130,20 +144,25 @@ class Costs:
 def fit(
     df: DataFrame, *, text: str = "text", label: str = "lang", sample: int = SAMPLE,
 ) -> Trees:
-    """Trees of the rows with a text and a label; about ``sample`` texts a language, by a hash of the text."""
-    rows = df.select(ident(label).alias("label"), ident(text).alias("text")).dropna()
-    sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy("label").limit(MAX_LANGUAGES + 1).collect()}
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    languages = sorted(sizes)
-    share = F.create_map(*[F.lit(v) for k in languages for v in (k, min(1.0, sample / sizes[k]))]) if languages else F.lit(None)
-    chosen = rows.where(
-        F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.lit(1 << 30) * share[F.col("label")]
-    ) if languages else rows.limit(0)
+    """Trees of the rows with a text and a label, for any number of languages.
+
+    About ``sample`` distinct texts a language are drawn by a hash of the text, fewer where there
+    are more than 64 languages, so that SAMPLE_IN_ALL bounds them all.  Copies and repeated rows
+    count once.  Without any such row the trees know no language.
+    """
+    rows = df.select(ident(label).cast("string").alias("label"), ident(text).alias("text")).dropna()
+    sizes = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    languages = sorted(r["label"] for r in sizes.select("label").collect())
+    place = {label: i for i, label in enumerate(languages)}
+    wanted = min(sample, max(1, SAMPLE_IN_ALL // max(1, len(languages))))
+    # a few numbers per language
+    share = sizes.select(F.col("label").alias("__label"), F.least(F.lit(1.0), F.lit(wanted) / F.col("n")).alias("share"))
+    drawn = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.lit(1 << 30) * F.col("share")
+    chosen = rows.join(F.broadcast(share), F.col("label") == F.col("__label")).where(drawn).select("label", "text").distinct()
 
     def count(columns):
         which, grams, counts = [], [], []
-        labels = np.array([languages.index(x) for x in columns["label"].to_pylist()])
+        labels = np.array([place[x] for x in columns["label"].to_pylist()], int)
         contents = text_bytes(columns["text"])
         for i in np.unique(labels):
             found, n = np.unique(_grams(symbols([contents[j] for j in np.flatnonzero(labels == i)])[0]), return_counts=True)
@@ -177,7 +196,7 @@ def _judge(sent: Sent, names: list[str], contents: list[bytes]) -> tuple[list, n
 
 
 def predict(df: DataFrame, trees: Trees, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, lang_pred, score, bits_per_byte), one row per input row.
+    """(key, lang_pred, score, bits_per_byte), one row per input row, repeated rows included.
 
     The language with the shortest code wins, the first in order among equals; the score is its
     share of 2^-length over all languages.  A null text, one without a letter, and every text
@@ -197,6 +216,7 @@ def accepted(df: DataFrame, trees: Trees, *, text: str = "text") -> DataFrame:
     """The rows, with all columns, whose text is in a learned language.
 
     Rejected are ``und`` and what its best language codes in as many bits as plain bytes have.
+    Repeated rows are judged alike; an empty table stays one.
     """
     sent, names = Sent(df.sparkSession, trees), trees.languages
 
