@@ -34,18 +34,19 @@ IBAN_LENGTHS = {c[:2]: int(c[2:]) for c in (
 SHORTEST = {"card": 13, "iban": 15}
 
 # what starts a closer look at a text
-_HINT = re.compile(r"[0-9@=]")
+_HINT = re.compile(r"[0-9@=]|password:")
 _FIND = re.compile(
     r"""
-    (?P<email>(?<![\w.+%-])[A-Za-z0-9_.+%-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![\w]))
-    | (?P<iban>(?<!\w)[A-Z]{2}\d{2}(?:\ ?[A-Z0-9]){11,30}(?!\w))
-    | (?P<key>(?<!\w)AKIA[0-9A-Z]{16}(?!\w))
+    (?P<email>(?<![A-Za-z0-9_.+%-])[A-Za-z0-9_.+%-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![A-Za-z0-9_]))
+    | (?P<iban>(?<![A-Za-z0-9_])[A-Z]{2}[0-9]{2}(?:\ ?[A-Z0-9]){11,30}(?![A-Za-z0-9_]))
+    | (?P<key>(?<![A-Za-z0-9_])AKIA[0-9A-Z]{16}(?![A-Za-z0-9_]))
     | (?P<secret>(?<=password=|password:|passw0rd=)[^\s"']{6,}|(?<=token\ =\ ")[^\s"]{8,}(?=")|(?<=api_key=)[^\s"']{8,})
     | (?P<date>(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\d/-]|\.\d))
     | (?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))
     | (?P<ip>(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d))
     | (?P<phone>(?<![\d+])\+\d{1,3}[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)
-        | (?<![\d+(-])\(\d{3}\)[ ]?\d{3}[-. ]\d{4}(?!\d) | (?<![\d+.-])\d{3}[-.]\d{3}[-.]\d{4}(?![\d-]))
+        | (?<![\d+(-])\(\d{3}\)[ ]?\d{3}[-. ]\d{4}(?!\d) | (?<![\d+.-])\d{3}[-.]\d{3}[-.]\d{4}(?![\d-])
+        | (?<![\d+])\+\d(?:[ .-]?\(?\d\)?){7,14}(?!\d))
     | (?P<card>(?<![\d-])\d(?:[ -]?\d){12,18}(?!\d))
     """,
     re.VERBOSE,
@@ -175,7 +176,7 @@ class Pseudonyms:
         late = mark == "/" and swapped
         x = dt.date(year, month, day).toordinal() - _FIRST_DAY
         while True:
-            x = self._permute(f"date{mark}{late}", x, _LAST_DAY - _FIRST_DAY + 1)
+            x = self._permute("date", x, _LAST_DAY - _FIRST_DAY + 1)
             new = dt.date.fromordinal(_FIRST_DAY + x)
             if not late or new.day > 12:
                 break
@@ -202,11 +203,15 @@ class Pseudonyms:
         return ".".join(map(str, x.to_bytes(4)))
 
     def phone(self, text: str) -> str:
-        """Country code and layout stay; an area code keeps to the range of its first digit."""
-        at = [i for i, c in enumerate(text) if c.isdigit()][-10:]
+        """Country code and layout stay; an area code keeps to the range of its first digit.
+
+        Of a short international number two digits stay, of any other all but the last ten.
+        """
+        at = [i for i, c in enumerate(text) if c.isdigit()]
+        at = at[2:] if text[0] == "+" and len(at) < 11 else at[-10:]
         head, number = text[:at[0]], text[at[0]:]
         first = list("01") if number[0] in "01" else list("23456789")
-        return head + self._digits("phone" + re.sub(r"\D", "", head), number, [first] + [list("0123456789")] * 9)
+        return head + self._digits("phone" + re.sub(r"\D", "", head), number, [first] + [list("0123456789")] * (len(at) - 1))
 
     def card(self, text: str) -> str | None:
         """The first digit (the network) stays, the last is the check digit of the new number."""
@@ -255,6 +260,8 @@ def pseudonymise(
 ) -> DataFrame:
     """The rows with personal data in ``text`` replaced, and the spans of the replacements (code points).
 
+    Repeated rows change alike, and columns of any name pass through; an empty table stays one.
+
     Cards, IBANs, social security numbers, dates, IP addresses, telephone numbers, e-mail
     addresses and credentials keep their format and stay valid.  What does not validate stays.
     All other columns (or those of ``keep``) pass through; null text stays null and has no spans.
