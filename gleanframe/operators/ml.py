@@ -6,9 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import (
-    GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier,
-)
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import (
@@ -19,6 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import NumericType
 
 from gleanframe.functions.text import sql_double
+from gleanframe.operators import boosting
 from gleanframe.operators.columns import as_double, ident
 from gleanframe.operators.metrics import (
     calinski_harabasz, classification_metrics, distribution, regression_metrics,
@@ -165,20 +164,24 @@ def _regressor(kind: str, train: DataFrame):
     return GBTRegressor(labelCol="__label", maxIter=BOOSTS, stepSize=0.1, maxDepth=3, seed=SEED)
 
 
-def _classifier(kind: str, rows: int, classes: int):
+def _classifier(kind: str, rows: int):
     if kind == "logistic_regression":
         return LogisticRegression(
             labelCol="__label", maxIter=1000, regParam=1.0 / rows, elasticNetParam=0.0,
             standardization=False,
         )
     if kind == "gradient_boosting_classifier":
-        boosted = GBTClassifier(labelCol="__label", maxIter=BOOSTS, stepSize=0.1, maxDepth=3, seed=SEED)
-        return boosted if classes <= 2 else OneVsRest(classifier=boosted, labelCol="__label")
+        return GBTClassifier(labelCol="__label", maxIter=BOOSTS, stepSize=0.1, maxDepth=3, seed=SEED)
     return RandomForestClassifier(
         labelCol="__label", numTrees=TREES, maxDepth=DEPTH, seed=SEED, maxMemoryInMB=NODE_MEMORY_MB
     )
 
 
+def _falling(df: DataFrame, names: list[str], values: Sequence[float]) -> DataFrame:
+    rows = sorted(((n, round(float(v), 4)) for n, v in zip(names, values)), key=lambda r: (-r[1], r[0]))
+    return local_frame(df.sparkSession, rows, "feature string, importance double")
+
+
 def _importance(df: DataFrame, names: list[str], model) -> DataFrame | None:
     """(feature, importance) falling: tree importances, or the shares of |coefficient|."""
     if hasattr(model, "featureImportances"):
@@ -188,8 +191,7 @@ def _importance(df: DataFrame, names: list[str], model) -> DataFrame | None:
         values = [v / (sum(sizes) or 1.0) for v in sizes]
     else:
         return None
-    rows = sorted(((n, round(v, 4)) for n, v in zip(names, values)), key=lambda r: (-r[1], r[0]))
-    return local_frame(df.sparkSession, rows, "feature string, importance double")
+    return _falling(df, names, values)
 
 
 def train(
@@ -227,6 +229,7 @@ def train(
     trained_on = sizes.get(False, 0)
     prepared = fit_preprocessing(train_rows, names)
     classes: list[str] = []
+    boosted: boosting.Boosted | None = None
     if is_regression:
         labelled = prepared.transform(train_rows).withColumn("__label", F.col("__target"))
         estimator = _regressor(kind, labelled)
@@ -237,19 +240,29 @@ def train(
         ).fit(train_rows)
         classes = list(coder.labels)
         labelled = coder.transform(prepared.transform(train_rows))
-        estimator = _classifier(kind, trained_on, len(classes))
+        if kind == "gradient_boosting_classifier" and len(classes) > 2:
+            # trees cut the filled numbers where they would cut the scaled ones
+            cells = [f"__num{i}" for i in range(len(numeric))] + [f"__code{i}" for i in range(len(other))]
+            boosted = boosting.fit(labelled, cells, "__label", len(classes), rounds=BOOSTS)
+        else:
+            estimator = _classifier(kind, trained_on)
         tail = [IndexToString(inputCol="prediction", outputCol="__predicted", labels=classes)]
-    points = labelled.select("features", "__label").persist()
-    fitted = estimator.fit(points)
-    points.unpersist()
-    model = PipelineModel([*prepared.stages, fitted, *tail])
+    if boosted is not None:
+        model = PipelineModel([*prepared.stages, *boosted.stages(), *tail])
+        importance = _falling(df, ordered, boosted.importances)
+    else:
+        points = labelled.select("features", "__label").persist()
+        fitted = estimator.fit(points)
+        points.unpersist()
+        model = PipelineModel([*prepared.stages, fitted, *tail])
+        importance = _importance(df, ordered, fitted)
     scored = model.transform(test_rows)
     if is_regression:
         metrics = regression_metrics(scored, "__target", "prediction")
     else:
         metrics = classification_metrics(scored, "__target", "__predicted")
     metrics = metrics.withColumn("train_samples", F.lit(trained_on).cast("bigint"))
-    return Trained(kind, model, names, metrics, _importance(df, ordered, fitted), classes)
+    return Trained(kind, model, names, metrics, importance, classes)
 
 
 def cluster_count(rows: int) -> int:

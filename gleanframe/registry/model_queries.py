@@ -220,3 +220,10 @@ def ml_score(spark, folder):
     lines = _lines(spark, folder)
     model = ml.train(lines, "linear_regression", "charge", _LINE_FEATURES)
     return ml.score(model, lines.select("l_orderkey", "l_linenumber", *[c for c in _LINE_FEATURES if c != "l_tax"]))
+
+
+@query("ml_gbt_multi")
+def ml_gbt_multi(spark, folder):
+    """Four classes: the language of a document from its sizes and source."""
+    rows = _rated_documents(spark, folder)
+    return ml.train(rows, "gradient_boosting_classifier", "lang", ["n_chars", "source", "length", "words"], ["doc_id"]).metrics
