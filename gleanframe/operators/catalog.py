@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
 from gleanframe.operators.columns import ident
 from gleanframe.operators.lookup import attach
 from gleanframe.operators.ranks import positions
-from gleanframe.session import free, materialise
+from gleanframe.session import materialise
 
 
 def ownership_chain(levels: Sequence[tuple[DataFrame, str, str | None]]) -> DataFrame:
@@ -114,29 +115,34 @@ def version_lineage(versions: DataFrame, key: str, parent: str) -> DataFrame:
     """(key, root, depth): first ancestor of each version and the number of steps to it.
 
     Every round doubles the distance covered, so a chain of n versions takes log2(n)
-    rounds of one join; a table that needs more has a cycle and is refused.
+    rounds of one join; a table that needs more has a cycle and is refused.  A row that has
+    reached its root takes no part in later rounds, and an ancestor that many rows wait for is
+    spread over both sides of the join.
     """
+    def ahead(rows: DataFrame, value: str, known: DataFrame) -> DataFrame:
+        """``rows`` with the ancestor, if any, that ``known`` (id, …) has for ``value``."""
+        wanted = rows.where(ident(value).isNotNull()).groupBy(ident(value).alias("__wanted")).agg(F.count(F.lit(1)).alias("n"))
+        # both sides have one row per version
+        lookup = known.join(wanted, F.col("__id") == F.col("__wanted")).drop("__wanted")
+        return attach(rows, lookup.select(F.col("__id").alias(value), "n", F.col("__id").alias("__met"), *[c for c in known.columns if c != "__id"]), value)
+
     rows = versions.select(ident(key).alias("id"), ident(parent).alias("up"))
-    known = rows.select(F.col("id").alias("__known"))
-    jumps = rows.join(known, F.col("up") == F.col("__known"), "left").select(
-        "id", F.coalesce("__known", "id").alias("root"),
-        F.when(F.col("__known").isNotNull(), 1).otherwise(0).cast("bigint").alias("depth"),
+    first = ahead(rows, "up", rows.select(F.col("id").alias("__id"))).select(
+        "id", F.coalesce("__met", "id").alias("root"), F.col("__met").isNotNull().cast("bigint").alias("depth"),
+        F.col("__met").isNotNull().alias("moved"),
     )
-    written = jumps = materialise(jumps, "lineage")
-    for _ in range(jumps.count().bit_length() + 1):
-        ahead = jumps.select(
-            F.col("id").alias("__id"), F.col("root").alias("__root"), F.col("depth").alias("__depth")
-        )
+    written = [materialise(first, "lineage")]
+    # the last two rounds find nothing to move and nothing that waits
+    for _ in range(written[0].count().bit_length() + 2):
+        waiting = written[-1].where("moved").drop("moved")
+        if waiting.isEmpty():
+            return reduce(DataFrame.unionByName, [w.where("NOT moved") for w in written]).select(F.col("id").alias(key), "root", "depth")
         # only ancestors that are not roots themselves move a row further
-        step = jumps.join(ahead.where("__depth > 0"), F.col("root") == F.col("__id"), "left")
-        moved = step.select(
-            "id", F.coalesce("__root", "root").alias("root"),
-            (F.col("depth") + F.coalesce("__depth", F.lit(0))).alias("depth"),
-            F.col("__id").isNotNull().alias("moved"),
+        known = reduce(DataFrame.unionByName, [waiting, *[w.where("NOT moved").drop("moved") for w in written]]).where("depth > 0").select(
+            F.col("id").alias("__id"), F.col("root").alias("__root"), F.col("depth").alias("__depth")
         )
-        old, moved = written, materialise(moved, "lineage")
-        free(old)
-        written, jumps = moved, moved.drop("moved")
-        if moved.where("moved").isEmpty():
-            return jumps.select(F.col("id").alias(key), "root", "depth")
+        written.append(materialise(ahead(waiting, "root", known).select(
+            "id", F.coalesce("__root", "root").alias("root"), (F.col("depth") + F.coalesce("__depth", F.lit(0))).alias("depth"),
+            F.col("__met").isNotNull().alias("moved"),
+        ), "lineage"))
     raise ValueError("the parents of some versions form a cycle")

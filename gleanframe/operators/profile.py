@@ -7,14 +7,14 @@ from functools import reduce
 from math import isfinite
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import BooleanType, DateType, DoubleType, FloatType, IntegralType, StringType, TimestampType
 
 from gleanframe.functions.constants import HEALTH_MISSING_TEXTS
 from gleanframe.functions.stats import skewness_adjusted
 from gleanframe.functions.text import finite, sql_double
 from gleanframe.operators.clean import iqr_bounds, row_digest
 from gleanframe.operators.columns import (
-    CHUNK, aggregate_row, as_double, as_text, categorical_columns, fractional_columns, ident, long_aggregates, numbers,
+    CHUNK, aggregate_row, as_double, as_text, categorical_columns, ident, long_aggregates, numbers,
     numeric_columns, present, text_columns, unpivot_numbers, unpivot_text,
 )
 from gleanframe.operators.quantiles import exact_quantiles, quantile_frame, upper_medians
@@ -40,6 +40,26 @@ def null_profile(df: DataFrame) -> DataFrame:
     return out.withColumn("null_pct", percent(F.col("null_count"), F.col("total_count")))
 
 
+def _plain(df: DataFrame, name: str) -> tuple[Column, Column, Column]:
+    """A cell as a whole number, a fraction or a text, the other two null; different cells stay different.
+
+    Numbers and times keep their eight bytes; texts of 64 bytes or more become the 64 digits of their SHA-256.
+    """
+    c, t = present(df, name), df.schema[name].dataType
+    whole, real, text = (F.lit(None).cast(k) for k in ("bigint", "double", "string"))
+    if isinstance(t, (IntegralType, BooleanType)):
+        return c.cast("bigint"), real, text
+    if isinstance(t, DateType):
+        return F.unix_date(c).cast("bigint"), real, text
+    if isinstance(t, TimestampType):
+        return F.unix_micros(c), real, text
+    if isinstance(t, (FloatType, DoubleType)):
+        # adding zero makes one value of both zeros
+        return whole, c.cast("double") + F.lit(0.0), text
+    words = as_text(df, name)
+    return whole, real, F.when(F.octet_length(words) < 64, words).otherwise(F.sha2(words.cast("binary"), 256))
+
+
 def distinct_profile(df: DataFrame, approximate: bool = False) -> DataFrame:
     """(column, distinct_count) without nulls.
 
@@ -51,13 +71,18 @@ def distinct_profile(df: DataFrame, approximate: bool = False) -> DataFrame:
             "distinct_count": ("bigint", lambda c: F.approx_count_distinct(as_text(df, c), 0.02)),
         })
     none = local_frame(df.sparkSession, [(c,) for c in df.columns], "column string")
-    # adding zero makes one value of both zeros
-    same = df.select(*[
-        (ident(c) + F.lit(0.0)).cast(df.schema[c].dataType).alias(c) if c in fractional_columns(df) else ident(c) for c in df.columns
-    ])
+    cells = [
+        F.struct(F.lit(i).alias("c"), *[v.alias(n) for n, v in zip(("whole", "real", "text"), _plain(df, c))])
+        for i, c in enumerate(df.columns)
+    ]
+    filled = df.select(F.explode(F.array(*cells)).alias("x")).select("x.*").where(
+        "whole IS NOT NULL OR real IS NOT NULL OR text IS NOT NULL"
+    )
+    names = F.array(*[F.lit(c) for c in df.columns])
     counted = (
-        unpivot_text(same, df.columns).groupBy("column", "value").agg(F.lit(1).alias("one"))
-        .groupBy("column").agg(F.count("one").alias("distinct_count"))
+        filled.groupBy("c", "whole", "real", "text").agg(F.lit(1).alias("one"))
+        .groupBy("c").agg(F.count("one").alias("distinct_count"))
+        .select(names[F.col("c")].alias("column"), "distinct_count")
     )
     # both sides have one row per column
     return none.join(F.broadcast(counted), "column", "left").select(

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from gleanframe.operators import lookup, quantiles, ranks, relate, trend
+from gleanframe.operators import lookup, profile, quantiles, ranks, relate, trend
 
 
 def _interpolated(values, p):
@@ -144,3 +144,36 @@ def test_columns_with_infinite_cells_have_no_trend(spark):
     assert [r["column"] for r in top] == ["gaps", "up"] and all(r["r_squared"] == 1.0 for r in top)
     plan = trend.index_fit(df, ["k"], ["up", "endless", "gaps"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("rangepartitioning") == 1
+
+
+def test_lineage_with_one_hot_parent(spark, monkeypatch):
+    from gleanframe.operators import catalog, lookup
+
+    # a shuffled, salted lookup: one root with a third of all rows as children, a star on a non-root, a chain
+    rows = [(0, None)] + [(i, 0) for i in range(1, 120)] + [(i, 5) for i in range(120, 220)] + [(i, i - 1) for i in range(220, 300)] + [(999, 12345)]
+    df = spark.createDataFrame(rows, "v long, p long")
+    real = lookup.attach
+    monkeypatch.setattr(catalog, "attach", lambda *a, **k: real(*a, **{**k, "broadcast_rows": 0}))
+    parents, want = dict(rows), {}
+    for v in parents:
+        at, steps = v, 0
+        while parents[at] in parents:
+            at, steps = parents[at], steps + 1
+        want[v] = (at, steps)
+    assert {r["v"]: (r["root"], r["depth"]) for r in catalog.version_lineage(df, "v", "p").collect()} == want
+
+
+def test_distinct_counts_of_every_type(spark):
+    from decimal import Decimal
+    import datetime as dt
+
+    long = "x" * 70
+    rows = [
+        (1, 0.0, "a", long, True, dt.date(2020, 1, 1), dt.datetime(2020, 1, 1, 1), Decimal("1.10"), [1], 1.5),
+        (1, -0.0, "A", long + "y", False, dt.date(2020, 1, 2), dt.datetime(2020, 1, 1, 1), Decimal("1.1"), [1, 2], 1.5),
+        (None, float("nan"), "", long, None, None, None, None, None, None),
+        (2, 1e300, None, None, True, dt.date(2020, 1, 1), dt.datetime(2020, 1, 1, 2), Decimal("2"), [1], float("inf")),
+    ]
+    df = spark.createDataFrame(rows, "i int, d double, t string, l string, b boolean, day date, ts timestamp, dec decimal(9,2), arr array<int>, f float")
+    got = {r["column"]: r["distinct_count"] for r in profile.distinct_profile(df).collect()}
+    assert got == {"i": 2, "d": 2, "t": 3, "l": 2, "b": 2, "day": 2, "ts": 2, "dec": 2, "arr": 2, "f": 2}
