@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gleanframe.functions.constants import (
@@ -103,6 +105,47 @@ def storage_columns(size: Column) -> list[Column]:
     ]
 
 
+def usage_summary(
+    users: DataFrame, key: str, *, datasets: DataFrame, versions: DataFrame, projects: DataFrame, conversations: DataFrame,
+    messages: DataFrame, reports: DataFrame, now: Column,
+) -> DataFrame:
+    """One row per user: what they own and used, its share of each quota, and when quotas start anew.
+
+    Reads datasets (dataset_id, created_by, deleted_at), versions (dataset_id, byte_size), projects
+    (created_by, archived_at), conversations (conversation_id, created_by), messages (conversation_id,
+    role, content, token_usage) and reports (generated_by).  Deleted datasets with their versions and
+    archived projects do not count; a user without any of it has zeros.
+
+    Sizes and tokens are added up per dataset and conversation before they meet their owners, and all
+    measures then meet in one grouping by user, so an owner of a third of all rows is combined before it.
+    """
+    measures = ("datasets_uploaded", "projects_count", "reports_generated", "storage_bytes", "ai_tokens")
+
+    def facts(rows: DataFrame, owner: str, **given) -> DataFrame:
+        cells = [given.get(m, F.lit(0)).cast("bigint").alias(m) for m in measures]
+        return rows.where(ident(owner).isNotNull()).select(ident(owner).alias("__owner"), *cells)
+
+    one = F.lit(1)
+    live = datasets.where("deleted_at IS NULL").select(F.col("dataset_id").alias("__dataset"), "created_by")
+    sizes = versions.groupBy("dataset_id").agg(F.sum(F.col("byte_size").cast("bigint")).alias("__size"))
+    spent = token_usage(messages, "conversation_id", text="content", usage="token_usage").select(
+        F.col("conversation_id").alias("__conversation"), "tokens"
+    )
+    sources = [
+        facts(live, "created_by", datasets_uploaded=one),
+        facts(live.join(sizes, F.col("__dataset") == F.col("dataset_id")), "created_by", storage_bytes=F.col("__size")),
+        facts(projects.where("archived_at IS NULL"), "created_by", projects_count=one),
+        facts(conversations.join(spent, F.col("conversation_id") == F.col("__conversation")), "created_by", ai_tokens=F.col("tokens")),
+        facts(reports, "generated_by", reports_generated=one),
+    ]
+    used = reduce(DataFrame.unionByName, sources).groupBy("__owner").agg(*[F.sum(m).alias(m) for m in measures])
+    owned = users.select(ident(key)).join(used, ident(key) == F.col("__owner"), "left").select(
+        ident(key), *[F.coalesce(m, F.lit(0)).alias(m) for m in measures]
+    )
+    rated = quota_status(owned, "ai_tokens", "storage_bytes", "reports_generated", "datasets_uploaded")
+    return rated.select("*", *storage_columns(F.col("storage_bytes")), next_reset(now).alias("resets_at"))
+
+
 def conversation_list(
     messages: DataFrame, key: str = "conv_id", turn: str = "turn", role: str = "role",
     text: str = "text", limit: int | None = 50,

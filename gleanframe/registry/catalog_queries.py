@@ -203,6 +203,38 @@ def quota_status(spark, folder):
     return usage.quota_status(used, "tokens", "bytes", "reports", "datasets")
 
 
+@query("usage_summary", f"""
+WITH live AS (SELECT * FROM orders WHERE o_orderstatus <> 'P'),
+spoken AS (SELECT conv_id, sum(CASE WHEN length(text) > 0 THEN greatest(100, CAST(floor(
+    CASE WHEN bare = '' THEN 0 ELSE len(regexp_split_to_array(bare, '[{WHITE_SPACE}]+')) END * CAST(1.4 AS DOUBLE)) AS BIGINT)) ELSE 0 END) AS tokens
+  FROM (SELECT *, trim(text, '{WHITE_SPACE}') AS bare FROM conversations WHERE role = 'assistant') GROUP BY conv_id),
+used AS (SELECT c_custkey,
+  (SELECT count(*) FROM live WHERE o_custkey = c_custkey) AS datasets_uploaded,
+  (SELECT count(*) FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT' AND o_orderstatus <> 'F') AS projects_count,
+  (SELECT count(*) FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '5-LOW') AS reports_generated,
+  CAST(coalesce((SELECT sum(CAST(l_quantity AS BIGINT) * 1048576) FROM lineitem JOIN live ON l_orderkey = o_orderkey WHERE o_custkey = c_custkey), 0) AS BIGINT) AS storage_bytes,
+  CAST(coalesce((SELECT sum(tokens) FROM spoken WHERE conv_id % 50 = c_custkey), 0) AS BIGINT) AS ai_tokens FROM customer)
+SELECT *, least(100.0, round(ai_tokens * 100.0 / 200000, 1)) AS tokens_pct, least(100.0, round((storage_bytes / 1073741824.0) * 100.0 / 2, 1)) AS storage_pct,
+  least(100.0, round(reports_generated * 100.0 / 50, 1)) AS reports_pct, least(100.0, round(datasets_uploaded * 100.0 / 100, 1)) AS datasets_pct,
+  round(storage_bytes / 1048576.0, 2) AS storage_mb, round(storage_bytes / 1073741824.0, 4) AS storage_gb, TIMESTAMP '2024-05-19 23:59:59' AS resets_at FROM used""")
+def usage_summary(spark, folder):
+    """Orders as datasets, urgent ones as projects and low ones as reports, line items as versions."""
+    orders, talks = table(spark, folder, "orders"), table(spark, folder, "conversations")
+    day, none, status = F.col("o_orderdate"), F.lit(None).cast("string"), F.col("o_orderstatus")
+    owner = F.col("o_custkey").alias("created_by")
+    return usage.usage_summary(
+        table(spark, folder, "customer"), "c_custkey", now=F.lit("2024-05-15 10:00:00").cast("timestamp_ntz"),
+        datasets=orders.select(F.col("o_orderkey").alias("dataset_id"), owner, F.when(status == "P", day).alias("deleted_at")),
+        versions=table(spark, folder, "lineitem").select(
+            F.col("l_orderkey").alias("dataset_id"), (F.col("l_quantity").cast("bigint") * 1048576).alias("byte_size")
+        ),
+        projects=orders.where("o_orderpriority = '1-URGENT'").select(owner, F.when(status == "F", day).alias("archived_at")),
+        conversations=talks.select(F.col("conv_id").alias("conversation_id"), (F.col("conv_id") % 50).alias("created_by")).distinct(),
+        messages=talks.select(F.col("conv_id").alias("conversation_id"), "role", F.col("text").alias("content"), none.alias("token_usage")),
+        reports=orders.where("o_orderpriority = '5-LOW'").select(F.col("o_custkey").alias("generated_by")),
+    )
+
+
 @query("conversation_list", """
 SELECT conv_id, (SELECT text FROM conversations u WHERE u.conv_id = c.conv_id AND role = 'user' ORDER BY turn LIMIT 1) AS first_user_message,
   substring((SELECT text FROM conversations u WHERE u.conv_id = c.conv_id ORDER BY turn DESC LIMIT 1), 1, 90) AS last_message_preview,

@@ -308,3 +308,24 @@ def test_histogram_of_a_constant(spark):
     rows = profile.histogram(spark.createDataFrame([(2.0,), (2.0,)], "v double"), bins=4).collect()
     assert sum(r["count"] for r in rows) == 2 and len(rows) == 4
     assert not any(math.isnan(r["low"]) for r in rows)
+
+
+def test_usage_of_each_user(spark):
+    users = spark.createDataFrame([(1,), (2,), (3,)], "user long")
+    rows = lambda data, schema: spark.createDataFrame(data, schema)
+    got = usage.usage_summary(
+        users, "user", now=F.lit("2024-05-15 10:00:00").cast("timestamp_ntz"),
+        datasets=rows([(10, 1, None), (11, 1, "2024-01-01"), (12, 2, None), (13, None, None)], "dataset_id long, created_by long, deleted_at string"),
+        versions=rows([(10, 1 << 30), (10, 1 << 29), (11, 7), (13, 5), (99, 5), (12, None)], "dataset_id long, byte_size long"),
+        projects=rows([(1, None), (1, "2024-01-01")], "created_by long, archived_at string"),
+        conversations=rows([(7, 1), (8, 2)], "conversation_id long, created_by long"),
+        messages=rows([
+            (7, "assistant", "x", '{"total_tokens": 500}'), (7, "user", "x", '{"total_tokens": 900}'), (7, "assistant", "a b", None),
+            (8, "assistant", None, None), (9, "assistant", "x", None),
+        ], "conversation_id long, role string, content string, token_usage string"),
+        reports=rows([(1,), (1,), (None,)], "generated_by long"),
+    )
+    fields = ("datasets_uploaded", "projects_count", "reports_generated", "storage_bytes", "ai_tokens", "storage_gb", "storage_pct")
+    assert {r["user"]: tuple(r[f] for f in fields) for r in got.collect()} == {
+        1: (1, 1, 2, 3 << 29, 600, 1.5, 75.0), 2: (1, 0, 0, 0, 0, 0.0, 0.0), 3: (0, 0, 0, 0, 0, 0.0, 0.0),
+    }
