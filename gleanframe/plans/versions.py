@@ -13,6 +13,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gleanframe.operators.catalog import latest_per_key
+from gleanframe.operators.schema import column_catalog
 from gleanframe.plans.rules import Rule, apply_rules
 from gleanframe.sources.sinks import table_fingerprint
 from gleanframe.sources.tables import load_table
@@ -23,6 +24,8 @@ CATALOG = (
     "checksum string, parent_version bigint, deleted boolean, byte_size bigint, created_at timestamp, columns string"
 )
 
+COLUMNS = "path string, `column` string, ordinal bigint, inferred_type string, is_pii boolean, storage_type string"
+
 
 def _now() -> datetime:
     return datetime.now(timezone.utc)
@@ -69,13 +72,16 @@ class Store:
     def catalog_path(self) -> str:
         return f"{self.root}/catalog"
 
-    def _log(self) -> DataFrame:
+    def _entries(self, folder: str, schema: str) -> DataFrame:
         try:
-            return self.spark.read.schema(CATALOG).option("recursiveFileLookup", True).parquet(self.catalog_path)
+            return self.spark.read.schema(schema).option("recursiveFileLookup", True).parquet(folder)
         except AnalysisException as e:
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return local_frame(self.spark, [], CATALOG)
+            return local_frame(self.spark, [], schema)
+
+    def _log(self) -> DataFrame:
+        return self._entries(self.catalog_path, CATALOG)
 
     def catalog(self) -> DataFrame:
         """Live versions; one whose parent is gone has none."""
@@ -97,6 +103,15 @@ class Store:
         """Newest first."""
         return self.catalog().where(F.col("dataset_id") == dataset_id).orderBy(F.desc("version_number"))
 
+    def columns(self, dataset_id: str) -> DataFrame:
+        """(version_number, column, ordinal, inferred_type, is_pii, storage_type) of every live version.
+
+        Types and marks are decided on all cells when a version is written; a version that was rolled
+        back to has those of its files.
+        """
+        live = self.catalog().where(F.col("dataset_id") == dataset_id).select("version_number", "path")
+        return live.join(self._entries(f"{self.root}/columns", COLUMNS), "path").drop("path")
+
     def latest(self) -> DataFrame:
         return latest_per_key(self.catalog(), "dataset_id", "version_number", ["stage", "path", "row_count"])
 
@@ -119,8 +134,15 @@ class Store:
         # a path of this attempt alone: one that fails leaves nothing in the way of the next
         path = f"{self.root}/dataset_id={dataset_id}/stage={stage}/{uuid.uuid4().hex}"
         df.write.parquet(path)
-        # counted on the written files, so the input is not computed again
-        seal = table_fingerprint(self.spark.read.parquet(path)).first()
+        # counted and typed on the written files, so the input is not computed again
+        written = self.spark.read.parquet(path)
+        seal = table_fingerprint(written).first()
+        kinds = local_frame(self.spark, [(f.name, f.dataType.simpleString()) for f in df.schema.fields], "`column` string, storage_type string")
+        # both sides have one row per column
+        described = column_catalog(written).join(F.broadcast(kinds), "column").select(
+            F.lit(path).alias("path"), "column", "ordinal", "inferred_type", "is_pii", "storage_type"
+        )
+        described.coalesce(1).write.parquet(f"{self.root}/columns/{uuid.uuid4().hex}")
         files = self.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path)
         size = files.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
         shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)

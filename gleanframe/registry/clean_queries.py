@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from gleanframe.operators import clean, scale, schema
 from gleanframe.plans import rules
+from gleanframe.plans.versions import Store
 from gleanframe.registry.base import query, table
 from gleanframe.registry.fixtures import (
     DIRTY_COLUMNS, DIRTY_CUSTOMER, TYPED_ORDERS, dirty_customer, typed_orders,
 )
+from gleanframe.session import scratch_path
 
 # the rules' own words, written out once more so that a wrong one in the library shows
 # fixed values: cell texts a CSV reader takes for missing; the empty text is no cell here
@@ -370,6 +372,17 @@ def column_catalog(spark, folder):
     return schema.column_catalog(typed_orders(spark, folder))
 
 
+@query("version_columns", f"WITH {TYPED_ORDERS} " + "\nUNION ALL\n".join(
+    f"SELECT CAST(v AS BIGINT) AS version_number, '{c}' AS \"column\", CAST({i + 1} AS BIGINT) AS ordinal, {_type_case(c)} AS inferred_type, {_pii_case(c)} AS is_pii FROM range(1, 3) AS t(v)"
+    for i, c in enumerate(_TYPED)))
+def version_columns(spark, folder):
+    """Schema rows of a version and of its unchanged child."""
+    store = Store(spark, scratch_path(spark, "store"))
+    first = store.append(typed_orders(spark, folder), "orders", "raw")
+    store.append(store.load("orders", first), "orders", "cleaned", first)
+    return store.columns("orders").drop("storage_type")
+
+
 def _late_sql(c):
     rate = ", ".join(
         f"count(*) FILTER (s <> '' AND regexp_matches(s, '{p}')) * 1.0 / count(*) FILTER (s <> '')" for p in PII_PATTERNS.values())

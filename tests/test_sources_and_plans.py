@@ -67,6 +67,21 @@ def test_fingerprint_ignores_order_and_counts_copies(spark):
     assert sinks.table_fingerprint(df.limit(0)).first()["rows"] == 0
 
 
+def test_store_keeps_the_columns_of_versions(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    assert store.columns("d").count() == 0
+    raw = spark.createDataFrame([(1, "a@b.com", None), (2, "c@d.org", 0.5)], "id long, contact string, part double")
+    store.append(raw, "d", "raw")
+    store.append(raw.select("part", "id").limit(0), "d", "empty", 1)
+    store.roll_back("d", 1)
+    store.append(raw, "other", "raw")
+    got = {(r["version_number"], r["ordinal"]): (r["column"], r["storage_type"], r["is_pii"]) for r in store.columns("d").collect()}
+    whole = [("id", "bigint", False), ("contact", "string", True), ("part", "double", False)]
+    assert got == {
+        **{(v, i + 1): c for v in (1, 3) for i, c in enumerate(whole)}, (2, 1): ("part", "double", False), (2, 2): ("id", "bigint", False),
+    }
+
+
 def test_store_keeps_versions(spark, tmp_path):
     store = Store(spark, str(tmp_path / "store"))
     raw = spark.createDataFrame([(" a ", 1.0), ("b", None), ("b", None), (None, None)], "s string, v double")
