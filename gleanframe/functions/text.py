@@ -15,9 +15,13 @@ INTEGER = r"^[+-]?\d+$"
 
 EMAIL_IN_TEXT = r"[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9-.]+"
 PHONE_IN_TEXT = r"\+?\(?\d{3}\)?[ -]\d{3}[ -]\d{4}"
-SSN_IN_TEXT = r"\b\d{3}-\d{2}-\d{4}\b"
-CARD_IN_TEXT = r"\b\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}\b"
-ADDRESS_IN_TEXT = r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b"
+# borders between word characters of ASCII; what \b takes for a letter differs between Java versions
+_START, _END = r"(?<![0-9A-Za-z_])", r"(?![0-9A-Za-z_])"
+SSN_IN_TEXT = rf"{_START}\d{{3}}-\d{{2}}-\d{{4}}{_END}"
+CARD_IN_TEXT = rf"{_START}\d{{4}}[ -]?\d{{4}}[ -]?\d{{4}}[ -]?\d{{4}}{_END}"
+ADDRESS_IN_TEXT = rf"{_START}\d{{1,3}}\.\d{{1,3}}\.\d{{1,3}}\.\d{{1,3}}{_END}"
+# every pattern with digits needs one of these: three in a row, or a dot between two
+_DIGITS = r"[0-9]{3}|[0-9]\.[0-9]"
 
 
 def strip(c: Column) -> Column:
@@ -80,7 +84,7 @@ def redact(c: Column) -> Column:
     bare = unaddressed
     for pattern in (CARD_IN_TEXT, SSN_IN_TEXT, ADDRESS_IN_TEXT, PHONE_IN_TEXT):
         bare = F.regexp_replace(bare, pattern, MASK)
-    return F.when(c.rlike("[0-9]{3}"), bare).otherwise(unaddressed)
+    return F.when(c.rlike(_DIGITS), bare).otherwise(unaddressed)
 
 
 def contains_any(c: Column, words: Iterable[str]) -> Column:

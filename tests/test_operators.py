@@ -22,6 +22,18 @@ def test_number_texts(spark):
     assert got == cases
 
 
+def test_redacted_texts(spark):
+    m = text.MASK
+    cases = {
+        "at 10.20.30.40 now": f"at {m} now", "1.2.3.4": m, "a@b.c 1.2.3.4": f"{m} {m}", "12.34.56.78.90": f"{m}.90",
+        "é1234567812345678": f"é{m}", "1234567812345678é": f"{m}é", "ü123-45-6789.": f"ü{m}.", "é10.20.30.40ñ": f"é{m}ñ",
+        "x10.20.30.40": "x10.20.30.40", "_123-45-6789": "_123-45-6789", "10.20.30": "10.20.30", "": "", None: None,
+    }
+    df = spark.createDataFrame([(c,) for c in cases], "s string")
+    got = {r["s"]: r["got"] for r in df.select("s", text.redact(F.col("s")).alias("got")).collect()}
+    assert got == cases
+
+
 def test_amount_and_integer_texts(spark):
     amounts = {"$1,234": 1234.0, "45%": 45.0, "€ 7.5": 7.5, "£-3": -3.0, "$$1": None}
     df = spark.createDataFrame([(c,) for c in amounts], "s string")
