@@ -27,6 +27,8 @@ TOP_PAIRS = 15
 WIDE = 40
 # rows of partial sums that one group adds up
 MERGED = 32
+# rows of equal values that a task holds at a time
+RUN_ROWS = 1 << 17
 
 
 def _pair_frame(df: DataFrame, pairs: Sequence[tuple[str, str]], exprs: Sequence[Column]) -> DataFrame:
@@ -158,33 +160,58 @@ _RANKED = "row bigint, key int, slice int, lo bigint, len bigint, edge double"
 def _local_ranks(batches):
     """Sorted cells (key, value, row) of one slice: where the run of a cell's value starts within its key, and its length.
 
-    Runs that touch a border of the slice's share of a key carry their value, as they may go on beyond it.
+    Runs that touch a border of the slice's share of a key carry their value, as they may go on beyond it.  A run
+    of more than ``RUN_ROWS`` comes in pieces that carry it too, so that a task holds no more than that and a batch.
     """
-    part, batches = TaskContext.get().partitionId(), list(batches)
-    if not batches:
-        return
-    key, value, row = (np.concatenate([b.column(i).to_numpy() for b in batches]) for i in range(3))
-    del batches
-    starts, ends = (np.array(x) for x in zip(*_runs(key, value)))
-    of = np.repeat(np.arange(len(starts)), ends - starts)
-    first, last = (np.array(x) for x in zip(*_runs(key)))
-    share = np.searchsorted(first, starts, "right") - 1
-    edge = (starts == first[share]) | (ends == last[share])
-    for a in range(0, len(row), 1 << 16):
-        some = of[a:a + (1 << 16)]
-        yield pa.RecordBatch.from_arrays([
-            pa.array(row[a:a + (1 << 16)]), pa.array(key[a:a + (1 << 16)], pa.int32()), pa.array(np.full(len(some), part), pa.int32()),
-            pa.array((starts - first[share])[some]), pa.array((ends - starts)[some]),
-            pa.array(value[starts][some], mask=~edge[some]),
-        ], names=["row", "key", "slice", "lo", "len", "edge"])
+    part = TaskContext.get().partitionId()
+    held = [np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)]
+    # the key of the last row given out, the rows of its share so far, and the value if its run is cut
+    at, done, cut = None, 0, None
+
+    def ranked(key, value, row, last):
+        """Rows of whole runs, the last of which ends its share or its piece if ``last``."""
+        nonlocal at, done, cut
+        starts, ends = (np.array(x) for x in zip(*_runs(key, value)))
+        first, after = (np.array(x) for x in zip(*_runs(key)))
+        share = np.searchsorted(first, starts, "right") - 1
+        base = np.where((share == 0) & (key[0] == at), done, 0)
+        lo = base + starts - first[share]
+        # a share ends where the next row has another key
+        edge = (lo == 0) | ((ends == after[share]) & (last | (share < len(first) - 1)))
+        edge[0] |= cut is not None and (key[0], value[0]) == cut
+        of = np.repeat(np.arange(len(starts)), ends - starts)
+        at, done = key[-1], int(lo[-1] + ends[-1] - starts[-1])
+        for a in range(0, len(row), 1 << 16):
+            some = of[a:a + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([
+                pa.array(row[a:a + (1 << 16)]), pa.array(key[a:a + (1 << 16)], pa.int32()), pa.array(np.full(len(some), part), pa.int32()),
+                pa.array(lo[some]), pa.array((ends - starts)[some]), pa.array(value[starts][some], mask=~edge[some]),
+            ], names=["row", "key", "slice", "lo", "len", "edge"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held = [np.concatenate([h, batch.column(i).to_numpy()]) for i, h in enumerate(held)]
+        key, value, row = held
+        # the last run may go on in the next batch
+        start = _runs(key, value)[-1][0]
+        if start:
+            yield from ranked(key[:start], value[:start], row[:start], key[start] != key[start - 1])
+            cut = None
+        held = [h[start:] for h in held]
+        if len(held[0]) > RUN_ROWS:
+            yield from ranked(*held, True)
+            cut, held = (held[0][0], held[1][0]), [h[:0] for h in held]
+    if len(held[0]):
+        yield from ranked(*held, True)
 
 
 def average_ranks(cells: DataFrame) -> DataFrame:
     """(row, key, rank) of (key, value, row): 1-based average ranks of the values of every key.
 
     All keys go through one range sort, which splits a value with any share of the rows.  A task
-    ranks its own range; what lies before it, and runs that cross a border, are told by at most two
-    rows per range and key.
+    ranks its own range batch by batch; what lies before it, and runs that cross a border, are told
+    by at most two rows per range and key and one per ``RUN_ROWS`` of a long run.
     """
     order = ["key", "value", "row"]
     runs = materialise(

@@ -94,6 +94,43 @@ def test_a_hot_value_is_ranked_over_many_slices(spark):
     assert all(ranks[i] == place.index(v) + (place.count(v) + 1) / 2 for i, v in list(enumerate(values))[::41])
 
 
+def test_ranks_come_batch_by_batch(monkeypatch):
+    import pyarrow as pa
+    monkeypatch.setattr(relate, "RUN_ROWS", 50)
+    monkeypatch.setattr(relate, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("C", (), {"partitionId": lambda self: 0})())}))
+    cells = sorted((k, float(v), k * 10_000 + i) for k in range(3) for i, v in enumerate([*range(300), *[77] * 600, *[300] * 45, *[5] * 50, *[6] * 51]))
+    taken = []
+
+    def batches():
+        for a in range(0, len(cells), 17):
+            taken.append(a)
+            part = list(zip(*cells[a:a + 17]))
+            yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.int32()), pa.array(part[1]), pa.array(part[2])], names=["key", "value", "row"])
+
+    behind, out = 0, []
+    for got in relate._local_ranks(batches()):
+        out += got.to_pylist()
+        behind = max(behind, 17 * len(taken) - len(out))
+    assert behind <= 50 + 3 * 17 and [r["row"] for r in out] == [c[2] for c in cells]
+    runs = {}
+    for r, (k, v, _) in zip(out, cells):
+        runs.setdefault((k, v), {})[r["lo"]] = (r["len"], r["edge"])
+    for (k, v), pieces in runs.items():
+        values = [c[1] for c in cells if c[0] == k]
+        assert min(pieces) == sum(x < v for x in values) and sum(n for n, _ in pieces.values()) == values.count(v)
+        assert len(pieces) == 1 or all(edge == v for _, edge in pieces.values())
+
+
+def test_ranks_of_runs_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(relate, "RUN_ROWS", 100)
+    cells = spark.range(4000).selectExpr("CAST(id % 2 AS INT) AS key", "CAST(IF(id % 3 = 0, 7, id) AS DOUBLE) AS value", "id AS row")
+    ranks = {r["row"]: r["rank"] for r in relate.average_ranks(cells).collect()}
+    for key in (0, 1):
+        values = [7 if i % 3 == 0 else i for i in range(key, 4000, 2)]
+        place = sorted(values)
+        assert all(ranks[i] == place.index(v) + (place.count(v) + 1) / 2 for i, v in list(zip(range(key, 4000, 2), values))[::41])
+
+
 def test_wide_spearman_and_bounded_groups(spark, monkeypatch):
     monkeypatch.setattr(relate, "MERGED", 2)
     monkeypatch.setattr(relate, "WIDE", 3)
