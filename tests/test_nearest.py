@@ -1,6 +1,9 @@
 """Nearest neighbours against brute force, with crowded cells, ties, gaps and odd sizes."""
 
+import tracemalloc
+
 import numpy as np
+import pandas as pd
 import pytest
 
 from gleanframe.operators import nearest as near
@@ -96,3 +99,43 @@ def test_imputation(spark):
     none = df.where("k = 5")
     assert near.impute_knn(none, "v", ["a"], "k").collect()[0]["v"] is None
     assert near.impute_knn(df.limit(0), "v", ["a"], "k").columns == df.columns
+
+
+class Captured:
+    """Stands for a DataFrame and gives back the function that its tasks would run."""
+
+    def mapInPandas(self, fn, schema):
+        return fn
+
+
+@pytest.mark.parametrize("width", [2, 64])
+def test_workers_hold_some_megabytes_with_the_most_pivots(width):
+    draw = np.random.default_rng(3)
+    pivots = draw.random((near.MOST_PIVOTS, width))
+    batch = pd.DataFrame({"id": range(4000), "vector": list(draw.random((4000, width)))})
+    cells = near.Cells(pivots, np.full(len(pivots), 100), np.zeros(len(pivots)), np.full(len(pivots), 9.0))
+    asked = batch.rename(columns={"id": "query_id"}).assign(bound=100.0).iloc[:600]
+    row = pd.DataFrame({"id": range(4096), "vector": [np.ones(width)] * 4096})
+
+    def peak(run):
+        tracemalloc.start()
+        got = run()
+        most = tracemalloc.get_traced_memory()[1] / 1e6
+        tracemalloc.stop()
+        return got, most
+
+    placed, most = peak(lambda: pd.concat(near._place(Captured(), pivots)(iter([batch]))))
+    assert most < 150 and len(placed) == 4000 and placed["id"].tolist() == list(range(4000))
+    away = near._distances(np.stack(batch["vector"].to_numpy()), pivots)
+    # a batch of another length may change the last bits of a distance, never by more than this
+    assert np.abs(placed["reach"].to_numpy() - away.min(1)).max() < 1e-6
+    del away
+
+    def visits():
+        return sum(near._at_once(width) >= len(f) and len(f) for f in near._visits(Captured(), cells, 5, False)(iter([asked])))
+
+    seen, most = peak(visits)
+    assert most < 150 and seen == 600 * (len(pivots) - 1)
+    # all rows tie for all queries
+    best, most = peak(lambda: near._best(row.rename(columns={"id": "query_id"}).iloc[:2000], row, 5, True))
+    assert most < 300 and len(best) == 10_000
