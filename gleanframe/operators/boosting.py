@@ -1,6 +1,7 @@
 """Gradient boosting for any number of classes: softmax loss, one regression tree per class and round.
 
-Features are cut into bins once.  A level of the trees of all classes costs one scan: every task adds up its
+Features are cut into bins once, and rows equal in all bins and the label become one with their number: all trees
+treat them alike, so a scan costs what the bins tell apart, not what the table holds.  A level of the trees of all classes costs one scan: every task adds up its
 rows' gradients per (class, node, feature, bin), the sums meet in one grouping, and the driver sees one small
 histogram, whose size depends on the model alone.
 """
@@ -143,15 +144,15 @@ def _histogram(
             odds = _scores(batch, bins, pending, rate, depth)
             odds = np.exp(odds - odds.max(1, keepdims=True))
             odds /= odds.sum(1, keepdims=True)
-            labels = batch["label"].to_numpy()
+            labels, rows_of = batch["label"].to_numpy(), batch["n"].to_numpy(np.float64)
             for at, (k, tree) in enumerate(growing.items()):
                 gradient = (labels == k) - odds[:, k]
                 weight = np.abs(gradient) * (1.0 - np.abs(gradient))
                 node = _route(bins, tree, level) - wide
                 here = node >= 0
                 slot = ((node[here, None] * features + np.arange(features)[None, :]) * BINS + bins[here]).ravel()
-                for j, w in enumerate((np.ones(here.sum()), gradient[here], weight[here])):
-                    total[at, j] += np.bincount(slot, np.repeat(w, features), total.shape[2])
+                for j, w in enumerate((rows_of, rows_of * gradient, rows_of * weight)):
+                    total[at, j] += np.bincount(slot, np.repeat(w[here], features), total.shape[2])
         at, slot = np.nonzero(total[:, 0])
         yield pd.DataFrame({
             "at": at.astype(np.int32), "slot": slot.astype(np.int32), "n": total[at, 0, slot], "g": total[at, 1, slot], "w": total[at, 2, slot],
@@ -214,13 +215,12 @@ def fit(
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             bins = [np.searchsorted(np.array(e), batch[f"x{i}"].to_numpy(np.float64), side="left") for i, e in enumerate(edges)]
-            yield pd.DataFrame({
-                "label": batch["label"], "bins": list(np.stack(bins, 1).astype(np.int8)), "scores": list(np.tile(priors, (len(batch), 1))),
-            })
+            yield pd.DataFrame({"label": batch["label"], "bins": list(np.stack(bins, 1).astype(np.int8))})
 
-    state = "label int, bins array<tinyint>, scores array<double>"
+    state = "label int, bins array<tinyint>, n bigint, scores array<double>"
     plain = df.select(ident(label).cast("int").alias("label"), *[ident(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)])
-    rows = materialise(plain.mapInPandas(place, state), "boosting")
+    alike = plain.mapInPandas(place, "label int, bins array<tinyint>").groupBy("label", "bins").agg(F.count(F.lit(1)).alias("n"))
+    rows = materialise(alike.withColumn("scores", F.array(*[F.lit(p) for p in priors])), "boosting")
     model = Boosted(columns, edges, priors, rate, [])
     pending: list[list[Tree]] = []
     size = 2 << depth

@@ -96,3 +96,22 @@ def test_trained_model_keeps(flowers, monkeypatch, tmp_path):
     ml.save(got, str(tmp_path / "model"))
     again = ml.load(str(tmp_path / "model")).transform(df).orderBy("id").select("__predicted").collect()
     assert again == got.model.transform(df).orderBy("id").select("__predicted").collect()
+
+
+def test_scans_read_what_the_bins_tell_apart(flowers, monkeypatch):
+    df, _, _ = flowers
+    copies = df.crossJoin(df.sparkSession.range(20).select(F.col("id").alias("copy")))
+    seen, write = [], boosting.materialise
+
+    def counted(rows, label):
+        out = write(rows, label)
+        seen.append((out.count(), out.agg(F.sum("n")).first()[0]))
+        return out
+
+    monkeypatch.setattr(boosting, "materialise", counted)
+    once = boosting.fit(df, ["a", "b", "c"], "y", 4, rounds=2)
+    many = boosting.fit(copies, ["a", "b", "c"], "y", 4, rounds=2)
+    assert seen == [(df.select("a", "b", "c", "y").distinct().count(), 160), (seen[0][0], 3200)]
+    for a, b in zip(once.rounds, many.rounds):
+        for s, t in zip(a, b):
+            assert (s.feature == t.feature).all() and (s.cut == t.cut).all() and s.value == pytest.approx(t.value)
