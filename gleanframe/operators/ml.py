@@ -32,6 +32,8 @@ MIN_ROWS = 8
 TREES, DEPTH, BOOSTS = 100, 12, 100
 # statistics of one group of tree nodes; more memory means fewer passes over the rows
 NODE_MEMORY_MB = 1024
+# cells of one partition of the training rows
+PARTITION_CELLS = 4_000_000
 # labels of an ordinal code travel to every task; wider columns go through encode_label first
 MOST_LABELS = 100_000
 
@@ -140,10 +142,23 @@ def split_rows(df: DataFrame, key: Sequence[str], folds: int = 5) -> tuple[DataF
     return df.where(~tested), df.where(tested)
 
 
+def partitions_for(df: DataFrame, rows: int, columns: int) -> int:
+    """One partition per core, or as many more as keep each within ``PARTITION_CELLS``."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-rows * columns // PARTITION_CELLS))
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """At least one partition per core; a table of few files would train on few of them."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores)
+    """At least one partition per core; a table of few files would train on few of them.
+
+    More rows make more partitions, not larger ones.
+    """
+    return df.repartition(partitions_for(df, df.count(), len(df.columns)))
+
+
+def dealt_finely(points: DataFrame, rows: int, columns: int) -> DataFrame:
+    """Points in partitions that do not grow with the table, whatever the files they are read from pack together."""
+    many = partitions_for(points, rows, columns)
+    return points.repartition(many) if many > points.sparkSession.sparkContext.defaultParallelism else points
 
 
 def _regressor(kind: str, train: DataFrame):
@@ -251,7 +266,7 @@ def train(
         model = PipelineModel([*prepared.stages, *boosted.stages(), *tail])
         importance = _falling(df, ordered, boosted.importances)
     else:
-        points = labelled.select("features", "__label").persist()
+        points = dealt_finely(labelled.select("features", "__label"), trained_on, len(names) + 1).persist()
         fitted = estimator.fit(points)
         points.unpersist()
         model = PipelineModel([*prepared.stages, fitted, *tail])

@@ -94,3 +94,16 @@ def test_refusals(houses):
         ml.train(houses, "ridge", "no_such_target", ["size"])
     with pytest.raises(ValueError):
         ml.train(houses.limit(5), "ridge", "price", ["size"])
+
+
+def test_more_rows_spread_over_more_partitions(spark, monkeypatch):
+    df = spark.range(1000).withColumn("x", F.lit(1.0))
+    assert ml.spread(df).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    packed = df.coalesce(1)
+    assert ml.dealt_finely(packed, 1000, 2) is packed
+    monkeypatch.setattr(ml, "PARTITION_CELLS", 50)
+    sizes = ml.dealt_finely(packed, 1000, 2).groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) == 40 and max(r["count"] for r in sizes) <= 50
+    spread = ml.spread(df)
+    assert spread.rdd.getNumPartitions() == 40 and spread.count() == 1000
+    assert ml.spread(df.limit(0)).count() == 0
