@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import NumericType
 
 from gleanframe.functions.text import sql_double
-from gleanframe.operators import boosting
+from gleanframe.operators import boosting, forest
 from gleanframe.operators.columns import as_double, ident
 from gleanframe.operators.metrics import (
     calinski_harabasz, classification_metrics, distribution, regression_metrics,
@@ -244,10 +244,15 @@ def train(
     trained_on = sizes.get(False, 0)
     prepared = fit_preprocessing(train_rows, names)
     classes: list[str] = []
-    boosted: boosting.Boosted | None = None
+    grown: boosting.Boosted | forest.Forest | None = None
+    # trees cut the filled numbers where they would cut the scaled ones
+    cells = [f"__num{i}" for i in range(len(numeric))] + [f"__code{i}" for i in range(len(other))]
     if is_regression:
         labelled = prepared.transform(train_rows).withColumn("__label", F.col("__target"))
-        estimator = _regressor(kind, labelled)
+        if kind == "random_forest_regressor":
+            grown = forest.fit(labelled, cells, "__label", trained_on, trees=TREES, depth=DEPTH, seed=SEED)
+        if grown is None:
+            estimator = _regressor(kind, labelled)
         tail = []
     else:
         coder = StringIndexer(
@@ -256,15 +261,13 @@ def train(
         classes = list(coder.labels)
         labelled = coder.transform(prepared.transform(train_rows))
         if kind == "gradient_boosting_classifier" and len(classes) > 2:
-            # trees cut the filled numbers where they would cut the scaled ones
-            cells = [f"__num{i}" for i in range(len(numeric))] + [f"__code{i}" for i in range(len(other))]
-            boosted = boosting.fit(labelled, cells, "__label", len(classes), rounds=BOOSTS)
+            grown = boosting.fit(labelled, cells, "__label", len(classes), rounds=BOOSTS)
         else:
             estimator = _classifier(kind, trained_on)
         tail = [IndexToString(inputCol="prediction", outputCol="__predicted", labels=classes)]
-    if boosted is not None:
-        model = PipelineModel([*prepared.stages, *boosted.stages(), *tail])
-        importance = _falling(df, ordered, boosted.importances)
+    if grown is not None:
+        model = PipelineModel([*prepared.stages, *grown.stages(), *tail])
+        importance = _falling(df, ordered, grown.importances)
     else:
         points = dealt_finely(labelled.select("features", "__label"), trained_on, len(names) + 1).persist()
         fitted = estimator.fit(points)
